@@ -56,3 +56,24 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -
         rows = max(1, int(batch.num_rows * limit / column.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without the rows that `decided` (doc_id, raw_hash, kept) drops; rows it doesn't name stay.
+
+    Rows are told apart by id and a hash of the raw text. Of rows that are the
+    same in both, one stays if any of them is kept; only those are aggregated.
+    """
+    found = cut(
+        decided.groupBy("doc_id", "raw_hash")
+        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("same"))
+        .where(~F.col("stays") | (F.col("same") > 1))
+        .select(F.col("doc_id").alias("__found_id"), F.col("raw_hash").alias("__found_hash"), F.col("stays").alias("__stays"))
+    )
+    marked = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)}).join(
+        found, F.col("__id").eqNullSafe(F.col("__found_id")) & (F.col("__hash") == F.col("__found_hash")), "left"
+    )
+    alone = marked.where(F.col("__stays").isNull())
+    if not found.where("__stays").isEmpty():
+        alone = alone.unionByName(marked.where("__stays").dropDuplicates(["__id", "__hash"]))
+    return alone.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,7 +8,6 @@ the windows of items that end there.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower_az, read
+from .common import cut, keep_rows, lower_az, read
 
 #: A digest with more than this share of the rows is a heavy hitter, so at most 1 / SUPPORT digests are broadcast.
 SUPPORT = 0.001
@@ -70,27 +70,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns.
-
-    Rows are told apart by id and a hash of the raw text. Only rows whose id
-    and text both repeat need a last aggregation, and only those are shuffled.
-    """
-    key = ["doc_id", "raw_hash"]
-    found = cut(
-        exact_groups(docs, id_col, text_col, support)
-        .where(F.col("group_size") > 1)
-        .groupBy(*key)
-        .agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("same"))
-        .where(~F.col("stays") | (F.col("same") > 1))
-    )
-    marked = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)}).join(
-        found.select(F.col("doc_id").alias("__found_id"), F.col("raw_hash").alias("__found_hash"), F.col("stays").alias("__stays")),
-        F.col("__id").eqNullSafe(F.col("__found_id")) & (F.col("__hash") == F.col("__found_hash")),
-        "left",
-    )
-    alone = marked.where(F.col("__stays").isNull())
-    repeated = marked.where("__stays").dropDuplicates(["__id", "__hash"])
-    return alone.unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that stay, with all their columns."""
+    return keep_rows(docs, exact_groups(docs, id_col, text_col, support).where(F.col("group_size") > 1), id_col, text_col)
 
 
 def op10_exact_dedup(spark, sf_dir):

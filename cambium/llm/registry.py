@@ -1,17 +1,20 @@
 """The queries of this subpackage and their DuckDB oracles."""
 
-from . import decontaminate, exact_dedup, packing, url_filter
+from . import decontaminate, exact_dedup, packing, simhash, substring_dedup, url_filter
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 #: Left out where SQL can't express the operator; tests/llm holds those against brute force.
 ORACLE_SQL = {
     "op1_decontamination": decontaminate.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op4_url_filter": url_filter.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }
