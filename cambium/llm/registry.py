@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB oracles."""
 
-from . import decontaminate, exact_dedup, license_scan, packing, secret_scan, simhash, substring_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, license_scan, packing, secret_scan, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_warc": warc.op7_warc,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
