@@ -1,4 +1,603 @@
 """Every query of the depth and saturation operators, with its DuckDB oracle."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import library, sequences
+from ..operators import annotate, cells, classify, fitting, molecules, stability, summaries, thinning
+from . import fixtures as fx
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+FRACS = [0.1, 0.25, 0.5, 1.0]
+SEEDS = [369133708, 3324115910]
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+# --- SQL of the shared steps -------------------------------------------------
+
+RAW = f"WITH RECURSIVE raw AS ({fx.RAW_SQL})"
+TAGS = f"{RAW}, tags AS ({fx.tags_sql()})"
+
+
+def thin_sql(fracs=FRACS, seeds=(42,), source: str = "tags", keys: str = "barcode, gene, umi") -> str:
+    counted = ", ".join(
+        f"""CASE WHEN frac = 1 THEN {c} ELSE len(list_filter(range(1, {c} + 1),
+        lambda i: CAST('0x' || substr(md5(concat_ws('|', seed, barcode, gene, umi, '{c}', i)), 1, 8) AS BIGINT) < frac * 4294967296)) END AS {c}"""
+        for c in thinning.CLASSES
+    )
+    grid = ", ".join(f"({i}, CAST({f} AS DOUBLE))" for i, f in enumerate(fracs))
+    every = ", ".join(f"({s})" for s in seeds)
+    return f"""thinned AS (
+  SELECT * FROM (SELECT seed, frac_idx, frac, {keys}, {counted}
+  FROM {source}, (VALUES {grid}) g(frac_idx, frac), (SELECT CAST(s AS BIGINT) AS seed FROM (VALUES {every}) v(s)))
+  WHERE spliced + unspliced + ambiguous > 0)"""
+
+
+COLLAPSE = """nodes AS (
+  SELECT *, spliced + unspliced + ambiguous AS total,
+         row_number() OVER (PARTITION BY seed, frac_idx, barcode, gene ORDER BY spliced + unspliced + ambiguous DESC, umi) AS rank
+  FROM thinned
+), edges AS (
+  SELECT x.seed, x.frac_idx, x.barcode, x.gene, x.rank AS a, y.rank AS b FROM nodes x JOIN nodes y USING (seed, frac_idx, barcode, gene)
+  WHERE bit_count((xor(x.umi, y.umi) | (xor(x.umi, y.umi) >> 1)) & 1431655765) = 1 AND x.total >= 2 * y.total - 1
+), reach AS (
+  SELECT seed, frac_idx, barcode, gene, rank AS root, rank AS node FROM nodes
+  UNION SELECT r.seed, r.frac_idx, r.barcode, r.gene, r.root, e.b
+  FROM reach r JOIN edges e ON e.seed = r.seed AND e.frac_idx = r.frac_idx AND e.barcode = r.barcode AND e.gene = r.gene AND e.a = r.node
+), label AS (SELECT seed, frac_idx, barcode, gene, node, min(root) AS root FROM reach GROUP BY ALL
+), mols AS (
+  SELECT l.seed, l.frac_idx, l.barcode, l.gene, max(n.umi) FILTER (n.rank = l.root) AS umi, sum(n.spliced)::BIGINT AS spliced,
+         sum(n.unspliced)::BIGINT AS unspliced, sum(n.ambiguous)::BIGINT AS ambiguous, count(*) AS n_umis, sum(n.total)::BIGINT AS total
+  FROM label l JOIN nodes n ON n.seed = l.seed AND n.frac_idx = l.frac_idx AND n.barcode = l.barcode AND n.gene = l.gene AND n.rank = l.node
+  GROUP BY l.seed, l.frac_idx, l.barcode, l.gene, l.root
+)"""
+VALID = """judged AS (
+  SELECT *, total = max(total) OVER s AND count(*) OVER (PARTITION BY seed, frac_idx, barcode, umi, total) = 1 AS valid,
+         CASE WHEN spliced > 0 THEN 'spliced' WHEN unspliced > 0 THEN 'unspliced' ELSE 'ambiguous' END AS class
+  FROM mols WINDOW s AS (PARTITION BY seed, frac_idx, barcode, umi)
+)"""
+MOLS = f"{TAGS}, {thin_sql()}, {COLLAPSE}"
+JUDGED = f"{MOLS}, {VALID}"
+FULL = f"{TAGS}, {thin_sql([1.0])}, {COLLAPSE}, {VALID}"
+SPOT_TAGS = f"{RAW}, tags AS (SELECT spot AS barcode, gene, umi, " + ", ".join(f"count(*) FILTER (class = '{c}') AS {c}" for c in thinning.CLASSES) + " FROM raw GROUP BY ALL)"
+SPOT_FULL = f"{SPOT_TAGS}, {thin_sql([1.0])}, {COLLAPSE}, {VALID}"
+
+
+# --- shared steps in Spark ---------------------------------------------------
+
+
+def judged(spark, sf_dir, fracs=FRACS, seeds=(42,)):
+    thinned = thinning.thin(fx.tags(spark, sf_dir), fracs, seeds)
+    return molecules.mark_multi_gene(molecules.directional(thinned, fx.UMI_LENGTH))
+
+
+def spot_molecules(spark, sf_dir):
+    raw = fx.raw_tags(spark, sf_dir).drop("barcode").withColumnRenamed("spot", "barcode")
+    tags = raw.groupBy("barcode", "gene", "umi").agg(*[F.count_if(F.col("class") == c).alias(c) for c in thinning.CLASSES])
+    return molecules.mark_multi_gene(molecules.directional(thinning.thin(tags, [1.0]), fx.UMI_LENGTH))
+
+
+# --- tags and dimensions -----------------------------------------------------
+
+
+@query("tag_collapse", f"{RAW} {fx.tags_sql('random_hex')}")
+def tag_collapse(spark, sf_dir):
+    return fx.tags(spark, sf_dir, "random_hex")
+
+
+@query("tag_collapse_saturating", f"{TAGS} SELECT barcode, gene, umi, least(spliced, 2) AS spliced, least(unspliced, 2) AS unspliced, least(ambiguous, 2) AS ambiguous, spliced > 2 AS spliced_over FROM tags")
+def tag_collapse_saturating(spark, sf_dir):
+    top = 2  # 65535 in production; small here so that the test data reach it
+    return fx.tags(spark, sf_dir).select("barcode", "gene", "umi", *[F.least(c, F.lit(top)).alias(c) for c in thinning.CLASSES], (F.col("spliced") > top).alias("spliced_over"))
+
+
+@query("barcode_index", f"""{RAW} SELECT barcode, count(*) AS countable_reads, count(DISTINCT (gene, umi, random_hex)) AS raw_molecules,
+  count(*) FILTER (random_hex) AS random_hex_reads, count(*) FILTER (NOT random_hex) AS poly_a_reads FROM raw GROUP BY barcode""")
+def barcode_index(spark, sf_dir):
+    return fx.raw_tags(spark, sf_dir).groupBy("barcode", "gene", "umi", "random_hex").agg(F.count(F.lit(1)).alias("n")).groupBy("barcode").agg(
+        F.sum("n").alias("countable_reads"), F.count(F.lit(1)).alias("raw_molecules"),
+        F.sum(F.when(F.col("random_hex"), F.col("n")).otherwise(0)).alias("random_hex_reads"), F.sum(F.when(~F.col("random_hex"), F.col("n")).otherwise(0)).alias("poly_a_reads"),
+    )
+
+
+@query("gene_map", "SELECT row_number() OVER (ORDER BY p_partkey % 5, p_partkey * 40, p_partkey * 40 + p_size * 20, 'g' || p_partkey) - 1 AS gene_index, 'g' || p_partkey AS gene_id, p_name AS gene_name FROM part")
+def gene_map(spark, sf_dir):
+    key = F.col("p_partkey")
+    order = Window.orderBy(key % 5, key * 40, key * 40 + F.col("p_size") * 20, F.concat(F.lit("g"), key.cast("string")))  # a dimension table
+    return fx.table(spark, sf_dir, "part").select((F.row_number().over(order) - 1).cast("long").alias("gene_index"), F.concat(F.lit("g"), key.cast("string")).alias("gene_id"), F.col("p_name").alias("gene_name"))
+
+
+STATUS_READS = """reads AS (
+  SELECT 's' || (l_suppkey % 3) AS sample, CASE WHEN l_linenumber = 7 THEN NULL ELSE 'ACGT' || substr('ACGTNACGTA', CAST(l_suppkey % 7 AS INTEGER) + 1, 4) || '-1' END AS cb,
+    CASE WHEN l_partkey % 11 = 0 THEN 'ACG' ELSE substr('ACGTTGCANACGGTAC', CAST(l_partkey % 10 AS INTEGER) + 1, 6) END AS umi,
+    CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'chr1' END AS chrom, CASE WHEN l_partkey % 5 = 0 THEN 4 ELSE 16 END AS flag, CASE WHEN l_quantity > 40 THEN 3 ELSE 255 END AS mapq
+  FROM lineitem
+), judged AS (
+  SELECT *, CASE WHEN cb IS NULL OR umi IS NULL OR length(umi) <> 6 OR NOT regexp_full_match(cb, '[ACGT]+-[0-9]+') OR NOT regexp_full_match(umi, '[ACGTacgt]+') THEN 'bad_tags'
+    WHEN chrom IS NULL OR (flag & 4) <> 0 OR mapq < 255 THEN 'low_quality' ELSE 'countable' END AS status FROM reads
+)"""
+
+
+def status_reads(spark, sf_dir):
+    reads = fx.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('s', l_suppkey % 3) AS sample",
+        "CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('ACGT', substr('ACGTNACGTA', cast(l_suppkey % 7 as int) + 1, 4), '-1') END AS cb",
+        "CASE WHEN l_partkey % 11 = 0 THEN 'ACG' ELSE substr('ACGTTGCANACGGTAC', cast(l_partkey % 10 as int) + 1, 6) END AS umi",
+        "CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'chr1' END AS chrom",
+        "CASE WHEN l_partkey % 5 = 0 THEN 4 ELSE 16 END AS flag",
+        "CASE WHEN l_quantity > 40 THEN 3 ELSE 255 END AS mapq",
+    )
+    return classify.read_status(reads, 6, "[ACGT]+-[0-9]+")
+
+
+@query("read_status_counts", f"WITH {STATUS_READS} SELECT status, count(*) AS n FROM judged GROUP BY status")
+def read_status_counts(spark, sf_dir):
+    return status_reads(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("read_status_by_sample", f"WITH {STATUS_READS} SELECT sample, status, count(*) AS n FROM judged GROUP BY ROLLUP (sample, status)")
+def read_status_by_sample(spark, sf_dir):
+    return status_reads(spark, sf_dir).rollup("sample", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sample_whitelist", f"WITH {STATUS_READS} SELECT sample || '_' || cb AS barcode, count(*) AS n FROM judged WHERE status = 'countable' AND sample IN ('s0', 's2') GROUP BY ALL")
+def sample_whitelist(spark, sf_dir):
+    allowed = spark.createDataFrame([("s0",), ("s2",)], "sample string")
+    chosen = status_reads(spark, sf_dir).where("status = 'countable'").join(F.broadcast(allowed), "sample", "left_semi")  # a given list
+    return chosen.groupBy(F.concat_ws("_", "sample", "cb").alias("barcode")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("umi_encode", f"WITH {STATUS_READS}, u AS (SELECT DISTINCT umi FROM reads WHERE umi IS NOT NULL) SELECT umi, CASE WHEN regexp_full_match(umi, '[ACGT]+') THEN CAST(list_sum(list_transform(range(1, length(umi) + 1), lambda i: (instr('ACGT', substr(umi, CAST(i AS INTEGER), 1)) - 1) * power(4, length(umi) - i))) AS BIGINT) END AS code, CASE WHEN length(umi) = 6 AND regexp_full_match(umi, '[ACGT]+') THEN umi END AS decoded FROM u")
+def umi_encode(spark, sf_dir):
+    codes = status_reads(spark, sf_dir).where("umi is not null").select("umi", F.col("umi_code").alias("code")).distinct()
+    return codes.withColumn("decoded", F.when(F.length("umi") == 6, sequences.decode(F.col("code"), 6)))
+
+
+@query("summary_eav", f"""WITH {STATUS_READS}, c AS (SELECT count(*) AS total_reads, count(*) FILTER (status = 'bad_tags') AS bad_tags, count(*) FILTER (status = 'low_quality') AS low_quality,
+  count(*) FILTER (status = 'countable') AS countable FROM judged) SELECT key, 'reads' AS type, CAST(value AS VARCHAR) AS value FROM (UNPIVOT c ON total_reads, bad_tags, low_quality, countable INTO NAME key VALUE value)""")
+def summary_eav(spark, sf_dir):
+    counts = status_reads(spark, sf_dir).agg(F.count(F.lit(1)).alias("total_reads"), *[F.count_if(F.col("status") == s).alias(s) for s in classify.STATUSES])
+    return counts.unpivot([], ["total_reads", *classify.STATUSES], "key", "value").select("key", F.lit("reads").alias("type"), F.col("value").cast("string").alias("value"))
+
+
+# --- thinning ----------------------------------------------------------------
+
+
+@query("thin_bulk", f"{TAGS}, {thin_sql()} SELECT frac_idx, sum(spliced + unspliced + ambiguous)::BIGINT AS reads, count(*) AS tags FROM thinned GROUP BY frac_idx")
+def thin_bulk(spark, sf_dir):
+    return thinning.thin(fx.tags(spark, sf_dir), FRACS).groupBy("frac_idx").agg(F.sum(F.expr("spliced + unspliced + ambiguous")).alias("reads"), F.count(F.lit(1)).alias("tags"))
+
+
+@query("thin_grid_multi_seed", f"{TAGS}, {thin_sql(seeds=SEEDS)} SELECT seed, frac_idx, sum(spliced)::BIGINT AS spliced, sum(unspliced)::BIGINT AS unspliced, sum(ambiguous)::BIGINT AS ambiguous FROM thinned GROUP BY seed, frac_idx")
+def thin_grid_multi_seed(spark, sf_dir):
+    return thinning.thin(fx.tags(spark, sf_dir), FRACS, SEEDS).groupBy("seed", "frac_idx").agg(*[F.sum(c).alias(c) for c in thinning.CLASSES])
+
+
+@query("primer_filter", f"{RAW}, tags AS ({fx.tags_sql('random_hex')}) SELECT random_hex, count(*) AS tags, sum(spliced + unspliced + ambiguous)::BIGINT AS reads FROM tags WHERE NOT random_hex GROUP BY random_hex")
+def primer_filter(spark, sf_dir):
+    chosen = fx.tags(spark, sf_dir, "random_hex").where(~F.col("random_hex"))
+    return chosen.groupBy("random_hex").agg(F.count(F.lit(1)).alias("tags"), F.sum(F.expr("spliced + unspliced + ambiguous")).alias("reads"))
+
+
+# --- UMI correction ----------------------------------------------------------
+
+
+@query("umi_pairs_hamming1", f"{TAGS} SELECT x.barcode, x.gene, x.umi AS umi_a, y.umi AS umi_b FROM tags x JOIN tags y ON x.barcode = y.barcode AND x.gene = y.gene AND x.umi < y.umi AND bit_count((xor(x.umi, y.umi) | (xor(x.umi, y.umi) >> 1)) & 1431655765) = 1")
+def umi_pairs_hamming1(spark, sf_dir):
+    return molecules.hamming_pairs(fx.tags(spark, sf_dir), fx.UMI_LENGTH).select("barcode", "gene", "umi_a", "umi_b")
+
+
+@query("umi_neighbours", f"{TAGS}, u AS (SELECT DISTINCT umi FROM tags) SELECT umi, xor(umi, k << CAST(2 * i AS INTEGER)) AS neighbour FROM u, range(0, 6) a(i), range(1, 4) b(k)")
+def umi_neighbours(spark, sf_dir):
+    return fx.tags(spark, sf_dir).select("umi").distinct().select("umi", F.explode(sequences.neighbours(F.col("umi"), fx.UMI_LENGTH)).alias("neighbour"))
+
+
+@query("umi_directional", f"{MOLS} SELECT seed, frac_idx, barcode, gene, umi, spliced, unspliced, ambiguous, n_umis FROM mols")
+def umi_directional(spark, sf_dir):
+    return molecules.directional(thinning.thin(fx.tags(spark, sf_dir), FRACS), fx.UMI_LENGTH).drop("frac")
+
+
+@query("umi_none", f"{TAGS}, {thin_sql()} SELECT frac_idx, count(*) AS molecules FROM thinned GROUP BY frac_idx")
+def umi_none(spark, sf_dir):
+    return molecules.uncollapsed(thinning.thin(fx.tags(spark, sf_dir), FRACS)).groupBy("frac_idx").agg(F.count(F.lit(1)).alias("molecules"))
+
+
+@query("multi_gene_discard", f"{JUDGED} SELECT seed, frac_idx, barcode, gene, umi, total, valid FROM judged")
+def multi_gene_discard(spark, sf_dir):
+    return judged(spark, sf_dir).select("seed", "frac_idx", "barcode", "gene", "umi", "total", "valid")
+
+
+@query("discard_totals", f"{JUDGED} SELECT frac_idx, barcode, coalesce(sum(total) FILTER (NOT valid), 0)::BIGINT AS reads_discarded, count(*) FILTER (NOT valid) AS molecules_discarded FROM judged GROUP BY frac_idx, barcode")
+def discard_totals(spark, sf_dir):
+    return judged(spark, sf_dir).groupBy("frac_idx", "barcode").agg(F.sum(F.when(~F.col("valid"), F.col("total")).otherwise(0)).alias("reads_discarded"), F.count_if(~F.col("valid")).alias("molecules_discarded"))
+
+
+# --- summaries ---------------------------------------------------------------
+
+
+@query("bulk_saturation", f"""{JUDGED}, b AS (SELECT seed, frac_idx, coalesce(sum(total) FILTER (valid), 0)::BIGINT AS reads, count(*) FILTER (valid) AS molecules,
+  coalesce(sum(total) FILTER (NOT valid), 0)::BIGINT AS reads_discarded, count(*) FILTER (NOT valid) AS molecules_discarded FROM judged GROUP BY seed, frac_idx)
+  SELECT *, round(100 - 100 * molecules::DOUBLE / reads, 6) AS saturation FROM b""")
+def bulk_saturation(spark, sf_dir):
+    return summaries.bulk(judged(spark, sf_dir))
+
+
+@query("class_totals", f"{JUDGED} SELECT seed, frac_idx, class, sum(total)::BIGINT AS reads, count(*) AS molecules FROM judged WHERE valid GROUP BY ALL")
+def class_totals(spark, sf_dir):
+    return summaries.by_class(judged(spark, sf_dir))
+
+
+@query("rpm_hist", f"{JUDGED} SELECT seed, frac_idx, least(total, 4) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL")
+def rpm_hist(spark, sf_dir):
+    return summaries.reads_histogram(judged(spark, sf_dir), 4)
+
+
+@query("rpm_hist_by_class", f"{JUDGED} SELECT seed, frac_idx, class, least(total, 50) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL")
+def rpm_hist_by_class(spark, sf_dir):
+    return summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.CLASS), 50, "class")
+
+
+@query("sample_stats", f"{JUDGED} SELECT frac_idx, 's' || (barcode % 3) AS sample, sum(total)::BIGINT AS reads, count(*) AS molecules, round(100 - 100 * count(*)::DOUBLE / sum(total), 6) AS saturation FROM judged WHERE valid GROUP BY ALL")
+def sample_stats(spark, sf_dir):
+    named = judged(spark, sf_dir).where("valid").withColumn("sample", F.concat(F.lit("s"), (F.col("barcode") % 3).cast("string")))
+    return named.groupBy("frac_idx", "sample").agg(F.sum("total").alias("reads"), F.count(F.lit(1)).alias("molecules"), F.round(100 - 100 * F.count(F.lit(1)) / F.sum("total"), 6).alias("saturation"))
+
+
+@query("barcode_stats", f"{JUDGED} SELECT seed, frac_idx, barcode, sum(total)::BIGINT AS reads, count(*) AS molecules, count(DISTINCT gene) AS genes FROM judged WHERE valid GROUP BY ALL")
+def barcode_stats(spark, sf_dir):
+    return summaries.barcode_stats(judged(spark, sf_dir))
+
+
+@query("gene_masks_mt_mod", f"{JUDGED} SELECT frac_idx, barcode, count(*) FILTER (starts_with('g' || gene, 'g1')) AS mt_molecules, count(*) FILTER (gene IN (3, 7, 22)) AS module_molecules FROM judged WHERE valid GROUP BY ALL")
+def gene_masks_mt_mod(spark, sf_dir):
+    module = spark.createDataFrame([(3,), (7,), (22,)], "gene long").withColumn("module", F.lit(True))
+    marked = judged(spark, sf_dir).where("valid").join(F.broadcast(module), "gene", "left")  # a given list
+    return marked.groupBy("frac_idx", "barcode").agg(F.count_if(F.concat(F.lit("g"), F.col("gene").cast("string")).startswith("g1")).alias("mt_molecules"), F.count_if("module").alias("module_molecules"))
+
+
+@query("exclude_genes", f"{JUDGED} SELECT frac_idx, coalesce(sum(total) FILTER (gene IN (1, 2, 3)), 0)::BIGINT AS reads_excluded, coalesce(sum(total) FILTER (gene NOT IN (1, 2, 3)), 0)::BIGINT AS reads FROM judged WHERE valid GROUP BY ALL")
+def exclude_genes(spark, sf_dir):
+    out = spark.createDataFrame([(1,), (2,), (3,)], "gene long").withColumn("excluded", F.lit(True))
+    marked = judged(spark, sf_dir).where("valid").join(F.broadcast(out), "gene", "left")  # a given list
+    return marked.groupBy("frac_idx").agg(F.sum(F.when(F.col("excluded"), F.col("total")).otherwise(0)).alias("reads_excluded"), F.sum(F.when(F.col("excluded").isNull(), F.col("total")).otherwise(0)).alias("reads"))
+
+
+@query("total_matrix", f"{JUDGED} SELECT seed, frac_idx, barcode, gene, count(*) FILTER (valid) AS value FROM judged GROUP BY ALL")
+def total_matrix(spark, sf_dir):
+    return summaries.total_matrix(judged(spark, sf_dir))
+
+
+@query("class_matrices", f"{JUDGED} SELECT seed, frac_idx, barcode, gene, class, count(*) AS value FROM judged WHERE valid GROUP BY ALL")
+def class_matrices(spark, sf_dir):
+    return summaries.class_matrices(judged(spark, sf_dir))
+
+
+# --- spatial bins ------------------------------------------------------------
+
+
+@query("visium_bins", f"""{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}), placed AS (SELECT *, (array_row // 3) * 4 + array_col // 3 AS bin_idx FROM pos),
+  t AS (SELECT bin_idx, count(*) AS n_barcodes, count(*) FILTER (in_tissue > 0) AS in_tissue FROM placed GROUP BY bin_idx),
+  s AS (SELECT bin_idx, sum(total)::BIGINT AS reads, count(*) AS molecules, count(DISTINCT gene) AS genes FROM judged JOIN placed USING (barcode) WHERE valid GROUP BY bin_idx)
+  SELECT g.bin_idx, coalesce(n_barcodes, 0) AS n_barcodes, coalesce(in_tissue, 0) AS in_tissue, coalesce(reads, 0) AS reads, coalesce(molecules, 0) AS molecules, coalesce(genes, 0) AS genes
+  FROM (SELECT range AS bin_idx FROM range(0, 16)) g LEFT JOIN t USING (bin_idx) LEFT JOIN s USING (bin_idx)""")
+def visium_bins(spark, sf_dir):
+    return summaries.spatial_bins(spot_molecules(spark, sf_dir), fx.spots(spark, sf_dir), 10, 10, 3, 3)
+
+
+@query("bin_gene_counts", f"{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}) SELECT (array_row // 2) * 5 + array_col // 2 AS bin_idx, gene, count(*) AS value FROM judged JOIN pos USING (barcode) WHERE valid GROUP BY ALL")
+def bin_gene_counts(spark, sf_dir):
+    placed = fx.spots(spark, sf_dir).select("barcode", (F.floor(F.col("array_row") / 2) * 5 + F.floor(F.col("array_col") / 2)).cast("long").alias("bin_idx"))
+    return spot_molecules(spark, sf_dir).where("valid").join(placed, "barcode").groupBy("bin_idx", "gene").agg(F.count(F.lit(1)).alias("value"))
+
+
+@query("bin_distinct_genes", f"{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}) SELECT array_row // 2 AS row_bin, count(DISTINCT gene) AS genes FROM judged JOIN pos USING (barcode) WHERE valid AND in_tissue = 1 GROUP BY ALL")
+def bin_distinct_genes(spark, sf_dir):
+    placed = fx.spots(spark, sf_dir).where("in_tissue = 1").select("barcode", F.floor(F.col("array_row") / 2).cast("long").alias("row_bin"))
+    return spot_molecules(spark, sf_dir).where("valid").join(placed, "barcode").groupBy("row_bin").agg(F.countDistinct("gene").alias("genes"))
+
+
+# --- cells -------------------------------------------------------------------
+
+CELLS = "cells AS (SELECT c_custkey AS barcode, CAST(floor(abs(c_acctbal)) AS BIGINT) AS molecules, CASE WHEN c_mktsegment <> 'BUILDING' THEN 1 ELSE 0 END AS is_cell FROM customer)"
+PASSED = f"""{CELLS}, used AS (SELECT log10(molecules) AS x FROM cells WHERE is_cell > 0 AND molecules >= 500),
+  m AS (SELECT median(x) AS med FROM used), d AS (SELECT med, median(abs(x - med)) AS mad FROM used, m GROUP BY med),
+  f AS (SELECT barcode, molecules, is_cell, CASE WHEN is_cell > 0 AND molecules >= greatest(500.0, power(10.0, med - 2 * mad)) THEN 1 ELSE 0 END AS passed FROM cells, d)"""
+
+
+def cell_table(spark, sf_dir):
+    return fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("barcode"), F.floor(F.abs("c_acctbal")).cast("long").alias("molecules"), (F.col("c_mktsegment") != "BUILDING").cast("int").alias("is_cell"))
+
+
+@query("mad_filter", f"WITH {PASSED} SELECT * FROM f")
+def mad_filter(spark, sf_dir):
+    return cells.mad_filter(cell_table(spark, sf_dir), 500, 2)
+
+
+@query("filter_info", f"WITH {PASSED} SELECT count(*) AS total, sum(is_cell)::BIGINT AS called, sum(passed)::BIGINT AS passed, round(100.0 * sum(passed) / count(*), 6)::DOUBLE AS percent_kept, min(molecules) FILTER (passed = 1) AS least, max(molecules) FILTER (passed = 1) AS most FROM f")
+def filter_info(spark, sf_dir):
+    kept = F.when(F.col("passed") == 1, F.col("molecules"))
+    return cells.mad_filter(cell_table(spark, sf_dir), 500, 2).agg(
+        F.count(F.lit(1)).alias("total"), F.sum("is_cell").alias("called"), F.sum("passed").alias("passed"),
+        F.round(100 * F.sum("passed") / F.count(F.lit(1)), 6).alias("percent_kept"), F.min(kept).alias("least"), F.max(kept).alias("most"),
+    )
+
+
+@query("annotate_left_join", "SELECT s_suppkey AS barcode, c_nationkey IS NOT NULL AS annotated, count(*) AS n FROM supplier LEFT JOIN customer ON s_suppkey = c_custkey AND c_acctbal > 0 GROUP BY ALL")
+def annotate_left_join(spark, sf_dir):
+    meta = fx.table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("barcode"), "c_nationkey")
+    codes = fx.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("barcode"))
+    return codes.join(meta, "barcode", "left").groupBy("barcode", F.col("c_nationkey").isNotNull().alias("annotated")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("bh_fdr", "WITH t AS (SELECT c_custkey AS id, (c_custkey * 7919 % 10000) / 10000.0::DOUBLE AS p FROM customer), r AS (SELECT *, p * count(*) OVER () / count(*) OVER (ORDER BY p) AS q FROM t) SELECT id, p, round(least(1.0::DOUBLE, min(q) OVER (ORDER BY p DESC)), 9) AS fdr FROM r")
+def bh_fdr(spark, sf_dir):
+    tests = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") * 7919 % 10000 / 10000.0).alias("p"))
+    return cells.benjamini_hochberg(tests).select("id", "p", F.round("fdr", 9).alias("fdr"))
+
+
+# --- model -------------------------------------------------------------------
+
+SIZE, R = 9777485.172692884, 2.6387012796186737
+
+
+@query("saturation_curve_predict", f"SELECT o_orderkey AS id, round({SIZE} * (1 - power({R} / ({R} + reads / {SIZE}), {R})), 3) AS molecules, round(100 - 100 * {SIZE} * (1 - power({R} / ({R} + reads / {SIZE}), {R})) / reads, 6) AS saturation FROM (SELECT o_orderkey, o_orderkey * 1000.0::DOUBLE + 1 AS reads FROM orders)")
+def saturation_curve_predict(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 1000.0 + 1).alias("reads"))
+    seen = library.molecules(F.col("reads"), F.lit(SIZE), F.lit(R))
+    return rows.select("id", F.round(seen, 3).alias("molecules"), F.round(library.saturation(F.col("reads"), seen), 6).alias("saturation"))
+
+
+@query("recovery_costs", f"SELECT CAST(x AS BIGINT) AS recovery, round({R} * {SIZE} * (power(1 - x / 100.0::DOUBLE, -1 / {R}) - 1), 3) AS reads FROM range(10, 91) t(x)")
+def recovery_costs(spark, sf_dir):
+    return spark.range(10, 91).select(F.col("id").alias("recovery"), F.round(library.reads_for_recovery(F.col("id") / 100.0, F.lit(SIZE), F.lit(R)), 3).alias("reads"))
+
+
+@query("saturation_costs_bisection")
+def saturation_costs_bisection(spark, sf_dir):
+    rows = spark.range(10, 91).select(F.col("id").cast("double").alias("saturation"), F.lit(SIZE).alias("size"), F.lit(R).alias("r"))
+    return rows.select("saturation", library.reads_for_saturation("saturation", "size", "r").alias("reads"))
+
+
+@query("ks_distance", f"{FULL}, h AS (SELECT least(total, 50) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) / (SELECT sum(n) FROM h) AS observed, 1 - power(0.5, bin) AS model FROM h) SELECT round(max(abs(observed - model)), 9) AS ks FROM c")
+def ks_distance(spark, sf_dir):
+    hist = summaries.reads_histogram(judged(spark, sf_dir, [1.0]), 50)
+    order = Window.orderBy("bin")  # at most 50 rows
+    both = hist.withColumn("observed", F.sum("n").over(order) / F.sum("n").over(Window.partitionBy()))
+    return both.agg(F.round(F.max(F.abs(F.col("observed") - (1 - F.pow(F.lit(0.5), F.col("bin"))))), 9).alias("ks"))
+
+
+@query("pilot_grid", "SELECT CAST(m * power(10, d) AS BIGINT) AS step FROM range(2, 7) a(d), (VALUES (1), (2), (5)) b(m)")
+def pilot_grid(spark, sf_dir):
+    return spark.range(2, 7).select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("m"), F.pow(F.lit(10), F.col("id")).alias("d")).select((F.col("m") * F.col("d")).cast("long").alias("step"))
+
+
+@query("interp_lookup", """WITH c AS (SELECT o_custkey AS x, count(*) AS y FROM orders GROUP BY 1), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM c),
+  t AS (SELECT DISTINCT c_custkey AS q FROM customer) SELECT q, round(CAST(y + coalesce((log10(q + 1) - log10(x + 1)) / (log10(x2 + 1) - log10(x + 1)) * (y2 - y), 0) AS DOUBLE), 6) AS value FROM t JOIN s ON q >= x AND (q < x2 OR x2 IS NULL)""")
+def interp_lookup(spark, sf_dir):
+    # Targets and curve points share one order: each target takes the last point before it and the next after it.
+    curve = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("x")).agg(F.count(F.lit(1)).alias("y"))
+    asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("x")).distinct()
+    both = curve.select("x", F.struct("x", "y").alias("point"), F.lit(False).alias("asked")).unionByName(asked.select("x", F.lit(None).cast("struct<x:bigint,y:bigint>").alias("point"), F.lit(True).alias("asked")))
+    order = Window.orderBy("x", "asked")  # curve points and targets are a fitted curve's, a few thousand rows
+    found = both.withColumn("a", F.last("point", ignorenulls=True).over(order)).withColumn("b", F.first("point", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
+    share = (F.log10(F.col("x") + 1) - F.log10(F.col("a.x") + 1)) / (F.log10(F.col("b.x") + 1) - F.log10(F.col("a.x") + 1))
+    return found.where("asked and a is not null").select(F.col("x").alias("q"), F.round(F.col("a.y") + F.coalesce(share * (F.col("b.y") - F.col("a.y")), F.lit(0.0)), 6).alias("value"))
+
+
+@query("ztnb_fit")
+def ztnb_fit(spark, sf_dir):
+    hist = summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.CLASS), 50, "class")
+    return fitting.fit_histograms(hist, "frac_idx", "class")
+
+
+@query("limit_errors", f"{JUDGED}, b AS (SELECT frac_idx, sum(total) AS reads, count(*) AS molecules FROM judged WHERE valid GROUP BY ALL) SELECT count(*) AS n, round(avg(abs(molecules - 20000.0 * (1 - power(2.0 / (2.0 + reads / 20000.0), 2.0)))), 6)::DOUBLE AS mae FROM b")
+def limit_errors(spark, sf_dir):
+    b = summaries.bulk(judged(spark, sf_dir))
+    return b.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("molecules") - library.molecules(F.col("reads"), F.lit(20000.0), F.lit(2.0)))), 6).alias("mae"))
+
+
+# --- overlap and stability ---------------------------------------------------
+
+OVERLAP = f"""{TAGS}, {thin_sql([0.25, 0.5, 1.0], SEEDS)}, {COLLAPSE}, {VALID}, g AS (SELECT seed, frac_idx, barcode, gene, count(*) FILTER (valid) AS value FROM judged GROUP BY ALL),
+  base AS (SELECT barcode, gene, value FROM g WHERE frac_idx = 2 AND seed = {SEEDS[0]}),
+  z AS (SELECT barcode, count(*) AS b, count(*) FILTER (value = 1) AS b1, count(*) FILTER (value = 2) AS b2, count(*) FILTER (value >= 3) AS b3p FROM base GROUP BY barcode),
+  o AS (SELECT g.seed, g.frac_idx, g.barcode, count(*) AS shared FROM g JOIN base USING (barcode, gene) WHERE g.value > 0 AND frac_idx < 2 GROUP BY ALL),
+  r AS (SELECT seed, frac_idx, barcode, shared, b, b1, b2, b3p, round(shared::DOUBLE / b, 6) AS stability FROM o JOIN z USING (barcode))"""
+
+
+def overlap(spark, sf_dir):
+    matrix = summaries.total_matrix(judged(spark, sf_dir, [0.25, 0.5, 1.0], SEEDS))
+    return stability.gene_overlap(matrix.where((F.col("frac_idx") == 2) & (F.col("seed") == SEEDS[0])).select("barcode", "gene", "value"), matrix.where("frac_idx < 2"))
+
+
+@query("gene_overlap_counts", f"{OVERLAP} SELECT * FROM r")
+def gene_overlap_counts(spark, sf_dir):
+    return overlap(spark, sf_dir)
+
+
+@query("gene_overlap_stability", f"{OVERLAP} SELECT frac_idx, barcode, round(avg(stability), 5) AS stability FROM r GROUP BY ALL")
+def gene_overlap_stability(spark, sf_dir):
+    return overlap(spark, sf_dir).groupBy("frac_idx", "barcode").agg(F.round(F.avg("stability"), 5).alias("stability"))
+
+
+@query("gene_stability_summary", f"{OVERLAP} SELECT frac_idx, round(median(stability), 6) AS median_stability, min(b) AS least_genes, count(*) AS n FROM r GROUP BY ALL")
+def gene_stability_summary(spark, sf_dir):
+    return overlap(spark, sf_dir).groupBy("frac_idx").agg(F.round(F.median("stability"), 6).alias("median_stability"), F.min("b").alias("least_genes"), F.count(F.lit(1)).alias("n"))
+
+
+@query("ari", "WITH t AS (SELECT label, vec_id % 10 AS other, count(*) AS n FROM embeddings GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2.0) AS both_in, sum(n) AS n FROM t), a AS (SELECT sum(n * (n - 1) / 2.0) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2.0) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY other)) SELECT round((both_in - a.s * b.s / (n * (n - 1) / 2.0)) / ((a.s + b.s) / 2 - a.s * b.s / (n * (n - 1) / 2.0)), 9) AS ari FROM x, a, b")
+def ari(spark, sf_dir):
+    labels = fx.table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 10).alias("other"))
+    return stability.adjusted_rand(labels, "label", "other").select(F.round("ari", 9).alias("ari"))
+
+
+@query("hvg_jaccard", "WITH s AS (SELECT DISTINCT l_suppkey % 20 AS k, l_partkey % 97 AS i FROM lineitem WHERE l_quantity > 48), n AS (SELECT k, count(*) AS n FROM s GROUP BY k), h AS (SELECT x.k AS a, y.k AS b, count(*) AS shared FROM s x JOIN s y ON x.i = y.i AND x.k < y.k GROUP BY ALL) SELECT p.k AS a, q.k AS b, round(coalesce(shared, 0)::DOUBLE / (p.n + q.n - coalesce(shared, 0)), 6) AS jaccard FROM n p JOIN n q ON p.k < q.k LEFT JOIN h ON h.a = p.k AND h.b = q.k")
+def hvg_jaccard(spark, sf_dir):
+    sets = fx.table(spark, sf_dir, "lineitem").where("l_quantity > 48").select((F.col("l_suppkey") % 20).alias("k"), (F.col("l_partkey") % 97).alias("i"))
+    return stability.jaccard(sets, "k", "i")
+
+
+KNN = "d AS (SELECT a.vec_id AS id, b.vec_id AS other, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE) * (a.embedding[i]::DOUBLE - b.embedding[i]::DOUBLE))) AS d2 FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id), k AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY d2, other) AS place FROM d QUALIFY place <= 10)"
+
+
+def neighbours(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    return stability.nearest(rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")), 10)
+
+
+@query("knn_topk", f"WITH {KNN} SELECT id, other, CAST(place AS INTEGER) AS place FROM k")
+def knn_topk(spark, sf_dir):
+    return neighbours(spark, sf_dir).select("id", "other", "place")
+
+
+@query("knn_label_agreement", f"WITH {KNN} SELECT x.label, count(*) AS n, count(*) FILTER (x.label = y.label) AS agree FROM k JOIN embeddings x ON x.vec_id = id JOIN embeddings y ON y.vec_id = other GROUP BY ALL")
+def knn_label_agreement(spark, sf_dir):
+    labels = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    pairs = neighbours(spark, sf_dir).join(labels, "id").join(labels.toDF("other", "other_label"), "other")
+    return pairs.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("other_label")).alias("agree"))
+
+
+@query("log_normalise", f"{FULL}, g AS (SELECT barcode, gene, count(*) AS value FROM judged WHERE valid GROUP BY ALL) SELECT barcode, gene, round(ln(1 + value * 10000.0::DOUBLE / sum(value) OVER (PARTITION BY barcode)), 9) AS x FROM g")
+def log_normalise(spark, sf_dir):
+    counts = summaries.total_matrix(judged(spark, sf_dir, [1.0])).where("value > 0")
+    return stability.log_normalised(counts).select("barcode", "gene", F.round("x", 9).alias("x"))
+
+
+@query("filter_genes_min_cells", f"{FULL} SELECT gene, count(DISTINCT barcode) AS cells FROM judged WHERE valid GROUP BY gene HAVING count(DISTINCT barcode) >= 10")
+def filter_genes_min_cells(spark, sf_dir):
+    return judged(spark, sf_dir, [1.0]).where("valid").groupBy("gene").agg(F.countDistinct("barcode").alias("cells")).where("cells >= 10")
+
+
+# --- annotation --------------------------------------------------------------
+
+GENES_SQL = "genes AS (SELECT p_partkey AS gene, p_partkey % 5 AS chrom, p_partkey * 40 AS gene_lft, p_partkey * 40 + p_size * 20 AS gene_rgt, CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS gene_strand, p_partkey * 40 + p_size * 20 // 3 AS e1, p_partkey * 40 + p_size * 40 // 3 AS e2 FROM part)"
+READS_SQL = """reads AS (SELECT concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_quantity AS BIGINT), l_returnflag, l_linestatus, CAST(round(l_extendedprice * 100) AS BIGINT)) AS read_id,
+  l_partkey % 5 AS chrom, l_partkey * 40 + l_orderkey % 400 AS lft, l_partkey * 40 + l_orderkey % 400 + 59 + CAST(l_quantity AS BIGINT) AS rgt FROM lineitem)"""
+
+
+def genes(spark, sf_dir):
+    key, size = F.col("p_partkey").cast("long"), F.col("p_size").cast("long")
+    lft = key * 40
+    exon = lambda a, b: F.struct(a.cast("long").alias("lft"), b.cast("long").alias("rgt"))
+    e1, e2 = lft + F.floor(size * 20 / 3), lft + F.floor(size * 40 / 3)
+    return fx.table(spark, sf_dir, "part").select(
+        key.alias("gene"), (key % 5).alias("chrom"), lft.alias("lft"), (lft + size * 20).alias("rgt"), F.when(key % 2 == 0, "+").otherwise("-").alias("gene_strand"),
+        F.array(exon(lft, e1), exon(e2, lft + size * 20)).alias("exons"), F.array(exon(e1, e2)).alias("junctions"),
+    )
+
+
+def reads(spark, sf_dir, spliced: bool = False):
+    cigar = "concat(60 + cast(l_quantity as long), 'M')"
+    if spliced:
+        cigar = f"CASE WHEN l_linenumber % 3 = 0 THEN '40M100N40M' WHEN l_linenumber % 3 = 1 THEN concat('3S', {cigar}, '2I5M1D4M') ELSE {cigar} END"
+    rows = fx.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, cast(l_quantity as long), l_returnflag, l_linestatus, cast(round(l_extendedprice * 100) as long)) AS read_id",
+        "cast(l_partkey % 5 as long) AS chrom", "cast(l_partkey * 40 + l_orderkey % 400 as long) AS pos", f"{cigar} AS cigar", "CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand",
+    )
+    return annotate.with_blocks(rows)
+
+
+@query("range_join", f"WITH {GENES_SQL}, {READS_SQL} SELECT gene, count(*) AS hits FROM reads JOIN genes ON reads.chrom = genes.chrom AND gene_lft < rgt AND lft < gene_rgt GROUP BY gene")
+def range_join(spark, sf_dir):
+    return annotate.range_join(reads(spark, sf_dir), genes(spark, sf_dir)).groupBy("gene").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("cigar_blocks", """WITH r AS (SELECT CAST(l_linenumber % 3 AS BIGINT) AS kind, l_partkey * 40 + l_orderkey % 400 AS pos, 60 + CAST(l_quantity AS BIGINT) AS n FROM lineitem)
+  SELECT kind, count(*) AS n_reads, sum(CASE WHEN kind = 0 THEN 2 ELSE 1 END)::BIGINT AS n_blocks, sum(CASE kind WHEN 0 THEN 80 WHEN 1 THEN n + 10 ELSE n END)::BIGINT AS bases, sum(CASE kind WHEN 0 THEN pos + 179 WHEN 1 THEN pos + n + 9 ELSE pos + n - 1 END)::BIGINT AS ends FROM r GROUP BY kind""")
+def cigar_blocks(spark, sf_dir):
+    kind = F.when(F.col("cigar").contains("N"), 0).when(F.col("cigar").startswith("3S"), 1).otherwise(2).cast("long")
+    return reads(spark, sf_dir, spliced=True).groupBy(kind.alias("kind")).agg(
+        F.count(F.lit(1)).alias("n_reads"), F.sum(F.size("blocks")).alias("n_blocks"), F.sum(F.expr("aggregate(blocks, 0L, (n, b) -> n + b.rgt - b.lft + 1)")).alias("bases"), F.sum("rgt").alias("ends")
+    )
+
+
+VOTES_SQL = f"""WITH {GENES_SQL}, {READS_SQL}, h AS (
+  SELECT read_id, gene, rgt - lft + 1 AS bases, least(rgt, gene_rgt) - greatest(lft, gene_lft) + 1 AS inside,
+         greatest(0, least(rgt, e1) - greatest(lft, gene_lft) + 1) + greatest(0, least(rgt, gene_rgt) - greatest(lft, e2) + 1) AS exonic
+  FROM reads JOIN genes ON reads.chrom = genes.chrom AND gene_lft < rgt AND lft < gene_rgt
+  WHERE gene_strand = CASE WHEN CAST(split_part(read_id, '|', 2) AS BIGINT) % 2 = 0 THEN '+' ELSE '-' END
+), v AS (
+  SELECT read_id, gene, CASE WHEN inside - exonic >= 15 THEN 'unspliced' WHEN exonic::DOUBLE / inside >= 0.95 THEN 'ambiguous' ELSE 'none' END AS vote
+  FROM h WHERE inside >= 40 AND inside::DOUBLE / bases >= 0.95
+), c AS (
+  SELECT read_id, count(*) FILTER (vote = 'ambiguous') AS e, count(*) FILTER (vote = 'unspliced') AS u, max(gene) FILTER (vote = 'ambiguous') AS ge, max(gene) FILTER (vote = 'unspliced') AS gu FROM v GROUP BY read_id
+), r AS (SELECT read_id, CASE WHEN e = 1 THEN ge WHEN e = 0 AND u = 1 THEN gu END AS gene, CASE WHEN e = 1 THEN 'ambiguous' WHEN e = 0 AND u = 1 THEN 'unspliced' ELSE 'no_gene' END AS class FROM c)"""
+
+
+@query("read_class_vote", f"{VOTES_SQL} SELECT gene, class, count(*) AS n FROM r GROUP BY ALL")
+def read_class_vote(spark, sf_dir):
+    found = annotate.resolve(annotate.votes(annotate.range_join(reads(spark, sf_dir), genes(spark, sf_dir))))
+    return found.groupBy("gene", "class").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("spliced_reads")
+def spliced_reads(spark, sf_dir):
+    found = annotate.resolve(annotate.votes(annotate.range_join(reads(spark, sf_dir, spliced=True), genes(spark, sf_dir))))
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+
+
+EXONS_SQL = "exons AS (SELECT DISTINCT ps AS transcript, ps % 7 AS gene, CAST(q * 30 AS BIGINT) AS lft, CAST(q * 30 + 20 + ps % 40 AS BIGINT) AS rgt FROM (SELECT l_suppkey AS ps, CAST(l_quantity AS BIGINT) AS q FROM lineitem))"
+
+
+def exons(spark, sf_dir):
+    return fx.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey AS transcript", "l_suppkey % 7 AS gene", "cast(l_quantity as long) * 30 AS lft", "cast(l_quantity as long) * 30 + 20 + l_suppkey % 40 AS rgt").distinct()
+
+
+@query("junctions", f"WITH {EXONS_SQL} SELECT * FROM (SELECT transcript, lag(rgt) OVER (PARTITION BY transcript ORDER BY lft, rgt) AS lft, lft AS rgt FROM exons) WHERE lft IS NOT NULL")
+def junctions(spark, sf_dir):
+    return annotate.junctions(exons(spark, sf_dir))
+
+
+@query("exon_merge", f"WITH {EXONS_SQL}, p AS (SELECT *, max(rgt) OVER (PARTITION BY gene ORDER BY lft, rgt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM (SELECT DISTINCT gene, lft, rgt FROM exons)), i AS (SELECT *, sum(CASE WHEN past IS NULL OR lft > past THEN 1 ELSE 0 END) OVER (PARTITION BY gene ORDER BY lft, rgt ROWS UNBOUNDED PRECEDING) AS island FROM p) SELECT gene, min(lft) AS lft, max(rgt) AS rgt FROM i GROUP BY gene, island")
+def exon_merge(spark, sf_dir):
+    return annotate.merged_exons(exons(spark, sf_dir).select("gene", "lft", "rgt").distinct())
+
+
+@query("gene_breaks", "WITH g AS (SELECT p_partkey % 50 AS chrom, p_partkey * 40 AS lft, p_partkey * 40 + p_size * 20 AS rgt FROM part), p AS (SELECT *, max(rgt) OVER (PARTITION BY chrom ORDER BY lft, rgt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past FROM g) SELECT chrom, past + 250 AS at FROM p WHERE lft - past > 500")
+def gene_breaks(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "part").selectExpr("p_partkey % 50 AS chrom", "p_partkey * 40 AS lft", "p_partkey * 40 + p_size * 20 AS rgt")
+    return annotate.gene_breaks(rows, 500)
+
+
+@query("gtf_attributes", """WITH a AS (SELECT 'gene_id "G' || p_partkey || '"; ' || CASE WHEN p_size % 3 = 0 THEN '' ELSE 'gene_name "' || p_brand || '"; ' END || 'level 2;' AS attrs FROM part), x AS (SELECT regexp_extract(attrs, 'gene_id\\s+"?([^;"]+)"?;', 1) AS gene_id, regexp_extract(attrs, 'gene_name\\s+"?([^;"]+)"?;', 1) AS n FROM a) SELECT gene_id, coalesce(nullif(n, ''), gene_id) AS gene_name FROM x""".replace("\\\\", "\\"))
+def gtf_attributes(spark, sf_dir):
+    from ..sources.files import gtf_fields
+
+    attrs = fx.table(spark, sf_dir, "part").select(F.expr("""concat('gene_id "G', p_partkey, '"; ', CASE WHEN p_size % 3 = 0 THEN '' ELSE concat('gene_name "', p_brand, '"; ') END, 'level 2;') AS attributes"""))
+    return attrs.select(*gtf_fields("attributes", "gene_id", "gene_name"))
+
+
+@query("probe_gene_assign", "SELECT CASE WHEN p_size % 4 = 0 OR p_size % 7 = 0 THEN 'no_gene' ELSE 'countable' END AS status, count(*) AS n FROM part GROUP BY 1")
+def probe_gene_assign(spark, sf_dir):
+    part = fx.table(spark, sf_dir, "part")
+    known = part.where("p_size % 4 <> 0").select(F.concat(F.lit("G"), F.col("p_partkey").cast("string")).alias("gx"), F.col("p_partkey").alias("gene"))
+    probed = part.select(F.expr("CASE WHEN p_size % 7 = 0 THEN concat('G', p_partkey, ';G1') ELSE concat('G', p_partkey) END").alias("gx")).join(known, "gx", "left")
+    return probed.groupBy(F.when(F.col("gx").contains(";") | F.col("gene").isNull(), "no_gene").otherwise("countable").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("probe_exclude_list", "SELECT DISTINCT replace(split_part(CASE WHEN p_size % 7 = 0 THEN 'DEPRECATED_' ELSE '' END || p_brand || '|' || p_partkey, '|', 1), 'DEPRECATED_', '') AS gene_id FROM part WHERE p_size % 5 = 0")
+def probe_exclude_list(spark, sf_dir):
+    from ..sources.files import excluded_probes
+
+    probes = fx.table(spark, sf_dir, "part").select(F.expr("concat(CASE WHEN p_size % 7 = 0 THEN 'DEPRECATED_' ELSE '' END, p_brand, '|', p_partkey)").alias("probe_id"), (F.col("p_size") % 5 != 0).alias("included"))
+    return excluded_probes(probes)
+
+
+@query("library_catalogue")
+def library_catalogue(spark, sf_dir):
+    from ..sources.libraries import catalogue
+
+    return catalogue(spark)
