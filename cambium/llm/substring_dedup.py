@@ -159,9 +159,11 @@ def _counted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     repeated[order[:-1][same]] = True
     repeated &= places != 0xFFFFFFFF
     units, places = units[repeated], places[repeated]
+    if not len(units):
+        return pd.DataFrame({"unit": np.zeros(0, np.int64), "kind": np.zeros(0, np.int32), "places": np.zeros(0, object)})
     cuts = np.flatnonzero(np.diff(units)) + 1
-    firsts = units[np.concatenate([[0], cuts])] if len(units) else []
-    return pd.DataFrame({"unit": rows["unit"].to_numpy()[firsts] if len(units) else [], "kind": 1, "places": [p.tobytes() for p in np.split(places, cuts)] if len(units) else []})
+    firsts = units[np.concatenate([[0], cuts])]
+    return pd.DataFrame({"unit": rows["unit"].to_numpy()[firsts], "kind": 1, "places": [p.tobytes() for p in np.split(places, cuts)]})
 
 
 def _merged(key: tuple, rows: pd.DataFrame, window: int) -> pd.DataFrame:
@@ -171,7 +173,7 @@ def _merged(key: tuple, rows: pd.DataFrame, window: int) -> pd.DataFrame:
     keys, ends = directory[: 2 * n].reshape(n, 2), directory[2 * n :]
     starts = np.sort(np.concatenate([np.frombuffer(data, np.uint32) for data in rows.loc[rows["kind"] == 1, "places"]] or [np.zeros(0, np.uint32)])).astype(np.int64)
     if not len(starts):
-        return pd.DataFrame({"key1": [], "key2": [], "spans": []})
+        return pd.DataFrame({"key1": np.zeros(0, np.int64), "key2": np.zeros(0, np.int64), "spans": np.zeros(0, object)})
     doc = np.searchsorted(ends, starts, "right")
     fresh = np.ones(len(starts), bool)
     fresh[1:] = (starts[1:] > starts[:-1] + window) | (doc[1:] != doc[:-1])
