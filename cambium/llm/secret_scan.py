@@ -106,9 +106,11 @@ def find_secrets(
     # Distinct owners and repositories first, so a value that very many rows have is counted in parts.
     owners = each.where("owner is not null").groupBy("hash", "owner").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("owners"))
     places = each.where("repository is not null").groupBy("hash", "repository").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("one").alias("repositories"))
+    # The key is made anew on both sides, so the counts are dealt once more and Spark may split the rows of a value that very many have.
+    counts = owners.join(places, "hash", "full").select(F.struct("hash").alias("key"), "owners", "repositories")
     judged = (
-        each.join(owners, "hash", "left")
-        .join(places, "hash", "left")
+        each.withColumn("key", F.struct("hash"))
+        .join(counts, "key", "left")
         .withColumn("example", F.coalesce(F.col("owners") >= example_owners, F.lit(False)))
         .withColumn("live", (F.coalesce("owners", F.lit(0)) == 1) & (F.col("bits") >= live_bits))
         .groupBy("row_id")

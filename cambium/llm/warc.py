@@ -30,6 +30,8 @@ DICTIONARY_BYTES = 16 << 10
 SAMPLE = 200
 #: An archive is closed once it is at least so long.
 ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive given to the decoder at once; what follows a frame in them is looked at again.
+READ_BYTES = 16 << 10
 #: Payloads of repeated content up to so many are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 DATE = "2024-01-01T00:00:00Z"
@@ -156,7 +158,7 @@ class ArchiveWriter:
 
 def read_archive(data: bytes) -> Iterator[bytes]:
     """The records of an archive, one for each frame; other skippable frames are passed over."""
-    dictionary, at, first = None, 0, True
+    decompressor, view, at, first = zstandard.ZstdDecompressor(), memoryview(data), 0, True
     while at < len(data):
         (magic,) = struct.unpack_from("<I", data, at)
         if 0x184D2A50 <= magic <= 0x184D2A5F:
@@ -165,15 +167,17 @@ def read_archive(data: bytes) -> Iterator[bytes]:
                 raw = data[at + 8 : at + 8 + length]
                 if raw[:4] == struct.pack("<I", FRAME):
                     raw = zstandard.ZstdDecompressor().decompress(raw)
-                dictionary = zstandard.ZstdCompressionDict(raw)
+                decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
             at += 8 + length
         elif magic == FRAME:
-            one = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj() if dictionary else zstandard.ZstdDecompressor().decompressobj()
-            record = one.decompress(memoryview(data)[at:])
-            if not one.eof:
-                raise WarcError("a frame is cut short")
-            at = len(data) - len(one.unused_data)
-            yield record
+            one, parts = decompressor.decompressobj(), []
+            while not one.eof:
+                if at >= len(data):
+                    raise WarcError("a frame is cut short")
+                parts.append(one.decompress(view[at : at + READ_BYTES]))
+                at += READ_BYTES
+            at = min(at, len(data)) - len(one.unused_data)
+            yield b"".join(parts)
         else:
             raise WarcError(f"no frame at byte {at}")
         first = False
