@@ -210,7 +210,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
     spans = repeated_spans(rows.select("key1", "key2", "text"), window, unit_words, bits)
-    joined = rows.join(spans, ["key1", "key2"], "left").select("doc_id", "text", "spans")
+    # The key is made anew on both sides, so the spans are dealt once more and Spark may split the rows of a text that very many documents have.
+    key = F.struct("key1", "key2").alias("key")
+    joined = rows.select(key, "doc_id", "text").join(spans.select(key, "spans"), "key", "left").select("doc_id", "text", "spans")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
