@@ -30,7 +30,7 @@ PIVOTS = 16
 #: Larger groups of a band are dealt out by more bands within their task.
 LARGE_GROUP = 8192
 #: Pairs found before they are reduced to a forest.
-PAIRS = 2_000_000
+PAIRS = 200_000
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
