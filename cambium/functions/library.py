@@ -34,10 +34,12 @@ def reads_for_saturation(percent: str, size: str, r: str, steps: int = 100) -> C
     """Reads at which saturation reaches `percent`: doubling from above, then bisection; names of columns."""
     seen = f"({size} * (1 - pow({r} / ({r} + %s / {size}), {r})))"
     share = f"(100 - {percent}) / 100D"
-    top = f"aggregate(sequence(1, 100), greatest({size}, 10D), (hi, i) -> CASE WHEN {seen % 'hi'} > {share} * hi THEN hi * 2 ELSE hi END)"
+    # Names of lambdas come before those of columns, so they are ones that no column has.
+    top = f"aggregate(sequence(1, 100), greatest({size}, 10D), (__top, __i) -> CASE WHEN {seen % '__top'} > {share} * __top THEN __top * 2 ELSE __top END)"
+    middle = "((__s.lo + __s.hi) / 2)"
     return F.expr(
         f"""aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', {top}),
-        (s, i) -> CASE WHEN {seen % "((s.lo + s.hi) / 2)"} > {share} * ((s.lo + s.hi) / 2)
-                  THEN named_struct('lo', (s.lo + s.hi) / 2, 'hi', s.hi) ELSE named_struct('lo', s.lo, 'hi', (s.lo + s.hi) / 2) END,
-        s -> (s.lo + s.hi) / 2)"""
+        (__s, __i) -> CASE WHEN {seen % middle} > {share} * {middle}
+                  THEN named_struct('lo', {middle}, 'hi', __s.hi) ELSE named_struct('lo', __s.lo, 'hi', {middle}) END,
+        __s -> {middle})"""
     )

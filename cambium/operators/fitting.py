@@ -58,7 +58,7 @@ def fit_histogram(counts: np.ndarray) -> tuple[float, float, float, float, bool]
     r, mu = np.exp(np.clip(q, (r0, m0), (r1, m1)))
     model = np.cumsum(np.exp(log_pmf(r, mu, len(counts))))
     ks = float(np.abs(np.cumsum(counts) / n - model / model[-1]).max())
-    return float(r), float(mu / (r + mu)), value, ks, bool(r > 49)
+    return float(r), float(r / (r + mu)), value, ks, bool(r > 49)
 
 
 def fit_histograms(histograms: DataFrame, *keys: str, bins: int = 49) -> DataFrame:

@@ -1,9 +1,11 @@
 """Totals, histograms, matrices and per-barcode statistics of a molecule table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CLASS = F.expr("CASE WHEN spliced > 0 THEN 'spliced' WHEN unspliced > 0 THEN 'unspliced' ELSE 'ambiguous' END")
+
+def molecule_class() -> Column:
+    return F.expr("CASE WHEN spliced > 0 THEN 'spliced' WHEN unspliced > 0 THEN 'unspliced' ELSE 'ambiguous' END")
 
 
 def bulk(molecules: DataFrame, countable: int | None = None) -> DataFrame:
@@ -19,7 +21,7 @@ def bulk(molecules: DataFrame, countable: int | None = None) -> DataFrame:
 
 def by_class(molecules: DataFrame) -> DataFrame:
     """Of valid molecules; all reads of a molecule count for its class."""
-    return molecules.where("valid").groupBy("seed", "frac_idx", CLASS.alias("class")).agg(F.sum("total").alias("reads"), F.count(F.lit(1)).alias("molecules"))
+    return molecules.where("valid").groupBy("seed", "frac_idx", molecule_class().alias("class")).agg(F.sum("total").alias("reads"), F.count(F.lit(1)).alias("molecules"))
 
 
 def reads_histogram(molecules: DataFrame, bins: int, *keys: str) -> DataFrame:
@@ -37,7 +39,7 @@ def total_matrix(molecules: DataFrame) -> DataFrame:
 
 
 def class_matrices(molecules: DataFrame) -> DataFrame:
-    return molecules.where("valid").groupBy("seed", "frac_idx", "barcode", "gene", CLASS.alias("class")).agg(F.count(F.lit(1)).alias("value"))
+    return molecules.where("valid").groupBy("seed", "frac_idx", "barcode", "gene", molecule_class().alias("class")).agg(F.count(F.lit(1)).alias("value"))
 
 
 def spatial_bins(molecules: DataFrame, positions: DataFrame, rows: int, cols: int, row_div: int, col_div: int) -> DataFrame:

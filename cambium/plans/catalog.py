@@ -247,7 +247,7 @@ def rpm_hist(spark, sf_dir):
 
 @query("rpm_hist_by_class", f"{JUDGED} SELECT seed, frac_idx, class, least(total, 50) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL")
 def rpm_hist_by_class(spark, sf_dir):
-    return summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.CLASS), 50, "class")
+    return summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.molecule_class()), 50, "class")
 
 
 @query("sample_stats", f"{JUDGED} SELECT frac_idx, 's' || (barcode % 3) AS sample, sum(total)::BIGINT AS reads, count(*) AS molecules, round(100 - 100 * count(*)::DOUBLE / sum(total), 6) AS saturation FROM judged WHERE valid GROUP BY ALL")
@@ -399,7 +399,7 @@ def interp_lookup(spark, sf_dir):
 
 @query("ztnb_fit")
 def ztnb_fit(spark, sf_dir):
-    hist = summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.CLASS), 50, "class")
+    hist = summaries.reads_histogram(judged(spark, sf_dir).withColumn("class", summaries.molecule_class()), 50, "class")
     return fitting.fit_histograms(hist, "frac_idx", "class")
 
 
