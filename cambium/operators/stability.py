@@ -76,3 +76,40 @@ def nearest(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
         best = found if best is None else best.unionByName(found)
     place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
     return best.withColumn("place", place).where(F.col("place") <= k)
+
+
+def neighbour_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Of each id the Jaccard index of its neighbours in two lists (id, other)."""
+    size = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))
+    shared = size(a.select("id", "other").join(b.select("id", "other"), ["id", "other"]), "shared")
+    sizes = size(a, "n_a").join(size(b, "n_b"), "id", "full").join(shared, "id", "left").fillna(0, ["n_a", "n_b", "shared"])
+    return sizes.select("id", (F.col("shared") / (F.col("n_a") + F.col("n_b") - F.col("shared"))).alias("jaccard"))
+
+
+def principal_components(vectors: DataFrame, k: int) -> DataFrame:
+    """id and the k first principal components of vec; the covariance is summed over partitions."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    rows = vectors.select("id", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
+    return PCA(k=k, inputCol="features", outputCol="pcs").fit(rows).transform(rows).select("id", vector_to_array("pcs").alias("pcs"))
+
+
+def variable_genes(counts: DataFrame, cells: int, top: int) -> DataFrame:
+    """The `top` genes of largest standardised variance: against a quadratic trend of log variance over log mean, clipped at sqrt(cells) deviations.
+
+    `counts` (barcode, gene, value) need not hold zeros; they are counted in. Only sums over genes come to the driver.
+    """
+    moments = counts.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.count(F.lit(1)).alias("seen"))
+    moments = moments.withColumn("mean", F.col("s") / cells).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / cells) / (cells - 1))
+    logs = moments.where("var > 0").withColumns({"x": F.log10("mean"), "y": F.log10("var")})
+    sums = logs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.pow("x", F.lit(i))).alias(f"x{i}") for i in range(5)], *[F.sum(F.pow("x", F.lit(i)) * F.col("y")).alias(f"y{i}") for i in range(3)]).first()
+    if not sums["n"]:
+        return moments.limit(0).select("gene", F.lit(0.0).alias("score"))
+    a = np.asarray([[sums[f"x{i + j}"] for j in range(3)] for i in range(3)])
+    w = np.linalg.lstsq(a, np.asarray([sums[f"y{i}"] for i in range(3)]), rcond=None)[0].tolist()
+    trend = logs.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), w[0] + w[1] * F.col("x") + w[2] * F.col("x") * F.col("x"))))
+    z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(float(cells) ** 0.5))
+    found = counts.join(trend, "gene").groupBy("gene").agg(F.sum(z * z).alias("square"), F.first("seen").alias("seen"), F.first(F.pow(F.col("mean") / F.col("sd"), F.lit(2))).alias("zero"))
+    score = (F.col("square") + (cells - F.col("seen")) * F.col("zero")) / (cells - 1)
+    return found.select("gene", score.alias("score")).orderBy(F.desc("score"), "gene").limit(top)

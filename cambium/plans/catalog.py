@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, fitting, molecules, stability, summaries, thinning
+from ..operators import annotate, cells, classify, curves, fitting, molecules, stability, summaries, thinning
+from ..streaming import windows
 from . import fixtures as fx
 
 QUERIES: dict = {}
@@ -601,3 +602,55 @@ def library_catalogue(spark, sf_dir):
     from ..sources.libraries import catalogue
 
     return catalogue(spark)
+
+
+# --- curves, replicates and streams ------------------------------------------
+
+
+@query("rpm_hist_by_sample", f"{JUDGED} SELECT seed, frac_idx, 's' || (barcode % 3) AS sample, least(total, 50) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL")
+def rpm_hist_by_sample(spark, sf_dir):
+    named = judged(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("barcode") % 3).cast("string")))
+    return summaries.reads_histogram(named, 50, "sample")
+
+
+@query("limit_fits")
+def limit_fits(spark, sf_dir):
+    found = judged(spark, sf_dir, FRACS, SEEDS)
+    totals = summaries.bulk(found)
+    return curves.limit_errors(totals, summaries.reads_histogram(found, curves.BINS), totals)
+
+
+@query("target_saturation")
+def target_saturation(spark, sf_dir):
+    countable = fx.raw_tags(spark, sf_dir).count()
+    frac = curves.target_fraction(lambda f: judged(spark, sf_dir, [f]), countable, 20.0, 25.0)
+    return spark.createDataFrame([(20.0, frac)], "target double, fraction double")
+
+
+HALF = KNN.replace("len(a.embedding) + 1", "len(a.embedding) // 2 + 1").replace("d AS (", "d_half AS (").replace(", k AS (", ", k_half AS (").replace("FROM d QUALIFY", "FROM d_half QUALIFY")
+
+
+@query("knn_jaccard", f"WITH {KNN}, {HALF}, s AS (SELECT id, count(*) AS shared FROM k JOIN k_half USING (id, other) GROUP BY id), n AS (SELECT id, count(*) AS n FROM k GROUP BY id) SELECT id, round(coalesce(shared, 0)::DOUBLE / (2 * n - coalesce(shared, 0)), 6) AS jaccard FROM n LEFT JOIN s USING (id)")
+def knn_jaccard(spark, sf_dir):
+    half = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.expr("slice(embedding, 1, size(embedding) div 2)").alias("vec"))
+    return stability.neighbour_jaccard(neighbours(spark, sf_dir), stability.nearest(half, 10)).select("id", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("pca")
+def pca(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "embeddings")
+    return stability.principal_components(rows.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec")), 10)
+
+
+@query("hvg")
+def hvg(spark, sf_dir):
+    counts = summaries.total_matrix(judged(spark, sf_dir, [1.0])).where("value > 0")
+    return stability.variable_genes(counts, counts.select("barcode").distinct().count(), 20)
+
+
+@query("stream_windows", """WITH w AS (SELECT date_trunc('hour', ts) AS h, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL)
+  SELECT strftime(h, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, n, round(total, 6) AS total FROM w WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)""")
+def stream_windows(spark, sf_dir):
+    schema = fx.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream's path is a folder or a pattern
+    return windows.run_once(windows.windowed_counts(stream, ["event_type"], "value")).withColumn("total", F.round("total", 6))
