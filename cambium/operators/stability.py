@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
+
 
 def gene_overlap(baseline: DataFrame, replicates: DataFrame) -> DataFrame:
     """For each barcode, fraction and seed: genes in the baseline with at least 1, 2 and 3 molecules, and the share of them found again."""
@@ -43,41 +45,62 @@ def log_normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
     return counts.withColumn("x", F.log1p(F.col("value") * target / F.sum("value").over(whole)))
 
 
-def nearest(vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
-    """The k nearest other vectors of each (squared distance, then id): blocks of the vectors go past all rows, and each block's best are merged.
+def nearest(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """The k nearest other vectors of each (squared distance, then id), exactly.
 
-    A block is sent to each task as a broadcast of bounded size; only the best k of each block are shuffled.
+    Rows are dealt into blocks of about `block`; each pair of blocks meets in one
+    row of an equi-join, which gives the best k of one block for each row of the
+    other, and only those are merged. Nothing passes through the driver.
     """
-    best = None
-    total = vectors.count()
-    ordered = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-total // block)))).alias("__block"))
-    for number in range(max(1, -(-total // block))):
-        rows = ordered.where(F.col("__block") == number).select("id", "vec").toPandas()
-        sent = vectors.sparkSession.sparkContext.broadcast((rows["id"].to_numpy(), np.stack(rows["vec"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 1))))
-
-        def near(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            ids, points = sent.value
-            for batch in batches:
-                own = batch.column(0).to_numpy()
-                if not len(ids) or not len(own):
-                    continue
-                x = np.asarray(batch.column(1).to_pylist(), float)
-                for start in range(0, len(own), 256):
-                    part = slice(start, start + 256)
+    spark = vectors.sparkSession
+    total = max(1, -(-vectors.count() // block))
+    packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(total)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    packed = kept(packed.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
+    left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("block"), F.col("ids").alias("own"), F.col("vecs").alias("own_vecs"))
+    pairs = left.join(packed, "block").select("own", "own_vecs", "ids", "vecs").repartition(max(total, spark.sparkContext.defaultParallelism))
+
+    def matrix(column: pa.ListArray) -> np.ndarray:
+        inner = column.flatten()
+        return inner.flatten().to_numpy().reshape(len(inner), -1)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own, own_vecs, ids, vecs = (batch.column(c).slice(row, 1) for c in range(4))
+                own, ids, x, points = own.flatten().to_numpy(), ids.flatten().to_numpy(), matrix(own_vecs), matrix(vecs)
+                for start in range(0, len(own), 64):
+                    part = slice(start, start + 64)
                     d = ((x[part, None, :] - points[None]) ** 2).sum(2)
                     d[own[part, None] == ids[None]] = np.inf
                     order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
-                    kept = np.take_along_axis(d, order, 1)
-                    real = np.isfinite(kept).ravel()
-                    columns = [np.repeat(own[part], order.shape[1]), ids[order].ravel(), kept.ravel()]
+                    best = np.take_along_axis(d, order, 1)
+                    real = np.isfinite(best).ravel()
+                    columns = [np.repeat(own[part], order.shape[1]), ids[order].ravel(), best.ravel()]
                     yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in columns], ["id", "other", "d2"])
 
-        found = ordered.select("id", "vec").mapInArrow(near, "id long, other long, d2 double")
-        best = found if best is None else best.unionByName(found)
+    best = pairs.mapInArrow(near, "id long, other long, d2 double")
     place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
     return best.withColumn("place", place).where(F.col("place") <= k)
 
 
+def scaled(values: DataFrame, cells: int, most: float = 10.0) -> DataFrame:
+    """Adds z, the standard score of x within its gene clipped at `most`, and zero, that of the gene's absent entries, which are counted in as 0.
+
+    Genes without variance have z and zero 0.
+    """
+    sums = values.groupBy("gene").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    mean = F.col("s") / cells
+    spread = F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / (cells - 1), F.lit(0.0)))
+    sums = sums.select("gene", mean.alias("mean"), spread.alias("sd"))
+    score = lambda x: F.when(F.col("sd") > 1e-12, F.least((x - F.col("mean")) / F.col("sd"), F.lit(most))).otherwise(0.0)
+    return values.join(sums, "gene").withColumns({"z": score(F.col("x")), "zero": score(F.lit(0.0))}).drop("mean", "sd")
+
+
+def shared_neighbours(neighbours: DataFrame) -> DataFrame:
+    """(a, b, weight) of a graph from lists of neighbours (id, other): 1 for each direction in which a pair is near."""
+    return neighbours.groupBy(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
+
+
 def neighbour_jaccard(a: DataFrame, b: DataFrame) -> DataFrame:
     """Of each id the Jaccard index of its neighbours in two lists (id, other)."""
     size = lambda df, name: df.groupBy("id").agg(F.count(F.lit(1)).alias(name))

@@ -8,9 +8,13 @@ def molecule_class() -> Column:
     return F.expr("CASE WHEN spliced > 0 THEN 'spliced' WHEN unspliced > 0 THEN 'unspliced' ELSE 'ambiguous' END")
 
 
-def bulk(molecules: DataFrame, countable: int | None = None) -> DataFrame:
+def bulk(molecules: DataFrame) -> DataFrame:
     """Reads and molecules of each seed and fraction, kept and discarded, and the saturation."""
-    found = molecules.groupBy("seed", "frac_idx").agg(
+    return bulk_by(molecules)
+
+
+def bulk_by(molecules: DataFrame, *keys: str) -> DataFrame:
+    found = molecules.groupBy("seed", "frac_idx", *keys).agg(
         F.sum(F.when(F.col("valid"), F.col("total")).otherwise(0)).alias("reads"),
         F.count_if("valid").alias("molecules"),
         F.sum(F.when(~F.col("valid"), F.col("total")).otherwise(0)).alias("reads_discarded"),
@@ -55,3 +59,9 @@ def spatial_bins(molecules: DataFrame, positions: DataFrame, rows: int, cols: in
     grid = molecules.sparkSession.range(-(-rows // row_div) * wide).withColumnRenamed("id", "bin_idx")
     found = grid.join(tops, "bin_idx", "left").join(seen, "bin_idx", "left")
     return found.select("bin_idx", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_barcodes", "in_tissue", "reads", "molecules", "genes")])
+
+
+def filtered_bins(molecules: DataFrame, placed: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Molecules of each gene in the chosen bins; `placed` has barcode and bin_idx, `chosen` bin_idx."""
+    inside = placed.join(chosen.select("bin_idx"), "bin_idx", "left_semi").select("barcode", "bin_idx")
+    return molecules.where("valid").join(inside, "barcode").groupBy("bin_idx", "gene").agg(F.count(F.lit(1)).alias("value"))

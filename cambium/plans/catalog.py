@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, curves, fitting, molecules, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, molecules, stability, summaries, thinning
 from ..streaming import windows
 from . import fixtures as fx
 
@@ -654,3 +654,94 @@ def stream_windows(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a stream's path is a folder or a pattern
     return windows.run_once(windows.windowed_counts(stream, ["event_type"], "value")).withColumn("total", F.round("total", 6))
+
+
+# --- droplets, extrapolation, communities and densities ----------------------
+
+DROPLETS = f"{RAW}, d AS (SELECT spot AS barcode, gene, count(*) AS value FROM raw GROUP BY ALL)"
+
+
+def droplet_counts(spark, sf_dir):
+    return fx.raw_tags(spark, sf_dir).groupBy(F.col("spot").alias("barcode"), "gene").agg(F.count(F.lit(1)).alias("value"))
+
+
+@query("droplet_calls")
+def droplet_calls(spark, sf_dir):
+    counts = droplet_counts(spark, sf_dir)
+    middle = int(counts.groupBy("barcode").agg(F.sum("value").alias("n")).agg(F.median("n")).first()[0])
+    return droplets.droplet_calls(counts, lower=middle, retain=4 * middle, iterations=1000)
+
+
+@query("ambient_profile", f"{DROPLETS}, t AS (SELECT barcode FROM d GROUP BY 1 HAVING sum(value) <= 600), s AS (SELECT gene, 1 + coalesce(sum(value) FILTER (barcode IN (FROM t)), 0) AS s FROM d GROUP BY 1) SELECT gene, round(ln(s / sum(s) OVER ())::DOUBLE, 9) AS log_share FROM s")
+def ambient_profile(spark, sf_dir):
+    counts = droplet_counts(spark, sf_dir)
+    totals = counts.groupBy("barcode").agg(F.sum("value").alias("total"))
+    return droplets.ambient_profile(counts, totals, 600).select("gene", F.round("log_share", 9).alias("log_share"))
+
+
+@query("cell_report", f"{FULL}, c AS (SELECT barcode, count(*) AS n FROM judged WHERE valid GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM c")
+def cell_report(spark, sf_dir):
+    found = summaries.barcode_stats(judged(spark, sf_dir, [1.0]))
+    return found.agg(F.min("molecules").alias("least"), F.max("molecules").alias("most"), F.round(F.avg("molecules"), 6).alias("mean"))
+
+
+@query("discards_by_sample", f"{JUDGED} SELECT seed, frac_idx, 's' || (barcode % 3) AS sample, coalesce(sum(total) FILTER (valid), 0)::BIGINT AS reads, count(*) FILTER (valid) AS molecules, coalesce(sum(total) FILTER (NOT valid), 0)::BIGINT AS reads_discarded, count(*) FILTER (NOT valid) AS molecules_discarded FROM judged GROUP BY ALL")
+def discards_by_sample(spark, sf_dir):
+    named = judged(spark, sf_dir).withColumn("sample", F.concat(F.lit("s"), (F.col("barcode") % 3).cast("string")))
+    return summaries.bulk_by(named, "sample").drop("saturation")
+
+
+@query("filtered_bins", f"{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}) SELECT (array_row // 2) * 5 + array_col // 2 AS bin_idx, gene, count(*) AS value FROM judged JOIN pos USING (barcode) WHERE valid AND ((array_row // 2) * 5 + array_col // 2) % 3 = 1 GROUP BY ALL")
+def filtered_bins(spark, sf_dir):
+    placed = fx.spots(spark, sf_dir).select("barcode", (F.floor(F.col("array_row") / 2) * 5 + F.floor(F.col("array_col") / 2)).cast("long").alias("bin_idx"))
+    return summaries.filtered_bins(spot_molecules(spark, sf_dir), placed, placed.where("bin_idx % 3 = 1").select("bin_idx").distinct())
+
+
+@query("extrapolation")
+def extrapolation(spark, sf_dir):
+    return curves.extrapolate(summaries.reads_histogram(judged(spark, sf_dir), 200), "seed", "frac_idx")
+
+
+@query("least_size", f"{JUDGED}, h AS (SELECT seed, frac_idx, count(*) AS n, count(*) FILTER (total = 1) AS n1, count(*) FILTER (total = 2) AS n2 FROM judged WHERE valid GROUP BY ALL) SELECT seed, frac_idx, round(n + n1 * (n1 - 1) / (2 * (n2 + 1)), 6)::DOUBLE AS least_size FROM h")
+def least_size(spark, sf_dir):
+    found = curves.least_size(summaries.reads_histogram(judged(spark, sf_dir), 200), "seed", "frac_idx")
+    return found.select("seed", "frac_idx", F.round("least_size", 6).alias("least_size"))
+
+
+@query("pilot_errors")
+def pilot_errors(spark, sf_dir):
+    countable = fx.raw_tags(spark, sf_dir).count()
+    return curves.pilot_errors(lambda fracs: judged(spark, sf_dir, fracs), countable, 10, (1, 4))
+
+
+@query("scaled", f"{FULL}, g AS (SELECT barcode, gene, count(*) AS value FROM judged WHERE valid GROUP BY ALL), c AS (SELECT count(DISTINCT barcode) AS n FROM g), m AS (SELECT gene, sum(value) / n AS mean, sqrt(greatest((sum(value * value) - sum(value) * sum(value) / n) / (n - 1), 0)) AS sd FROM g, c GROUP BY gene, n) SELECT barcode, gene, round(CASE WHEN sd > 1e-12 THEN least((value - mean) / sd, 10) ELSE 0 END, 6)::DOUBLE AS z, round(CASE WHEN sd > 1e-12 THEN -mean / sd ELSE 0 END, 6)::DOUBLE AS zero FROM g JOIN m USING (gene)")
+def scaled(spark, sf_dir):
+    counts = summaries.total_matrix(judged(spark, sf_dir, [1.0])).where("value > 0").select("barcode", "gene", F.col("value").cast("double").alias("x"))
+    found = stability.scaled(counts, counts.select("barcode").distinct().count())
+    return found.select("barcode", "gene", F.round("z", 6).alias("z"), F.round("zero", 6).alias("zero"))
+
+
+@query("communities")
+def graph_communities(spark, sf_dir):
+    return communities.communities(stability.shared_neighbours(neighbours(spark, sf_dir)))
+
+
+@query("modularity", f"WITH {KNN}, e AS (SELECT least(id, other) AS a, greatest(id, other) AS b, count(*) AS w FROM k GROUP BY ALL), l AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), p AS (SELECT x.label AS own, sum(w) AS k, coalesce(sum(w) FILTER (x.label = y.label), 0) AS i FROM l JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b GROUP BY 1) SELECT round((sum(i) / sum(k) - sum(k * k) / (sum(k) * sum(k)))::DOUBLE, 9) AS modularity FROM p")
+def modularity(spark, sf_dir):
+    members = fx.table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return communities.modularity(stability.shared_neighbours(neighbours(spark, sf_dir)), members).select(F.round("modularity", 9).alias("modularity"))
+
+
+@query("histogram2d", "SELECT least(greatest(floor((l_quantity::DOUBLE - 0) / 50 * 20), 0), 19)::BIGINT AS x_bin, least(greatest(floor((l_extendedprice::DOUBLE - 0) / 100000 * 20), 0), 19)::BIGINT AS y_bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def histogram2d(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), F.col("l_extendedprice").cast("double").alias("y"))
+    return densities.histogram2d(rows, "x", "y", (0.0, 50.0, 0.0, 100000.0), 20)
+
+
+@query("density", """WITH h AS (SELECT least(greatest(floor((c_acctbal::DOUBLE + 1000) / 11000 * 100), 0), 99)::BIGINT AS f, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY ALL),
+  z AS (SELECT sum(exp(-(i / 2.0::DOUBLE) * (i / 2.0::DOUBLE) / 2)) AS z FROM range(-8, 9) t(i))
+  SELECT b AS bin, -1000 + (b + 0.5::DOUBLE) * 110 AS at, round(sum(n * exp(-((b - f) / 2.0::DOUBLE) * ((b - f) / 2.0::DOUBLE) / 2)) / ((SELECT sum(n) FROM h) * any_value(z) * 110), 9)::DOUBLE AS density
+  FROM h, range(100) r(b), z WHERE abs(b - f) <= 8 GROUP BY b""")
+def density(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "customer").select(F.col("c_acctbal").cast("double").alias("x"))
+    return densities.density(rows, "x", -1000.0, 10000.0).select("bin", "at", F.round("density", 9).alias("density"))

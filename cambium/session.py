@@ -1,11 +1,19 @@
 """The folder that driver and executors share."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     return (named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cambium-")).rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
