@@ -41,10 +41,10 @@ def cache(spark: SparkSession, args: argparse.Namespace) -> None:
     found = libraries.custom(args.custom_libs, args.override) if args.custom_libs else libraries.BUILT_IN
     spec = found[args.library]
     named = dict(zip(libraries.FIELDS, spec))
-    wanted = {"cb": named["CB_tag"], "umi": named["UR_tag"], "gx": "GX"}
+    wanted = {"cb": named["CB_tag"], "umi": named["UR_tag"], "gx": "GX"} | ({"sample": args.sample_tag} if args.samples else {})
     reads = (binary.read_bam if args.alignments.endswith(".bam") else files.read_sam)(spark, args.alignments, wanted)
     genes = kept(genes_of(files.read_gtf(spark, args.annotation)))
-    judged = kept(raw_reads(reads, genes, spec, args.least_quality))
+    judged = kept(raw_reads(reads, genes, spec, args.least_quality, args.known_junctions, args.samples.split(",") if args.samples else None))
     tags = kept(molecule_tags(judged))
     save(judged.groupBy("status", "random_hex").agg(F.count(F.lit(1)).alias("n")), args, "summary")
     save(genes, args, "genes")
@@ -174,6 +174,10 @@ def parser() -> argparse.ArgumentParser:
         }
         for option, value in numbers.get(name, {}).items():
             one.add_argument(f"--{option}", type=type(value), default=value)
+        if name == "cache":
+            one.add_argument("--known-junctions", action="store_true", help="pass over reads with gaps that the annotation doesn't have")
+            one.add_argument("--samples", help="names of samples, with commas between")
+            one.add_argument("--sample-tag", default="CR")
         for option in {"cache": ("alignments", "annotation"), "barcodes": ("positions",), "probes": ("probes",)}.get(name, ()):
             one.add_argument(f"--{option}", required=True)
     return top

@@ -41,14 +41,24 @@ def statuses(reads: DataFrame, library: tuple, least_quality: int = 255) -> Data
     return found.withColumn("random_hex", primer == spec["random_hex_value"]).withColumn("status", F.when(primer == "", "bad_tags").otherwise(F.col("status")))
 
 
-def raw_reads(reads: DataFrame, genes: DataFrame, library: tuple, least_quality: int = 255) -> DataFrame:
+def of_samples(judged: DataFrame, samples: list[str], tag: str = "sample") -> DataFrame:
+    """Judged reads of the listed samples, with the sample before the barcode; those of others, or of none, have bad tags."""
+    listed = F.coalesce(F.col(tag).isin(samples), F.lit(False))
+    named = judged.withColumn("status", F.when(listed, F.col("status")).otherwise("bad_tags"))
+    return named.withColumn("cb", F.when(listed, F.concat(F.col(tag), F.lit("_"), F.col("cb"))).otherwise(F.col("cb")))
+
+
+def raw_reads(reads: DataFrame, genes: DataFrame, library: tuple, least_quality: int = 255, known_only: bool = False, samples: list[str] | None = None) -> DataFrame:
     """Every read with its status (no_gene among them) and, if countable, its gene and class.
 
     Probe-based libraries take the gene that the read names, and call it ambiguous;
-    others are held against the annotation by a range join.
+    others are held against the annotation by a range join. With `samples`, reads
+    have a column `sample` and only those of listed samples count.
     """
     spec = dict(zip(FIELDS, library))
     judged = statuses(reads, library, least_quality)
+    if samples is not None:
+        judged = of_samples(judged, samples)
     if spec["probe_based"]:
         known = judged.join(genes.select("gene", F.col("gene_id").alias("gx")), "gx", "left")
         return known.withColumn("status", F.when((F.col("status") == "countable") & F.col("gene").isNull(), "no_gene").otherwise(F.col("status"))).withColumn("class", F.when(F.col("status") == "countable", "ambiguous"))
@@ -57,7 +67,7 @@ def raw_reads(reads: DataFrame, genes: DataFrame, library: tuple, least_quality:
     # The number of a read must not change when a task is run again, so it's taken from a written table.
     numbered = kept(judged.withColumn("read_id", F.monotonically_increasing_id()))
     placed = annotate.with_blocks(numbered.where("status = 'countable'").select("read_id", "chrom", "pos", "cigar", strand.alias("strand")))
-    found = annotate.resolve(annotate.votes(annotate.range_join(placed.where("lft is not null"), genes)))
+    found = annotate.resolve(annotate.votes(annotate.range_join(placed.where("lft is not null"), genes), known_only=known_only))
     joined = numbered.join(found.where("gene is not null"), "read_id", "left").drop("read_id")
     return joined.withColumn("status", F.when((F.col("status") == "countable") & F.col("gene").isNull(), "no_gene").otherwise(F.col("status")))
 

@@ -58,9 +58,12 @@ def gene_breaks(genes: DataFrame, delta: int) -> DataFrame:
     return past.where(F.col("lft") - F.col("past") > delta).select("chrom", (F.col("past") + delta // 2).alias("at"))
 
 
-def votes(hits: DataFrame, least_bases: int = 40, least_share: float = 0.95, least_intronic: int = 15, least_exonic: float = 0.95) -> DataFrame:
-    """For each pair of read (blocks) and gene (exons) that pass containment on the gene's strand, its vote: unspliced, spliced, ambiguous or none."""
-    return (
+def votes(hits: DataFrame, least_bases: int = 40, least_share: float = 0.95, least_intronic: int = 15, least_exonic: float = 0.95, known_only: bool = False) -> DataFrame:
+    """For each pair of read (blocks) and gene (exons) that pass containment on the gene's strand, its vote: unspliced, spliced, ambiguous or none.
+
+    With `known_only`, a read with a gap that isn't one of the gene's junctions has no vote for it.
+    """
+    found = (
         hits.withColumn("bases", F.expr("aggregate(blocks, 0L, (n, b) -> n + b.rgt - b.lft + 1)"))
         .withColumn("inside", F.expr("transform(blocks, b -> greatest(0L, least(b.rgt, gene_rgt) - greatest(b.lft, gene_lft) + 1))"))
         .withColumn("gene_bases", F.expr("aggregate(inside, 0L, (n, x) -> n + x)"))
@@ -75,6 +78,7 @@ def votes(hits: DataFrame, least_bases: int = 40, least_share: float = 0.95, lea
             .otherwise("none"),
         )
     )
+    return found.where("known = size(gaps)") if known_only else found
 
 
 def resolve(voted: DataFrame) -> DataFrame:

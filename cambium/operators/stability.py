@@ -1,5 +1,6 @@
 """How well replicates agree: gene overlap, Jaccard, adjusted Rand index and neighbours."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ def nearest(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
     other, and only those are merged. Nothing passes through the driver.
     """
     spark = vectors.sparkSession
-    total = max(1, -(-vectors.count() // block))
+    total = max(-(-vectors.count() // block), math.isqrt(spark.sparkContext.defaultParallelism))
     packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(total)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
     packed = kept(packed.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
     left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("block"), F.col("ids").alias("own"), F.col("vecs").alias("own_vecs"))

@@ -56,6 +56,17 @@ def read_gene_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("gene_id")).where("gene_id <> '' and not startswith(gene_id, '#')").distinct()
 
 
+def unknown_genes(listed: DataFrame, genes: DataFrame) -> DataFrame:
+    """Ids of a gene list that the annotation doesn't have."""
+    return listed.join(genes.select("gene_id"), "gene_id", "left_anti")
+
+
+def annotated(barcodes: DataFrame, *sources: DataFrame | None) -> DataFrame:
+    """Barcodes with the columns of the first source (by barcode) that there is; without any, as they are."""
+    found = next((s for s in sources if s is not None), None)
+    return barcodes if found is None else barcodes.join(found, "barcode", "left")
+
+
 def summary_values(summary: DataFrame) -> DataFrame:
     """Key and type with the value as a whole number, else a number, else text."""
     return summary.select("key", "type", F.expr("try_cast(value as long)").alias("whole"), F.expr("try_cast(value as double)").alias("number"), "value")

@@ -162,3 +162,49 @@ def test_extrapolation(spark):
     truth = lambda t: (1 - (1 + 0.6 * t) ** -1.5) * 200_000
     assert found[1.0] == counts.sum() and found[4.0] == pytest.approx(truth(4), rel=0.03)
     assert curves.least_size(hist, "seed").first()["least_size"] <= 200_000
+
+
+def test_known_junctions_and_samples(spark, tmp_path):
+    rows = [("k", 0, "chr1", 150, 255, "50M100N50M", "ACGT-1", UMIS[0]), ("x", 0, "chr1", 150, 255, "40M120N50M", "ACGT-1", UMIS[1])]
+    (tmp_path / "a.sam").write_text("".join(f"{line}\tCR:Z:s{i % 2}\n" for i, line in enumerate(as_sam(rows).splitlines()[2:])))
+    (tmp_path / "g.gtf").write_text(GTF)
+    cache = ["cache", "--alignments", str(tmp_path / "a.sam"), "--annotation", str(tmp_path / "g.gtf")]
+    found = []
+    for i, more in enumerate(([], ["--known-junctions"], ["--samples", "s1"])):
+        prefix = str(tmp_path / f"p{i}")
+        cli.main([*cache, prefix, *more], spark)
+        found.append(({r["status"]: r["n"] for r in spark.read.parquet(f"{prefix}_summary.parquet").collect()}, [r["cb"] for r in spark.read.parquet(f"{prefix}_barcodes.parquet").collect()]))
+    assert found == [({"countable": 2}, ["ACGT-1"]), ({"countable": 1, "no_gene": 1}, ["ACGT-1"]), ({"countable": 1, "bad_tags": 1}, ["s1_ACGT-1"])]
+
+
+def test_lists_and_annotation(spark, tmp_path):
+    (tmp_path / "ids").write_text("# ids\nG1\nG9\n")
+    genes = spark.createDataFrame([("G1",)], "gene_id string")
+    assert [r[0] for r in files.unknown_genes(files.read_gene_list(spark, str(tmp_path / "ids")), genes).collect()] == ["G9"]
+    codes = spark.createDataFrame([(1,), (2,)], "barcode long")
+    meta = spark.createDataFrame([(2, "x")], "barcode long, kind string")
+    assert {tuple(r) for r in files.annotated(codes, None, meta).collect()} == {(1, None), (2, "x")}
+    assert files.annotated(codes, None).columns == ["barcode"]
+
+
+def test_commands_on_a_table(spark, tmp_path):
+    """Two kinds of cells, eight genes each of their own: the commands run, and replicates agree on the kinds."""
+    draw = np.random.default_rng(1)
+    rows = []
+    for barcode in range(40):
+        for n in range(60):
+            gene = int(draw.integers(8)) + 8 * (barcode % 2) if n % 6 else 16 + int(draw.integers(4))
+            rows.append((barcode, gene, int(draw.integers(4**9)), False, int(draw.geometric(0.4)), 0, 0))
+    prefix = str(tmp_path / "x")
+    spark.createDataFrame(rows, "barcode long, gene long, umi long, random_hex boolean, spliced long, unspliced long, ambiguous long").write.parquet(f"{prefix}_tags.parquet")
+    read = lambda name: spark.read.parquet(f"{prefix}_{name}.parquet")
+    cli.main(["emptydrops", prefix, "--lower", "20", "--iterations", "200"], spark)
+    assert read("emptydrops").count() == 40
+    cli.main(["filter", prefix, "--least", "10"], spark)
+    assert "passed" in read("passed").columns
+    cli.main(["limit", prefix, "--points", "3", "--repeats", "2", "--cells", "40"], spark)
+    assert read("limit_summary").count() == 6 and read("pilot_summary").count() >= 1
+    cli.main(["genes", prefix, "--points", "2", "--repeats", "2"], spark)
+    assert read("genes_summary").where("frac_idx = 1").first()["median_stability"] == 1.0
+    cli.main(["stability", prefix, "--repeats", "2", "--frac", "0.9", "--top-genes", "16", "--components", "3", "--neighbours", "8", "--resolution", "0.5"], spark)
+    assert read("stability_summary").first()["ari"] > 0.8
