@@ -37,7 +37,8 @@ def target_fraction(measure: Callable[[float], DataFrame], countable: int, targe
     `measure` gives the valid and discarded molecules of a fraction. A fit of
     all reads gives a first fraction, a fit of that fraction the final one.
     """
-    molecules = measure(1.0)
+    needed = ("seed", "frac_idx", "total", "valid")
+    molecules = kept(measure(1.0).select(*needed))
     whole = bulk(molecules).first()
     if whole is None or whole["saturation"] is None or whole["saturation"] < most:
         return 1.0
@@ -48,7 +49,7 @@ def target_fraction(measure: Callable[[float], DataFrame], countable: int, targe
         if row is None or row["wanted"] is None:
             break
         frac = min(1.0, row["wanted"] / countable)
-        molecules = measure(frac)
+        molecules = kept(measure(frac).select(*needed))
     return frac
 
 

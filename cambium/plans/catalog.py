@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import library, sequences
 from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, molecules, stability, summaries, thinning
+from ..session import kept
 from ..streaming import windows
 from . import fixtures as fx
 
@@ -615,7 +616,7 @@ def rpm_hist_by_sample(spark, sf_dir):
 
 @query("limit_fits")
 def limit_fits(spark, sf_dir):
-    found = judged(spark, sf_dir, FRACS, SEEDS)
+    found = kept(judged(spark, sf_dir, FRACS, SEEDS).select("seed", "frac_idx", "total", "valid"))
     totals = summaries.bulk(found)
     return curves.limit_errors(totals, summaries.reads_histogram(found, curves.BINS), totals)
 
