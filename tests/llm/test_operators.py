@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from cambium.llm import decontaminate, exact_dedup, license_scan, packing, secret_scan, simhash, substring_dedup, toxicity, url_filter, warc
+from cambium.llm import decontaminate, exact_dedup, license_scan, packing, secret_scan, shingle_dedup, simhash, substring_dedup, toxicity, url_filter, warc
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, digest string, key1 string, score string, host string"
 SYLLABLES = "the and of to in on was for ha re on ti es er nt st".split()
@@ -231,6 +231,52 @@ def test_simhash_links_random_prints():
         assert np.array_equal(label, want)
 
 
+def edited_texts():
+    """Texts of 60 to 260 words, and copies of them with up to 5 words more changed each time, chains of copies included."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(2, 4)))
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(rng.randint(60, 260))]
+        texts.append(" ".join(words))
+        for _ in range(rng.randint(0, 5)):
+            words = list(words)
+            for _ in range(rng.randint(1, 5)):
+                words[rng.randrange(len(words))] = word()
+            texts.append(" ".join(words))
+    return [*texts, None, "", "one", "One", "a b c d", "A b c D"]
+
+
+def test_pipeline_near_dedup_by_jaccard(spark, none):
+    import corpus_pipeline
+
+    def shingles(text):
+        words = lower(text or "").split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    texts = edited_texts()
+    sets = [shingles(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    linked = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                linked += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    assert linked > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert shingle_dedup.drop_similar(none).count() == 0
+
+
 def test_exact_dedup(docs, none):
     rows = docs.collect()
     groups = defaultdict(list)
