@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, sliced, utf8
+from .common import cut, read, sliced, utf8
 
 WINDOW = 10
 #: Items go to automata of at most about so many bytes of text, which bounds each broadcast.
@@ -135,26 +135,37 @@ class SuffixAutomaton:
         return spans, items, most
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of bounded size. Only this query set passes through the driver, block by block."""
-    blocks: list[list[tuple[str, list[bytes]]]] = [[]]
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of bounded size, one without items if there are none. Only this query set passes through the driver, block by block."""
+    block: list[tuple[str, list[bytes]]] = []
     size = 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
         data = (text or "").encode()
-        if blocks[-1] and size + len(data) > block_bytes:
-            blocks.append([])
-            size = 0
+        if block and size + len(data) > block_bytes:
+            yield block
+            block, size = [], 0
         size += len(data)
-        blocks[-1].append((str(item), words_of(data)))
-    return blocks
+        block.append((str(item), words_of(data)))
+    yield block
+
+
+def sent_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
+    """Each block's broadcast; the driver holds one block of items at a time."""
+    return [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, text_col, block_bytes)]
 
 
 FOUND = "n_words long, spans array<array<int>>, items array<string>, longest int"
 
 
-def _matched(docs: DataFrame, block, window: int) -> DataFrame:
-    """`docs`, whose last column is the text, with FOUND in its place."""
-    sent = docs.sparkSession.sparkContext.broadcast(block)
+#: Of sorted `spans`: those that meet made one.
+MERGED = """aggregate(spans, cast(array() AS array<array<int>>), (done, s) -> CASE
+        WHEN size(done) > 0 AND element_at(done, -1)[1] >= s[0]
+        THEN concat(slice(done, 1, size(done) - 1), array(array(element_at(done, -1)[0], greatest(element_at(done, -1)[1], s[1]))))
+        ELSE concat(done, array(s)) END)"""
+
+
+def _matched(docs: DataFrame, sent, window: int) -> DataFrame:
+    """`docs`, whose last column is the text, with FOUND in its place; `sent` is a block's broadcast."""
     types = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.int32()]
     names = [*docs.columns[:-1], "n_words", "spans", "items", "longest"]
 
@@ -186,7 +197,7 @@ def find_contamination(
     ids of `docs` keep one row each. Items beyond `block_bytes` go to further
     automata; then the rows found are merged by id and hash of the text.
     """
-    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     if len(blocks) == 1:
         return _matched(chosen, blocks[0], window).drop("key")
@@ -199,22 +210,33 @@ def find_contamination(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("longest").alias("longest"),
     )
-    joined = """aggregate(spans, array(), (done, s) -> CASE
-        WHEN size(done) > 0 AND element_at(done, -1)[1] >= s[0]
-        THEN concat(slice(done, 1, size(done) - 1), array(array(element_at(done, -1)[0], greatest(element_at(done, -1)[1], s[1]))))
-        ELSE concat(done, array(s)) END)""".replace("array(),", "cast(array() AS array<array<int>>),")
-    words = _matched(chosen, [], window).select("doc_id", "key", "n_words")
+    words = _matched(chosen, docs.sparkSession.sparkContext.broadcast([]), window).select("doc_id", "key", "n_words")
     return words.join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select(
         "doc_id",
         "n_words",
-        F.coalesce(F.expr(joined), F.expr("cast(array() AS array<array<int>>)")).alias("spans"),
+        F.coalesce(F.expr(MERGED), F.expr("cast(array() AS array<array<int>>)")).alias("spans"),
         F.coalesce("items", F.expr("cast(array() AS array<string>)")).alias("items"),
         F.coalesce("longest", F.lit(0)).alias("longest"),
     )
 
 
+def without(text: bytes, spans: list[list[int]]) -> bytes:
+    """The text without these words, whatever stands between them included."""
+    places = [m.span() for m in WORD.finditer(text)]
+    kept, at = [], 0
+    for start, end in spans:
+        kept.append(text[at : places[start][0]])
+        at = places[end - 1][1]
+    return b"".join([*kept, text[at:]])
+
+
+def covered(spans: list[list[int]], words: int, total: int, max_coverage: float) -> bool:
+    """Whether too few of `total` words are left once the spans of the `words` that are still there go."""
+    return words - sum(end - start for start, end in spans) < (1 - max_coverage) * total
+
+
 def remove_spans(text: bytes, automaton: SuffixAutomaton, max_coverage: float) -> bytes | None:
-    """The text without its hit words, whatever stands between them included; None if too many words are hit.
+    """The text without its hit words; None if too many words are hit.
 
     Cutting joins the words at both sides, so what is left is looked at again
     until nothing is hit.
@@ -226,15 +248,48 @@ def remove_spans(text: bytes, automaton: SuffixAutomaton, max_coverage: float) -
         total = len(words) if total is None else total
         if not spans:
             return text
-        left = len(words) - sum(end - start for start, end in spans)
-        if left < (1 - max_coverage) * total:
+        if covered(spans, len(words), total, max_coverage):
             return None
-        places = [m.span() for m in WORD.finditer(text)]
-        kept, at = [], 0
-        for start, end in spans:
-            kept.append(text[at : places[start][0]])
-            at = places[end - 1][1]
-        text = b"".join([*kept, text[at:]])
+        text = without(text, spans)
+
+
+def _cleaned(texts: DataFrame, blocks: list, window: int, max_coverage: float) -> DataFrame | None:
+    """key1, key2 (two hashes of the text) and cleaned (null if the text goes) of each different text of `texts` (key1, key2, text) that any block hits.
+
+    As remove_spans() does, but the spans of all blocks are found on the same
+    text and merged before any is cut.
+    """
+    keys = ["key1", "key2"]
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 3):
+            key1, key2, totals, _, found = batch.columns
+            outs, words = [], []
+            for total, text, spans in zip(totals.to_pylist(), utf8(batch.column(3)), found.to_pylist(), strict=True):
+                n = len(words_of(text))
+                words.append(n if total is None else total)
+                outs.append(None if covered(spans, n, words[-1], max_coverage) else without(text, spans).decode())
+            yield pa.RecordBatch.from_arrays([key1, key2, pa.array(words, pa.int64()), pa.array(outs, pa.string())], [*keys, "total", "text"])
+
+    now, rounds = texts.select(*keys, F.lit(None).cast("long").alias("total"), "text"), []
+    while True:
+        hits = None
+        for sent in blocks:
+            one = _matched(now.select(*keys, "text"), sent, window).where(F.size("spans") > 0).select(*keys, "spans").dropDuplicates(keys)
+            hits = one if hits is None else hits.unionByName(one)
+        spans = hits.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select(*keys, F.expr(MERGED).alias("spans"))
+        hit = now.join(spans, keys).dropDuplicates(keys).select(*keys, "total", "text", "spans")
+        after = cut(hit.mapInArrow(cut_out, "key1 long, key2 long, total long, text string"))
+        if after.isEmpty():
+            break
+        rounds.append(after.select(*keys, F.struct(F.lit(len(rounds)).alias("round"), F.col("text").alias("cleaned")).alias("last")))
+        now = after.where("text IS NOT NULL")
+    if not rounds:
+        return None
+    every = rounds[0]
+    for other in rounds[1:]:
+        every = every.unionByName(other)
+    return every.groupBy(*keys).agg(F.max_by("last", "last.round").alias("last")).select(*keys, "last.cleaned")
 
 
 def decontaminate(
@@ -243,29 +298,36 @@ def decontaminate(
 ) -> DataFrame:
     """`docs` without the words that windows of the benchmark cover, and without documents more of whose words they cover than `max_coverage`.
 
-    All other rows and columns stay as they are, null texts included. With
-    several blocks of items, each block cuts what the one before has left, and
-    the limit holds for each.
+    All other rows and columns stay as they are, null texts included. The
+    result doesn't depend on how items fall into blocks.
     """
     at = docs.columns.index(text_col)
-    schema = docs.schema
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(block)
-
-        def clean(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = SuffixAutomaton(sent.value, window)
-            for batch in sliced(batches, at):
-                texts, stays = [], []
-                for text in utf8(batch.column(at)):
-                    out = remove_spans(text, automaton, max_coverage) if text else text
-                    stays.append(out is not None or text is None)
-                    texts.append(None if out is None else out.decode())
-                columns = [*batch.columns]
-                columns[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(stays, pa.bool_()))
-
-        docs = docs.mapInArrow(clean, schema)
-    return docs
+    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes)
+    if len(blocks) > 1:
+        text = F.col(text_col)
+        keys = F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(7), text).alias("key2")
+        found = _cleaned(docs.where(text.isNotNull()).select(*keys, text.alias("text")), blocks, window, max_coverage)
+        if found is None:
+            return docs
+        found = found.select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2"), F.col("cleaned").alias("__cleaned"), F.lit(True).alias("__hit"))
+        marked = docs.withColumns({"__at1": keys[0], "__at2": keys[1]}).join(found, (F.col("__at1") == F.col("__key1")) & (F.col("__at2") == F.col("__key2")), "left")
+        left = marked.where(F.col("__hit").isNull() | F.col("__cleaned").isNotNull()).withColumn(text_col, F.when(F.col("__hit"), F.col("__cleaned")).otherwise(text))
+        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    sent = blocks[0]
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = SuffixAutomaton(sent.value, window)
+        for batch in sliced(batches, at):
+            texts, stays = [], []
+            for text in utf8(batch.column(at)):
+                out = remove_spans(text, automaton, max_coverage) if text else text
+                stays.append(out is not None or text is None)
+                texts.append(None if out is None else out.decode())
+            columns = [*batch.columns]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names).filter(pa.array(stays, pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op1_decontamination(spark, sf_dir):

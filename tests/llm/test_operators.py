@@ -96,6 +96,27 @@ def test_decontamination(spark, docs, items, block_bytes):
     assert set(clean) <= {r["doc_id"] for r in kept.collect()}
 
 
+def test_decontamination_blocks_change_nothing(spark):
+    """Coverage adds up over blocks, and windows that cuts of one block form are found by another."""
+    first, second, third = ([f"{k}{i}" for i in range(10)] for k in "abc")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate([first, second, third])], "item_id long, text string").coalesce(1)
+    prose = [f"w{i}" for i in range(60)]
+    texts = [
+        " ".join(prose[:4] + first + prose[4:9] + second + prose[9:13]),
+        " ".join(prose[:40] + first[:5] + second + first[5:]),
+        " ".join(prose[:40] + second[:5] + first + second[5:]),
+        " ".join(prose),
+        " ".join(prose[:30] + third),
+        None,
+        "",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    whole = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert set(whole) == {1, 2, 3, 4, 5, 6} and whole[1].split() == whole[2].split() == prose[:40]
+    for size in (1, 70):
+        assert {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, block_bytes=size).collect()} == whole
+
+
 def test_decontamination_empty(spark, docs, none):
     benchmark = spark.createDataFrame([], "item_id long, text string")
     assert all(not r["spans"] for r in decontaminate.find_contamination(docs, benchmark).collect())
