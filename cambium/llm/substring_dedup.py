@@ -82,9 +82,11 @@ class Unit:
 
     def rows(self, number: int, window: int, bits: int) -> Iterator[tuple]:
         """First the unit's directory and the windows known to repeat, in buckets below 0, then its hashes by bucket."""
+        # Of the whole number: the first units of all partitions end in the same bits.
+        aside = -1 - xxhash.xxh3_64_intdigest(number.to_bytes(8, "little")) % (1 << bits)
         ends = np.cumsum(self.lengths)
         directory = np.concatenate([np.asarray(self.keys, np.int64).ravel(), ends])
-        yield -1 - number % (1 << bits), number, directory.tobytes(), None
+        yield aside, number, directory.tobytes(), None
         if self.size < window:
             return
         hashes = rolling(np.concatenate(self.words), window)
@@ -98,7 +100,7 @@ class Unit:
         first = np.flatnonzero(new)
         counts = np.diff(np.append(first, len(hashes)))
         repeated = np.repeat(counts > 1, counts)
-        yield -1 - number % (1 << bits), number, None, starts[repeated].tobytes()
+        yield aside, number, None, starts[repeated].tobytes()
         hashes, starts = hashes[first], np.where(counts > 1, np.uint32(0xFFFFFFFF), starts[first])
         edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         for bucket in np.flatnonzero(np.diff(edges)).tolist():

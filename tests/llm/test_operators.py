@@ -189,6 +189,16 @@ def test_substring_dedup(docs, none, unit_words):
 URLS = ["http://a.com/x", "https://WWW.Example.com/en/1?q=/es/", "http://example.com/en/", "http://example.com/en", "http://x.example.com", "http://b.net/es/a", "http://net/fr/", "http://xnet/fr/", "nothing", None, "", "a://b://c.com/", "http://com/", "http://u@c.com:80/", "http://a.com?x", "http://b.net/fr#/", "http://a.com/\n/en/"]
 
 
+def test_substring_dedup_deals_directories():
+    """The first units of many partitions don't meet in one bucket."""
+    bits, buckets = 8, Counter()
+    for partition in range(512):
+        unit = substring_dedup.Unit()
+        unit.add(1, 2, np.arange(40, dtype=np.uint64))
+        buckets.update({row[0] for row in unit.rows(partition << 31, 35, bits) if row[0] < 0})
+    assert max(buckets.values()) <= 12 and min(buckets) >= -1 - (1 << bits)
+
+
 @pytest.mark.parametrize("broadcast_chars", [1 << 20, 0])
 def test_url_filter(spark, broadcast_chars):
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "page_id long, url string, host string")
