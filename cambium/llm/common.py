@@ -26,11 +26,13 @@ def lower_az(column):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one in local mode (tests) and an error on a cluster."""
     set_already = spark.sparkContext.getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or set_already
     if not folder:
-        folder = set_already or tempfile.mkdtemp(prefix="cambium-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="cambium-")
     if set_already is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -58,11 +60,33 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -
             yield batch.slice(start, rows)
 
 
-def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+#: Longs of a filter of keys: at most so many rows are broadcast, however many keys there are.
+FILTER_LONGS = 1 << 19
+#: Tables of at most so many rows are broadcast whole.
+SMALL_ROWS = 100_000
+
+
+def maybe_in(docs: DataFrame, key, keys: DataFrame, key_col: str, longs: int = FILTER_LONGS) -> DataFrame:
+    """`docs` with __maybe: false only where the long `key` is surely not among `keys`.
+
+    The keys become bits of a table of bounded size, which is broadcast; the
+    more keys there are, the more rows are marked without need.
+    """
+    slots = keys.select(F.pmod(key_col, F.lit(longs)).alias("__slot"), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key_col, 58).cast("int")).alias("__bit"))
+    # At most `longs` rows, by the modulus.
+    bits = F.broadcast(slots.groupBy("__slot").agg(F.bit_or("__bit").alias("__bits")))
+    marked = docs.withColumn("__key", key).join(bits, F.pmod("__key", F.lit(longs)) == F.col("__slot"), "left")
+    hit = F.call_function("shiftright", F.col("__bits"), F.shiftrightunsigned("__key", 58).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    return marked.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__key", "__slot", "__bits")
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_col: str = "text", small_rows: int = SMALL_ROWS) -> DataFrame:
     """`docs` without the rows that `decided` (doc_id, raw_hash, kept) drops; rows it doesn't name stay.
 
     Rows are told apart by id and a hash of the raw text. Of rows that are the
     same in both, one stays if any of them is kept; only those are aggregated.
+    Texts are shuffled only if there are many decisions, and then only texts
+    that a filter of bounded size can't tell from decided ones.
     """
     found = cut(
         decided.groupBy("doc_id", "raw_hash")
@@ -70,10 +94,18 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
         .where(~F.col("stays") | (F.col("same") > 1))
         .select(F.col("doc_id").alias("__found_id"), F.col("raw_hash").alias("__found_hash"), F.col("stays").alias("__stays"))
     )
-    marked = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)}).join(
-        found, F.col("__id").eqNullSafe(F.col("__found_id")) & (F.col("__hash") == F.col("__found_hash")), "left"
-    )
-    alone = marked.where(F.col("__stays").isNull())
+    same = F.col("__id").eqNullSafe(F.col("__found_id")) & (F.col("__hash") == F.col("__found_hash"))
+    named = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    if found.limit(small_rows + 1).count() <= small_rows:
+        marked = named.join(F.broadcast(found), same, "left")
+        alone = marked.where(F.col("__stays").isNull())
+    else:
+        key = F.xxhash64("__id", "__hash")
+        asked = maybe_in(named, key, found.select(F.xxhash64("__found_id", "__found_hash").alias("__found_key")), "__found_key")
+        marked = asked.where("__maybe").join(found, same, "left")
+        alone = asked.where("NOT __maybe").withColumn("__stays", F.lit(None).cast("boolean")).unionByName(marked.where(F.col("__stays").isNull()).select(*asked.columns, "__stays"))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
     if not found.where("__stays").isEmpty():
-        alone = alone.unionByName(marked.where("__stays").dropDuplicates(["__id", "__hash"]))
-    return alone.select(*[F.col(f"`{c}`") for c in docs.columns])
+        once = marked.where("__stays").dropDuplicates(["__id", "__hash"])
+        return alone.select(*kept).unionByName(once.select(*kept))
+    return alone.select(*kept)

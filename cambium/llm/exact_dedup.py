@@ -3,12 +3,13 @@
 Frequent digests are found with Spark's frequent-items aggregate (the
 Misra-Gries summary), counted exactly, and the verified ones broadcast, so the
 rows of very large groups of copies never meet in one task. The other digests
-have at most `support` of all rows each and go through an ordinary shuffle.
+have at most `support` of all rows each and go through an ordinary shuffle:
+they are aggregated, and the rows joined with the aggregates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, keep_rows, lower_az, read
@@ -52,12 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = digests(docs, id_col, text_col)
     winners = F.broadcast(heavy_winners(rows, support))
     heavy = rows.join(winners, "digest")
-    group = Window.partitionBy("digest")
-    light = rows.join(winners, "digest", "left_anti").select(
-        "*",
-        F.max(F.struct("doc_id", "row_id")).over(group).alias("keep"),
-        F.count(F.lit(1)).over(group).alias("group_size"),
-    )
+    rest = rows.join(winners, "digest", "left_anti")
+    # Counted in parts before the shuffle; rows then meet one row for each digest, under a key made anew, so Spark may split a large group.
+    groups = rest.groupBy("digest").agg(F.max(F.struct("doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("group_size"))
+    key = F.struct("digest").alias("__key")
+    light = rest.select(key, *rows.columns).join(groups.select(key, "keep", "group_size"), "__key").select(*rows.columns, "keep", "group_size")
     return heavy.unionByName(light).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
