@@ -7,6 +7,12 @@ differ in at most three bits share at least one, and the pivot table discards
 pairs there: sorted by the distance to the first reference, a fingerprint meets
 only those at most three further on, and of these only pairs whose distances to
 every other reference differ by at most three have their bits compared.
+
+Groups of a band that are too large to be compared by one task are linked by
+shared neighbours instead: two fingerprints differ in at most three bits if and
+only if one that differs from the first in at most one bit differs from the
+second in at most two. These neighbours are dealt over all tasks, and as many
+as 2,081 fingerprints at most share one, no group grows with the data.
 """
 
 from __future__ import annotations
@@ -20,14 +26,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, keep_rows, read, sliced, utf8
+from .common import ASCII_LOWER, cut, keep_rows, maybe_in, read, sliced, utf8
 
 SHINGLE = 3
 MAX_BITS = 3
 SEED = 42
 #: Reference fingerprints of the pivot table.
 PIVOTS = 16
-#: Larger groups of a band are dealt out by more bands within their task.
+#: Larger groups of a band are linked by shared neighbours, over all tasks.
 LARGE_GROUP = 8192
 #: Pairs found before they are reduced to a forest.
 PAIRS = 200_000
@@ -119,24 +125,59 @@ def linked(band: np.ndarray, prints: np.ndarray, bits: int, references: np.ndarr
     labels = np.arange(len(prints))
     order = np.lexsort((tables[:, 0], band))
     band, prints, tables = band[order], prints[order], tables[order]
-    _, number, counts = np.unique(band, return_inverse=True, return_counts=True)
-    large = counts[number] > LARGE_GROUP
-    group = np.where(large, -1 - np.arange(len(number)), number)
-    labels = link_groups(group, prints, tables, bits, labels)
-    for k in np.flatnonzero(counts > LARGE_GROUP).tolist():
-        rows = np.flatnonzero(number == k)
-        for mask in band_masks(2 * bits, bits):
-            part = prints[rows] & np.uint64(mask)
-            own = rows[np.lexsort((tables[rows, 0], part))]
-            found = link_groups(prints[own] & np.uint64(mask), prints[own], tables[own], bits, np.arange(len(own)))
-            joined = np.flatnonzero(found != np.arange(len(own)))
-            labels = reduced(labels, own[joined], own[found[joined]])
+    labels = link_groups(band, prints, tables, bits, labels)
     other = np.flatnonzero(labels != np.arange(len(labels)))
     return prints[other], prints[labels[other]]
 
 
-def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) -> DataFrame:
-    """a, b: a forest that connects the different fingerprints `fp` that pairs within `bits` bits connect."""
+LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def link_batch(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b.view(np.int64))], schema=LINK)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, most: int | None = None) -> Iterator[tuple[np.ndarray, bool]]:
+    """The columns of sorted rows as longs, in pieces of whole groups of equal first `keys` columns; with `most`, larger groups come in parts and marked True."""
+    rest, parted = None, None
+    for batch in _and_end(batches):
+        if batch is not None:
+            now = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            rest = now if rest is None else np.concatenate([rest, now], 1)
+        if rest is None or not rest.shape[1]:
+            continue
+        if parted is not None:
+            same = (rest[:keys] == parted).all(0)
+            if same.any():
+                yield rest[:, same], True
+                rest = rest[:, ~same]
+            if not rest.shape[1]:
+                continue
+            parted = None
+        same = (rest[:keys] == rest[:keys, -1:]).all(0)
+        end = rest.shape[1] if batch is None else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        now, rest = rest[:, :end], rest[:, end:]
+        if end:
+            fresh = np.concatenate([[True], (now[:keys, 1:] != now[:keys, :-1]).any(0)])
+            sizes = np.diff(np.append(np.flatnonzero(fresh), end))
+            large = np.repeat(sizes > most, sizes) if most else np.zeros(end, bool)
+            if large.any():
+                yield now[:, large], True
+            if not large.all():
+                yield now[:, ~large], False
+        if most and rest.shape[1] > most:
+            parted = rest[:keys, -1:]
+            yield rest, True
+            rest = rest[:, :0]
+
+
+def numbered(now: np.ndarray, keys: int) -> np.ndarray:
+    """The number of each row's group."""
+    return np.concatenate([[0], np.cumsum((now[:keys, 1:] != now[:keys, :-1]).any(0))])
+
+
+def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int | None = None, large_group: int = LARGE_GROUP) -> DataFrame:
+    """a, b: pairs within `bits` bits that connect all different fingerprints `fp` that such pairs connect."""
     blocks = blocks or blocks_for(prints.count(), bits)
     masks = [m - (1 << 64) if m >> 63 else m for m in band_masks(blocks, bits)]
     banded = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("band")) for i, m in enumerate(masks)])).alias("b"))
@@ -144,22 +185,51 @@ def links(prints: DataFrame, bits: int = MAX_BITS, blocks: int | None = None) ->
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         references = pivots()
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        rest = np.zeros((3, 0), np.int64)
-        for batch in _and_end(batches):
-            if batch is not None:
-                rest = np.concatenate([rest, np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])], 1)
-            if not rest.shape[1]:
-                continue
-            same = (rest[0] == rest[0, -1]) & (rest[1] == rest[1, -1])
-            end = rest.shape[1] if batch is None else int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if end:
-                now, rest = rest[:, :end], rest[:, end:]
-                fresh = np.concatenate([[0], np.cumsum((now[0, 1:] != now[0, :-1]) | (now[1, 1:] != now[1, :-1]))])
-                a, b = linked(fresh, np.ascontiguousarray(now[2]).view(np.uint64), bits, references)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
-
-    return dealt.mapInArrow(link, "a long, b long")
+        for now, large in whole_groups(batches, 2, large_group):
+            fps = np.ascontiguousarray(now[2]).view(np.uint64)
+            yield link_batch(fps, None) if large else link_batch(*linked(numbered(now, 2), fps, bits, references))
+
+    found = cut(dealt.mapInArrow(link, "a long, b long"))
+    near, dense = found.where("b IS NOT NULL"), found.where("b IS NULL").select(F.col("a").alias("fp")).distinct()
+    return near if dense.isEmpty() else near.unionByName(neighbour_links(cut(dense), bits))
+
+
+def flips(bits: int) -> np.ndarray:
+    """All masks of at most `bits` bits."""
+    return np.asarray([sum(1 << i for i in c) for k in range(bits + 1) for c in combinations(range(64), k)], np.uint64)
+
+
+def neighbour_links(prints: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """As links(), for fingerprints of which very many are close: by the neighbours that they share."""
+
+    def neighbours(most: int, outer: bool):
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            masks = flips(most)
+            step = max(1, (1 << 18) // len(masks))
+            for batch in batches:
+                fps = batch.column(0).to_numpy().view(np.uint64)
+                for at in range(0, len(fps), step):
+                    some = fps[at : at + step]
+                    keys = (some[:, None] ^ masks[None, :]).ravel().view(np.int64)
+                    rows = [pa.array(keys), pa.array(np.full(len(keys), int(outer), np.int64)), pa.array(np.repeat(some, len(masks)).view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(rows, ["key", "outer", "fp"])
+
+        return prints.select("fp").mapInArrow(made, "key long, outer long, fp long")
+
+    inner = neighbours(bits // 2, False)
+    outer = maybe_in(neighbours(bits - bits // 2, True), F.col("key"), inner, "key").where("__maybe").drop("__maybe")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for now, _ in whole_groups(batches, 1):
+            fresh = np.concatenate([[True], now[0, 1:] != now[0, :-1]])
+            hub = np.flatnonzero(fresh)[numbered(now, 1)]
+            near = (now[1][hub] == 0) & (now[2] != now[2][hub])
+            fps, place = np.unique(np.concatenate([now[2][near], now[2][hub[near]]]), return_inverse=True)
+            labels = reduced(np.arange(len(fps)), *np.split(place, 2))
+            other = np.flatnonzero(labels != np.arange(len(fps)))
+            yield link_batch(fps[other], fps[labels[other]])
+
+    return inner.unionByName(outer).repartition("key").sortWithinPartitions("key", "outer").mapInArrow(link, "a long, b long")
 
 
 def _and_end(batches: Iterator) -> Iterator:
