@@ -250,16 +250,30 @@ def test_simhash_links_random_prints():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 64, 40, np.uint64)
     prints = np.unique(np.concatenate([base, *(base ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, np.uint64)) for _ in range(6))]))
-    for large in (simhash.LARGE_GROUP, 20):
-        simhash.LARGE_GROUP, old = large, simhash.LARGE_GROUP
-        a, b = simhash.linked(np.zeros(len(prints), np.int64), prints, 3, simhash.pivots())
-        simhash.LARGE_GROUP = old
-        place = {int(p): i for i, p in enumerate(prints)}
-        label = np.arange(len(prints))
-        label = simhash.reduced(label, np.asarray([place[int(x)] for x in a]), np.asarray([place[int(x)] for x in b]))
-        near = np.bitwise_count(prints[:, None] ^ prints[None]) <= 3
-        want = simhash.reduced(np.arange(len(prints)), *np.nonzero(near))
-        assert np.array_equal(label, want)
+    a, b = simhash.linked(np.zeros(len(prints), np.int64), prints, 3, simhash.pivots())
+    place = {int(p): i for i, p in enumerate(prints)}
+    label = simhash.reduced(np.arange(len(prints)), np.asarray([place[int(x)] for x in a]), np.asarray([place[int(x)] for x in b]))
+    assert np.array_equal(label, near_labels(prints))
+
+
+def near_labels(prints, bits=3):
+    near = np.bitwise_count(prints[:, None] ^ prints[None]) <= bits
+    return simhash.reduced(np.arange(len(prints)), *np.nonzero(near))
+
+
+def test_simhash_dense_bands(spark):
+    """Groups beyond `large_group` are linked by shared neighbours, with the same components."""
+    rng = np.random.default_rng(4)
+    flip = lambda p, n: p ^ np.bitwise_xor.reduce([np.uint64(1) << rng.integers(0, 64, len(p), np.uint64) for _ in range(n)])
+    center = rng.integers(0, 1 << 64, 3, np.uint64).repeat(150)
+    prints = np.unique(np.concatenate([center, flip(center, 2), flip(center, 5), flip(center, 9), rng.integers(0, 1 << 64, 200, np.uint64)]))
+    rows = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long").repartition(3)
+    place = {int(p): i for i, p in enumerate(prints.view(np.int64))}
+    for large in (50, 1 << 20):
+        found = simhash.links(rows, large_group=large).collect()
+        a, b = ([place[r[k]] for r in found] for k in (0, 1))
+        assert all(np.bitwise_count(prints[x] ^ prints[y]) <= 64 for x, y in zip(a, b, strict=True))
+        assert np.array_equal(simhash.reduced(np.arange(len(prints)), np.asarray(a), np.asarray(b)), near_labels(prints))
 
 
 def edited_texts():
@@ -278,14 +292,13 @@ def edited_texts():
     return [*texts, None, "", "one", "One", "a b c d", "A b c D"]
 
 
-def test_pipeline_near_dedup_by_jaccard(spark, none):
-    import corpus_pipeline
+def jaccard_roots(texts, size=5):
+    """By brute force: the first text of each one's component of five-word Jaccard similarities of 0.8 or more."""
 
     def shingles(text):
         words = lower(text or "").split()
-        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+        return frozenset(tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))) if words else frozenset()
 
-    texts = edited_texts()
     sets = [shingles(t) for t in texts]
     root = list(range(len(texts)))
 
@@ -294,20 +307,38 @@ def test_pipeline_near_dedup_by_jaccard(spark, none):
             i = root[i]
         return i
 
-    linked = 0
     for i in range(len(sets)):
         for j in range(i):
             if sets[i] == sets[j] or len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
-                linked += 1
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    assert linked > 100
+    return [find(i) for i in range(len(texts))]
+
+
+def test_pipeline_near_dedup_by_jaccard(spark, none):
+    import corpus_pipeline
+
+    texts = edited_texts()
+    root = jaccard_roots(texts)
+    assert len(set(root)) < len(texts) - 50
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
-    assert sorted(r["doc_id"] for r in kept.collect()) == sorted({find(i) for i in range(len(texts))})
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+    for pair_group in (1, 3):
+        found = shingle_dedup.similar_groups(docs, pair_group=pair_group)
+        assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == set(enumerate(root))
     assert shingle_dedup.drop_similar(none).count() == 0
 
 
+def test_keep_rows_by_filter(docs):
+    """Many decisions go through a filter and a join instead of a broadcast, with the same rows left."""
+    from cambium.llm.common import keep_rows
+
+    decided = exact_dedup.exact_groups(docs).where("group_size > 1")
+    left = [sorted(map(str, keep_rows(docs, decided, small_rows=n).collect())) for n in (0, 1000)]
+    assert left[0] == left[1] and len(left[0]) < docs.count()
+
+
 def test_exact_dedup(docs, none):
     rows = docs.collect()
     groups = defaultdict(list)
@@ -436,7 +467,9 @@ def test_pipeline(spark):
         last[lower(r["text"])] = max(last.get(lower(r["text"]), -1), r["doc_id"])
     assert sorted(r["doc_id"] for r in after.collect()) == sorted(last.values())
     near = stage["near dedup"](spark, after, folder)
-    assert {r["doc_id"] for r in near.collect()} == {r["component_id"] for r in simhash.near_groups(after).collect()}
+    rows = after.select("doc_id", "text").collect()
+    root = jaccard_roots([r["text"] for r in rows])
+    assert {r["doc_id"] for r in near.collect()} == {min(rows[j]["doc_id"] for j in range(len(rows)) if root[j] == k) for k in set(root)}
     clean = stage["decontamination"](spark, near, folder)
     assert clean.columns == docs.columns and all(not hits(r["text"], known)[1] and r["n_chars"] == len(r["text"]) for r in clean.collect())
     out = corpus_pipeline.run(spark, folder)
