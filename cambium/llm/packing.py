@@ -2,8 +2,9 @@
 
 Pieces as long as a sequence fill one alone. The others, at most one per
 document, are dealt at random into shards of bounded size; each shard is filled
-best-fit and then improved by local search. The bins that a shard leaves open
-meet those of many other shards in a second, small round.
+best-fit and then improved by local search until no exchange helps. The bins
+that a shard leaves open meet those of many other shards in a second, small
+round.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import read, sliced
+from .common import cut, read, sliced
 
 CAPACITY = 4096
 END_ID = 1
@@ -37,7 +38,8 @@ CACHE = 200_000
 #: Bins at least so full stay as the first round left them.
 CLOSED = 0.98
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long, sequence_id long, offset long, fill long"
+#: After doc_id.
+PIECES = "piece int, start long, length long, ids_crc32 long, deal long, sequence_id long, offset long, fill long"
 
 
 def default_tokenizer() -> str:
@@ -141,9 +143,14 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
                     out.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), deal, *placed))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    schema = pa.schema([(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in PIECES.split(", ")])
-    chosen = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
-    return chosen.mapInArrow(cut_up, PIECES)
+    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("deal"))
+    fields = [(x.split()[0], pa.int32() if x.endswith("int") else pa.int64()) for x in PIECES.split(", ")]
+    schema = pa.schema([("doc_id", to_arrow_type(chosen.schema["doc_id"].dataType)), *fields])
+    return chosen.mapInArrow(cut_up, piece_schema(chosen))
+
+
+def piece_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {PIECES}"
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -170,63 +177,98 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int, tries: int = 200_000) -> list[list[int]]:
+class Bins:
+    """Pieces in bins, as arrays, so that one step looks at all takers at once."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.size = lengths.astype(np.int64)
+        self.of = np.zeros(len(lengths), np.int64)
+        for k, members in enumerate(bins):
+            self.of[members] = k
+        self.fill = np.bincount(self.of, self.size, len(bins)).astype(np.int64)
+        self.capacity = capacity
+        self.by_bin: np.ndarray | None = None
+
+    def put(self, piece: int, to: int) -> None:
+        self.fill[self.of[piece]] -= self.size[piece]
+        self.fill[to] += self.size[piece]
+        self.of[piece] = to
+        self.by_bin = None
+
+    def give(self, piece: int) -> bool:
+        """Move a piece to another bin, or exchange it there for one or two that are shorter; False if no bin can take it.
+
+        The squared fills grow: the taker is at least as full as the giver.
+        """
+        giver, given = self.of[piece], self.size[piece]
+        takes = (self.fill >= self.fill[giver]) & (self.fill < self.capacity)
+        takes[giver] = False
+        room = np.where(takes, self.capacity - self.fill, 0)
+        fits = np.flatnonzero(room >= given)
+        if len(fits):
+            self.put(piece, int(fits[np.argmin(room[fits])]))
+            return True
+        least = given - room[self.of]
+        one = np.flatnonzero((self.size < given) & (self.size >= least))
+        if len(one):
+            back = [int(one[np.argmin(self.size[one])])]
+        elif not (back := self._two(given, least)):
+            return False
+        taker = int(self.of[back[0]])
+        for other in back:
+            self.put(other, int(giver))
+        self.put(piece, taker)
+        return True
+
+    def _two(self, given: int, least: np.ndarray) -> list[int]:
+        """Two pieces of one bin that together are shorter than `given` and leave room for it."""
+        if self.by_bin is None:
+            self.by_bin = np.lexsort((self.size, self.of))
+        order, span = self.by_bin, self.capacity + 1
+        place = self.of[order] * span + self.size[order]
+        first = np.flatnonzero((least[order] < given) & (self.size[order] < given))
+        # The shortest partner in the same bin, other than the piece itself.
+        at = np.searchsorted(place, self.of[order[first]] * span + np.maximum(least[order[first]] - self.size[order[first]], 0))
+        at += at == first
+        inside = at < len(order)
+        first, at = first[inside], at[inside]
+        both = self.size[order[first]] + self.size[order[at]]
+        fits = np.flatnonzero((self.of[order[first]] == self.of[order[at]]) & (both < given))
+        if not len(fits):
+            return []
+        k = fits[np.argmin(both[fits])]
+        return [int(order[first[k]]), int(order[at[k]])]
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Moves and exchanges between underfull bins, each of which increases the sum of squared fills, until no bin empties any more.
 
-    The emptiest bin gives: a document moves to a bin with room for it, or is
-    exchanged for a shorter one, or for two that are shorter together. The
-    search ends at the least number of bins that can hold all, when a pass
-    changes nothing, or after `tries` bins looked at.
+    The emptiest bin gives, its longest piece first: a piece moves to the
+    fullest bin with room for it, or is exchanged for a shorter one, or for two
+    that are shorter together. The search ends at the least number of bins that
+    can hold all, or when a pass over all underfull bins changes nothing; as
+    squared fills only grow, it ends.
     """
-    size = lengths.tolist()
-    fill = [sum(size[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    alive = {k for k, b in enumerate(bins) if b}
+    if not bins:
+        return bins
+    packed = Bins(bins, lengths, capacity)
+    least = -(-int(packed.size.sum()) // capacity)
     changed = True
-    while changed and tries > 0 and len(alive) > least:
+    while changed and np.count_nonzero(packed.fill) > least:
         changed = False
-        under = sorted((k for k in alive if fill[k] < capacity), key=fill.__getitem__)
-        for place, giver in enumerate(under):
-            for doc in sorted(bins[giver], key=lambda i: -size[i]):
-                for taker in under[:place:-1]:
-                    tries -= 1
-                    if tries <= 0:
-                        break
-                    room = capacity - fill[taker]
-                    if not room or fill[taker] < fill[giver]:
-                        continue
-                    back = [] if size[doc] <= room else _exchange(bins[taker], size, size[doc], room)
-                    if back is None:
-                        continue
-                    gain = size[doc] - sum(size[i] for i in back)
-                    bins[giver] = [i for i in bins[giver] if i != doc] + back
-                    bins[taker] = [i for i in bins[taker] if i not in back] + [doc]
-                    fill[giver] -= gain
-                    fill[taker] += gain
-                    changed = True
-                    break
-            if not bins[giver]:
-                alive.discard(giver)
-                if len(alive) == least:
-                    break
-            if tries <= 0:
+        under = np.flatnonzero((packed.fill > 0) & (packed.fill < capacity))
+        for giver in under[np.argsort(packed.fill[under], kind="stable")].tolist():
+            given = True
+            while given and packed.fill[giver]:
+                members = np.flatnonzero(packed.of == giver)
+                given = any(packed.give(int(i)) for i in members[np.argsort(-packed.size[members], kind="stable")])
+                changed |= given
+            if np.count_nonzero(packed.fill) == least:
                 break
-    return [bins[k] for k in sorted(alive)]
-
-
-def _exchange(taker: list[int], size: list[int], given: int, room: int) -> list[int] | None:
-    """One document of the taker, or two, that leave just enough room for `given` and are shorter than it."""
-    best, most = None, 0
-    for i in taker:
-        if given - room <= size[i] < given and given - size[i] > most:
-            best, most = [i], given - size[i]
-    if best is None:
-        for a in range(len(taker)):
-            for b in range(a + 1, len(taker)):
-                both = size[taker[a]] + size[taker[b]]
-                if given - room <= both < given and given - both > most:
-                    best, most = [taker[a], taker[b]], given - both
-    return best
+    left: dict[int, list[int]] = {}
+    for i, k in enumerate(packed.of.tolist()):
+        left.setdefault(k, []).append(i)
+    return list(left.values())
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -239,37 +281,39 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     A document is its ids and then `end_id`; null texts are empty, so an empty
     document is one token. Documents longer than `capacity` are cut into pieces
     of that length, the last of which may be shorter. Repeated ids and rows are
-    packed as often as they occur. An empty table gives an empty result.
+    packed as often as they occur; ids may be of any type, and null. An empty
+    table gives an empty result.
+
+    The search within a shard has no limit. What shards leave: a bin of at
+    least CLOSED of the capacity isn't looked at again after the first round.
     """
-    tokenizer = tokenizer or default_tokenizer()
-    shards = max(1, docs.count() // SHARD_ROWS)
-    names = [x.split()[0] for x in PIECES.split(", ")]
+    # Written, so that pieces are dealt alike whatever is computed again.
+    pieces = cut(pieces_of(docs, tokenizer or default_tokenizer(), capacity, end_id, id_col, text_col))
+    rest = pieces.where(F.col("fill") < capacity)
+    shard = F.pmod("deal", F.lit(max(1, rest.count() // SHARD_ROWS)))
 
-    def packed(rows: pd.DataFrame, number: int) -> pd.DataFrame:
-        rows = rows.sort_values(["deal", "piece"], ignore_index=True)
+    def packed(rows: pa.Table, number: int) -> pa.Table:
+        rows = rows.take(pa.array(np.lexsort((rows["piece"].to_numpy(), rows["deal"].to_numpy()))))
         lengths = rows["length"].to_numpy()
-        placed = np.zeros((3, len(rows)), np.int64)
+        placed = np.zeros((3, len(lengths)), np.int64)
         for k, members in enumerate(pack_lengths(lengths, capacity)):
             ends = np.cumsum(lengths[members])
             placed[0, members], placed[1, members], placed[2, members] = (number << 32) + k, ends - lengths[members], ends[-1]
-        return rows.assign(sequence_id=placed[0], offset=placed[1], fill=placed[2])
-
-    # Pieces that need no more packing pass through both rounds under keys below 0.
-    def first(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return (packed(rows, int(key[0])) if key[0] >= 0 else rows)[names]
-
-    def second(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return (packed(rows, (1 << 30) + int(key[0])) if key[0] >= 0 else rows)[names]
-
-    shard = F.pmod("deal", F.lit(shards))
-    return (
-        pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col)
-        .groupBy(F.when(F.col("fill") == capacity, -1 - shard).otherwise(shard).alias("shard"))
-        .applyInPandas(first, PIECES)
-        .groupBy(F.when(F.col("fill") >= CLOSED * capacity, -1 - shard).otherwise(F.floor(shard / FAN_IN)).alias("meeting"))
-        .applyInPandas(second, PIECES)
-        .drop("deal", "fill")
-    )
+        for name, column in zip(("sequence_id", "offset", "fill"), placed, strict=True):
+            rows = rows.set_column(rows.schema.get_field_index(name), name, pa.array(column))
+        return rows
+
+    def first(key: tuple, rows: pa.Table) -> pa.Table:
+        return packed(rows, key[0].as_py())
+
+    def second(key: tuple, rows: pa.Table) -> pa.Table:
+        return packed(rows, (1 << 30) + key[0].as_py())
+
+    schema = piece_schema(pieces)
+    filled = cut(rest.groupBy(shard.alias("shard")).applyInArrow(first, schema))
+    closed = F.col("fill") >= CLOSED * capacity
+    met = filled.where(~closed).groupBy(F.floor(shard / FAN_IN).alias("meeting")).applyInArrow(second, schema)
+    return pieces.where(F.col("fill") == capacity).unionByName(filled.where(closed)).unionByName(met).drop("deal", "fill")
 
 
 def op2_best_fit_packing(spark, sf_dir):

@@ -172,6 +172,25 @@ def test_local_search_never_worse():
         assert all(lengths[b].sum() <= 100 for b in found)
 
 
+def test_local_search_steps():
+    """A move, an exchange for one and an exchange for two, each of which empties a bin that best-fit alone leaves."""
+    for capacity, bins, want in [(10, [[6, 2], [5, 3], [1, 2]], 2), (10, [[6], [4, 3], [7]], 2), (20, [[6, 5, 5], [4, 8], [12]], 2)]:
+        lengths = np.asarray([x for b in bins for x in b])
+        ends = np.cumsum([len(b) for b in bins])
+        start = [list(range(e - len(b), e)) for b, e in zip(bins, ends, strict=True)]
+        found = packing.local_search(start, lengths, capacity)
+        assert len(found) == want and all(lengths[b].sum() <= capacity for b in found) and sorted(sum(found, [])) == list(range(len(lengths)))
+    two = packing.Bins([[0, 1, 2], [3]], np.asarray([5, 5, 5, 14]), 20)
+    assert not two.give(3) or two.fill.max() <= 20
+    assert packing.local_search([], np.zeros(0, int), 10) == []
+
+
+def test_packing_string_ids(spark):
+    docs = spark.createDataFrame([("a", "one two", 1), ("a", "one two", 1), (None, None, 2), ("b", "", 3)], "doc_id string, text string, fill int")
+    rows = packing.pack(docs).collect()
+    assert Counter(r["doc_id"] for r in rows) == {"a": 2, None: 1, "b": 1} and len({r["sequence_id"] for r in rows}) == 1
+
+
 @pytest.mark.parametrize("unit_words", [300, 1 << 20])
 def test_substring_dedup(docs, none, unit_words):
     rows = docs.collect()
