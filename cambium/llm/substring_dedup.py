@@ -20,11 +20,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, sliced, utf8
+from .common import cut, maybe_in, read, sliced, utf8
 
 WINDOW = 35
 #: Words of the documents of one unit, about.
 UNIT_WORDS = 2_000_000
+#: Hashes and places of one bucket and of one partition take about so many bytes at most: buckets and partitions follow the input.
+BUCKET_BYTES, PARTITION_BYTES = 64 << 20, 256 << 20
+#: Hash and place of a window take 12 bytes, and a word at least 2 bytes of text.
+PACKED_BYTES = 6
 #: Words whose hashes a task remembers.
 CACHE = 500_000
 #: Multiplier of the rolling hash: odd, so it has an inverse modulo 2^64.
@@ -191,10 +195,11 @@ def _merged(key: tuple, rows: pd.DataFrame, window: int) -> pd.DataFrame:
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, unit_words: int = UNIT_WORDS, bits: int | None = None) -> DataFrame:
     """key1, key2 and the removal intervals of each different text of `docs` (key1, key2, text) that has any; the keys are two hashes of the text."""
+    size = PACKED_BYTES * (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     if bits is None:
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        bits = max(8, (4 * partitions - 1).bit_length())
-    found = _hashed(docs, window, bits, unit_words).groupBy("bucket").applyInPandas(_counted, FOUND)
+        bits = max(8, (4 * partitions - 1).bit_length(), (size // BUCKET_BYTES).bit_length())
+    found = _hashed(docs, window, bits, unit_words).repartition(partitions, "bucket").groupBy("bucket").applyInPandas(_counted, FOUND)
     return found.groupBy("unit").applyInPandas(lambda key, rows: _merged(key, rows, window), SPANS).dropDuplicates(["key1", "key2"])
 
 
@@ -209,12 +214,16 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     document or another. Null texts have no words; documents shorter than the
     window keep all. Repeated rows and ids keep one row each; as copies of each
     other, their windows are removed. Equal 64-bit hashes count as equal windows.
+    Rows of `docs` must come in a fixed order within their partition, as from
+    files or a checkpoint: units are numbered by it.
     """
     rows = keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
-    spans = repeated_spans(rows.select("key1", "key2", "text"), window, unit_words, bits)
-    # The key is made anew on both sides, so the spans are dealt once more and Spark may split the rows of a text that very many documents have.
+    spans = cut(repeated_spans(rows.select("key1", "key2", "text"), window, unit_words, bits))
+    # Only texts that may have spans are shuffled. The key is made anew on both sides, so Spark may split the rows of a text that very many documents have.
     key = F.struct("key1", "key2").alias("key")
-    joined = rows.select(key, "doc_id", "text").join(spans.select(key, "spans"), "key", "left").select("doc_id", "text", "spans")
+    asked = maybe_in(rows, F.col("key1"), spans, "key1")
+    hit = asked.where("__maybe").select(key, "doc_id", "text").join(spans.select(key, "spans"), "key", "left").select("doc_id", "text", "spans")
+    joined = asked.where("NOT __maybe").select("doc_id", "text", F.lit(None).cast("array<int>").alias("spans")).unionByName(hit)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, 1):
