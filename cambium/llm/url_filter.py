@@ -84,7 +84,8 @@ class UrlTrie:
 
 def url_parts(url):
     """Host (A-Z lower-cased) and path of a url; both empty without `://` or for null."""
-    after = F.when(F.instr(url, "://") > 0, F.expr(f"substr({url}, instr({url}, '://') + 3)")).otherwise(F.lit(""))
+    at = F.instr(url, "://")
+    after = F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
     return (
         lower_az(F.regexp_extract(after, r"(?s)^([^/?#]*)", 1)),
         F.regexp_extract(after, r"(?s)^[^/?#]*([^?#]*)", 1),
@@ -100,10 +101,12 @@ def judge_urls(
     path; of those that fit, the one with most host labels and then the longest
     path wins, and of equal rules the last. Without a rule, `rule` is null and
     the verdict is `default`. Null and malformed urls have an empty host and
-    path, so no rule fits. Existing columns of these four names are replaced.
+    path, so no rule fits. Existing columns of these four names are replaced;
+    repeated rows keep one row each, and without rules every verdict is
+    `default`.
     """
     rules = RULES if rules is None else rules
-    host, path = url_parts(url_col)
+    host, path = url_parts(F.col(f"`{url_col}`"))
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     parts = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("host"), path.alias("path"))
     if sum(len(h) + len(p) for _, h, p in rules) > broadcast_chars:

@@ -231,6 +231,16 @@ def test_url_filter(spark, broadcast_chars):
     assert url_filter.judge_urls(pages.where("false")).count() == 0
 
 
+def test_url_filter_names_and_no_rules(spark):
+    pages = spark.createDataFrame([(1, "http://A.com/x", "r", "v", "p"), (1, "http://A.com/x", "r", "v", "p"), (None, None, None, None, None)], "page_id long, `the url` string, rule string, verdict string, path string")
+    for broadcast_chars in (1 << 20, -1):
+        rows = url_filter.judge_urls(pages, [], "the url", "block", broadcast_chars).collect()
+        assert Counter(tuple(r) for r in rows) == {(1, "http://A.com/x", "a.com", "/x", None, "block"): 2, (None, None, "", "", None, "block"): 1}
+    long = spark.createDataFrame([("http://a.com/" + "x/" * 50_000,)], "url string")
+    for broadcast_chars in (1 << 20,):
+        assert url_filter.judge_urls(long, [("block", "com", "/x/"), ("allow", "com", "/" + "x/" * 40_000)], broadcast_chars=broadcast_chars).first()["verdict"] == "allow"
+
+
 def brute_print(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
