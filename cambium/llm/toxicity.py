@@ -2,9 +2,10 @@
 
 A character model counted over all documents drives a Viterbi search through
 the lattice of what each token may stand for: leetspeak, letters spaced or
-pointed apart, and repetition. The restored words then carry evidence learned
-from labelled documents, and a small logistic model turns a document's
-strongest evidence into a score.
+pointed apart (a space between single letters is nothing or the end of a word),
+and repetition. The restored words then carry evidence learned from labelled
+documents, and a small logistic model turns a document's strongest evidence
+into a score.
 """
 
 from __future__ import annotations
@@ -20,13 +21,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, read, sliced, utf8
+from .common import ASCII_LOWER, cut, read, sliced, utf8
 
 #: Labelled documents that the weights are learned from, at most; those whose hashed ids are smallest.
 MAX_TRAIN = 20_000
-#: Features of most weight that are kept, at most.
-MAX_FEATURES = 50_000
 THRESHOLD = 0.3
 #: Imaginary documents, in the usual proportion of toxic ones, that each feature is also in.
 PRIOR_DOCS = 3.0
@@ -41,9 +41,16 @@ LEET = {
 LETTERS = "a-zß-öø-ÿœ"
 LETTER = re.compile(f"[{LETTERS}]")
 PLAIN = re.compile(f"[{LETTERS}]+")
-TRIPLE = re.compile(r"(.)\1\1")
-NOISE_AFTER = re.compile(r"[^\w]{3,}$")
+DOUBLE = re.compile(r"(.)\1")
+READABLE = re.compile(f"[{LETTERS}{re.escape(''.join(LEET))}]")
+EDGES = re.compile(f"^[^{LETTERS}]+|[^{LETTERS}]+$")
+#: Three or more symbols after a word that stand for no letter.
+NOISE_AFTER = re.compile(rf"(?<=\w)[^\w{re.escape(''.join(LEET))}]{{3,}}$")
 MARKS_AFTER, MARKS_BEFORE = ".,;:!?'\")]}»…", "'\"([{«¿¡"
+#: Logarithms of the chance of a symbol that no letters explain, and of one in a number.
+UNREADABLE, IN_NUMBER = -8.0, -math.log(10)
+#: Cost of a word's end between single letters.
+BREAK = 0.5
 
 #: Of bytes, only a-z and those above 0x7F (A-Z lower-cased); the rest part words.
 LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -51,7 +58,7 @@ LETTER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127
 
 @dataclass
 class Model:
-    """What scoring needs; its size is bounded by the alphabet and by MAX_FEATURES."""
+    """What scoring needs; its size is bounded by the alphabet and by the words of MAX_TRAIN documents."""
 
     grams: dict[str, float] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
@@ -102,39 +109,68 @@ def options(symbol: str, count: int) -> list[tuple[str, float]]:
             return [(symbol, 0.0)]
         return [(symbol * 2, 0.0 if count == 2 else 0.7), (symbol, 2.0 if count == 2 else 0.5)]
     if symbol in LEET:
-        read_as = [(letter, 1.0) for letter in LEET[symbol]]
-        return read_as + [(letter * 2, 1.0) for letter in LEET[symbol]] if count > 1 else read_as
-    return [("", 0.5)]
-
-
-def restore(token: str, grams: dict[str, float]) -> str:
-    """The likeliest reading of a token: Viterbi over its runs of symbols; a state is the last two letters."""
-    states: dict[str, tuple[float, str]] = {"^^": (0.0, "")}
-    runs = [(m[0][0], len(m[0])) for m in re.finditer(r"(?s)(.)\1*", token)]
-    for symbol, count in [*runs, ("$end", 1)]:
-        after: dict[str, tuple[float, str]] = {}
-        for state, (score, text) in states.items():
-            for letters, cost in [("$", 0.0)] if symbol == "$end" else options(symbol, count):
+        read_as = [(letter, 1.0) for letter in LEET[symbol]] + ([(letter * 2, 1.0) for letter in LEET[symbol]] if count > 1 else [])
+        return read_as if symbol.isdigit() else [*read_as, ("", 1.2)]
+    return [("", 0.0), (" ", BREAK)] if symbol == " " else [("", 0.5)]
+
+
+def chance(grams: dict[str, float], two: str, letter: str) -> float:
+    """The logarithm of a letter's chance after two others."""
+    return grams.get(two + letter) or grams.get(two, UNREADABLE)
+
+
+def restore(token: str, grams: dict[str, float]) -> tuple[str, float]:
+    """The likeliest reading of a token, words parted by a space, and its score: Viterbi over its runs of symbols; a state is the last two letters."""
+    states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
+    for m in re.finditer(r"(?s)(.)\1*", token):
+        after: dict[str, tuple[float, tuple | None]] = {}
+        for letters, cost in options(m[1], len(m[0])):
+            for state, (score, text) in states.items():
                 now, at = score - cost, state
                 for letter in letters:
-                    now += grams.get(at + letter) or grams.get(at, -8.0)
-                    at = at[1] + letter
+                    if letter == " ":
+                        now += chance(grams, at, "$")
+                        at = "^^"
+                    else:
+                        now += chance(grams, at, letter)
+                        at = at[1] + letter
                 if at not in after or after[at][0] < now:
-                    after[at] = (now, text + letters)
+                    after[at] = (now, (text, letters) if letters else text)
         states = after
-    return max(states.values())[1].rstrip("$")
+    best, text = max(((score + chance(grams, at, "$"), text) for at, (score, text) in states.items()), key=lambda found: found[0])
+    parts = []
+    while text:
+        text, letters = text
+        parts.append(letters)
+    return "".join(reversed(parts)), best
+
+
+def literal_score(token: str, grams: dict[str, float]) -> float:
+    """Of the token as it stands: letters by the character model, other symbols as part of a number if there are no letters."""
+    if not LETTER.search(token):
+        return IN_NUMBER * len(token)
+    score, at = 0.0, "^^"
+    for symbol in token:
+        score += chance(grams, at, symbol) if LETTER.match(symbol) else UNREADABLE
+        at = at[1] + symbol
+    return score + chance(grams, at, "$")
 
 
 def readings(token: str, grams: dict[str, float]) -> list[str]:
-    """The words a token may stand for: its plain letters, and its restored form if it looks disguised."""
+    """The words a token may stand for: its letters as they are, and the restored words if they are likelier than the token as it stands.
+
+    Marks at either end are punctuation. A token of letters none of which is
+    doubled has one path through the lattice only.
+    """
     token = NOISE_AFTER.sub("", token).lstrip(MARKS_BEFORE).rstrip(MARKS_AFTER)
-    if PLAIN.fullmatch(token) and not TRIPLE.search(token):
+    if PLAIN.fullmatch(token) and not DOUBLE.search(token):
         return [token]
-    letters = len(LETTER.findall(token))
-    if letters < 2 or letters < 0.4 * len(token):
+    if not READABLE.search(token):
         return []
-    restored = restore(token, grams)
-    return [restored] if restored == token else [token.strip("0123456789" + MARKS_AFTER), restored]
+    restored, score = restore(token, grams)
+    bare = EDGES.sub("", token)
+    literal = [bare] if bare and " " not in bare else []
+    return [*literal, *restored.split()] if score > literal_score(token, grams) or restored == token else literal
 
 
 def features(word: str) -> list[str]:
@@ -170,7 +206,7 @@ class Evidence(dict):
 
 
 def tokens_of(text: bytes) -> set[bytes]:
-    """The different tokens of a text; at least three single letters in a row are also one token."""
+    """The different tokens of a text; at least three single characters in a row are also one token, with the spaces between them."""
     words = text.translate(ASCII_LOWER).split()
     tokens = set(words)
     if sum(len(t) == 1 for t in tokens) > 2 or (any(len(t) == 1 for t in tokens) and sum(len(w) == 1 for w in words) > 2):
@@ -180,7 +216,7 @@ def tokens_of(text: bytes) -> set[bytes]:
                 run.append(word)
             else:
                 if len(run) > 2:
-                    tokens.add(b"".join(run))
+                    tokens.add(b" ".join(run))
                 run = []
     return tokens
 
@@ -199,15 +235,17 @@ def held_out(id_col: str):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_train: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """text, toxic and half (0 or 1) of at most `max_train` labelled documents that aren't held out."""
+    """text, toxic and half (0 or 1) of at most `max_train` labelled documents that aren't held out, written once; of rows of one id, one text."""
     chosen = (
-        labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("toxic"))
-        .where(F.col("__id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out("__id"))
-        .groupBy("__id").agg(F.max("toxic").alias("toxic"))
+        labels.select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__toxic"))
+        .where(F.col("__id").isNotNull() & F.col("__toxic").isin(0, 1) & ~held_out("__id"))
+        .groupBy("__id").agg(F.max("__toxic").alias("__toxic"))
         .orderBy(F.xxhash64("__id"), "__id").limit(max_train)
     )
     # At most max_train rows, so they may be broadcast.
-    return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select(F.col(text_col).alias("text"), "toxic", F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("__doc") == F.col("__id"))
+    one = rows.groupBy("__id", "__toxic").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"].alias("text"))
+    return cut(one.select("text", F.col("__toxic").alias("toxic"), F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(2)).cast("int").alias("half")))
 
 
 def feature_counts(rows: DataFrame, grams: dict[str, float]) -> DataFrame:
@@ -254,16 +292,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 50)
     return w
 
 
-def fit(
-    docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES,
-    id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Count the character model over all documents, and learn weights from a bounded sample of labelled ones.
 
     What comes to the driver is bounded: three-letter counts by the alphabet,
-    features by `max_features` and the described documents by `max_train`. The
-    logistic model sees each half's documents with weights of the other half.
-    Without labelled documents of both kinds every score is almost 0.
+    features and described documents by `max_train`. The logistic model sees
+    each half's documents with weights of the other half. Without labelled
+    documents of both kinds every score is almost 0. Null labels and ids count
+    as none; an id labelled both ways is toxic.
     """
     grams = log_probabilities({r["gram"]: r["n"] for r in gram_counts(docs, text_col).toLocalIterator()})
     rows = training_rows(docs, labels, max_train, id_col, text_col, label_col)
@@ -274,7 +310,7 @@ def fit(
     share = toxic / (toxic + clean)
     both, odds = F.col("n01") + F.col("n11"), PRIOR_DOCS * (1 - share)
     ratio = (both + PRIOR_DOCS * share) / (F.col("n00") + F.col("n10") + odds)
-    top = feature_counts(rows, grams).where(both >= 2).where(ratio > 2 * share / (1 - share)).orderBy(F.desc(ratio), "feature").limit(max_features).collect()
+    top = feature_counts(rows, grams).where(both >= 2).where(ratio > 2 * share / (1 - share)).orderBy("feature").collect()
     n = np.asarray([[r["n00"], r["n01"], r["n10"], r["n11"]] for r in top], float).reshape(len(top), 4)
     names = [r["feature"] for r in top]
 
@@ -296,12 +332,11 @@ def fit(
     return Model(grams, weights(weight(n[:, 1] + n[:, 3], n[:, 0] + n[:, 2], share)), logistic(x, y).tolist())
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`docs` with the columns score and predicted added, or replaced; null texts are scored as empty ones."""
+def _judged(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
+    """`docs` with __score and __predicted added."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")])
     at = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double, predicted int"
+    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -310,14 +345,21 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: floa
             x = np.asarray([described(t, evidence) for t in utf8(batch.column(at))]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             added = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__score", "__predicted"])
 
     return docs.mapInArrow(judge, schema)
 
 
+def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`docs` with the columns score and predicted added, or replaced; null texts are scored as empty ones. Repeated rows keep one row each."""
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted") or c == text_col]
+    return _judged(docs.select(*kept), model, text_col, threshold).withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that aren't predicted toxic, with their columns."""
-    return score(docs, fit(docs, labels, max_train, id_col=id_col, text_col=text_col), text_col).where("predicted = 0").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of `docs` that aren't predicted toxic, with all their columns as they are, whatever their names."""
+    judged = _judged(docs, fit(docs, labels, max_train, id_col=id_col, text_col=text_col), text_col, THRESHOLD)
+    return judged.where("__predicted = 0").drop("__score", "__predicted")
 
 
 def op6_toxicity(spark, sf_dir):
