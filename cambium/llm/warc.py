@@ -3,6 +3,8 @@
 Tasks write archives to the shared folder under names that follow from the
 partition, so a task that runs again replaces what it wrote before; Spark's
 binary file source brings them back and each archive is decoded frame by frame.
+A trailing skippable frame has the number of records, so an archive that is cut
+anywhere is told from a whole one.
 """
 
 from __future__ import annotations
@@ -20,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, shared_dir, sliced, utf8
+from .common import cut, read, scratch, sliced, utf8
 
 SKIPPABLE = 0x184D2A5D
+#: The frame that ends an archive: the number of its records in 8 bytes.
+COUNT = 0x184D2A5E
 FRAME = 0xFD2FB528
 LEVEL = 3
 DICTIONARY_BYTES = 16 << 10
@@ -79,13 +83,24 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
 
 
 def headers_of(data: bytes) -> tuple[str, dict[str, str]]:
-    first, *lines = data.decode().split("\r\n")
+    try:
+        first, *lines = data.decode().split("\r\n")
+    except UnicodeDecodeError as error:
+        raise WarcError("headers aren't UTF-8") from error
     pairs = [line.partition(": ") for line in lines]
     if not all(colon for _, colon, _ in pairs):
         raise WarcError("a header line has no colon")
     return first, {name.lower(): value for name, _, value in pairs}
 
 
+def number_of(header: dict[str, str], name: str) -> int | None:
+    """A header's number, None without it."""
+    value = header.get(name)
+    if value is not None and not re.fullmatch(r"-?[0-9]{1,19}", value):
+        raise WarcError(f"{name} isn't a number: {value[:40]}")
+    return None if value is None else int(value)
+
+
 def decode_record(data: bytes) -> tuple:
     """The fields of RECORD, after checking version, headers, lengths and digests; a revisit has no payload."""
     head, gap, rest = data.partition(b"\r\n\r\n")
@@ -94,23 +109,25 @@ def decode_record(data: bytes) -> tuple:
         raise WarcError("not a WARC record")
     if missing := [n for n in ("warc-type", "warc-record-id", "warc-date", "content-length", "warc-payload-digest") if n not in header]:
         raise WarcError(f"missing headers: {missing}")
-    length = int(header["content-length"])
+    length = number_of(header, "content-length")
     block = rest[:length]
-    if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
+    if length < 0 or len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError(f"Content-Length is {length}, but {len(rest) - 4} bytes follow")
     if "warc-block-digest" in header and header["warc-block-digest"] != f"sha1:{digest_of(block)}":
         raise WarcError("the block's digest differs")
     http, gap, payload = block.partition(b"\r\n\r\n")
-    size = int(headers_of(http)[1]["content-length"])
+    size = number_of(headers_of(http)[1], "content-length")
+    if size is None or size < 0:
+        raise WarcError("the HTTP header has no length")
     kind, digest = header["warc-type"], header["warc-payload-digest"].removeprefix("sha1:")
     if kind not in ("response", "revisit") or not gap:
         raise WarcError(f"a record of type {kind}")
     if kind == "response" and (len(payload) != size or digest_of(payload) != digest):
         raise WarcError("the payload's length or digest differs")
-    number = {n: int(header[n]) if n in header else None for n in ("x-page-id", "x-refers-to-page-id")}
+    page_id, refers_to = number_of(header, "x-page-id"), number_of(header, "x-refers-to-page-id")
     url = header.get("warc-target-uri")
     url = None if url is None else re.sub(r"%(0[0-9A-F]|1[0-9A-F]|7F|25)", lambda m: chr(int(m[1], 16)), url)
-    return number["x-page-id"], url, size, digest, kind, number["x-refers-to-page-id"], payload if kind == "response" else None
+    return page_id, url, size, digest, kind, refers_to, payload if kind == "response" else None
 
 
 class ArchiveWriter:
@@ -120,9 +137,11 @@ class ArchiveWriter:
         self.waiting: list[bytes] = []
         self.parts: list[bytes] = []
         self.size = 0
+        self.records = 0
         self.compressor: zstandard.ZstdCompressor | None = None
 
     def add(self, record: bytes) -> None:
+        self.records += 1
         if self.compressor is None:
             self.waiting.append(record)
             if len(self.waiting) >= SAMPLE:
@@ -151,36 +170,63 @@ class ArchiveWriter:
     def close(self) -> bytes:
         if self.waiting:
             self._begin()
-        data = b"".join(self.parts)
+        data = b"".join([*self.parts, struct.pack("<IIQ", COUNT, 8, self.records)])
         self.__init__()
         return data
 
 
-def read_archive(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one for each frame; other skippable frames are passed over."""
+def read_archive(data: bytes, counted: bool = True) -> Iterator[bytes]:
+    """The records of an archive, one for each frame; other skippable frames are passed over.
+
+    WarcError if a frame is cut or broken, if the last frame's number of
+    records differs, or, with `counted`, if there is no such frame at the end.
+    """
     decompressor, view, at, first = zstandard.ZstdDecompressor(), memoryview(data), 0, True
+    records, ended = 0, False
     while at < len(data):
-        (magic,) = struct.unpack_from("<I", data, at)
+        magic = int.from_bytes(data[at : at + 4], "little")
         if 0x184D2A50 <= magic <= 0x184D2A5F:
-            (length,) = struct.unpack_from("<I", data, at + 4)
+            content = at + 8
+            end = content + int.from_bytes(data[at + 4 : content], "little")
+            if len(data) < content or len(data) < end:
+                raise WarcError("a skippable frame is cut short")
             if first and magic == SKIPPABLE:
-                raw = data[at + 8 : at + 8 + length]
-                if raw[:4] == struct.pack("<I", FRAME):
-                    raw = zstandard.ZstdDecompressor().decompress(raw)
-                decompressor = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-            at += 8 + length
+                decompressor = _with_dictionary(data[content:end])
+            if magic == COUNT:
+                if ended or end - content != 8 or int.from_bytes(data[content:end], "little") != records:
+                    raise WarcError(f"the archive doesn't have {records} records")
+                ended = True
+            at = end
         elif magic == FRAME:
+            if ended:
+                raise WarcError("records after the last frame")
             one, parts = decompressor.decompressobj(), []
-            while not one.eof:
-                if at >= len(data):
-                    raise WarcError("a frame is cut short")
-                parts.append(one.decompress(view[at : at + READ_BYTES]))
-                at += READ_BYTES
+            try:
+                while not one.eof:
+                    if at >= len(data):
+                        raise WarcError("a frame is cut short")
+                    parts.append(one.decompress(view[at : at + READ_BYTES]))
+                    at += READ_BYTES
+            except zstandard.ZstdError as error:
+                raise WarcError("a frame is broken") from error
             at = min(at, len(data)) - len(one.unused_data)
+            records += 1
             yield b"".join(parts)
         else:
             raise WarcError(f"no frame at byte {at}")
         first = False
+    if counted and not ended:
+        raise WarcError("the archive has no end")
+
+
+def _with_dictionary(raw: bytes) -> zstandard.ZstdDecompressor:
+    """A decompressor with a dictionary, itself compressed or not."""
+    try:
+        if raw[:4] == struct.pack("<I", FRAME):
+            raw = zstandard.ZstdDecompressor().decompress(raw)
+        return zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
+    except zstandard.ZstdError as error:
+        raise WarcError("the dictionary is broken") from error
 
 
 def choose_responses(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -195,6 +241,16 @@ def choose_responses(pages: DataFrame, least_bytes: int = 0, id_col: str = "page
     return found.withColumn("__refers", F.when(F.col(id_col) < F.col("__last"), F.col("__last"))).drop("__digest", "__last")
 
 
+def arrow_uri(folder: str) -> str:
+    """A folder as Arrow names it, of a path or of a URI as Spark names it."""
+    scheme, colon, rest = folder.partition(":")
+    if not colon or "/" in scheme:
+        return f"file://{folder}"
+    if scheme == "file":
+        return f"file:///{rest.lstrip('/')}"
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}"
+
+
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record for each row to archives in `folder`; one row (path, records, bytes) for each archive.
 
@@ -208,7 +264,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        store, root = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+        store, root = fs.FileSystem.from_uri(arrow_uri(folder))
         store.create_dir(root, recursive=True)
         task, writer, out = TaskContext.get(), ArchiveWriter(), []
         count = 0
@@ -237,8 +293,17 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     return chosen.mapInArrow(write, "path string, records long, bytes long")
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """The records (RECORD) of all archives in a folder. An archive that breaks the format fails the job."""
+def archives(spark, folder: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+
+
+def read_archives(spark, folder: str, counted: bool = True) -> DataFrame:
+    """The records (RECORD) of all archives in a folder. An archive that breaks the format fails the job; check_archives() tells which.
+
+    `counted` archives end in a frame that has their number of records, as
+    those of write_archives() do; without it, archives that were cut between
+    two frames can't be told from whole ones.
+    """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]
@@ -247,7 +312,7 @@ def read_archives(spark, folder: str) -> DataFrame:
             for data in batch.column(0).to_pylist():
                 rows: list[tuple] = []
                 size = 0
-                for record in read_archive(data):
+                for record in read_archive(data, counted):
                     rows.append(decode_record(record))
                     size += len(record)
                     if size > 4 << 20:
@@ -256,12 +321,31 @@ def read_archives(spark, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
-    return files.select("content").mapInArrow(decode, RECORD)
+    return archives(spark, folder).select("content").mapInArrow(decode, RECORD)
+
+
+def check_archives(spark, folder: str, counted: bool = True) -> DataFrame:
+    """path, records that can be read, and error (null if there is none) of each archive in a folder."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                records, said = 0, None
+                try:
+                    for record in read_archive(data, counted):
+                        decode_record(record)
+                        records += 1
+                except WarcError as error:
+                    said = str(error)
+                rows.append((path, records, said))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string()), strict=True)], ["path", "records", "error"])
+
+    return archives(spark, folder).select("path", "content").mapInArrow(check, "path string, records long, error string")
 
 
 def op7_warc(spark, sf_dir):
-    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = scratch(spark, "warc")
     written = write_archives(read(spark, sf_dir, "pages"), folder)
     if not written.agg(F.sum("records")).first()[0]:
         return spark.createDataFrame([], RECORD).drop("url", "payload")

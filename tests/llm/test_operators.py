@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -407,12 +408,43 @@ def test_warc_dictionary_and_errors():
         writer.add(r)
     data = writer.close()
     assert data[:4] == bytes.fromhex("5d2a4d18") and list(warc.read_archive(data)) == records
-    with pytest.raises(warc.WarcError):
-        list(warc.read_archive(data[:-3]))
-    with pytest.raises(warc.WarcError):
-        warc.decode_record(records[0].replace(b"page 0", b"page 1"))
-    with pytest.raises(warc.WarcError):
-        warc.decode_record(records[0][:-1])
+    for changed in (records[0].replace(b"page 0", b"page 1"), records[0][:-1], records[0].replace(b"Content-Length", b"Content-Size"), records[0].replace(b"X-Page-Id: 0", b"X-Page-Id: zero"), b"", b"WARC/1.1\r\n\r\n"):
+        with pytest.raises(warc.WarcError):
+            warc.decode_record(changed)
+
+
+def test_warc_cut_anywhere():
+    """Every prefix of an archive is told from the whole; so are changed bytes."""
+    for n in (3, 250):
+        writer = warc.ArchiveWriter()
+        for i in range(n):
+            writer.add(warc.encode_record(i, None, f"<p>{i} {'words ' * (i % 5)}</p>".encode(), None))
+        data = writer.close()
+        assert len(list(warc.read_archive(data))) == n
+        for end in range(len(data)) if n == 3 else [0, 1, 3, 4, 6, 8, 100, 5000, *range(len(data) - 400, len(data))]:
+            with pytest.raises(warc.WarcError):
+                list(warc.read_archive(data[:end]))
+        for at in range(0, len(data), 1 if n == 3 else 97):
+            try:
+                found = list(warc.read_archive(data[:at] + bytes([data[at] ^ 0x41]) + data[at + 1 :]))
+            except warc.WarcError:
+                continue
+            assert len(found) == n
+
+
+def test_warc_folders(spark, tmp_path):
+    assert [warc.arrow_uri(x) for x in ("/a/b", "file:/a/b", "file:///a/b", "s3a://b/c", "hdfs://h/c")] == ["file:///a/b", "file:///a/b", "file:///a/b", "s3://b/c", "hdfs://h/c"]
+    pages = spark.createDataFrame([(i, "u", "p" * i) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    folder = tmp_path / "some"
+    (path,) = [r["path"] for r in warc.write_archives(pages, str(folder)).collect()]
+    whole = open(path, "rb").read()
+    with open(folder / "cut.warc.zst", "wb") as file:
+        file.write(whole[:-40])
+    found = {r["path"].rpartition("/")[2]: (r["records"], r["error"] is None) for r in warc.check_archives(spark, str(folder)).collect()}
+    assert found[path.rpartition("/")[2]] == (20, True) and found["cut.warc.zst"][1] is False
+    pages.where("false").write.parquet(str(tmp_path / "pages.parquet"))
+    none = warc.op7_warc(spark, str(tmp_path))
+    assert none.count() == 0 and none.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
 def test_licenses(spark, none):
@@ -454,19 +486,53 @@ def test_toxicity(spark, none):
             words[3:3] = rng.choices(bad, k=2)
         rows.append((i, " ".join(words)))
         labels.append((i, int(toxic)))
-    hidden = ["the 1d10t was here and on", "an i d i o t in there", "p@th3tic w0rthle$s", "such a m0000ron", "nothing of that at all", None, "", "101 22.5 555-7209"]
+    hidden = ["the 1d10t was here and on", "an i d i o t in there", "p@th3tic w0rthle$s", "such a m0000ron", "the y o u i d i o t again", "a 1d107 here", "m 0 r 0 n", "an idiooot and on", "nothing of that at all", None, "", "101 22.5 555-7209"]
     rows += [(1000 + i, t) for i, t in enumerate(hidden)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame([*labels, (5, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.fit(docs, known)
     found = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     assert sum(found[i]["predicted"] == t for i, t in labels if zlib.crc32(str(i).encode()) % 4 == 2) >= 95 * sum(zlib.crc32(str(i).encode()) % 4 == 2 for i in range(400)) / 100
-    assert [found[1000 + i]["predicted"] for i in range(len(hidden))] == [1, 1, 1, 1, 0, 0, 0, 0]
+    assert [found[1000 + i]["predicted"] for i in range(len(hidden))] == [1] * 8 + [0] * 4
     assert all(0 <= r["score"] <= 1 for r in found.values())
     empty = toxicity.fit(none.select("doc_id", "text"), known)
     assert toxicity.score(docs, empty).where("predicted = 1").count() == 0
 
 
+def test_viterbi_by_all_paths():
+    """Of all paths through a token's lattice, restore() finds the likeliest."""
+    rng = random.Random(9)
+    grams = toxicity.log_probabilities(Counter(rng.choice("^abot") + rng.choice("abot") + rng.choice("abot$") for _ in range(300)) | Counter({"^^a": 5, "^^b": 9, "^^t": 2, "^^o": 4}))
+
+    def value(path):
+        score = -sum(cost for _, cost in path)
+        for word in "".join(letters for letters, _ in path).split(" "):
+            padded = f"^^{word}$"
+            score += sum(toxicity.chance(grams, padded[i : i + 2], padded[i + 2]) for i in range(len(padded) - 2))
+        return score
+
+    for _ in range(300):
+        token = "".join(rng.choice(["a", "b", "oo", "ttt", "0", "4", "@", "8", "-", " ", "77", "!"]) for _ in range(rng.randint(1, 6)))
+        runs = [toxicity.options(m[1], len(m[0])) for m in re.finditer(r"(?s)(.)\1*", token)]
+        want = max(map(value, itertools.product(*runs)))
+        text, score = toxicity.restore(token, grams)
+        assert score == pytest.approx(want), token
+        assert any("".join(letters for letters, _ in path) == text and value(path) == pytest.approx(want) for path in itertools.product(*runs))
+
+
+def test_toxicity_columns_and_repeats(spark):
+    rows = [(i % 90, "idiot moron here" if i % 90 % 3 == 0 else "words of the other kind", "a", "b", 7, 8) for i in range(180)] + [(None, None, None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic string, predicted int, half int").repartition(3)
+    labels = spark.createDataFrame([(i % 90, int(i % 90 % 3 == 0), "x") for i in range(120)], "doc_id long, toxic int, text string")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(r for r in rows if not r[1] or "idiot" not in r[1])
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, max_train=40))
+    assert scored.columns == ["doc_id", "text", "toxic", "half", "score", "predicted"] and scored.count() == len(rows)
+    assert toxicity.training_rows(docs, labels, 1000, "doc_id", "text", "toxic").count() == sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(90))
+    assert toxicity.training_rows(docs, labels, 9, "doc_id", "text", "toxic").count() == 9
+
+
 def test_oracles(spark):
     from cambium.llm import registry
 
