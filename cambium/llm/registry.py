@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op4_url_filter": url_filter.SQL,
     "op7_warc": warc.SQL,
     "op8_license_scan": license_scan.SQL,
+    "op9_secret_scan": secret_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -1,8 +1,9 @@
 """Secret scanning, with the corpus-wide frequency of owners to tell examples from live credentials.
 
 Each text is scanned once. The hashes of what is found, never the values, are
-counted over distinct repositories and owners: a value that many owners have is
-a widely copied example, one that a single owner has may be live.
+counted over distinct repositories and owners: a value that several owners or
+many repositories have is a widely copied example, one that a single owner has
+in few of them may be live.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ KINDS = [
     ("chat", re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 15),
     ("payment", re.compile(rb"[prs]k_(?:live|test)_[A-Za-z0-9]{16,}"), 0, 24),
     ("jwt", re.compile(rb"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 29),
-    ("pem", re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 0),
+    ("pem", re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:(?:[ \t\r\n]+[A-Za-z-]+:[^\n]*)*[A-Za-z0-9+/= \t\r\n]*-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"), 0, 0),
 ]
 BASE = 3
-#: A value that at least so many owners have is an example.
-EXAMPLE_OWNERS = 3
+#: A value that at least so many owners, or so many repositories, have is an example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 #: A live credential has at least so many bits of entropy in a character.
 LIVE_BITS = 2.5
 
@@ -41,7 +42,7 @@ FOUND = "n_assign long, n_access long, n_hex long, base string, spans string, ca
 
 def entropy(value: bytes) -> float:
     n = len(value)
-    return -sum(k / n * math.log2(k / n) for k in Counter(value).values()) if n else 0.0
+    return round(-sum(k / n * math.log2(k / n) for k in Counter(value).values()), 9) if n else 0.0
 
 
 def scan(text: bytes) -> list[tuple[int, int, int, bytes]]:
@@ -56,7 +57,7 @@ def scan(text: bytes) -> list[tuple[int, int, int, bytes]]:
     for start, kind, end, value in found:
         chars += len(text[at:start].decode(errors="replace")) if start else 0
         at = start
-        out.append((chars, chars + end - start, kind, value))  # a find is ASCII only
+        out.append((chars, chars + len(text[start:end].decode(errors="replace")), kind, value))
     return out
 
 
@@ -85,13 +86,14 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def find_secrets(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repository_col: str = "doc_id",
-    example_owners: int = EXAMPLE_OWNERS, live_bits: float = LIVE_BITS,
+    example_owners: int = EXAMPLE_OWNERS, example_repositories: int = EXAMPLE_REPOSITORIES, live_bits: float = LIVE_BITS,
 ) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base and spans (kind:start:end, comma-joined), n_examples, n_live, live_spans.
+    """One row per document: doc_id, n_assign, n_access, n_hex, base and spans (kind:start:end, comma-joined), n_examples, n_live, most_repositories, live_spans.
 
-    A value that at least `example_owners` distinct owners have is an example;
-    one of a single owner with at least `live_bits` bits of entropy in a
-    character looks live. Null texts are empty; null owners and repositories
+    A value that at least `example_owners` distinct owners or
+    `example_repositories` distinct repositories have is an example; one of a
+    single owner that isn't, with at least `live_bits` bits of entropy in a
+    character, looks live. Null texts are empty; null owners and repositories
     count as none. Repeated rows and ids keep one row each.
     """
     rows = cut(
@@ -111,8 +113,8 @@ def find_secrets(
     judged = (
         each.withColumn("key", F.struct("hash"))
         .join(counts, "key", "left")
-        .withColumn("example", F.coalesce(F.col("owners") >= example_owners, F.lit(False)))
-        .withColumn("live", (F.coalesce("owners", F.lit(0)) == 1) & (F.col("bits") >= live_bits))
+        .withColumn("example", (F.coalesce("owners", F.lit(0)) >= example_owners) | (F.coalesce("repositories", F.lit(0)) >= example_repositories))
+        .withColumn("live", ~F.col("example") & (F.coalesce("owners", F.lit(0)) == 1) & (F.col("bits") >= live_bits))
         .groupBy("row_id")
         .agg(
             F.count_if("example").alias("n_examples"),
@@ -132,3 +134,44 @@ def op9_secret_scan(spark, sf_dir):
     return find_secrets(read(spark, sf_dir, "documents")).select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_examples", "n_live", "most_repositories", "live_spans"
     )
+
+
+def _sql() -> str:
+    kinds, places = [], []
+    for nr, (name, pattern, group, least) in enumerate(KINDS):
+        text = re.sub(r"\(\?i:(.*?)\)\)", lambda m: re.sub("[a-z]", lambda c: f"[{c[0].upper()}{c[0]}]", m[1]) + ")", pattern.pattern.decode()).replace("'", "''")
+        # Matches between marks; what stands before a mark adds up to its place.
+        kinds.append(f"""k{nr} AS (
+  SELECT rid, {nr} AS nr, '{name}' AS kind, i, split_part(part, chr(2), 1) AS found, length(replace(part, chr(2), '')) AS size
+  FROM (SELECT rid, unnest(parts) AS part, unnest(range(len(parts))) AS i
+        FROM (SELECT rid, string_split(regexp_replace(text, '{text}', chr(1) || '\\0' || chr(2), 'g'), chr(1)) AS parts FROM d))
+)""")
+        places.append(f"""
+  SELECT rid, nr, kind, before AS begins, before + length(found) AS ends, regexp_extract(found, '{text}', {group}) AS value
+  FROM (SELECT *, sum(size) OVER (PARTITION BY rid ORDER BY i) - size AS before FROM k{nr})
+  WHERE i > 0 AND length(regexp_extract(found, '{text}', {group})) >= {least}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents
+), {", ".join(kinds)}, f AS ({" UNION ALL ".join(places)}
+), e AS (
+  SELECT value, round(-sum(n / size * log2(n / size)), 9) AS bits
+  FROM (SELECT value, c, count(*)::DOUBLE AS n, length(value)::DOUBLE AS size FROM (SELECT value, unnest(string_split(value, '')) AS c FROM (SELECT DISTINCT value FROM f)) GROUP BY ALL)
+  GROUP BY value
+), c AS (SELECT value, count(DISTINCT source) AS owners, count(DISTINCT doc_id) AS repositories FROM f JOIN d USING (rid) GROUP BY value
+), j AS (
+  SELECT f.*, kind || ':' || CAST(begins AS BIGINT) || ':' || CAST(ends AS BIGINT) AS span, repositories,
+         owners >= {EXAMPLE_OWNERS} OR repositories >= {EXAMPLE_REPOSITORIES} AS example, owners = 1 AND repositories < {EXAMPLE_REPOSITORIES} AND bits >= {LIVE_BITS} AS live
+  FROM f JOIN c USING (value) JOIN e USING (value)
+), a AS (
+  SELECT rid, count(*) FILTER (nr = 0) AS n0, count(*) FILTER (nr = 1) AS n1, count(*) FILTER (nr = 2) AS n2,
+         string_agg(span, ',' ORDER BY begins, nr) FILTER (nr < {BASE}) AS base, string_agg(span, ',' ORDER BY begins, nr) AS spans,
+         count(*) FILTER (example) AS examples, count(*) FILTER (live) AS lives, max(repositories) AS most, string_agg(span, ',' ORDER BY begins, nr) FILTER (live) AS live_spans
+  FROM j GROUP BY rid
+)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(examples, 0) AS n_examples, coalesce(lives, 0) AS n_live, coalesce(most, 0) AS most_repositories, coalesce(live_spans, '') AS live_spans
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+SQL = _sql()

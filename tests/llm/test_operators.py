@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,8 +13,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cambium.llm import decontaminate, exact_dedup, license_scan, packing, secret_scan, shingle_dedup, simhash, substring_dedup, toxicity, url_filter, warc
+from cambium.llm import decontaminate, exact_dedup, licence_texts, license_scan, packing, secret_scan, shingle_dedup, simhash, substring_dedup, toxicity, url_filter, warc
 
 SCHEMA = "doc_id long, text string, source string, lang string, n_chars long, digest string, key1 string, score string, host string"
 SYLLABLES = "the and of to in on was for ha re on ti es er nt st".split()
@@ -447,10 +449,64 @@ def test_warc_folders(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
+def license_units(text):
+    norm = re.sub(r"[^0-9a-z\n|\u0080-\U0010ffff]+", " ", re.sub(r"[.!?]([ \n])", r"|\1", lower(text).replace("|", " ")))
+    paragraphs = re.split(r"\n *\n", norm)
+    units = [*re.split(r"[|\n]", norm), *norm.replace("|", " ").split("\n"), norm.replace("|", " ").replace("\n", " ")]
+    for p in paragraphs:
+        units += [*p.replace("\n", " ").split("|"), p.replace("\n", " ").replace("|", " ")]
+    return {" ".join(u.split()) for u in units} - {""}
+
+
+def license_matches(text, templates, least=0.8):
+    """By brute force: n_matches, licenses and best_dice."""
+    known = [(name, set(license_scan.bigrams_of(t))) for name, t in templates]
+    names, n, best = set(), 0, 0.0
+    for unit in license_units(text):
+        w = unit.split(" ")
+        grams = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+        dices = [(2.0 * len(grams & t) / (len(grams) + len(t)), name) for name, t in known if grams and t]
+        top = max(dices, default=(0, ""))[0]
+        if top >= least:
+            found = [name for d, name in dices if d == top]
+            n, names, best = n + len(found), names | set(found), max(best, top)
+    return n, ",".join(sorted(names)), round(best, 6)
+
+
+def wrapped(text, width):
+    return "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+
+
 def test_licenses(spark, none):
-    texts = ["Prose. Released under the MIT License. More prose.", "Licensed under the Apache License, version 2.0!\nx", None, "", "word", "released under the MIT license", "Nothing of the kind here"]
-    found = {r["doc_id"]: r["licenses"] for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert found == {0: "MIT", 1: "Apache-2.0", 2: "", 3: "", 4: "", 5: "MIT", 6: ""}
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choices(SYLLABLES, k=2)) for _ in range(n))
+    whole = licence_texts.TEXTS
+    wanted = {
+        "Prose. Released under the MIT License. More prose.": "MIT", "Licensed under the Apache License, version 2.0!\nx": "Apache-2.0", "released under the mit license": "MIT",
+        "": "", "word": "", "Nothing of the kind here": "", "under the software license without warranty": "",
+        wrapped("Copyright (c) 2020 Some One\n\n" + whole["MIT"], 60): "MIT",
+        f"{prose(30)}.\n\n" + wrapped(whole["Apache-2.0"], 40) + f"\n\n{prose(50)}": "Apache-2.0",
+        f"# {prose(5)}\n" + wrapped(whole["BSD-3-Clause"], 72): "BSD-3-Clause",
+        prose(20) + ". " + whole["GPL-3.0"].replace("General", "General\n") + " " + prose(20) + ".": "GPL-3.0",
+        f"{prose(9)}. This work is licensed under the GNU General\nPublic License, version 3. {prose(9)}": "GPL-3.0",
+    }
+    texts = [*wanted, None, "x\n" * 30_000 + "Released under the MIT License.", *wanted]
+    for name, text in whole.items():
+        words = text.split(" ")
+        for _ in range(4):
+            some = list(words)
+            for _ in range(rng.randint(1, len(words) // 6 + 1)):
+                some[rng.randrange(len(some))] = prose(1)
+            texts.append(prose(rng.randint(0, 40)) + rng.choice([". ", "\n", " "]) + wrapped(" ".join(some), rng.randint(30, 90)))
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(texts)], "doc_id long, text string, licenses string, norm int")
+    found = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan_licenses(docs).collect()}
+    templates = license_scan.all_templates()
+    for i, text in enumerate(texts):
+        assert found[i] == license_matches(text or "", templates), text
+        assert text not in wanted or found[i][1] == wanted[text], text
+    for given in ([], [("one", "word")], [("a'b", "some words here"), ("c", "some words here")]):
+        small = license_scan.scan_licenses(docs.where("doc_id < 20").unionByName(spark.createDataFrame([(None, "x. some words here", None, None)] * 2, docs.schema)), given).collect()
+        assert len(small) == 22 and [tuple(r)[1:] for r in small if r["doc_id"] is None] == [license_matches("x. some words here", given)] * 2
     assert license_scan.scan_licenses(none).count() == 0
 
 
@@ -474,6 +530,24 @@ def test_secrets(spark, none):
     assert secret_scan.find_secrets(none).count() == 0
 
 
+def test_secret_owners(spark):
+    """Examples by owners or by repositories; live ones of a single owner; repeated rows, null owners and ids, extra columns, long texts."""
+    value = lambda i: "ghp_" + base64.b32encode(hashlib.sha256(b"%d" % i).digest()).decode()[:36]
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEow+/=\nAbC=\n-----END RSA PRIVATE KEY-----"
+    rows = [(i, f"x {value(0)}", f"own{i % 3}") for i in range(3)]  # three owners
+    rows += [(10 + i, f"x {value(1)}", "own0") for i in range(12)]  # twelve repositories of one owner
+    rows += [(30, f"{value(2)} é {pem}", "own0"), (30, f"{value(2)} é {pem}", "own0"), (31, value(3), None), (None, value(4), "own1"), (32, "p " * 200_000 + value(5), "own2")]
+    rows += [(33, f"{value(6)}", "own1"), (34, f"{value(6)}", "own2")]  # two owners: neither
+    docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, source string, owner string, hash int").repartition(3)
+    found = secret_scan.find_secrets(docs).collect()
+    assert len(found) == len(rows)
+    state = {r["doc_id"]: (r["n_examples"], r["n_live"]) for r in found}
+    assert [state[i] for i in (0, 1, 2, 10, 21)] == [(1, 0)] * 5
+    assert state[30] == (0, 2) and state[31] == (0, 0) and state[None] == (0, 1) and state[32] == (0, 1) and state[33] == state[34] == (0, 0)
+    assert [r["spans"] for r in found if r["doc_id"] == 30] == [f"forge:0:40,pem:43:{43 + len(pem)}"] * 2
+    assert secret_scan.find_secrets(docs.withColumn("text", F.lit(None).cast("string"))).where("spans <> ''").count() == 0
+
+
 def test_toxicity(spark, none):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices(SYLLABLES, k=rng.randint(1, 3)))
