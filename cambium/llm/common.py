@@ -106,17 +106,23 @@ def keep_rows(docs: DataFrame, decided: DataFrame, id_col: str = "doc_id", text_
         .select(F.col("doc_id").alias("__found_id"), F.col("raw_hash").alias("__found_hash"), F.col("stays").alias("__stays"))
     )
     same = F.col("__id").eqNullSafe(F.col("__found_id")) & (F.col("__hash") == F.col("__found_hash"))
-    named = docs.withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(text_col)})
+    # Rows travel as one column, so no column's name can clash.
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"))
     if found.limit(small_rows + 1).count() <= small_rows:
         marked = named.join(F.broadcast(found), same, "left")
-        alone = marked.where(F.col("__stays").isNull())
+        alone = marked.where(F.col("__stays").isNull()).select("__row")
     else:
         key = F.xxhash64("__id", "__hash")
         asked = maybe_in(named, key, found.select(F.xxhash64("__found_id", "__found_hash").alias("__found_key")), "__found_key")
         marked = asked.where("__maybe").join(found, same, "left")
-        alone = asked.where("NOT __maybe").withColumn("__stays", F.lit(None).cast("boolean")).unionByName(marked.where(F.col("__stays").isNull()).select(*asked.columns, "__stays"))
-    kept = [F.col(f"`{c}`") for c in docs.columns]
+        alone = asked.where("NOT __maybe").select("__row").unionByName(marked.where(F.col("__stays").isNull()).select("__row"))
     if not found.where("__stays").isEmpty():
-        once = marked.where("__stays").dropDuplicates(["__id", "__hash"])
-        return alone.select(*kept).unionByName(once.select(*kept))
-    return alone.select(*kept)
+        alone = alone.unionByName(marked.where("__stays").dropDuplicates(["__id", "__hash"]).select("__row"))
+    return alone.select("__row.*")
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A name that no column has."""
+    while name.lower() in map(str.lower, columns):
+        name = f"_{name}"
+    return name

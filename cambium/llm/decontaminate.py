@@ -310,9 +310,11 @@ def decontaminate(
         if found is None:
             return docs
         found = found.select(F.col("key1").alias("__key1"), F.col("key2").alias("__key2"), F.col("cleaned").alias("__cleaned"), F.lit(True).alias("__hit"))
-        marked = docs.withColumns({"__at1": keys[0], "__at2": keys[1]}).join(found, (F.col("__at1") == F.col("__key1")) & (F.col("__at2") == F.col("__key2")), "left")
-        left = marked.where(F.col("__hit").isNull() | F.col("__cleaned").isNotNull()).withColumn(text_col, F.when(F.col("__hit"), F.col("__cleaned")).otherwise(text))
-        return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+        marked = docs.select(row, keys[0].alias("__at1"), keys[1].alias("__at2")).join(found, (F.col("__at1") == F.col("__key1")) & (F.col("__at2") == F.col("__key2")), "left")
+        left = marked.where(F.col("__hit").isNull() | F.col("__cleaned").isNotNull())
+        new = {text_col: F.when(F.col("__hit"), F.col("__cleaned")).otherwise(F.col(f"__row.`{text_col}`")).alias(text_col)}
+        return left.select(*[new.get(c, F.col(f"__row.`{c}`")) for c in docs.columns])
     sent = blocks[0]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, cut, read, sliced, utf8
+from .common import ASCII_LOWER, cut, fresh, read, sliced, utf8
 
 #: Labelled documents that the weights are learned from, at most; those whose hashed ids are smallest.
 MAX_TRAIN = 20_000
@@ -332,11 +332,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col:
     return Model(grams, weights(weight(n[:, 1] + n[:, 3], n[:, 0] + n[:, 2], share)), logistic(x, y).tolist())
 
 
-def _judged(docs: DataFrame, model: Model, text_col: str, threshold: float) -> DataFrame:
-    """`docs` with __score and __predicted added."""
+def _judged(docs: DataFrame, model: Model, text_col: str, threshold: float, names: list[str]) -> DataFrame:
+    """`docs` with the score and the prediction added under these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
-    schema = T.StructType([*docs.schema.fields, T.StructField("__score", T.DoubleType()), T.StructField("__predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -345,21 +345,22 @@ def _judged(docs: DataFrame, model: Model, text_col: str, threshold: float) -> D
             x = np.asarray([described(t, evidence) for t in utf8(batch.column(at))]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             added = [pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, "__score", "__predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     return docs.mapInArrow(judge, schema)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`docs` with the columns score and predicted added, or replaced; null texts are scored as empty ones. Repeated rows keep one row each."""
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted") or c == text_col]
-    return _judged(docs.select(*kept), model, text_col, threshold).withColumnsRenamed({"__score": "score", "__predicted": "predicted"})
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]
+    return _judged(docs.select(*kept), model, text_col, threshold, ["score", "predicted"])
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that aren't predicted toxic, with all their columns as they are, whatever their names."""
-    judged = _judged(docs, fit(docs, labels, max_train, id_col=id_col, text_col=text_col), text_col, THRESHOLD)
-    return judged.where("__predicted = 0").drop("__score", "__predicted")
+    names = [fresh(docs.columns, name) for name in ("score", "predicted")]
+    judged = _judged(docs, fit(docs, labels, max_train, id_col=id_col, text_col=text_col), text_col, THRESHOLD, names)
+    return judged.where(F.col(names[1]) == 0).drop(*names)
 
 
 def op6_toxicity(spark, sf_dir):

@@ -259,7 +259,8 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     rows without id, are responses too. Null html is an empty payload; null
     urls and ids have no header.
     """
-    chosen = choose_responses(pages, least_bytes, id_col, html_col).select(F.col(id_col).cast("long"), url_col, html_col, F.col("__refers").cast("long"))
+    named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    chosen = choose_responses(named, least_bytes).select("page_id", "url", "html", F.col("__refers").cast("long"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -643,3 +643,28 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and all(not hits(r["text"], known)[1] and r["n_chars"] == len(r["text"]) for r in clean.collect())
     out = corpus_pipeline.run(spark, folder)
     assert {r["doc_id"] for r in out.select("doc_id").distinct().collect()} == {r["doc_id"] for r in clean.collect()}
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows, extra columns with clashing names, and empty tables pass through all stages."""
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, n_chars int, score double, toxic int, kept boolean, key1 long, spans string, __id long"
+    extra = (None, 0.5, 1, True, 7, "s", 9)
+    texts = [None, None, "", "", "clean words of some kind", "clean words of some kind", "CLEAN words of some kind", "w " * 30_000, " \n"]
+    rows = [(i, t, *extra) for i, t in enumerate(texts)] + [(4, texts[4], *extra), (None, "no id here", *extra)]
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 0), (None, None)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "of some other kind that is long enough for a window")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == [c.split()[0] for c in columns.split(", ")], name
+        assert {(r["score"], r["toxic"], r["kept"], r["key1"], r["spans"], r["__id"]) for r in docs.collect()} == {extra[1:]}, name
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in docs.collect()} == {None, 3, 6, 7}
+    assert sum(r["text"] == "" or r["text"] is None or not r["text"].split() for r in docs.collect()) == 1
+    empty = tmp_path / "none"
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(str(tmp_path / f"{table}.parquet")).where("false").write.parquet(str(empty / f"{table}.parquet"))
+    assert corpus_pipeline.run(spark, str(empty)).count() == 0
