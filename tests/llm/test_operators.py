@@ -356,9 +356,7 @@ def test_pipeline_near_dedup_by_jaccard(spark, none):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
-    for pair_group in (1, 3):
-        found = shingle_dedup.similar_groups(docs, pair_group=pair_group)
-        assert {(r["doc_id"], r["component_id"]) for r in found.collect()} == set(enumerate(root))
+    assert {(r["doc_id"], r["component_id"]) for r in shingle_dedup.similar_groups(docs).collect()} == set(enumerate(root))
     assert shingle_dedup.drop_similar(none).count() == 0
 
 
@@ -594,6 +592,12 @@ def test_viterbi_by_all_paths():
         assert any("".join(letters for letters, _ in path) == text and value(path) == pytest.approx(want) for path in itertools.product(*runs))
 
 
+    for word in ("boot", "abba", "ttab", "oo"):
+        text, score = toxicity.restore(word, grams)
+        if len(re.findall(r"(.)\1", word)) == 1:
+            assert toxicity.restore_plain(word, grams) == (text, pytest.approx(score))
+
+
 def test_toxicity_columns_and_repeats(spark):
     rows = [(i % 90, "idiot moron here" if i % 90 % 3 == 0 else "words of the other kind", "a", "b", 7, 8) for i in range(180)] + [(None, None, None, None, None, None)] * 2
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string, toxic string, predicted int, half int").repartition(3)
