@@ -16,6 +16,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +42,9 @@ LEET = {
 LETTERS = "a-zß-öø-ÿœ"
 LETTER = re.compile(f"[{LETTERS}]")
 PLAIN = re.compile(f"[{LETTERS}]+")
-DOUBLE = re.compile(r"(.)\1")
+DOUBLE, TRIPLE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 READABLE = re.compile(f"[{LETTERS}{re.escape(''.join(LEET))}]")
+RUN = re.compile(r"(?s)(.)\1*")
 EDGES = re.compile(f"^[^{LETTERS}]+|[^{LETTERS}]+$")
 #: Three or more symbols after a word that stand for no letter.
 NOISE_AFTER = re.compile(rf"(?<=\w)[^\w{re.escape(''.join(LEET))}]{{3,}}$")
@@ -102,6 +104,7 @@ def log_probabilities(counts: dict[str, int]) -> dict[str, float]:
     return {gram: math.log((n + 0.1) / (total[gram[:2]] + 6)) for gram, n in counts.items()} | {two: math.log(0.1 / (n + 6)) for two, n in total.items()}
 
 
+@lru_cache(4096)
 def options(symbol: str, count: int) -> list[tuple[str, float]]:
     """What a run of one symbol may stand for, and the cost of each reading."""
     if LETTER.match(symbol):
@@ -121,20 +124,22 @@ def chance(grams: dict[str, float], two: str, letter: str) -> float:
 
 def restore(token: str, grams: dict[str, float]) -> tuple[str, float]:
     """The likeliest reading of a token, words parted by a space, and its score: Viterbi over its runs of symbols; a state is the last two letters."""
+    known = grams.get
     states: dict[str, tuple[float, tuple | None]] = {"^^": (0.0, None)}
-    for m in re.finditer(r"(?s)(.)\1*", token):
+    for m in RUN.finditer(token):
         after: dict[str, tuple[float, tuple | None]] = {}
         for letters, cost in options(m[1], len(m[0])):
             for state, (score, text) in states.items():
                 now, at = score - cost, state
                 for letter in letters:
                     if letter == " ":
-                        now += chance(grams, at, "$")
+                        now += known(at + "$") or known(at, UNREADABLE)
                         at = "^^"
                     else:
-                        now += chance(grams, at, letter)
+                        now += known(at + letter) or known(at, UNREADABLE)
                         at = at[1] + letter
-                if at not in after or after[at][0] < now:
+                found = after.get(at)
+                if found is None or found[0] < now:
                     after[at] = (now, (text, letters) if letters else text)
         states = after
     best, text = max(((score + chance(grams, at, "$"), text) for at, (score, text) in states.items()), key=lambda found: found[0])
@@ -145,6 +150,22 @@ def restore(token: str, grams: dict[str, float]) -> tuple[str, float]:
     return "".join(reversed(parts)), best
 
 
+def plain_score(word: str, grams: dict[str, float]) -> float:
+    """Of a word of letters only, by the character model."""
+    word, score = f"^^{word}$", 0.0
+    for i in range(len(word) - 2):
+        score += grams.get(word[i : i + 3]) or grams.get(word[i : i + 2], UNREADABLE)
+    return score
+
+
+def restore_plain(token: str, grams: dict[str, float]) -> tuple[str, float]:
+    """restore() of a token of letters of which one is doubled: its lattice has two paths."""
+    at = DOUBLE.search(token).start()
+    once = token[:at] + token[at + 1 :]
+    (_, one), (_, other) = options(token[at], 2)
+    return max((token, plain_score(token, grams) - one), (once, plain_score(once, grams) - other), key=lambda found: found[1])
+
+
 def literal_score(token: str, grams: dict[str, float]) -> float:
     """Of the token as it stands: letters by the character model, other symbols as part of a number if there are no letters."""
     if not LETTER.search(token):
@@ -163,8 +184,13 @@ def readings(token: str, grams: dict[str, float]) -> list[str]:
     doubled has one path through the lattice only.
     """
     token = NOISE_AFTER.sub("", token).lstrip(MARKS_BEFORE).rstrip(MARKS_AFTER)
-    if PLAIN.fullmatch(token) and not DOUBLE.search(token):
-        return [token]
+    if PLAIN.fullmatch(token):
+        doubled = DOUBLE.findall(token)
+        if not doubled:
+            return [token]
+        if len(doubled) == 1 and not TRIPLE.search(token):
+            restored = restore_plain(token, grams)[0]
+            return [token] if restored == token else [token, restored]
     if not READABLE.search(token):
         return []
     restored, score = restore(token, grams)
