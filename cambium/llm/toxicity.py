@@ -150,20 +150,14 @@ def restore(token: str, grams: dict[str, float]) -> tuple[str, float]:
     return "".join(reversed(parts)), best
 
 
-def plain_score(word: str, grams: dict[str, float]) -> float:
-    """Of a word of letters only, by the character model."""
-    word, score = f"^^{word}$", 0.0
-    for i in range(len(word) - 2):
-        score += grams.get(word[i : i + 3]) or grams.get(word[i : i + 2], UNREADABLE)
-    return score
-
-
-def restore_plain(token: str, grams: dict[str, float]) -> tuple[str, float]:
-    """restore() of a token of letters of which one is doubled: its lattice has two paths."""
-    at = DOUBLE.search(token).start()
-    once = token[:at] + token[at + 1 :]
-    (_, one), (_, other) = options(token[at], 2)
-    return max((token, plain_score(token, grams) - one), (once, plain_score(once, grams) - other), key=lambda found: found[1])
+def undoubled(token: str, grams: dict[str, float]) -> str:
+    """restore() of a token of letters of which one is doubled: its lattice has two paths, which differ in three chances only."""
+    at = DOUBLE.search(token).start() + 2
+    padded = f"^^{token}$"
+    before, letter, after = padded[at - 1], padded[at], padded[at + 2]
+    (_, double), (_, single) = options(letter, 2)
+    literal = chance(grams, before + letter, letter) + chance(grams, letter + letter, after) - double
+    return token[: at - 2] + token[at - 1 :] if chance(grams, before + letter, after) - single > literal else token
 
 
 def literal_score(token: str, grams: dict[str, float]) -> float:
@@ -183,13 +177,14 @@ def readings(token: str, grams: dict[str, float]) -> list[str]:
     Marks at either end are punctuation. A token of letters none of which is
     doubled has one path through the lattice only.
     """
-    token = NOISE_AFTER.sub("", token).lstrip(MARKS_BEFORE).rstrip(MARKS_AFTER)
+    if not token.isalpha():
+        token = NOISE_AFTER.sub("", token).lstrip(MARKS_BEFORE).rstrip(MARKS_AFTER)
     if PLAIN.fullmatch(token):
         doubled = DOUBLE.findall(token)
         if not doubled:
             return [token]
         if len(doubled) == 1 and not TRIPLE.search(token):
-            restored = restore_plain(token, grams)[0]
+            restored = undoubled(token, grams)
             return [token] if restored == token else [token, restored]
     if not READABLE.search(token):
         return []
@@ -225,8 +220,11 @@ class Evidence(dict):
         self.grams, self.weights = grams, weights
 
     def __missing__(self, token: bytes) -> float:
-        text = token.decode(errors="replace").lower()
-        found = max((self.weights.get(f, 0.0) for word in readings(text, self.grams) for f in features(word)), default=0.0)
+        weight, found = self.weights.get, 0.0
+        for word in readings(token.decode(errors="replace").lower(), self.grams):
+            found = max(found, weight(word + "$", 0.0))
+            if len(word) > 3:
+                found = max(found, weight(word[:4], 0.0), weight(word[:5], 0.0) if len(word) > 4 else 0.0, weight(word[:6], 0.0) if len(word) > 5 else 0.0)
         self[token] = found
         return found
 
