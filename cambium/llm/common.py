@@ -55,6 +55,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few longs that make a partition worth a task.
+PART_ROWS = 100_000
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """df, of at most about `rows` rows of a few longs, in as many partitions as those need, without a shuffle: each partition more costs a file of every later shuffle."""
+    return df.coalesce(max(1, -(-rows // PART_ROWS)))
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, cut, keep_rows, maybe_in, read, sliced, utf8
+from .common import ASCII_LOWER, cut, keep_rows, maybe_in, narrow, read, sliced, utf8
 
 SHINGLE = 3
 MAX_BITS = 3
@@ -246,14 +246,19 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before or not now[0]:
             return edges.select(F.col("v").alias("fp"), F.col("u").alias("root"))
         before = now
+        # No star makes more edges than there are edges and vertices.
+        rows = 2 * now[0]
+        edges = narrow(edges, rows)
         # Large star: all larger neighbours of v go to its smallest neighbour, or to v itself.
         both = edges.unionByName(edges.select(F.col("u").alias("v"), F.col("v").alias("u")))
         least = both.groupBy("v").agg(F.least(F.min("u"), F.first("v")).alias("m"))
-        large = cut(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct())
+        large = narrow(both.join(least, "v").where("u > v").select(F.col("u").alias("v"), F.col("m").alias("u")), rows)
+        large = cut(narrow(large.distinct(), rows))
         # Small star: v and all its smaller neighbours go to the smallest.
         least = large.groupBy("v").agg(F.min("u").alias("m"))
         small = large.join(least, "v").where("u <> m").select(F.col("u").alias("v"), F.col("m").alias("u"))
-        edges = cut(small.unionByName(least.select("v", F.col("m").alias("u"))).distinct())
+        edges = narrow(small.unionByName(least.select("v", F.col("m").alias("u"))), rows)
+        edges = cut(narrow(edges.distinct(), rows))
 
 
 def near_groups(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
