@@ -93,9 +93,13 @@ class Sample:
     """Molecules of every seed and fraction; each method is a lazy table."""
 
     molecules: DataFrame
+    #: Thinned tags of excluded genes, if any are excluded.
+    excluded: DataFrame | None = None
 
     def bulk(self) -> DataFrame:
-        return summaries.bulk(self.molecules)
+        """Totals of each seed and fraction; with excluded genes, their reads too."""
+        found = summaries.bulk(self.molecules)
+        return found if self.excluded is None else summaries.with_excluded(found, self.excluded)
 
     def by_class(self) -> DataFrame:
         return summaries.by_class(self.molecules)
@@ -138,16 +142,21 @@ class Depth:
     def downsample(self, fracs: Sequence[float], seeds: Sequence[int] = (42,), umi_mode: str = "directed", multi_gene: bool = True, primers: str = "merge") -> Sample:
         if umi_mode not in ("directed", "none") or primers not in ("merge", "poly_a", "random_hex"):
             raise ValueError(f"unknown mode: {umi_mode}, {primers}")
-        if not fracs or not all(0 < f <= 1 for f in fracs):
-            raise ValueError("fractions are above 0 and at most 1")
+        if any(f <= 0 for f in fracs):
+            raise ValueError("fractions are above 0")
+        # Fractions above 1, as a grid of targets may have, can't be drawn and are left out.
+        if not (fracs := [f for f in fracs if f <= 1]):
+            raise ValueError("no fraction is at most 1")
         tags = self.tags
         if "random_hex" in tags.columns and primers != "merge":
             tags = tags.where(F.col("random_hex") == F.lit(primers == "random_hex"))
-        if self.excluded is not None:
-            tags = tags.join(self.excluded.select("gene").distinct(), "gene", "left_anti")
         tags = tags.groupBy("barcode", "gene", "umi").agg(*[F.sum(c).alias(c) for c in thinning.CLASSES])
-        thinned = thinning.thin(tags, list(fracs), list(seeds), exact=False)
+        thinned = thinning.thin(tags, fracs, list(seeds), exact=False)
+        out = None
+        if self.excluded is not None:
+            genes = self.excluded.select("gene").distinct()
+            out, thinned = thinned.join(genes, "gene", "left_semi"), thinned.join(genes, "gene", "left_anti")
         whole = molecules.directional(thinned, self.umi_length) if umi_mode == "directed" else molecules.uncollapsed(thinned)
         if multi_gene:
-            return Sample(molecules.mark_multi_gene(whole))
-        return Sample(whole.withColumns({"total": F.expr("spliced + unspliced + ambiguous"), "valid": F.lit(True)}))
+            return Sample(molecules.mark_multi_gene(whole), out)
+        return Sample(whole.withColumns({"total": F.expr("spliced + unspliced + ambiguous"), "valid": F.lit(True)}), out)

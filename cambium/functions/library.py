@@ -43,3 +43,16 @@ def reads_for_saturation(percent: str, size: str, r: str, steps: int = 100) -> C
                   THEN named_struct('lo', {middle}, 'hi', __s.hi) ELSE named_struct('lo', __s.lo, 'hi', {middle}) END,
         __s -> {middle})"""
     )
+
+
+def reads_pmf(k: str, r: str, p: str, bins: int) -> Column:
+    """Share of molecules with k reads among those of 1 ... bins; names of columns. Terms follow one another, so no gamma function is needed."""
+    term = f"__s.t * ({r} + __i - 1) / __i * (1 - {p})"
+    step = f"named_struct('t', {term}, 'at', CASE WHEN __i = {k} THEN {term} ELSE __s.at END, 'all', __s.all + {term})"
+    return F.expr(f"aggregate(sequence(1, {bins}), named_struct('t', 1D, 'at', 0D, 'all', 0D), (__s, __i) -> {step}, __s -> __s.at / __s.all)")
+
+
+def predictions(reads: str, size: str, r: str) -> dict[str, Column]:
+    """molecules, saturation and recovery that the model predicts at `reads`; names of columns."""
+    seen = molecules(F.col(reads), F.col(size), F.col(r))
+    return {"molecules": seen, "saturation": saturation(F.col(reads), seen), "recovery": recovery(F.col(reads), F.col(size), F.col(r))}

@@ -23,3 +23,9 @@ def hamming(x: Column, y: Column) -> Column:
 def neighbours(x: Column, length: int) -> Column:
     """All sequences that differ in one base."""
     return F.array(*[x.bitwiseXOR(F.lit(k << 2 * i).cast("long")) for i in range(length) for k in (1, 2, 3)])
+
+
+def grid_place(barcode: Column) -> Column:
+    """array_row and array_col of barcodes that carry them, like s_002um_00320_02575-1; null for others."""
+    part = lambda i: F.nullif(F.regexp_extract(barcode, "um_([0-9]+)_([0-9]+)-", i), F.lit("")).cast("long")
+    return F.struct(part(1).alias("array_row"), part(2).alias("array_col"))

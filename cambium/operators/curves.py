@@ -31,6 +31,16 @@ def limit_errors(totals: DataFrame, histograms: DataFrame, truth: DataFrame) ->
     return both.groupBy("seed", "frac_idx", "r", "p", "ks", "failed", "size").agg(F.avg(error).alias("mae"), F.count(F.lit(1)).alias("points"))
 
 
+def prediction_errors(points: DataFrame) -> DataFrame:
+    """Adds what the model predicts at each point (reads, size, r) and how far off it is from the molecules `seen` there: in percent of them, and in points of saturation and recovery."""
+    found = points.withColumns(library.predictions("reads", "size", "r"))
+    return found.withColumns({
+        "molecules_pdiff": 100 * F.abs(F.col("seen") - F.col("molecules")) / F.col("seen"),
+        "saturation_err": F.abs(F.col("saturation") - library.saturation(F.col("reads"), F.col("seen"))),
+        "recovery_err": F.abs(F.col("recovery") - 100 * F.col("seen") / F.col("size")),
+    })
+
+
 def target_fraction(measure: Callable[[float], DataFrame], countable: int, target: float = 50.0, most: float = 55.0) -> float:
     """The fraction of reads at which saturation reaches `target` percent; 1 if all reads don't reach `most`.
 

@@ -100,10 +100,10 @@ def uncollapsed(tags: DataFrame) -> DataFrame:
 def mark_multi_gene(molecules: DataFrame) -> DataFrame:
     """Adds `valid`: of a barcode's molecules with the same tag, only one with strictly more reads than all others stays."""
     same = Window.partitionBy("seed", "frac_idx", "barcode", "umi")
-    total = F.col("spliced") + F.col("unspliced") + F.col("ambiguous")
     return (
-        molecules.withColumn("total", total)
-        .withColumn("__tops", F.slice(F.sort_array(F.collect_list("total").over(same), asc=False), 1, 2))
-        .withColumn("valid", (F.col("total") == F.col("__tops")[0]) & (F.col("total") != F.coalesce(F.get("__tops", F.lit(1)), F.lit(-1))))
-        .drop("__tops")
+        molecules.withColumn("total", F.col("spliced") + F.col("unspliced") + F.col("ambiguous"))
+        .withColumn("__top", F.max("total").over(same))
+        .withColumn("__tops", F.count_if(F.col("total") == F.col("__top")).over(same))
+        .withColumn("valid", (F.col("total") == F.col("__top")) & (F.col("__tops") == 1))
+        .drop("__top", "__tops")
     )

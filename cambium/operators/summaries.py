@@ -23,6 +23,12 @@ def bulk_by(molecules: DataFrame, *keys: str) -> DataFrame:
     return found.withColumn("saturation", F.round(100 - 100 * F.col("molecules") / F.col("reads"), 6))
 
 
+def with_excluded(totals: DataFrame, tags: DataFrame) -> DataFrame:
+    """Adds reads_excluded, of the thinned tags of excluded genes, to totals of each seed and fraction."""
+    out = tags.groupBy("seed", "frac_idx").agg(F.sum(F.expr("spliced + unspliced + ambiguous")).alias("reads_excluded"))
+    return totals.join(out, ["seed", "frac_idx"], "left").fillna(0, ["reads_excluded"])
+
+
 def by_class(molecules: DataFrame) -> DataFrame:
     """Of valid molecules; all reads of a molecule count for its class."""
     return molecules.where("valid").groupBy("seed", "frac_idx", molecule_class().alias("class")).agg(F.sum("total").alias("reads"), F.count(F.lit(1)).alias("molecules"))

@@ -272,9 +272,10 @@ def gene_masks_mt_mod(spark, sf_dir):
 
 @query("exclude_genes", f"{JUDGED} SELECT frac_idx, coalesce(sum(total) FILTER (gene IN (1, 2, 3)), 0)::BIGINT AS reads_excluded, coalesce(sum(total) FILTER (gene NOT IN (1, 2, 3)), 0)::BIGINT AS reads FROM judged WHERE valid GROUP BY ALL")
 def exclude_genes(spark, sf_dir):
-    out = spark.createDataFrame([(1,), (2,), (3,)], "gene long").withColumn("excluded", F.lit(True))
-    marked = judged(spark, sf_dir).where("valid").join(F.broadcast(out), "gene", "left")  # a given list
-    return marked.groupBy("frac_idx").agg(F.sum(F.when(F.col("excluded"), F.col("total")).otherwise(0)).alias("reads_excluded"), F.sum(F.when(F.col("excluded").isNull(), F.col("total")).otherwise(0)).alias("reads"))
+    out = F.broadcast(spark.createDataFrame([(1,), (2,), (3,)], "gene long"))  # a given list
+    found = judged(spark, sf_dir).where("valid")
+    rest = summaries.bulk(found.join(out, "gene", "left_anti"))
+    return summaries.with_excluded(rest, found.join(out, "gene", "left_semi")).select("frac_idx", "reads_excluded", "reads")
 
 
 @query("total_matrix", f"{JUDGED} SELECT seed, frac_idx, barcode, gene, count(*) FILTER (valid) AS value FROM judged GROUP BY ALL")
@@ -367,6 +368,24 @@ def recovery_costs(spark, sf_dir):
     return spark.range(10, 91).select(F.col("id").alias("recovery"), F.round(library.reads_for_recovery(F.col("id") / 100.0, F.lit(SIZE), F.lit(R)), 3).alias("reads"))
 
 
+P = 0.6690893243860421
+
+
+@query("predict_pmf", f"WITH k AS (SELECT CAST(x AS BIGINT) AS bin, exp(lgamma(x + {R}) - lgamma(x + 1) - lgamma({R})) * power({P}, {R}) * power(1 - {P}, x) AS y FROM range(1, 51) t(x)) SELECT bin, round(y / sum(y) OVER (), 9) AS share FROM k")
+def predict_pmf(spark, sf_dir):
+    rows = spark.range(1, 51).select(F.col("id").alias("bin"), F.lit(R).alias("r"), F.lit(P).alias("p"))
+    return rows.select("bin", F.round(library.reads_pmf("bin", "r", "p", 50), 9).alias("share"))
+
+
+@query("predict_errors", f"""WITH t AS (SELECT o_orderkey AS id, o_orderkey * 1000.0::DOUBLE + 1 AS reads, (o_orderkey * 1000.0::DOUBLE + 1) * 0.6 AS seen FROM orders),
+  m AS (SELECT *, {SIZE} * (1 - power({R} / ({R} + reads / {SIZE}), {R})) AS molecules FROM t)
+  SELECT id, round(100 * molecules / {SIZE}, 6) AS recovery, round(100 * abs(seen - molecules) / seen, 6) AS molecules_pdiff, round(abs(100 * seen / reads - 100 * molecules / reads), 6) AS saturation_err, round(abs(100 * seen / {SIZE} - 100 * molecules / {SIZE}), 6) AS recovery_err FROM m""")
+def predict_errors(spark, sf_dir):
+    rows = fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_orderkey") * 1000.0 + 1).alias("reads"), F.lit(SIZE).alias("size"), F.lit(R).alias("r"))
+    found = curves.prediction_errors(rows.withColumn("seen", F.col("reads") * 0.6))
+    return found.select("id", *[F.round(c, 6).alias(c) for c in ("recovery", "molecules_pdiff", "saturation_err", "recovery_err")])
+
+
 @query("saturation_costs_bisection")
 def saturation_costs_bisection(spark, sf_dir):
     rows = spark.range(10, 91).select(F.col("id").cast("double").alias("saturation"), F.lit(SIZE).alias("size"), F.lit(R).alias("r"))
@@ -407,8 +426,8 @@ def ztnb_fit(spark, sf_dir):
 
 @query("limit_errors", f"{JUDGED}, b AS (SELECT frac_idx, sum(total) AS reads, count(*) AS molecules FROM judged WHERE valid GROUP BY ALL) SELECT count(*) AS n, round(avg(abs(molecules - 20000.0 * (1 - power(2.0 / (2.0 + reads / 20000.0), 2.0)))), 6)::DOUBLE AS mae FROM b")
 def limit_errors(spark, sf_dir):
-    b = summaries.bulk(judged(spark, sf_dir))
-    return b.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("molecules") - library.molecules(F.col("reads"), F.lit(20000.0), F.lit(2.0)))), 6).alias("mae"))
+    b = summaries.bulk(judged(spark, sf_dir)).select("reads", F.col("molecules").alias("seen"), F.lit(20000.0).alias("size"), F.lit(2.0).alias("r"))
+    return curves.prediction_errors(b).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("molecules") - F.col("seen"))), 6).alias("mae"))
 
 
 # --- overlap and stability ---------------------------------------------------

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from cambium.engine import Depth
 from cambium.functions import library, sequences
 from cambium.operators import fitting, molecules, stability, summaries, thinning
 from cambium.sources import files, libraries
@@ -140,3 +141,29 @@ def test_custom_libraries(spark, tmp_path):
         path.write_text(json.dumps(wrong))
         with pytest.raises(libraries.LibraryError):
             libraries.custom(str(path))
+
+
+def test_excluded_reads_and_fractions(spark):
+    tags = spark.range(400).selectExpr("id % 4 AS barcode", "id % 9 AS gene", "id AS umi", "id % 3 AS spliced", "id % 2 AS unspliced", "1L AS ambiguous")
+    out = spark.createDataFrame([(1,), (1,), (7,)], "gene long")
+    rows = Depth(tags, 5, out).downsample([0.5, 1.0, 1.5], umi_mode="none").bulk().orderBy("frac_idx").collect()
+    reads = lambda df: df.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0]
+    assert len(rows) == 2 and rows[1]["reads_excluded"] == reads(tags.where("gene IN (1, 7)"))
+    assert rows[1]["reads"] + rows[1]["reads_discarded"] == reads(tags.where("gene NOT IN (1, 7)"))
+    assert 0 < rows[0]["reads_excluded"] < rows[1]["reads_excluded"]
+    with pytest.raises(ValueError):
+        Depth(tags, 5).downsample([2.0])
+    with pytest.raises(ValueError):
+        Depth(tags, 5).downsample([0.0, 1.0])
+
+
+def test_multi_gene_keeps_the_only_largest(spark):
+    rows = [(1, g, 7, n) for g, n in ((0, 3), (1, 5), (2, 4))] + [(1, g, 8, n) for g, n in ((0, 5), (1, 5), (2, 1))] + [(1, 0, 9, 1)]
+    table = spark.createDataFrame(rows, "barcode long, gene long, umi long, spliced long").selectExpr("1L AS seed", "0 AS frac_idx", "*", "0L AS unspliced", "0L AS ambiguous")
+    found = molecules.mark_multi_gene(table)
+    assert sorted((r["umi"], r["gene"]) for r in found.where("valid").collect()) == [(7, 1), (9, 0)] and found.count() == len(rows)
+
+
+def test_grid_places(spark):
+    rows = spark.createDataFrame([("s_002um_00320_02575-1",), ("ACGT-1",), (None,)], "s string")
+    assert [tuple(r[0]) for r in rows.select(sequences.grid_place(F.col("s"))).collect()] == [(320, 2575), (None, None), (None, None)]
