@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -135,3 +138,28 @@ def fresh(columns: list[str], name: str) -> str:
     while name.lower() in map(str.lower, columns):
         name = f"_{name}"
     return name
+
+
+def running(df: DataFrame, order: list, amount: str, into: str) -> DataFrame:
+    """df over all partitions in `order`, with the long `into`: the sum of the long `amount` over all rows before.
+
+    One range shuffle; sums inside partitions, then offsets from one sum a
+    partition, so no task sees all rows. Equal keys share a partition. The
+    result is cut, for the offsets have to fit the very partitions they come from.
+    """
+    kind = df.schema
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            own = batch.column(batch.schema.get_field_index(amount)).to_numpy(zero_copy_only=False)
+            sums = before + np.cumsum(own)
+            if len(own):
+                before = int(sums[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums - own, pa.int64()), pa.array(np.full(len(own), part), pa.int64())], [*batch.schema.names, into, "__part"])
+
+    fields = T.StructType([*kind.fields, T.StructField(into, T.LongType()), T.StructField("__part", T.LongType())])
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(summed, fields))
+    parts = placed.groupBy("__part").agg(F.sum(amount).alias("__sum"))  # one row a partition
+    offsets = parts.select("__part", (F.sum("__sum").over(Window.orderBy("__part")) - F.col("__sum")).alias("__before"))
+    return placed.join(F.broadcast(offsets), "__part").withColumn(into, F.col(into) + F.col("__before")).drop("__part", "__before")
