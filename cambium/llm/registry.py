@@ -1,6 +1,6 @@
 """The queries of this subpackage and their DuckDB oracles."""
 
-from . import decontaminate, exact_dedup, license_scan, packing, secret_scan, simhash, substring_dedup, toxicity, url_filter, warc
+from . import decontaminate, divergence, exact_dedup, hard_negatives, license_scan, mixing, packing, secret_scan, simhash, substring_dedup, toxicity, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_source_mixing": mixing.op13_source_mixing,
 }
 
 #: Left out where SQL can't express the operator; tests/llm holds those against brute force.
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op8_license_scan": license_scan.SQL,
     "op9_secret_scan": secret_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
+    "op11_hard_negatives": hard_negatives.SQL,
+    "op12_source_divergence": divergence.SQL,
+    "op13_source_mixing": mixing.SQL,
 }
