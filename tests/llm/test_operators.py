@@ -617,7 +617,7 @@ def test_oracles(spark):
 
     folder = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for name in ("documents", "pages", "benchmark", "labels"):
+    for name in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     for name, sql in registry.ORACLE_SQL.items():
         got, want = registry.QUERIES[name](spark, folder), con.sql(sql)
