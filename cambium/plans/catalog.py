@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import library, sequences
 from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, molecules, stability, summaries, thinning
-from ..session import kept
+from ..session import kept, scratch
+from ..sources import binary
 from ..streaming import windows
 from . import fixtures as fx
 
@@ -624,6 +625,41 @@ def library_catalogue(spark, sf_dir):
     return catalogue(spark)
 
 
+# --- binary sources ----------------------------------------------------------
+
+CHROMS = [(f"chr{i}", 10**9) for i in range(5)]
+
+
+@query("bam_scan", """WITH r AS (SELECT CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'chr' || (l_partkey % 5) END AS chrom, CASE WHEN l_orderkey % 13 = 0 THEN 4 WHEN l_partkey % 2 = 0 THEN 0 ELSE 16 END AS flag,
+  CASE WHEN l_orderkey % 13 = 0 THEN -1 ELSE l_partkey * 40 + l_orderkey % 400 END AS pos, CAST(l_quantity AS BIGINT) AS mapq, CASE WHEN l_linenumber = 7 THEN NULL ELSE l_suppkey END AS cb FROM lineitem)
+  SELECT chrom, flag, count(*) AS n, sum(pos)::BIGINT AS pos_sum, sum(mapq)::BIGINT AS mapq_sum, sum(60 + mapq)::BIGINT AS bases, count(DISTINCT cb) AS barcodes, count(cb) AS with_barcode FROM r GROUP BY chrom, flag""")
+def bam_scan(spark, sf_dir):
+    """The reads of lineitem, written as BAM files by Spark and read back in splits."""
+    reads = fx.table(spark, sf_dir, "lineitem").selectExpr(
+        "concat_ws(':', l_orderkey, l_linenumber, l_partkey) AS qname", "CASE WHEN l_orderkey % 13 = 0 THEN 4 WHEN l_partkey % 2 = 0 THEN 0 ELSE 16 END AS flag",
+        "CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE concat('chr', l_partkey % 5) END AS chrom", "CASE WHEN l_orderkey % 13 = 0 THEN -1L ELSE l_partkey * 40L + l_orderkey % 400 END AS pos",
+        "cast(l_quantity as int) AS mapq", "concat('20M100N', 40 + cast(l_quantity as int), 'M') AS cigar",
+        "CASE WHEN l_linenumber = 7 THEN NULL ELSE cast(l_suppkey as string) END AS cb", "cast(l_partkey as string) AS umi", "cast(NULL as string) AS gx",
+    )
+    path = scratch(spark, "bam")
+    binary.write_bam(reads, path, CHROMS)
+    found = binary.read_bam(spark, path)
+    bases = F.expr("aggregate(regexp_extract_all(cigar, '([0-9]+)M', 1), 0L, (n, m) -> n + cast(m as long))")
+    return found.groupBy("chrom", "flag").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pos").alias("pos_sum"), F.sum(F.col("mapq").cast("long")).alias("mapq_sum"),
+        F.sum(bases).alias("bases"), F.countDistinct("cb").alias("barcodes"), F.count("cb").alias("with_barcode"),
+    )
+
+
+@query("tag_file_scan", f"{TAGS} SELECT barcode, count(*) AS tags, count(DISTINCT gene) AS genes, sum(umi)::BIGINT AS umi_sum, sum(spliced)::BIGINT AS spliced, sum(unspliced)::BIGINT AS unspliced, sum(ambiguous)::BIGINT AS ambiguous FROM tags GROUP BY barcode")
+def tag_file_scan(spark, sf_dir):
+    """The molecule table, written as binary tag files by Spark and read back in splits."""
+    path = scratch(spark, "tags")
+    binary.write_tag_file(fx.tags(spark, sf_dir).withColumn("flags", F.lit(0)), path)
+    found = binary.read_tag_file(spark, path)
+    return found.groupBy("barcode").agg(F.count(F.lit(1)).alias("tags"), F.countDistinct("gene").alias("genes"), F.sum("umi").alias("umi_sum"), *[F.sum(c).alias(c) for c in thinning.CLASSES])
+
+
 # --- curves, replicates and streams ------------------------------------------
 
 

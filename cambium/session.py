@@ -7,13 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (named or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="cambium-")).rstrip("/")
+    """spark.checkpoint.dir; where that is unset, a temporary folder in local mode (tests) and an error on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="cambium-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the application ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
 
 
 def kept(df: DataFrame) -> DataFrame:
     """The rows, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
-    path = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "kept")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
