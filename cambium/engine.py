@@ -66,9 +66,9 @@ def raw_reads(reads: DataFrame, genes: DataFrame, library: tuple, least_quality:
     strand = F.when(backward == F.lit(bool(spec["five_prime_like"])), "+").otherwise("-")
     # The number of a read must not change when a task is run again, so it's taken from a written table.
     numbered = kept(judged.withColumn("read_id", F.monotonically_increasing_id()))
-    placed = annotate.with_blocks(numbered.where("status = 'countable'").select("read_id", "chrom", "pos", "cigar", strand.alias("strand")))
-    found = annotate.resolve(annotate.votes(annotate.range_join(placed.where("lft is not null"), genes), known_only=known_only))
-    joined = numbered.join(found.where("gene is not null"), "read_id", "left").drop("read_id")
+    countable = F.col("status") == "countable"
+    asked = numbered.withColumns({"strand": strand, "chrom": F.when(countable, F.col("chrom"))})
+    joined = annotate.classified(asked, genes, "read_id", known_only).drop("read_id", "strand", "held_by").withColumn("class", F.when(F.col("gene").isNotNull(), F.col("class")))
     return joined.withColumn("status", F.when((F.col("status") == "countable") & F.col("gene").isNull(), "no_gene").otherwise(F.col("status")))
 
 

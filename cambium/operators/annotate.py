@@ -1,9 +1,13 @@
-"""Reads against gene annotation: CIGAR blocks, a range join by genome bins, and classes of reads."""
+"""Reads against gene annotation: CIGAR blocks, a range join, and classes of reads."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 BIN = 1024
+#: Parts that the reads of a bin are dealt to where genes are too many for an index.
+SALTS = 16
 
 #: First base (0-based) and CIGAR string to blocks of matched bases, both ends inclusive; N ends a block, I, S, H and P count for nothing.
 BLOCKS = """filter(aggregate(
@@ -18,23 +22,50 @@ BLOCKS = """filter(aggregate(
 
 def with_blocks(reads: DataFrame) -> DataFrame:
     """Adds blocks, and lft and rgt of the whole read."""
-    return reads.withColumn("blocks", F.expr(BLOCKS)).withColumn("lft", F.col("blocks")[0]["lft"]).withColumn("rgt", F.element_at("blocks", -1)["rgt"])
+    return reads.withColumn("blocks", F.expr(BLOCKS)).withColumn("lft", F.get("blocks", F.lit(0))["lft"]).withColumn("rgt", F.try_element_at("blocks", F.lit(-1))["rgt"])
 
 
-def range_join(reads: DataFrame, genes: DataFrame, width: int = BIN) -> DataFrame:
+def range_join(reads: DataFrame, genes: DataFrame, max_genes: int = intervals.MAX_GENES) -> DataFrame:
     """Pairs on a chromosome whose closed spans overlap by more than their ends (gene.lft < rgt and lft < gene.rgt).
 
+    Up to `max_genes` genes are an index in every task, and reads don't move;
+    more are joined by genome bins. Rows without a chromosome or an end have no pairs.
+    """
+    index = intervals.index_of(genes, max_genes)
+    return binned_join(reads, genes) if index is None else intervals.overlapping_pairs(reads, genes, index)
+
+
+def binned_join(reads: DataFrame, genes: DataFrame, width: int = BIN, salts: int = SALTS) -> DataFrame:
+    """range_join of genes of any number.
+
     Both sides go to all bins that they touch and meet by an equi-join; a pair
-    counts only in the first bin that both touch, so no distinct is needed.
+    counts only in the first bin that both touch, so no distinct is needed. A
+    bin's reads are dealt to `salts` parts, each of which has its genes, so a
+    gene that most reads come from is not one task's.
     """
 
     def binned(df: DataFrame, name: str, lft: str, rgt: str) -> DataFrame:
         return df.withColumn(name, F.floor(F.col(lft) / width)).withColumn("bin", F.explode(F.sequence(F.floor(F.col(lft) / width), F.floor(F.col(rgt) / width))))
 
-    left = binned(reads, "__first", "lft", "rgt")
-    right = binned(genes.withColumnsRenamed({"lft": "gene_lft", "rgt": "gene_rgt"}), "__gene_first", "gene_lft", "gene_rgt")
-    met = left.join(right, ["chrom", "bin"]).where("gene_lft < rgt AND lft < gene_rgt AND bin = greatest(__first, __gene_first)")
-    return met.drop("bin", "__first", "__gene_first")
+    left = binned(reads, "__first", "lft", "rgt").withColumn("__salt", F.pmod(F.xxhash64(*reads.columns), F.lit(salts)).cast("int"))
+    right = binned(genes.withColumnsRenamed({"lft": "gene_lft", "rgt": "gene_rgt"}), "__gene_first", "gene_lft", "gene_rgt").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = left.join(right, ["chrom", "bin", "__salt"]).where("gene_lft < rgt AND lft < gene_rgt AND bin = greatest(__first, __gene_first)")
+    return met.drop("bin", "__first", "__gene_first", "__salt")
+
+
+def classified(reads: DataFrame, genes: DataFrame, read_id: str, known_only: bool = False, max_genes: int = intervals.MAX_GENES) -> DataFrame:
+    """`reads` (chrom, pos, cigar, strand, a unique id and others) with gene (null: none), class and held_by, the number of genes that hold the read.
+
+    With an index every read is settled in its row; without, reads meet genes
+    by bins, and votes are joined back by `read_id`.
+    """
+    index = intervals.index_of(genes, max_genes)
+    if index is not None:
+        return intervals.classified(reads, genes, index, known_only=known_only)
+    placed = with_blocks(reads.select(F.col(read_id).alias("read_id"), "chrom", "pos", "cigar", "strand")).where("lft is not null")
+    found = resolve(votes(binned_join(placed, genes), known_only=known_only))
+    joined = reads.join(found.withColumnRenamed("read_id", read_id), read_id, "left").select(*reads.columns, "gene", "class", "held_by")
+    return joined.withColumn("class", F.coalesce("class", F.lit("no_gene"))).fillna(0, ["held_by"])
 
 
 def junctions(exons: DataFrame) -> DataFrame:
@@ -85,8 +116,8 @@ def resolve(voted: DataFrame) -> DataFrame:
     """Each read's gene and class: of a single spliced or ambiguous gene, else, if there is none such, of a single unspliced one."""
     exonic = F.col("vote").isin("spliced", "ambiguous")
     counted = voted.groupBy("read_id").agg(
-        F.count_if(exonic).alias("exonic"), F.count_if(F.col("vote") == "unspliced").alias("intronic"),
+        F.count(F.lit(1)).alias("held_by"), F.count_if(exonic).alias("exonic"), F.count_if(F.col("vote") == "unspliced").alias("intronic"),
         F.max(F.when(exonic, F.struct("gene", "vote"))).alias("e"), F.max(F.when(F.col("vote") == "unspliced", F.struct("gene", "vote"))).alias("i"),
     )
     chosen = F.when(F.col("exonic") == 1, F.col("e")).when((F.col("exonic") == 0) & (F.col("intronic") == 1), F.col("i"))
-    return counted.select("read_id", chosen["gene"].alias("gene"), F.coalesce(chosen["vote"], F.lit("no_gene")).alias("class"))
+    return counted.select("read_id", chosen["gene"].alias("gene"), F.coalesce(chosen["vote"], F.lit("no_gene")).alias("class"), "held_by")

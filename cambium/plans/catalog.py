@@ -561,14 +561,40 @@ VOTES_SQL = f"""WITH {GENES_SQL}, {READS_SQL}, h AS (
 
 @query("read_class_vote", f"{VOTES_SQL} SELECT gene, class, count(*) AS n FROM r GROUP BY ALL")
 def read_class_vote(spark, sf_dir):
-    found = annotate.resolve(annotate.votes(annotate.range_join(reads(spark, sf_dir), genes(spark, sf_dir))))
+    found = annotate.classified(reads(spark, sf_dir), genes(spark, sf_dir), "read_id").where("held_by > 0")
     return found.groupBy("gene", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("spliced_reads")
+SPLICED_SQL = f"""WITH {GENES_SQL}, t AS (
+  SELECT row_number() OVER () AS id, l_partkey % 5 AS chrom, CASE WHEN l_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand, l_partkey * 40 + l_orderkey % 400 AS pos, l_linenumber % 3 AS kind, 60 + CAST(l_quantity AS BIGINT) AS m FROM lineitem
+), b AS (
+  SELECT *, unnest(CASE kind WHEN 0 THEN [{{'a': pos, 'z': pos + 39}}, {{'a': pos + 140, 'z': pos + 179}}] WHEN 1 THEN [{{'a': pos, 'z': pos + m + 9}}] ELSE [{{'a': pos, 'z': pos + m - 1}}] END) AS x FROM t
+), h AS (
+  SELECT id, gene, kind = 0 AS two, sum(x.z - x.a + 1) AS bases, min(least(x.z, gene_rgt) - greatest(x.a, gene_lft) + 1) AS narrowest, sum(greatest(0, least(x.z, gene_rgt) - greatest(x.a, gene_lft) + 1)) AS inside,
+         sum(greatest(0, least(x.z, e1) - greatest(x.a, gene_lft) + 1) + greatest(0, least(x.z, gene_rgt) - greatest(x.a, e2) + 1)) AS exonic,
+         bool_or(kind = 0 AND pos + 39 = e1 AND pos + 140 = e2) AS known
+  FROM b JOIN genes ON b.chrom = genes.chrom AND gene_lft < pos + CASE kind WHEN 0 THEN 179 WHEN 1 THEN m + 9 ELSE m - 1 END AND pos < gene_rgt AND gene_strand = strand GROUP BY ALL
+), v AS (
+  SELECT id, gene, CASE WHEN inside - exonic >= 15 AND NOT two THEN 'unspliced' WHEN exonic::DOUBLE / inside >= 0.95 THEN CASE WHEN known THEN 'spliced' ELSE 'ambiguous' END ELSE 'none' END AS vote
+  FROM h WHERE narrowest > 0 AND inside >= 40 AND inside::DOUBLE / bases >= 0.95
+), c AS (
+  SELECT id, count(*) FILTER (vote IN ('spliced', 'ambiguous')) AS e, count(*) FILTER (vote = 'unspliced') AS u, max(vote) FILTER (vote IN ('spliced', 'ambiguous')) AS ve, max(gene) FILTER (vote IN ('spliced', 'ambiguous')) AS ge, max(gene) FILTER (vote = 'unspliced') AS gu FROM v GROUP BY id
+)
+SELECT CASE WHEN e = 1 THEN ve WHEN e = 0 AND u = 1 THEN 'unspliced' ELSE 'no_gene' END AS class, count(*) AS n, sum(CASE WHEN e = 1 THEN ge WHEN e = 0 AND u = 1 THEN gu END)::BIGINT AS gene_sum FROM c GROUP BY 1"""
+
+
+@query("spliced_reads", SPLICED_SQL)
 def spliced_reads(spark, sf_dir):
-    found = annotate.resolve(annotate.votes(annotate.range_join(reads(spark, sf_dir, spliced=True), genes(spark, sf_dir))))
-    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
+    found = annotate.classified(reads(spark, sf_dir, spliced=True), genes(spark, sf_dir), "read_id").where("held_by > 0")
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("gene").alias("gene_sum"))
+
+
+@query("spliced_reads_by_bins", SPLICED_SQL)
+def spliced_reads_by_bins(spark, sf_dir):
+    """spliced_reads as it runs where genes are too many for an index."""
+    numbered = kept(reads(spark, sf_dir, spliced=True).withColumn("read_id", F.monotonically_increasing_id()))
+    found = annotate.classified(numbered, genes(spark, sf_dir), "read_id", max_genes=0).where("held_by > 0")
+    return found.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.sum("gene").alias("gene_sum"))
 
 
 EXONS_SQL = "exons AS (SELECT DISTINCT ps AS transcript, ps % 7 AS gene, CAST(q * 30 AS BIGINT) AS lft, CAST(q * 30 + 20 + ps % 40 AS BIGINT) AS rgt FROM (SELECT l_suppkey AS ps, CAST(l_quantity AS BIGINT) AS q FROM lineitem))"
