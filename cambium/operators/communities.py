@@ -1,76 +1,235 @@
-"""Communities of a weighted graph by modularity: local moves, connected parts, then the same over the communities."""
+"""Communities of weighted graphs by modularity: local moves, refinement, and the same over the refined parts until nothing changes.
 
-from pyspark.sql import DataFrame
+Each level has two phases. Nodes first move to the neighbouring community of
+largest gain; only nodes with a neighbour that moved are looked at again, and a
+round counts only if it raises the modularity, else fewer nodes move at once,
+and at last only those that share no community. Communities are then refined: starting from single
+nodes, those that are well connected to their community join well connected
+parts of it, a part drawn in proportion to its gain. The parts become the nodes
+of the next level, whose communities are those already found, so a community
+that a later move would leave in pieces comes apart.
+
+Several graphs, or one graph at several resolutions, go through the same jobs;
+`graph` numbers them. Only one row a graph comes to the driver. Draws are hashes
+of nodes, so results depend neither on partitions nor on their order.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+from itertools import count
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import kept
 
+#: Gains below this are none.
+LEAST = 1e-9
 
-def both_ways(edges: DataFrame) -> DataFrame:
+
+def both_ways(edges: DataFrame, *keys: str) -> DataFrame:
     """(a, b, weight) of an undirected graph with each pair both ways, once, and loops once; repeated pairs add up."""
-    pairs = edges.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
-    return pairs.unionByName(pairs.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
-
-
-def local_moves(links: DataFrame, degrees: DataFrame, twice: float, resolution: float, rounds: int) -> DataFrame:
-    """(id, k, community): nodes move to the neighbouring community of largest gain, a random half of them each round, so that two don't swap for ever."""
-    state = degrees.withColumn("community", F.col("id"))
-    quiet = 0
-    for number in range(rounds):
-        sums = state.groupBy("community").agg(F.sum("k").alias("whole"))
-        near = links.where("a <> b").join(state.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.sum("weight").alias("inside"))
-        near = near.unionByName(state.select("id", "community", F.lit(0.0).alias("inside"))).groupBy("id", "community").agg(F.sum("inside").alias("inside"))
-        own = state.withColumnRenamed("community", "own")
-        scored = near.join(own, "id").join(sums, "community")
-        rest = F.col("whole") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
-        scored = scored.withColumn("score", F.round(F.col("inside") - resolution * F.col("k") * rest / twice, 9))
-        best = scored.groupBy("id", "k", "own").agg(F.max(F.struct("score", (-F.col("community")).alias("least"))).alias("best"), F.max(F.when(F.col("community") == F.col("own"), F.col("score"))).alias("stay"))
-        turn = F.pmod(F.xxhash64("id", F.lit(number)), F.lit(2)) == 0
-        moves = turn & (F.col("best.score") > F.col("stay"))
-        state = kept(best.select("id", "k", F.when(moves, -F.col("best.least")).otherwise(F.col("own")).alias("community"), moves.alias("moved")))
-        quiet = 0 if state.where("moved").limit(1).count() else quiet + 1
-        state = state.drop("moved")
-        if quiet == 2:
-            break
-    return state
+    pairs = edges.groupBy(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("weight").alias("weight"))
+    return pairs.unionByName(pairs.where("a <> b").select(*keys, F.col("b").alias("a"), F.col("a").alias("b"), "weight"))
+
+
+def chance(*columns):
+    """A number from 0 to 1, exclusive, by hash."""
+    return (F.pmod(F.xxhash64(*columns), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+
+def chosen_by(values: dict[int, float], column: str = "graph"):
+    """The value of each row's graph."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column)) if values else F.lit(None).cast("double")
+
+
+class Graphs:
+    """links (graph, a, b, weight; both ways), nodes (graph, id, k) and what each graph's moves are weighed by."""
+
+    def __init__(self, links: DataFrame, resolutions: dict[int, float]):
+        self.links = links
+        weight = F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))  # a loop counts twice in its node's degree
+        self.nodes = kept(links.groupBy("graph", F.col("a").alias("id")).agg(F.sum(weight).alias("k"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(0.0)).alias("looped")))
+        sums = self.nodes.groupBy("graph").agg(F.sum("k").alias("twice"), F.sum("looped").alias("looped"), F.count(F.lit(1)).alias("n")).collect()  # one row a graph
+        self.twice = {r["graph"]: r["twice"] for r in sums if r["twice"] > 0}
+        self.looped, self.size = ({r["graph"]: r[c] for r in sums} for c in ("looped", "n"))
+        self.resolutions = resolutions
+
+    def pull(self):
+        """What a unit of degree times a unit of degree costs."""
+        return chosen_by({g: self.resolutions[g] / t for g, t in self.twice.items()})
+
+    def judged(self, state: DataFrame, active: DataFrame | None = None) -> DataFrame:
+        """Of each node (of `active`, if given): inside, the weight to its own community, and the best other community with its gain (null: none)."""
+        asked = state if active is None else state.join(active, ["graph", "id"], "left_semi")
+        near = self.links.where("a <> b").join(asked.select("graph", F.col("id").alias("a")), ["graph", "a"]).join(state.select("graph", F.col("id").alias("b"), "community"), ["graph", "b"])
+        near = near.groupBy("graph", F.col("a").alias("id"), "community").agg(F.sum("weight").alias("inside"))
+        near = near.unionByName(asked.select("graph", "id", "community", F.lit(0.0).alias("inside"))).groupBy("graph", "id", "community").agg(F.sum("inside").alias("inside"))
+        whole = state.groupBy("graph", "community").agg(F.sum("k").alias("whole"))
+        scored = near.join(asked.select("graph", "id", "k", F.col("community").alias("own")), ["graph", "id"]).join(whole, ["graph", "community"])
+        mine = F.col("community") == F.col("own")
+        score = F.col("inside") - self.pull() * F.col("k") * (F.col("whole") - F.when(mine, F.col("k")).otherwise(0.0))
+        best = scored.withColumn("score", score).groupBy("graph", "id", "own").agg(
+            F.max(F.when(mine, F.col("score"))).alias("stay"), F.max(F.when(mine, F.col("inside"))).alias("inside"),
+            F.max(F.when(~mine, F.struct(F.round("score", 9).alias("score"), (-F.col("community")).alias("name")))).alias("best"),
+        )
+        return best.select("graph", "id", "own", "inside", (-F.col("best.name")).alias("to"), (F.col("best.score") - F.col("stay")).alias("gain"))
+
+    def modularity(self, state: DataFrame, table: DataFrame) -> dict[int, float]:
+        whole = state.groupBy("graph", "community").agg(F.sum("k").alias("k")).select("graph", (F.col("k") * F.col("k")).alias("square"), F.lit(0.0).alias("inside"))
+        rows = whole.unionByName(table.select("graph", F.lit(0.0).alias("square"), "inside")).groupBy("graph").agg(F.sum("square").alias("squares"), F.sum("inside").alias("inside")).collect()
+        return {r["graph"]: (r["inside"] + self.looped[r["graph"]]) / t - self.resolutions[r["graph"]] * r["squares"] / t**2 for r in rows if (t := self.twice.get(r["graph"]))}
+
+    @staticmethod
+    def apart(wanting: DataFrame) -> DataFrame:
+        """Of these moves those that no better one shares a community with: together they gain what each gains."""
+        touched = wanting.select("graph", "id", "gain", F.explode(F.array("own", "to")).alias("community"))
+        best = touched.groupBy("graph", "community").agg(F.max(F.struct("gain", (-F.col("id")).alias("id"))).alias("best"))
+        first = best.groupBy("graph", (-F.col("best.id")).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
+        return wanting.join(first, ["graph", "id"], "left_semi")
+
+    def moved(self, state: DataFrame, salt: int) -> tuple[DataFrame, set[int]]:
+        """The state (graph, id, k, community) after local moves, and the graphs in which any node has moved."""
+        table = kept(self.judged(state))
+        quality = self.modularity(state, table)
+        # The share of nodes that may move at once; 0: moves that have no community in common.
+        share, changed, fresh = dict.fromkeys(self.twice, 0.5), set(), set(self.twice)
+        left = set(self.twice)
+        for number in count():
+            wanting = table.where((F.col("gain") > LEAST) & F.col("graph").isin(sorted(left)))
+            asked = {r["graph"] for r in wanting.select("graph").distinct().collect()}
+            left -= (left - asked) & fresh
+            if not left:
+                return state, changed
+            if stale := left - asked:
+                # The queue is empty; all nodes are looked at once more, for the communities' weights have changed.
+                table, fresh = self.mixed(kept(self.judged(state)), table, stale), fresh | stale
+                continue
+            many = {g for g in left if share[g]}
+            parts = []
+            if many:
+                parts.append(wanting.where(F.col("graph").isin(sorted(many)) & (chance("id", F.lit(salt), F.lit(number)) < chosen_by(share))))
+            if left - many:
+                parts.append(self.apart(wanting.where(F.col("graph").isin(sorted(left - many)))))
+            go = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+            go = kept(go.select("graph", "id", "to"))
+            tried = kept(state.join(go, ["graph", "id"], "left").select("graph", "id", "k", F.coalesce("to", "community").alias("community")))
+            queue = go.select("graph", "id").unionByName(self.links.join(go.select("graph", F.col("id").alias("b")), ["graph", "b"]).select("graph", F.col("a").alias("id"))).distinct()
+            after = kept(self.judged(tried, queue).unionByName(table.join(queue, ["graph", "id"], "left_anti")))
+            found = self.modularity(tried, after)
+            better = {g for g in left if found[g] > quality[g] + LEAST}
+            for g in set(left):
+                if g in better:
+                    quality[g] = found[g]
+                elif share[g]:
+                    share[g] = share[g] / 4 if share[g] > 0.1 else 0.0
+                elif g in fresh:
+                    left.remove(g)  # no move gains anything that counts
+                else:
+                    table, fresh = self.mixed(kept(self.judged(state)), table, {g}), fresh | {g}
+            if better:
+                state, table = self.mixed(tried, state, better), self.mixed(after, table, better)
+                changed, fresh = changed | better, fresh - better
+
+    def mixed(self, new: DataFrame, old: DataFrame, graphs: set[int]) -> DataFrame:
+        """Rows of `new` for these graphs and of `old` for the others; both are written tables."""
+        if graphs == set(self.twice):
+            return new
+        mine = F.col("graph").isin(sorted(graphs))
+        return kept(new.where(mine).unionByName(old.where(~mine)))
+
+    def refined(self, state: DataFrame, salt: int) -> DataFrame:
+        """(graph, id, part): parts of the communities, each connected, named by a node of theirs."""
+        named = self.links.where("a <> b").join(state.select("graph", F.col("id").alias("a"), "community"), ["graph", "a"]).join(state.select("graph", F.col("id").alias("b"), F.col("community").alias("other")), ["graph", "b"])
+        inner = kept(named.where("community = other").select("graph", "a", "b", "weight"))
+        whole = kept(state.groupBy("graph", "community").agg(F.sum("k").alias("whole")))
+        parts = kept(state.join(whole, ["graph", "community"]).select("graph", "id", "k", "whole", F.col("id").alias("part")))
+        pull = self.pull()
+        for number in count():
+            of = parts.select("graph", F.col("id").alias("a"), F.col("part").alias("own")), parts.select("graph", F.col("id").alias("b"), "part")
+            near = inner.join(of[0], ["graph", "a"]).join(of[1], ["graph", "b"]).where("own <> part").groupBy("graph", "own", "part").agg(F.sum("weight").alias("weight"))
+            cut = near.groupBy("graph", F.col("own").alias("part")).agg(F.sum("weight").alias("cut"))
+            sums = parts.groupBy("graph", "part").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("n"), F.first("whole").alias("whole"))
+            well = sums.join(cut, ["graph", "part"]).where(F.col("cut") >= pull * F.col("k") * (F.col("whole") - F.col("k")))
+            single = well.where("n = 1").select("graph", F.col("part").alias("own"), F.col("k").alias("own_k"))
+            met = near.join(single, ["graph", "own"]).join(well.select("graph", "part", "k", "n"), ["graph", "part"]).withColumn("gain", F.col("weight") - pull * F.col("own_k") * F.col("k"))
+            met = kept(met.where(F.col("gain") > LEAST))
+            if met.isEmpty():
+                return parts.select("graph", "id", "part")
+            # A single node goes or is gone to in a round, never both.
+            goes = lambda name: chance(name, F.lit(salt), F.lit(number)) < 0.5  # noqa: B023, E731
+            drawn = met.where(goes("own") & ((F.col("n") > 1) | ~goes("part"))).withColumn("draw", F.log("gain") - F.log(-F.log(chance("own", "part", F.lit(salt), F.lit(number)))))
+            to = drawn.groupBy("graph", F.col("own").alias("id")).agg(F.max(F.struct("draw", F.col("part").alias("to")))["to"].alias("to"))
+            parts = kept(parts.join(to, ["graph", "id"], "left").select("graph", "id", "k", "whole", F.coalesce("to", "part").alias("part")))
 
 
 def connected_parts(links: DataFrame, state: DataFrame) -> DataFrame:
-    """(id, community): each community is split into its connected parts, named by their smallest node."""
-    named = links.join(state.select(F.col("id").alias("a"), F.col("community").alias("own")), "a").join(state.select(F.col("id").alias("b"), "community"), "b")
-    inner = kept(named.where("own = community and a <> b").select("a", "b"))
-    labels = state.select("id", F.col("id").alias("label"))
+    """(graph, id, community): each community is split into its connected parts, named by their smallest node."""
+    named = links.where("a <> b").join(state.select("graph", F.col("id").alias("a"), F.col("community").alias("own")), ["graph", "a"]).join(state.select("graph", F.col("id").alias("b"), "community"), ["graph", "b"])
+    inner = kept(named.where("own = community").select("graph", "a", "b"))
+    labels = state.select("graph", "id", F.col("id").alias("label"))
     while True:
-        seen = inner.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        after = kept(labels.withColumnRenamed("label", "was").join(seen, "id", "left").select("id", F.least("was", "near").alias("label"), "was"))
+        seen = inner.join(labels.withColumnRenamed("id", "b"), ["graph", "b"]).groupBy("graph", F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        after = kept(labels.withColumnRenamed("label", "was").join(seen, ["graph", "id"], "left").select("graph", "id", F.least("was", "near").alias("label"), "was"))
         # A label's own label: long chains shorten by doubling.
-        jumped = kept(after.join(after.select(F.col("id").alias("label"), F.col("label").alias("far")), "label").select("id", F.least("label", "far").alias("label"), "was"))
-        labels = jumped.select("id", "label")
-        if not jumped.where("label <> was").limit(1).count():
+        jumped = kept(after.join(after.select("graph", F.col("id").alias("label"), F.col("label").alias("far")), ["graph", "label"]).select("graph", "id", F.least("label", "far").alias("label"), "was"))
+        labels = jumped.select("graph", "id", "label")
+        if jumped.where("label <> was").isEmpty():
             return labels.withColumnRenamed("label", "community")
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, levels: int = 2, rounds: int = 12) -> DataFrame:
+def graph_communities(edges: DataFrame, resolutions: dict[int, float]) -> DataFrame:
+    """graph, id and community of every node of (graph, a, b, weight), each graph at its resolution."""
+    whole = kept(both_ways(edges.where(F.col("graph").isin(sorted(resolutions))).select("graph", *[F.col(c).cast("long").alias(c) for c in "ab"], F.col("weight").cast("double").alias("weight")), "graph"))
+    links, done, members, state = whole, [], None, None
+    for level in count():
+        graphs = Graphs(links, resolutions)
+        if state is None:
+            members = graphs.nodes.select("graph", "id", F.col("id").alias("node"))
+            state = graphs.nodes.select("graph", "id", "k", F.col("id").alias("community"))
+        state, changed = graphs.moved(state, 2 * level)
+        parts = kept(graphs.refined(state, 2 * level + 1))
+        sizes = {r["graph"]: r["n"] for r in parts.select("graph", "part").distinct().groupBy("graph").agg(F.count(F.lit(1)).alias("n")).collect()}
+        going = [g for g, n in sizes.items() if g in changed or n < graphs.size[g]]
+        named = members.join(state.select("graph", F.col("id").alias("node"), "community"), ["graph", "node"])
+        done.append(kept(named.where(~F.col("graph").isin(going)).select("graph", "id", "community")))
+        if not going:
+            break
+        left = F.col("graph").isin(going)
+        own = parts.where(left).join(state, ["graph", "id"])
+        members = kept(members.where(left).join(parts.select("graph", F.col("id").alias("node"), "part"), ["graph", "node"]).select("graph", "id", F.col("part").alias("node")))
+        name = lambda side: parts.select("graph", F.col("id").alias(side), F.col("part").alias(f"p_{side}"))  # noqa: B023, E731
+        one_way = links.where(left & (F.col("a") <= F.col("b"))).join(name("a"), ["graph", "a"]).join(name("b"), ["graph", "b"])
+        links = kept(both_ways(one_way.select("graph", F.col("p_a").alias("a"), F.col("p_b").alias("b"), "weight"), "graph"))
+        state = kept(own.groupBy("graph", F.col("part").alias("id")).agg(F.sum("k").alias("k"), F.first("community").alias("community")))
+    found = done[0]
+    for part in done[1:]:
+        found = found.unionByName(part)
+    return connected_parts(whole, found)
+
+
+def communities_at(edges: DataFrame, resolutions: Sequence[float], key: str | None = None) -> DataFrame:
+    """resolution, id and community, and `key` if there is one (a column that tells graphs apart, a few hundred at most): all of them in the same jobs."""
+    spark: SparkSession = edges.sparkSession
+    keys = [None] if key is None else sorted(r[0] for r in edges.select(key).distinct().collect())
+    table = [(i * len(resolutions) + j, k, float(r)) for i, k in enumerate(keys) for j, r in enumerate(resolutions)]
+    kind = "string" if key is None else edges.schema[key].dataType.simpleString()
+    numbers = spark.createDataFrame(table, f"graph int, __key {kind}, resolution double")
+    named = edges.withColumn("__own", F.lit(None).cast("string") if key is None else F.col(key))
+    numbered = named.join(F.broadcast(numbers), F.col("__own").eqNullSafe(F.col("__key"))).select("graph", "a", "b", "weight")  # one row a graph
+    found = graph_communities(numbered, {g: r for g, _, r in table}).join(F.broadcast(numbers), "graph")
+    return found.select(*([F.col("__key").alias(key)] if key else []), "resolution", "id", "community")
+
+
+def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     """id and community of every node of (a, b, weight).
 
-    Each level moves nodes between communities, splits communities that don't
-    hang together, and joins each into one node of the next level. Communities
-    are named by a node of theirs; ties go to the smaller name. Nodes are longs.
+    Every community is connected and named by its smallest node. Nodes are longs; repeated pairs add up, loops count
+    for their node; a graph without weight leaves every node by itself; an
+    empty graph gives no rows.
     """
-    links = kept(both_ways(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), F.col("weight").cast("double").alias("weight"))))
-    members = None
-    for _ in range(levels):
-        # A loop counts twice in its node's degree.
-        degrees = kept(links.groupBy(F.col("a").alias("id")).agg(F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))).alias("k")))
-        twice = degrees.agg(F.sum("k")).first()[0]
-        if not twice:
-            break
-        parts = connected_parts(links, local_moves(links, degrees, twice, resolution, rounds))
-        members = kept(parts if members is None else members.join(parts.select(F.col("id").alias("community"), F.col("community").alias("next")), "community").select("id", F.col("next").alias("community")))
-        name = lambda side: parts.select(F.col("id").alias(side), F.col("community").alias(f"c_{side}"))  # noqa: B023, E731
-        one_way = links.where("a <= b").join(name("a"), "a").join(name("b"), "b")
-        links = kept(both_ways(one_way.select(F.col("c_a").alias("a"), F.col("c_b").alias("b"), "weight")))
-    return members if members is not None else links.select(F.col("a").alias("id"), F.col("a").alias("community"))
+    return communities_at(edges, [resolution]).select("id", "community")
 
 
 def modularity(edges: DataFrame, members: DataFrame, resolution: float = 1.0) -> DataFrame:
