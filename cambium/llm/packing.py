@@ -33,7 +33,7 @@ SHARD_ROWS = 4096
 #: Shards of the first round whose open bins meet in one of the second.
 FAN_IN = 32
 #: Chunks of text, and words, whose ids a Python worker remembers.
-CACHE = 200_000
+CACHE = 60_000
 
 #: Bins at least so full stay as the first round left them.
 CLOSED = 0.98

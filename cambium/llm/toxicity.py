@@ -32,7 +32,7 @@ THRESHOLD = 0.3
 #: Imaginary documents, in the usual proportion of toxic ones, that each feature is also in.
 PRIOR_DOCS = 3.0
 #: Feature or word counts held by a task before it sends them on; words whose weights a task remembers.
-HELD = 400_000
+HELD = 120_000
 
 #: The letters that a digit or symbol may stand for.
 LEET = {
