@@ -63,7 +63,13 @@ def probes(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def emptydrops(spark: SparkSession, args: argparse.Namespace) -> None:
     counts = depth(spark, args).downsample([1.0]).matrix().select("barcode", "gene", "value")
-    save(droplets.droplet_calls(counts, args.lower, args.retain, args.iterations, seed=args.seed), args, "emptydrops")
+    options = {"lower": args.lower, "retain": args.retain or None, "iterations": args.iterations, "seed": args.seed, "most_fdr": args.fdr}
+    barcodes = spark.read.parquet(f"{args.prefix}_barcodes.parquet") if args.by_sample else None
+    if barcodes is None:
+        save(droplets.droplet_calls(counts, **options), args, "emptydrops")
+    else:
+        named = barcodes.select("barcode", F.substring_index("cb", "_", 1).alias("sample"))
+        save(droplets.calls_by(counts.join(named, "barcode"), "sample", **options), args, "emptydrops")
 
 
 def fit(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -168,12 +174,14 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--exclude-genes")
         one.add_argument("-S", "--seed", type=int, default=42)
         numbers = {
-            "emptydrops": {"lower": 100, "retain": 20_000, "iterations": 10_000}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 10, "max-hist": 50}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
+            "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 10, "max-hist": 50}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
             "preseq": {"most": 10.0}, "genes": {"points": 10, "repeats": 10}, "cache": {"least-quality": 255},
             "stability": {"repeats": 5, "frac": 0.5, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolution": 1.0},
         }
         for option, value in numbers.get(name, {}).items():
             one.add_argument(f"--{option}", type=type(value), default=value)
+        if name == "emptydrops":
+            one.add_argument("--by-sample", action="store_true", help="each sample by itself; barcodes are named SAMPLE_SEQUENCE")
         if name == "cache":
             one.add_argument("--known-junctions", action="store_true", help="pass over reads with gaps that the annotation doesn't have")
             one.add_argument("--samples", help="names of samples, with commas between")

@@ -751,14 +751,33 @@ def droplet_counts(spark, sf_dir):
 def droplet_calls(spark, sf_dir):
     counts = droplet_counts(spark, sf_dir)
     middle = int(counts.groupBy("barcode").agg(F.sum("value").alias("n")).agg(F.median("n")).first()[0])
-    return droplets.droplet_calls(counts, lower=middle, retain=4 * middle, iterations=1000)
+    return droplets.droplet_calls(counts, lower=middle)
 
 
-@query("ambient_profile", f"{DROPLETS}, t AS (SELECT barcode FROM d GROUP BY 1 HAVING sum(value) <= 600), s AS (SELECT gene, 1 + coalesce(sum(value) FILTER (barcode IN (FROM t)), 0) AS s FROM d GROUP BY 1) SELECT gene, round(ln(s / sum(s) OVER ())::DOUBLE, 9) AS log_share FROM s")
+#: Simple Good-Turing over barcodes of at most 600 molecules.
+SHARES = f"""{DROPLETS}, t AS (SELECT barcode FROM d GROUP BY 1 HAVING sum(value) <= 600), s AS (SELECT gene, coalesce(sum(value) FILTER (barcode IN (FROM t)), 0)::BIGINT AS s FROM d GROUP BY 1),
+  f AS (SELECT s AS r, count(*) AS n FROM s WHERE s > 0 GROUP BY s), z AS (SELECT r, n, lag(r) OVER w AS a, lead(r) OVER w AS b, lead(n) OVER w AS more FROM f WINDOW w AS (ORDER BY r)),
+  c AS (SELECT regr_slope(ln(2.0::DOUBLE * n / (coalesce(b, 2 * r - a) - coalesce(a, 0))), ln(r)) AS slope FROM z),
+  y AS (SELECT r, n, r * pow(1 + 1.0::DOUBLE / r, slope + 1) AS smooth, CASE WHEN b = r + 1 THEN (r + 1) * more::DOUBLE / n END AS raw, 1.96::DOUBLE * sqrt((r + 1)::DOUBLE * (r + 1) * more / n / n * (1 + more::DOUBLE / n)) AS spread FROM z, c),
+  k AS (SELECT *, min(CASE WHEN raw IS NULL OR abs(raw - smooth) <= spread THEN r END) OVER () AS turn FROM y), e AS (SELECT r, n, CASE WHEN r < turn THEN raw ELSE smooth END AS star FROM k),
+  u AS (SELECT least(greatest(coalesce(sum(n) FILTER (r = 1), 0)::DOUBLE / sum(r * n), 1 / (sum(r * n) + 1.0::DOUBLE)), sum(r * n) / (sum(r * n) + 1.0::DOUBLE)) AS unseen, sum(n * star) AS whole FROM e),
+  q AS (SELECT gene, CASE WHEN s = 0 THEN unseen / count(*) FILTER (s = 0) OVER () ELSE (1 - unseen) * star / whole / CASE WHEN count(*) FILTER (s = 0) OVER () > 0 THEN 1 ELSE 1 - unseen END END AS share FROM s LEFT JOIN e ON r = s, u)"""
+
+
+@query("ambient_profile", f"{SHARES} SELECT gene, round(share, 12) AS share FROM q")
 def ambient_profile(spark, sf_dir):
     counts = droplet_counts(spark, sf_dir)
     totals = counts.groupBy("barcode").agg(F.sum("value").alias("total"))
-    return droplets.ambient_profile(counts, totals, 600).select("gene", F.round("log_share", 9).alias("log_share"))
+    return droplets.ambient_profile(counts, totals, 600)[0].select("gene", F.round("share", 12).alias("share"))
+
+
+@query("droplet_likelihood", f"{SHARES}, w AS (SELECT barcode, sum(value) AS total FROM d GROUP BY 1 HAVING sum(value) > 600) SELECT barcode, total::BIGINT AS total, round(lgamma(any_value(total) + 1) + lgamma(50) - lgamma(any_value(total) + 50) + sum(lgamma(value + 50 * share) - lgamma(50 * share) - lgamma(value + 1)), 4) AS observed FROM d JOIN w USING (barcode) JOIN q USING (gene) GROUP BY barcode, total")
+def droplet_likelihood(spark, sf_dir):
+    """The Dirichlet-multinomial log probability of larger barcodes, at an alpha of 50."""
+    counts = droplet_counts(spark, sf_dir)
+    totals = counts.groupBy("barcode").agg(F.sum("value").alias("total"))
+    profile, _ = droplets.ambient_profile(counts, totals, 600)
+    return droplets.likelihoods(counts, profile, totals.where("total > 600"), 50.0).select("barcode", "total", F.round("observed", 4).alias("observed"))
 
 
 @query("cell_report", f"{FULL}, c AS (SELECT barcode, count(*) AS n FROM judged WHERE valid GROUP BY 1) SELECT min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean FROM c")
