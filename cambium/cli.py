@@ -48,8 +48,9 @@ def cache(spark: SparkSession, args: argparse.Namespace) -> None:
     tags = kept(molecule_tags(judged))
     save(judged.groupBy("status", "random_hex").agg(F.count(F.lit(1)).alias("n")), args, "summary")
     save(genes, args, "genes")
-    save(barcode_index(judged, tags), args, "barcodes")
-    files.write_tags(tags.withColumn("barcode", F.xxhash64("cb")).drop("cb"), f"{args.prefix}_tags.parquet")
+    index = kept(barcode_index(judged, tags))
+    save(index, args, "barcodes")
+    files.write_tags(tags.join(index.select("cb", "barcode"), "cb").drop("cb"), f"{args.prefix}_tags.parquet")
 
 
 def positions(spark: SparkSession, args: argparse.Namespace) -> None:

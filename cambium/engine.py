@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import annotate, classify, molecules, summaries, thinning
+from .operators import annotate, classify, molecules, numbering, summaries, thinning
 from .session import kept
 from .sources.libraries import FIELDS
 
@@ -21,11 +21,11 @@ def genes_of(annotation: DataFrame) -> DataFrame:
     blocks = annotate.merged_exons(parts.select("gene", "lft", "rgt").distinct()).groupBy("gene").agg(F.array_sort(F.collect_list(F.struct("lft", "rgt"))).alias("exons"))
     named = parts.select("gene", "transcript").distinct()
     gaps = annotate.junctions(parts.select("transcript", "lft", "rgt").distinct()).join(named, "transcript").groupBy("gene").agg(F.collect_set(F.struct("lft", "rgt")).alias("junctions"))
-    order = Window.orderBy("chrom", "lft", "rgt", "gene_id")  # an annotation's genes
     kind = "array<struct<lft:bigint,rgt:bigint>>"
     full = own.join(blocks.withColumnRenamed("gene", "gene_id"), "gene_id", "left").join(gaps.withColumnRenamed("gene", "gene_id"), "gene_id", "left")
     empty = F.array().cast(kind)
-    return full.withColumns({"exons": F.coalesce(F.col("exons").cast(kind), empty), "junctions": F.coalesce(F.col("junctions").cast(kind), empty), "gene": (F.row_number().over(order) - 1).cast("long")})
+    whole = full.withColumns({"exons": F.coalesce(F.col("exons").cast(kind), empty), "junctions": F.coalesce(F.col("junctions").cast(kind), empty)})
+    return numbering.numbered(whole, ["chrom", "lft", "rgt", "gene_id"], "gene")
 
 
 def statuses(reads: DataFrame, library: tuple, least_quality: int = 255) -> DataFrame:
@@ -78,14 +78,14 @@ def molecule_tags(reads: DataFrame, top: int = 65535) -> DataFrame:
 
 
 def barcode_index(reads: DataFrame, tags: DataFrame) -> DataFrame:
-    """Every barcode that a well-formed read bears, with its reads, countable reads by primer, and raw molecules."""
+    """Every barcode that a well-formed read bears, with its number (from 0, by sequence), reads, countable reads by primer, and raw molecules."""
     countable = F.col("status") == "countable"
     totals = reads.where("status <> 'bad_tags'").groupBy("cb").agg(
         F.count(F.lit(1)).alias("total_reads"), F.count_if(countable).alias("countable_reads"),
         F.count_if(countable & F.col("random_hex")).alias("countable_random_hex"), F.count_if(countable & ~F.col("random_hex")).alias("countable_poly_A"),
     )
     index = totals.join(tags.groupBy("cb").agg(F.count(F.lit(1)).alias("raw_molecules")), "cb", "left").fillna(0, ["raw_molecules"])
-    return index.withColumn("barcode", F.xxhash64("cb"))
+    return numbering.numbered(index, ["cb"], "barcode")
 
 
 @dataclass

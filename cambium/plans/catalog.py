@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, molecules, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, interpolation, intervals, molecules, neighbours, numbering, stability, summaries, thinning
 from ..session import kept, scratch
 from ..sources import binary
 from ..streaming import windows
@@ -118,9 +118,16 @@ def barcode_index(spark, sf_dir):
 
 @query("gene_map", "SELECT row_number() OVER (ORDER BY p_partkey % 5, p_partkey * 40, p_partkey * 40 + p_size * 20, 'g' || p_partkey) - 1 AS gene_index, 'g' || p_partkey AS gene_id, p_name AS gene_name FROM part")
 def gene_map(spark, sf_dir):
-    key = F.col("p_partkey")
-    order = Window.orderBy(key % 5, key * 40, key * 40 + F.col("p_size") * 20, F.concat(F.lit("g"), key.cast("string")))  # a dimension table
-    return fx.table(spark, sf_dir, "part").select((F.row_number().over(order) - 1).cast("long").alias("gene_index"), F.concat(F.lit("g"), key.cast("string")).alias("gene_id"), F.col("p_name").alias("gene_name"))
+    key = F.col("p_partkey").cast("long")
+    genes = fx.table(spark, sf_dir, "part").select((key % 5).alias("chrom"), (key * 40).alias("lft"), (key * 40 + F.col("p_size") * 20).alias("rgt"), F.concat(F.lit("g"), key.cast("string")).alias("gene_id"), F.col("p_name").alias("gene_name"))
+    return numbering.numbered(genes, ["chrom", "lft", "rgt", "gene_id"], "gene_index").select("gene_index", "gene_id", "gene_name")
+
+
+@query("barcode_numbers", "SELECT row_number() OVER (ORDER BY cb) - 1 AS barcode_idx, cb, total_reads FROM (SELECT 'c' || (l_suppkey * 7919 % 100003) AS cb, count(*) AS total_reads FROM lineitem GROUP BY 1)")
+def barcode_numbers(spark, sf_dir):
+    """Barcodes numbered without gaps by their sequence."""
+    totals = fx.table(spark, sf_dir, "lineitem").groupBy(F.concat(F.lit("c"), (F.col("l_suppkey").cast("long") * 7919 % 100003).cast("string")).alias("cb")).agg(F.count(F.lit(1)).alias("total_reads"))
+    return numbering.numbered(totals, ["cb"], "barcode_idx").select("barcode_idx", "cb", "total_reads")
 
 
 STATUS_READS = """reads AS (
@@ -409,14 +416,10 @@ def pilot_grid(spark, sf_dir):
 @query("interp_lookup", """WITH c AS (SELECT o_custkey AS x, count(*) AS y FROM orders GROUP BY 1), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM c),
   t AS (SELECT DISTINCT c_custkey AS q FROM customer) SELECT q, round(CAST(y + coalesce((log10(q + 1) - log10(x + 1)) / (log10(x2 + 1) - log10(x + 1)) * (y2 - y), 0) AS DOUBLE), 6) AS value FROM t JOIN s ON q >= x AND (q < x2 OR x2 IS NULL)""")
 def interp_lookup(spark, sf_dir):
-    # Targets and curve points share one order: each target takes the last point before it and the next after it.
     curve = fx.table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("x")).agg(F.count(F.lit(1)).alias("y"))
-    asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("x")).distinct()
-    both = curve.select("x", F.struct("x", "y").alias("point"), F.lit(False).alias("asked")).unionByName(asked.select("x", F.lit(None).cast("struct<x:bigint,y:bigint>").alias("point"), F.lit(True).alias("asked")))
-    order = Window.orderBy("x", "asked")  # curve points and targets are a fitted curve's, a few thousand rows
-    found = both.withColumn("a", F.last("point", ignorenulls=True).over(order)).withColumn("b", F.first("point", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    share = (F.log10(F.col("x") + 1) - F.log10(F.col("a.x") + 1)) / (F.log10(F.col("b.x") + 1) - F.log10(F.col("a.x") + 1))
-    return found.where("asked and a is not null").select(F.col("x").alias("q"), F.round(F.col("a.y") + F.coalesce(share * (F.col("b.y") - F.col("a.y")), F.lit(0.0)), 6).alias("value"))
+    asked = fx.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("x"))
+    found = interpolation.interpolated(curve, asked, lambda x: F.log10(x + 1)).where("y IS NOT NULL")
+    return found.select(F.col("x").cast("long").alias("q"), F.round("y", 6).alias("value"))
 
 
 @query("ztnb_fit")
