@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .engine import Depth, barcode_index, genes_of, molecule_tags, raw_reads
 from .functions import library as model
-from .operators import cells, curves, droplets, fitting, stability
+from .operators import cells, curves, droplets, fitting, replicates, stability
 from .session import kept
 from .sources import binary, files, libraries
 
@@ -116,39 +116,19 @@ def genes(spark: SparkSession, args: argparse.Namespace) -> None:
     save(found.groupBy("frac_idx").agg(F.median("stability").alias("median_stability"), F.count(F.lit(1)).alias("n")), args, "genes_summary")
 
 
-def grouped(counts: DataFrame, args: argparse.Namespace) -> DataFrame:
-    """id and community of a matrix's barcodes: variable genes, principal components, neighbours, communities."""
-    barcodes = counts.select("barcode").distinct().count()
-    often = counts.where("value > 0").groupBy("gene").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= args.min_cells).select("gene")
-    counts = kept(counts.join(often, "gene", "left_semi"))
-    top = [r["gene"] for r in stability.variable_genes(counts, barcodes, args.top_genes).collect()]
-    z = stability.scaled(stability.log_normalised(counts).where(F.col("gene").isin(top)), barcodes)
-    # A barcode's vector starts from the scores of absent genes and takes its own over them.
-    zero = {r["gene"]: r["zero"] for r in z.select("gene", "zero").distinct().collect()}  # at most `top_genes`
-    own = z.groupBy("barcode").agg(F.map_from_entries(F.collect_list(F.struct("gene", "z"))).alias("own"))
-    vectors = own.select(F.col("barcode").alias("id"), F.array(*[F.coalesce(F.try_element_at("own", F.lit(g)), F.lit(zero[g])) for g in sorted(zero)]).alias("vec"))
-    components = kept(stability.principal_components(vectors, min(args.components, len(zero))))
-    near = kept(stability.nearest(components.select("id", F.col("pcs").alias("vec")), args.neighbours))
-    from .operators import communities
-
-    return communities.communities(stability.shared_neighbours(near), args.resolution)
-
-
 def stable(spark: SparkSession, args: argparse.Namespace) -> None:
-    """Of each two replicates the adjusted Rand index of their communities."""
+    """Of each two replicates: the Rand index of their communities at each resolution, and the overlap of their variable genes and neighbours."""
     whole = depth(spark, args)
-    found = []
-    for seed in seeds_of(args.seed, args.repeats):
-        counts = whole.downsample([args.frac], [seed]).matrix().select("barcode", "gene", "value")
-        found.append((seed, kept(grouped(counts, args))))
-    rows = None
-    for i, (a, left) in enumerate(found):
-        for b, right in found[i + 1 :]:
-            both = left.withColumnRenamed("community", "x").join(right.withColumnRenamed("community", "y"), "id")
-            one = stability.adjusted_rand(both, "x", "y").select(F.lit(a).alias("a"), F.lit(b).alias("b"), "ari")
-            rows = one if rows is None else rows.unionByName(one)
-    if rows is not None:
-        save(rows, args, "stability_summary")
+    sample = kept(whole.downsample([args.frac], seeds_of(args.seed, args.repeats)).matrix())
+    tables = {seed: sample.where(F.col("seed") == seed).select("barcode", "gene", "value") for seed in seeds_of(args.seed, args.repeats)}
+    resolutions = sorted({float(r) for r in args.resolutions.split(",")})
+    found = replicates.replicates(tables, resolutions, args.top_genes, args.components, args.neighbours, args.min_cells)
+    pairs = kept(found.rand())
+    save(pairs, args, "stability_pairs")
+    save(pairs.groupBy("resolution").agg(F.median("ari").alias("median_ari"), F.avg("ari").alias("mean_ari"), F.count(F.lit(1)).alias("pairs")).orderBy("resolution"), args, "stability_summary")
+    save(found.clusters(), args, "stability_clusters")
+    save(found.gene_overlap(), args, "stability_genes")
+    save(found.neighbour_overlap(), args, "stability_neighbours")
 
 
 def filtered(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -177,7 +157,7 @@ def parser() -> argparse.ArgumentParser:
         numbers = {
             "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 10, "max-hist": 50}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
             "preseq": {"most": 10.0}, "genes": {"points": 10, "repeats": 10}, "cache": {"least-quality": 255},
-            "stability": {"repeats": 5, "frac": 0.5, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolution": 1.0},
+            "stability": {"repeats": 5, "frac": 0.5, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolutions": "1.0"},
         }
         for option, value in numbers.get(name, {}).items():
             one.add_argument(f"--{option}", type=type(value), default=value)

@@ -113,8 +113,8 @@ class Graphs:
             if left - many:
                 parts.append(self.apart(wanting.where(F.col("graph").isin(sorted(left - many)))))
             go = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-            go = kept(go.select("graph", "id", "to"))
-            tried = kept(state.join(go, ["graph", "id"], "left").select("graph", "id", "k", F.coalesce("to", "community").alias("community")))
+            tried = kept(state.select("graph", "id", "k", "community").join(go.select("graph", "id", "to"), ["graph", "id"], "left").select("graph", "id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("went")))
+            go = tried.where("went")
             queue = go.select("graph", "id").unionByName(self.links.join(go.select("graph", F.col("id").alias("b")), ["graph", "b"]).select("graph", F.col("a").alias("id"))).distinct()
             after = kept(self.judged(tried, queue).unionByName(table.join(queue, ["graph", "id"], "left_anti")))
             found = self.modularity(tried, after)
@@ -129,7 +129,7 @@ class Graphs:
                 else:
                     table, fresh = self.mixed(kept(self.judged(state)), table, {g}), fresh | {g}
             if better:
-                state, table = self.mixed(tried, state, better), self.mixed(after, table, better)
+                state, table = self.mixed(tried.drop("went"), state, better), self.mixed(after, table, better)
                 changed, fresh = changed | better, fresh - better
 
     def mixed(self, new: DataFrame, old: DataFrame, graphs: set[int]) -> DataFrame:

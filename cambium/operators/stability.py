@@ -5,10 +5,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import kept
+from .interpolation import interpolated
+
+#: Points, at most, to which the trend of variances is fitted.
+BUCKETS = 20_000
 
 
 def gene_overlap(baseline: DataFrame, replicates: DataFrame) -> DataFrame:
@@ -30,6 +36,17 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     return sums.select(F.when(top == expected, 1.0).otherwise((F.col("both") - expected) / (top - expected)).alias("ari"))
 
 
+def adjusted_rand_by(labels: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """keys and ari: adjusted_rand of the rows of each value of the keys, all at once."""
+    pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
+    table = kept(labels.groupBy(*keys, a, b).agg(F.count(F.lit(1)).alias("n")))
+    one = lambda key, name: table.groupBy(*keys, key).agg(F.sum("n").alias("n")).groupBy(*keys).agg(pairs("n").alias(name))
+    sums = table.groupBy(*keys).agg(pairs("n").alias("both"), F.sum("n").alias("n")).join(one(a, "in_a"), keys).join(one(b, "in_b"), keys)
+    expected = F.col("in_a") * F.col("in_b") / (F.col("n") * (F.col("n") - 1) / 2)
+    top = (F.col("in_a") + F.col("in_b")) / 2
+    return sums.select(*keys, F.when((F.col("n") < 2) | (top == expected), 1.0).otherwise((F.col("both") - expected) / (top - expected)).alias("ari"))
+
+
 def jaccard(sets: DataFrame, key: str, item: str) -> DataFrame:
     """Of each pair of keys, smaller first: the Jaccard index of their items; two empty sets don't occur."""
     sets = sets.select(key, item).distinct()
@@ -119,20 +136,74 @@ def principal_components(vectors: DataFrame, k: int) -> DataFrame:
     return PCA(k=k, inputCol="features", outputCol="pcs").fit(rows).transform(rows).select("id", vector_to_array("pcs").alias("pcs"))
 
 
-def variable_genes(counts: DataFrame, cells: int, top: int) -> DataFrame:
-    """The `top` genes of largest standardised variance: against a quadratic trend of log variance over log mean, clipped at sqrt(cells) deviations.
+def dense_vectors(scores: DataFrame, genes: list) -> DataFrame:
+    """id and vec of each barcode of `scores` (barcode, gene, z, zero): z of the given genes in their order, and zero where the barcode has none.
+
+    A barcode's own scores are one list, as long as `genes` at most; the vectors are filled in Arrow batches.
+    """
+    places = scores.sparkSession.createDataFrame([(g, i) for i, g in enumerate(genes)], T.StructType([scores.schema["gene"], T.StructField("place", T.IntegerType())]))
+    placed = scores.join(F.broadcast(places), "gene")  # a list of genes
+    zero = np.zeros(len(genes))
+    for r in placed.groupBy("place").agg(F.first("zero").alias("zero")).collect():
+        zero[r["place"]] = r["zero"]
 
-    `counts` (barcode, gene, value) need not hold zeros; they are counted in. Only sums over genes come to the driver.
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                out = np.tile(zero, (part.num_rows, 1))
+                own = part.column(1)
+                flat = own.flatten()
+                row = np.asarray(pc.list_parent_indices(own))
+                out[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * len(zero), pa.int32()), pa.array(out.ravel()))], ["id", "vec"])
+
+    own = placed.groupBy(F.col("barcode").cast("long").alias("id")).agg(F.collect_list(F.struct("place", "z")).alias("own"))
+    return own.mapInArrow(fill, "id long, vec array<double>")
+
+
+#: Share of the genes that a local regression at one place looks at, and places at which it is fitted.
+SPAN, KNOTS = 0.3, 200
+
+
+def local_trend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, at: np.ndarray, span: float = SPAN) -> np.ndarray:
+    """Local quadratic regression of y on x with tricube weights, at the places `at`; `weight` is how many rows a point stands for."""
+    order = np.argsort(x, kind="stable")
+    x, y, weight = x[order], y[order], weight[order]
+    need = max(3.0, np.floor(span * weight.sum() + 1e-9))
+    out = np.empty(len(at))
+    for i, a in enumerate(at):
+        d = np.abs(x - a)
+        near = np.argsort(d, kind="stable")
+        width = d[near[min(np.searchsorted(np.cumsum(weight[near]), need), len(x) - 1)]]
+        w = weight * np.where(d <= width, (1 - (d / width) ** 3) ** 3 if width > 0 else 1.0, 0.0)
+        basis = np.stack([np.ones_like(x), x - a, (x - a) ** 2], 1) * np.sqrt(w)[:, None]
+        out[i] = np.linalg.lstsq(basis, y * np.sqrt(w), rcond=None)[0][0]
+    return out
+
+
+def variable_genes(counts: DataFrame, cells: int, top: int, span: float = SPAN) -> DataFrame:
+    """gene and score of the `top` genes of largest standardised variance: against the local trend of log variance over log mean, clipped at sqrt(cells) deviations.
+
+    `counts` (barcode, gene, value) need not hold zeros; they are counted in.
+    The trend is fitted to at most `BUCKETS` points, means of genes of about the
+    same log mean (all genes by themselves if there are fewer); only those come
+    to the driver. A gene's expected variance lies between the trend's knots.
     """
     moments = counts.groupBy("gene").agg(F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"), F.count(F.lit(1)).alias("seen"))
     moments = moments.withColumn("mean", F.col("s") / cells).withColumn("var", (F.col("q") - F.col("s") * F.col("s") / cells) / (cells - 1))
-    logs = moments.where("var > 0").withColumns({"x": F.log10("mean"), "y": F.log10("var")})
-    sums = logs.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.pow("x", F.lit(i))).alias(f"x{i}") for i in range(5)], *[F.sum(F.pow("x", F.lit(i)) * F.col("y")).alias(f"y{i}") for i in range(3)]).first()
-    if not sums["n"]:
+    logs = kept(moments.where("var > 0").withColumns({"x": F.log10("mean"), "y": F.log10("var")}))
+    ends = logs.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).first()
+    if not ends["n"]:
         return moments.limit(0).select("gene", F.lit(0.0).alias("score"))
-    a = np.asarray([[sums[f"x{i + j}"] for j in range(3)] for i in range(3)])
-    w = np.linalg.lstsq(a, np.asarray([sums[f"y{i}"] for i in range(3)]), rcond=None)[0].tolist()
-    trend = logs.withColumn("sd", F.sqrt(F.pow(F.lit(10.0), w[0] + w[1] * F.col("x") + w[2] * F.col("x") * F.col("x"))))
+    step = (ends["high"] - ends["low"]) / BUCKETS
+    place = F.col("gene") if ends["n"] <= BUCKETS or not step else F.floor((F.col("x") - ends["low"]) / step)
+    points = logs.groupBy(place.alias("place")).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n")).toArrow()
+    x, y, n = (points[c].to_numpy().astype(float) for c in ("x", "y", "n"))
+    knots = np.unique(np.quantile(x, np.linspace(0, 1, KNOTS))) if len(x) > KNOTS else np.unique(x)
+    fitted = local_trend(x, y, n, knots, span)
+    table = counts.sparkSession.createDataFrame(list(zip(knots.tolist(), fitted.tolist(), strict=True)), "x double, y double")
+    trend = logs.join(interpolated(table, logs, lambda c: c).withColumnRenamed("y", "expected"), "x").withColumn("sd", F.sqrt(F.pow(F.lit(10.0), "expected")))
     z = F.least((F.col("value") - F.col("mean")) / F.col("sd"), F.lit(float(cells) ** 0.5))
     found = counts.join(trend, "gene").groupBy("gene").agg(F.sum(z * z).alias("square"), F.first("seen").alias("seen"), F.first(F.pow(F.col("mean") / F.col("sd"), F.lit(2))).alias("zero"))
     score = (F.col("square") + (cells - F.col("seen")) * F.col("zero")) / (cells - 1)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, interpolation, intervals, molecules, neighbours, numbering, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, interpolation, intervals, molecules, numbering, stability, summaries, thinning
+from ..operators import neighbours as lists
 from ..session import kept, scratch
 from ..sources import binary
 from ..streaming import windows
@@ -488,6 +489,23 @@ def knn_topk(spark, sf_dir):
     return neighbours(spark, sf_dir).select("id", "other", "place")
 
 
+def by_lists(spark, sf_dir, **options):
+    rows = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("vec"))
+    return lists.near_neighbours(rows, 10, list_rows=256, **options)
+
+
+@query("knn_by_lists", f"WITH {KNN} SELECT id, other, CAST(place AS INTEGER) AS place FROM k")
+def knn_by_lists(spark, sf_dir):
+    """Every row looks at every list, so the result is exact."""
+    return by_lists(spark, sf_dir, probes=lists.MAX_LISTS).select("id", "other", "place")
+
+
+@query("knn_recall")
+def knn_recall(spark, sf_dir):
+    """The share of exact neighbours that lists give, as many as hold 0.95 of those of the rows asked."""
+    return lists.recall_of(by_lists(spark, sf_dir, recall=0.95), neighbours(spark, sf_dir))
+
+
 @query("knn_label_agreement", f"WITH {KNN} SELECT x.label, count(*) AS n, count(*) FILTER (x.label = y.label) AS agree FROM k JOIN embeddings x ON x.vec_id = id JOIN embeddings y ON y.vec_id = other GROUP BY ALL")
 def knn_label_agreement(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")

@@ -206,5 +206,6 @@ def test_commands_on_a_table(spark, tmp_path):
     assert read("limit_summary").count() == 6 and read("pilot_summary").count() >= 1
     cli.main(["genes", prefix, "--points", "2", "--repeats", "2"], spark)
     assert read("genes_summary").where("frac_idx = 1").first()["median_stability"] == 1.0
-    cli.main(["stability", prefix, "--repeats", "2", "--frac", "0.9", "--top-genes", "16", "--components", "3", "--neighbours", "8", "--resolution", "0.5"], spark)
-    assert read("stability_summary").first()["ari"] > 0.8
+    cli.main(["stability", prefix, "--repeats", "2", "--frac", "0.9", "--top-genes", "16", "--components", "3", "--neighbours", "8", "--resolutions", "0.5,1"], spark)
+    assert read("stability_summary").where("resolution = 0.5").first()["median_ari"] > 0.8
+    assert read("stability_clusters").count() == 4 and read("stability_genes").first()["jaccard"] > 0.5 and read("stability_neighbours").first()["mean"] > 0.3
