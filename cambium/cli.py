@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Depth, barcode_index, genes_of, molecule_tags, raw_reads
-from .functions import library as model
-from .operators import cells, curves, droplets, fitting, replicates, stability
+from .operators import cells, curves, droplets, fit_products, replicates, stability
 from .session import kept
 from .sources import binary, files, libraries
 
@@ -23,14 +22,29 @@ def save(df: DataFrame, args: argparse.Namespace, name: str) -> None:
     df.write.mode("overwrite").parquet(f"{args.prefix}_{name}.parquet")
 
 
+def saved(spark: SparkSession, args: argparse.Namespace, name: str) -> DataFrame | None:
+    """A table that another command has written, if it has."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{args.prefix}_{name}.parquet")
+    return spark.read.parquet(str(path.toString())) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+
+
+def libraries_of(args: argparse.Namespace) -> dict[str, tuple]:
+    return libraries.custom(args.custom_libs, args.override) if args.custom_libs else libraries.BUILT_IN
+
+
+def baseline_fraction(spark: SparkSession, args: argparse.Namespace) -> float:
+    """That of the saved fit; all reads if there is none."""
+    found = saved(spark, args, "fit_baseline")
+    return 1.0 if found is None else found.first()["fraction"]
+
+
 def depth(spark: SparkSession, args: argparse.Namespace) -> Depth:
     tags = spark.read.parquet(f"{args.prefix}_tags.parquet")
     out = None
     if args.exclude_genes:
         ids = files.read_gene_list(spark, args.exclude_genes)
         out = spark.read.parquet(f"{args.prefix}_genes.parquet").join(ids, "gene_id", "left_semi")
-    found = libraries.custom(args.custom_libs, args.override) if args.custom_libs else libraries.BUILT_IN
-    return Depth(tags, found[args.library][libraries.FIELDS.index("UR_length")], out)
+    return Depth(tags, libraries_of(args)[args.library][libraries.FIELDS.index("UR_length")], out)
 
 
 def known_libraries(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -38,8 +52,7 @@ def known_libraries(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def cache(spark: SparkSession, args: argparse.Namespace) -> None:
-    found = libraries.custom(args.custom_libs, args.override) if args.custom_libs else libraries.BUILT_IN
-    spec = found[args.library]
+    spec = libraries_of(args)[args.library]
     named = dict(zip(libraries.FIELDS, spec))
     wanted = {"cb": named["CB_tag"], "umi": named["UR_tag"], "gx": "GX"} | ({"sample": args.sample_tag} if args.samples else {})
     reads = (binary.read_bam if args.alignments.endswith(".bam") else files.read_sam)(spark, args.alignments, wanted)
@@ -74,18 +87,16 @@ def emptydrops(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def fit(spark: SparkSession, args: argparse.Namespace) -> None:
-    sample = depth(spark, args).downsample([*curves.curve_fractions(args.points)], [args.seed])
-    sample.molecules = kept(sample.molecules)
-    bulk, histogram = sample.bulk(), sample.histogram(args.max_hist)
-    fits = kept(fitting.fit_histograms(histogram.where(F.col("frac_idx") == args.points - 1), "seed", "frac_idx", bins=args.max_hist - 1))
-    sized = fits.join(bulk, ["seed", "frac_idx"]).withColumn("size", model.library_size(F.col("reads"), F.col("r"), F.col("p")))
-    save(sized, args, "fit_baseline")
-    save(bulk, args, "fit_curve")
-    save(histogram, args, "fit_rpm_histograms")
-    share = spark.range(5, 100, 5).select(F.col("id").cast("double").alias("percent"))
-    costs = share.crossJoin(F.broadcast(sized.where("not failed").select("size", "r")))  # one fit
-    save(costs.select("percent", model.reads_for_recovery(F.col("percent") / 100, F.col("size"), F.col("r")).alias("reads")), args, "fit_recovery_costs")
-    save(costs.select("percent", model.reads_for_saturation("percent", "size", "r").alias("reads")), args, "fit_saturation_costs")
+    whole = depth(spark, args)
+    countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0] or 0
+    summary = saved(spark, args, "summary")
+    total = summary.agg(F.sum("n")).first()[0] if summary is not None else countable
+    classes = not libraries_of(args)[args.library][libraries.FIELDS.index("probe_based")]
+    found = fit_products.products(lambda fracs: whole.downsample(fracs, [args.seed]).molecules, countable, total, args.baseline_sat, args.max_sat, args.points, args.max_hist, args.sat_start, args.sat_end, args.sat_step, classes)
+    if found is None:
+        raise SystemExit("no fit: there are no molecules")
+    for name, table in vars(found).items():
+        save(table, args, f"fit_{'rpm_histograms' if name == 'histograms' else name}")
 
 
 def limit(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -109,7 +120,7 @@ def preseq(spark: SparkSession, args: argparse.Namespace) -> None:
 
 def genes(spark: SparkSession, args: argparse.Namespace) -> None:
     whole = depth(spark, args)
-    baseline = kept(whole.downsample([1.0], [args.seed]).matrix().select("barcode", "gene", "value"))
+    baseline = kept(whole.downsample([baseline_fraction(spark, args)], [args.seed]).matrix().select("barcode", "gene", "value"))
     repeats = whole.downsample(curves.curve_fractions(args.points), seeds_of(args.seed, args.repeats)).matrix()
     found = kept(stability.gene_overlap(baseline, repeats))
     save(found, args, "genes_barcodes")
@@ -119,7 +130,7 @@ def genes(spark: SparkSession, args: argparse.Namespace) -> None:
 def stable(spark: SparkSession, args: argparse.Namespace) -> None:
     """Of each two replicates: the Rand index of their communities at each resolution, and the overlap of their variable genes and neighbours."""
     whole = depth(spark, args)
-    sample = kept(whole.downsample([args.frac], seeds_of(args.seed, args.repeats)).matrix())
+    sample = kept(whole.downsample([args.frac or baseline_fraction(spark, args)], seeds_of(args.seed, args.repeats)).matrix())
     tables = {seed: sample.where(F.col("seed") == seed).select("barcode", "gene", "value") for seed in seeds_of(args.seed, args.repeats)}
     resolutions = sorted({float(r) for r in args.resolutions.split(",")})
     found = replicates.replicates(tables, resolutions, args.top_genes, args.components, args.neighbours, args.min_cells)
@@ -155,9 +166,9 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--exclude-genes")
         one.add_argument("-S", "--seed", type=int, default=42)
         numbers = {
-            "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 10, "max-hist": 50}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
+            "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 8, "max-hist": 50, "baseline-sat": 50.0, "max-sat": 55.0, "sat-start": 10.0, "sat-end": 95.0, "sat-step": 1.0}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
             "preseq": {"most": 10.0}, "genes": {"points": 10, "repeats": 10}, "cache": {"least-quality": 255},
-            "stability": {"repeats": 5, "frac": 0.5, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolutions": "1.0"},
+            "stability": {"repeats": 5, "frac": 0.0, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolutions": "1.0"},
         }
         for option, value in numbers.get(name, {}).items():
             one.add_argument(f"--{option}", type=type(value), default=value)

@@ -56,7 +56,7 @@ def target_fraction(measure: Callable[[float], DataFrame], countable: int, targe
     for _ in range(2):
         found = limit_errors(bulk(molecules), reads_histogram(molecules, BINS), bulk(molecules))
         row = found.withColumn("target", F.lit(target)).withColumn("wanted", library.reads_for_saturation("target", "size", "r")).first()
-        if row is None or row["wanted"] is None:
+        if row is None or row["size"] is None or row["wanted"] is None:
             break
         frac = min(1.0, row["wanted"] / countable)
         molecules = kept(measure(frac).select(*needed))
@@ -74,6 +74,12 @@ def pilot_fractions(countable: int, units: float, decades: tuple[int, int] = (2,
     return [f for f in grid if f <= 1.0]
 
 
+def pilot_grid(units: DataFrame, decades: tuple[int, int] = (2, 6)) -> DataFrame:
+    """For each row of `units` (countable, units and others) the depths of 1, 2 and 5 reads of each power of ten a unit that its reads suffice for: step and fraction."""
+    grid = F.array(*[F.lit(m * 10**d).cast("long") for d in range(decades[0], decades[1] + 1) for m in (1, 2, 5)])
+    return units.withColumn("step", F.explode(grid)).withColumn("fraction", F.col("step") * F.col("units") / F.col("countable")).where("fraction <= 1")
+
+
 def pilot_errors(measure: Callable[[list[float]], DataFrame], countable: int, units: float, decades: tuple[int, int] = (2, 6)) -> DataFrame:
     """limit_errors of fits at each depth of the pilot grid, over the same depths and all reads; the last frac_idx is that of all reads.
 

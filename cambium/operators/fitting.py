@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 R_BOUNDS, MU_BOUNDS = (0.25, 50.0), (1e-6, 200.0)
-FIT = "r double, p double, nll_per_molecule double, ks double, failed boolean"
+FIT = "r double, p double, nll_per_molecule double, ks double, failed boolean, tail_mass double"
 
 
 def log_pmf(r: float, mu: float, top: int) -> np.ndarray:
@@ -61,6 +61,11 @@ def fit_histogram(counts: np.ndarray) -> tuple[float, float, float, float, bool]
     return float(r), float(r / (r + mu)), value, ks, bool(r > 49)
 
 
+def tail_mass(r: float, p: float, top: int) -> float:
+    """The share of seen molecules that the model has with more than `top` reads."""
+    return max(0.0, float(1 - np.exp(log_pmf(r, r * (1 - p) / p, top)).sum()))
+
+
 def fit_histograms(histograms: DataFrame, *keys: str, bins: int = 49) -> DataFrame:
     """FIT for each group of `keys`; rows are (keys, bin, n). Bins above `bins`, the tail, aren't fitted."""
     fields = {f.name: f.dataType.simpleString() for f in histograms.schema.fields}
@@ -69,6 +74,7 @@ def fit_histograms(histograms: DataFrame, *keys: str, bins: int = 49) -> DataFra
         counts = np.zeros(bins)
         inside = rows[(rows["bin"] >= 1) & (rows["bin"] <= bins)]
         np.add.at(counts, inside["bin"].to_numpy().astype(int) - 1, inside["n"].to_numpy())
-        return pd.DataFrame([[*key, *fit_histogram(counts)]], columns=[*keys, "r", "p", "nll_per_molecule", "ks", "failed"])
+        found = fit_histogram(counts)
+        return pd.DataFrame([[*key, *found, tail_mass(*found[:2], bins)]], columns=[*keys, "r", "p", "nll_per_molecule", "ks", "failed", "tail_mass"])
 
     return histograms.groupBy(*keys).applyInPandas(fit, ", ".join(f"{k} {fields[k]}" for k in keys) + ", " + FIT)

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fitting, interpolation, intervals, molecules, numbering, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, intervals, molecules, numbering, stability, summaries, thinning
 from ..operators import neighbours as lists
 from ..session import kept, scratch
-from ..sources import binary
+from ..sources import binary, libraries
 from ..streaming import windows
 from . import fixtures as fx
 
@@ -372,18 +372,27 @@ def saturation_curve_predict(spark, sf_dir):
     return rows.select("id", F.round(seen, 3).alias("molecules"), F.round(library.saturation(F.col("reads"), seen), 6).alias("saturation"))
 
 
-@query("recovery_costs", f"SELECT CAST(x AS BIGINT) AS recovery, round({R} * {SIZE} * (power(1 - x / 100.0::DOUBLE, -1 / {R}) - 1), 3) AS reads FROM range(10, 91) t(x)")
-def recovery_costs(spark, sf_dir):
-    return spark.range(10, 91).select(F.col("id").alias("recovery"), F.round(library.reads_for_recovery(F.col("id") / 100.0, F.lit(SIZE), F.lit(R)), 3).alias("reads"))
+#: A library for each customer: its size, dispersion and rate of countable reads.
+LIBRARIES_SQL = "lib AS (SELECT c_custkey AS id, 1000.37 + c_custkey * 997 % 100000::DOUBLE AS size, 0.5 + c_custkey % 9::DOUBLE AS r, 0.3 + c_custkey % 7 / 10.0::DOUBLE AS rate FROM customer)"
+
 
+def library_rows(spark, sf_dir):
+    key = F.col("c_custkey").cast("long")
+    return fx.table(spark, sf_dir, "customer").select(key.alias("id"), (1000.37 + (key * 997 % 100000).cast("double")).alias("size"), (0.5 + key % 9).cast("double").alias("r"), (0.3 + key % 7 / 10.0).cast("double").alias("rate"))
 
-P = 0.6690893243860421
+
+@query("recovery_costs", f"""WITH {LIBRARIES_SQL}, c AS (SELECT id, size, r, rate, 10 + 5 * i::DOUBLE AS recovery FROM lib, range(18) t(i)), d AS (SELECT *, r * size * (power(1 - recovery / 100, -1 / r) - 1) AS reads FROM c),
+  m AS (SELECT *, size * (1 - power(r / (r + reads / size), r)) AS seen FROM d)
+  SELECT id, recovery, round(reads, 3) AS reads, CAST(round(seen) AS BIGINT) AS molecules, CAST(round(reads / rate) AS BIGINT) AS sequenced_reads, round(100 - 100 * seen / reads, 6) AS saturation FROM m""")
+def recovery_costs(spark, sf_dir):
+    found = fit_products.recovery_costs(library_rows(spark, sf_dir), 10, 95, 5)
+    return found.select("id", "recovery", F.round("reads", 3).alias("reads"), "molecules", "sequenced_reads", F.round("saturation", 6).alias("saturation"))
 
 
-@query("predict_pmf", f"WITH k AS (SELECT CAST(x AS BIGINT) AS bin, exp(lgamma(x + {R}) - lgamma(x + 1) - lgamma({R})) * power({P}, {R}) * power(1 - {P}, x) AS y FROM range(1, 51) t(x)) SELECT bin, round(y / sum(y) OVER (), 9) AS share FROM k")
+@query("predict_pmf", f"WITH {LIBRARIES_SQL}, k AS (SELECT id, CAST(x AS BIGINT) AS bin, exp(lgamma(x + r) - lgamma(x + 1) - lgamma(r)) * power(0.3 + id % 5 / 10.0::DOUBLE, r) * power(1 - (0.3 + id % 5 / 10.0::DOUBLE), x) AS y FROM lib, range(1, 21) t(x)) SELECT id, bin, round(y / sum(y) OVER (PARTITION BY id), 9) AS share FROM k")
 def predict_pmf(spark, sf_dir):
-    rows = spark.range(1, 51).select(F.col("id").alias("bin"), F.lit(R).alias("r"), F.lit(P).alias("p"))
-    return rows.select("bin", F.round(library.reads_pmf("bin", "r", "p", 50), 9).alias("share"))
+    fits = library_rows(spark, sf_dir).withColumns({"p": 0.3 + F.col("id") % 5 / 10.0, "molecules": F.lit(1000)})
+    return fit_products.predicted_histogram(fits, 20).select("id", F.col("bin").cast("long").alias("bin"), F.round("share", 9).alias("share"))
 
 
 @query("predict_errors", f"""WITH t AS (SELECT o_orderkey AS id, o_orderkey * 1000.0::DOUBLE + 1 AS reads, (o_orderkey * 1000.0::DOUBLE + 1) * 0.6 AS seen FROM orders),
@@ -395,10 +404,12 @@ def predict_errors(spark, sf_dir):
     return found.select("id", *[F.round(c, 6).alias(c) for c in ("recovery", "molecules_pdiff", "saturation_err", "recovery_err")])
 
 
-@query("saturation_costs_bisection")
+@query("saturation_costs_bisection", f"WITH {LIBRARIES_SQL} SELECT id, 10 + 5 * i::DOUBLE AS saturation, 10 + 5 * i::DOUBLE AS reached, true AS priced FROM lib, range(18) t(i)")
 def saturation_costs_bisection(spark, sf_dir):
-    rows = spark.range(10, 91).select(F.col("id").cast("double").alias("saturation"), F.lit(SIZE).alias("size"), F.lit(R).alias("r"))
-    return rows.select("saturation", library.reads_for_saturation("saturation", "size", "r").alias("reads"))
+    """Costs by inverting the model; the oracle says what saturation the model has at the reads that are found."""
+    found = fit_products.saturation_costs(library_rows(spark, sf_dir), 10, 95, 5)
+    reached = library.saturation(F.col("reads"), library.molecules(F.col("reads"), F.col("size"), F.col("r")))
+    return found.select("id", "saturation", F.round(reached, 5).alias("reached"), (F.abs(F.col("sequenced_reads") * F.col("rate") - F.col("reads")) <= 1).alias("priced"))
 
 
 @query("ks_distance", f"{FULL}, h AS (SELECT least(total, 50) AS bin, count(*) AS n FROM judged WHERE valid GROUP BY ALL), c AS (SELECT bin, sum(n) OVER (ORDER BY bin) / (SELECT sum(n) FROM h) AS observed, 1 - power(0.5, bin) AS model FROM h) SELECT round(max(abs(observed - model)), 9) AS ks FROM c")
@@ -409,9 +420,11 @@ def ks_distance(spark, sf_dir):
     return both.agg(F.round(F.max(F.abs(F.col("observed") - (1 - F.pow(F.lit(0.5), F.col("bin"))))), 9).alias("ks"))
 
 
-@query("pilot_grid", "SELECT CAST(m * power(10, d) AS BIGINT) AS step FROM range(2, 7) a(d), (VALUES (1), (2), (5)) b(m)")
+@query("pilot_grid", """WITH u AS (SELECT l_suppkey AS id, sum(l_partkey)::BIGINT AS countable, count(DISTINCT l_linenumber) AS units FROM lineitem GROUP BY 1)
+  SELECT id, CAST(m * power(10, d) AS BIGINT) AS step, round(m * power(10, d) * units / countable, 9)::DOUBLE AS fraction FROM u, range(2, 7) a(d), (VALUES (1), (2), (5)) b(m) WHERE m * power(10, d) * units <= countable""")
 def pilot_grid(spark, sf_dir):
-    return spark.range(2, 7).select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(5))).alias("m"), F.pow(F.lit(10), F.col("id")).alias("d")).select((F.col("m") * F.col("d")).cast("long").alias("step"))
+    units = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.sum("l_partkey").alias("countable"), F.countDistinct("l_linenumber").alias("units"))
+    return curves.pilot_grid(units).select("id", "step", F.round("fraction", 9).alias("fraction"))
 
 
 @query("interp_lookup", """WITH c AS (SELECT o_custkey AS x, count(*) AS y FROM orders GROUP BY 1), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM c),
@@ -665,11 +678,16 @@ def probe_exclude_list(spark, sf_dir):
     return excluded_probes(probes)
 
 
-@query("library_catalogue")
-def library_catalogue(spark, sf_dir):
-    from ..sources.libraries import catalogue
+NAMED = ", ".join(f"({i}, '{name}', {'NULL' if spec[libraries.FIELDS.index('UR_length')] is None else spec[libraries.FIELDS.index('UR_length')]})" for i, (name, spec) in enumerate(sorted(libraries.BUILT_IN.items())))
+
 
-    return catalogue(spark)
+@query("library_catalogue", f"SELECT name, umi_length::INTEGER AS umi_length, count(*) AS reads FROM lineitem JOIN (VALUES {NAMED}) l(i, name, umi_length) ON i = l_suppkey % {len(libraries.BUILT_IN)} GROUP BY ALL")
+def library_catalogue(spark, sf_dir):
+    """Reads of lineitem by the library that each is taken to be of."""
+    names = {i: name for i, name in enumerate(sorted(libraries.BUILT_IN))}
+    named = fx.table(spark, sf_dir, "lineitem").select(F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), (F.col("l_suppkey") % len(names)).cast("int")).alias("name"))
+    known = F.broadcast(libraries.catalogue(spark).withColumnRenamed(libraries.SPEC.split()[0], "name"))  # twelve rows
+    return named.join(known, "name").groupBy("name", F.col("UR_length").cast("int").alias("umi_length")).agg(F.count(F.lit(1)).alias("reads"))
 
 
 # --- binary sources ----------------------------------------------------------

@@ -167,3 +167,46 @@ def test_multi_gene_keeps_the_only_largest(spark):
 def test_grid_places(spark):
     rows = spark.createDataFrame([("s_002um_00320_02575-1",), ("ACGT-1",), (None,)], "s string")
     assert [tuple(r[0]) for r in rows.select(sequences.grid_place(F.col("s"))).collect()] == [(320, 2575), (None, None), (None, None)]
+
+
+def test_costs_as_published(spark):
+    """Rows of the published cost tables of one sample, from its published fit."""
+    from cambium.operators import fit_products
+
+    fit = spark.createDataFrame([(9777485.172692884, 2.6387012796186737, 33449147 / 66060721)], "size double, r double, rate double")
+    row = fit_products.saturation_costs(fit).where("saturation = 10").first()
+    assert row["reads"] == pytest.approx(1550929.2146933074, rel=1e-9) and (row["molecules"], row["sequenced_reads"]) == (1395836, 3063023) and row["recovery"] == pytest.approx(14.276025670919434)
+    row = fit_products.recovery_costs(fit).where("recovery = 11").first()
+    assert row["reads"] == pytest.approx(1164942.1836903018, rel=1e-9) and (row["molecules"], row["sequenced_reads"]) == (1075523, 2300714) and row["saturation"] == pytest.approx(7.675815671025504)
+    assert fit_products.saturation_costs(fit, 10, 95, 2.5).count() == 35
+
+
+def test_products_of_a_library(spark, tmp_path):
+    """A gamma-Poisson library: the baseline is near the target, the curve spaced by saturation, and the command saves what others read."""
+    import numpy as np
+
+    from cambium import cli
+    from cambium.operators import fit_products
+
+    draw = np.random.default_rng(4)
+    seen = draw.poisson(draw.gamma(2.0, 2.0, 20_000))
+    rows = [(int(i % 50), int(i % 31), int(i), False, int(n), 0, 0) for i, n in enumerate(seen) if n]
+    prefix = str(tmp_path / "x")
+    spark.createDataFrame(rows, "barcode long, gene long, umi long, random_hex boolean, spliced long, unspliced long, ambiguous long").write.parquet(f"{prefix}_tags.parquet")
+    cli.main(["fit", prefix, "--points", "5", "--sat-step", "5"], spark)
+    baseline, whole = fit_products.saved_baseline(spark, prefix)
+    row = baseline.first()
+    assert abs(row["saturation"] - 50) < 3 and row["fraction"] < 1 and row["saturation_mae"] < 3
+    assert row["size"] == pytest.approx(20_000, rel=0.1) and row["full_molecules"] == len(rows) and row["spliced_r"] == pytest.approx(row["r"])
+    assert whole.count() == 1 and whole.first()["seen"] == len(rows)
+    curve = spark.read.parquet(f"{prefix}_fit_curve.parquet").orderBy("fraction").collect()
+    gaps = np.diff([r["seen_saturation"] for r in curve])
+    assert len(curve) == 5 and gaps.max() < 1.6 * gaps.min()
+    wide = spark.read.parquet(f"{prefix}_fit_rpm_histograms.parquet")
+    assert wide.count() == 50 and {"total", "full_total", "spliced", "full_ambiguous"} <= set(wide.columns)
+    assert wide.agg({"full_total": "sum"}).first()[0] == len(rows)
+    assert spark.read.parquet(f"{prefix}_fit_saturation_costs.parquet").count() == 18
+    empty = str(tmp_path / "none")
+    spark.read.parquet(f"{prefix}_tags.parquet").where("false").write.parquet(f"{empty}_tags.parquet")
+    with pytest.raises(SystemExit):
+        cli.main(["fit", empty], spark)
