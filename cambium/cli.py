@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Depth, barcode_index, genes_of, molecule_tags, raw_reads
-from .operators import cells, curves, droplets, fit_products, replicates, stability
+from .operators import cells, curves, droplets, fit_products, replicates, stability, summaries
 from .session import kept
 from .sources import binary, files, libraries
 
@@ -75,8 +75,19 @@ def probes(spark: SparkSession, args: argparse.Namespace) -> None:
     files.excluded_probes(table).orderBy("gene_id").coalesce(1).write.mode("overwrite").text(f"{args.prefix}_exclude")
 
 
+def masks(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """Mitochondrial and module genes, if any are named."""
+    if not (args.mt_prefix or args.mt_file or args.mod_file):
+        return None
+    ids = lambda path: files.read_gene_list(spark, path) if path else None
+    return summaries.gene_masks(spark.read.parquet(f"{args.prefix}_genes.parquet"), args.mt_prefix, ids(args.mt_file), ids(args.mod_file))
+
+
 def emptydrops(spark: SparkSession, args: argparse.Namespace) -> None:
-    counts = depth(spark, args).downsample([1.0]).matrix().select("barcode", "gene", "value")
+    sample = depth(spark, args).downsample([1.0])
+    sample.molecules = kept(sample.molecules)
+    save(sample.barcode_classes(masks(spark, args)), args, "emptydrops_raw")
+    counts = sample.matrix().select("barcode", "gene", "value")
     options = {"lower": args.lower, "retain": args.retain or None, "iterations": args.iterations, "seed": args.seed, "most_fdr": args.fdr}
     barcodes = spark.read.parquet(f"{args.prefix}_barcodes.parquet") if args.by_sample else None
     if barcodes is None:
@@ -173,6 +184,8 @@ def parser() -> argparse.ArgumentParser:
         for option, value in numbers.get(name, {}).items():
             one.add_argument(f"--{option}", type=type(value), default=value)
         if name == "emptydrops":
+            for option in ("mt-prefix", "mt-file", "mod-file"):
+                one.add_argument(f"--{option}")
             one.add_argument("--by-sample", action="store_true", help="each sample by itself; barcodes are named SAMPLE_SEQUENCE")
         if name == "cache":
             one.add_argument("--known-junctions", action="store_true", help="pass over reads with gaps that the annotation doesn't have")

@@ -105,8 +105,9 @@ class Sample:
         return summaries.by_class(self.molecules)
 
     def by_sample(self, samples: DataFrame) -> DataFrame:
-        """bulk for each sample of (barcode, sample)."""
-        return summaries.bulk_by(self.molecules.join(samples, "barcode"), "sample")
+        """bulk for each sample of (barcode, sample); with excluded genes, their reads too."""
+        found = summaries.bulk_by(self.molecules.join(samples, "barcode"), "sample")
+        return found if self.excluded is None else summaries.with_excluded(found, self.excluded.join(samples, "barcode"), "sample")
 
     def histogram(self, bins: int = 50, *keys: str, tail: bool = True) -> DataFrame:
         found = summaries.reads_histogram(self.molecules, bins, *keys)
@@ -115,6 +116,10 @@ class Sample:
     def barcodes(self) -> DataFrame:
         return summaries.barcode_stats(self.molecules)
 
+    def barcode_classes(self, masks: DataFrame | None = None) -> DataFrame:
+        """Reads, molecules, genes, mitochondrial and module molecules of each barcode, in total and by class; masks from summaries.gene_masks."""
+        return summaries.barcode_classes(self.molecules, masks)
+
     def matrix(self) -> DataFrame:
         return summaries.total_matrix(self.molecules)
 

@@ -274,9 +274,28 @@ def barcode_stats(spark, sf_dir):
 
 @query("gene_masks_mt_mod", f"{JUDGED} SELECT frac_idx, barcode, count(*) FILTER (starts_with('g' || gene, 'g1')) AS mt_molecules, count(*) FILTER (gene IN (3, 7, 22)) AS module_molecules FROM judged WHERE valid GROUP BY ALL")
 def gene_masks_mt_mod(spark, sf_dir):
-    module = spark.createDataFrame([(3,), (7,), (22,)], "gene long").withColumn("module", F.lit(True))
-    marked = judged(spark, sf_dir).where("valid").join(F.broadcast(module), "gene", "left")  # a given list
-    return marked.groupBy("frac_idx", "barcode").agg(F.count_if(F.concat(F.lit("g"), F.col("gene").cast("string")).startswith("g1")).alias("mt_molecules"), F.count_if("module").alias("module_molecules"))
+    found = judged(spark, sf_dir)
+    genes = fx.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).cast("long").alias("gene")).distinct()
+    named = genes.select("gene", F.col("gene").cast("string").alias("gene_id"), F.concat(F.lit("g"), F.col("gene").cast("string")).alias("gene_name"))
+    module = spark.createDataFrame([("3",), ("7",), ("22",)], "gene_id string")
+    stats = summaries.barcode_classes(found, summaries.gene_masks(named, "g1", module_ids=module))
+    return stats.select("frac_idx", "barcode", F.col("total_mt").alias("mt_molecules"), F.col("total_module").alias("module_molecules"))
+
+
+CLASS_SUMS = ", ".join(
+    f"coalesce(sum(total) FILTER ({t}), 0)::BIGINT AS {c}_reads, count(*) FILTER ({t}) AS {c}_molecules, count(DISTINCT gene) FILTER ({t}) AS {c}_genes, count(*) FILTER ({t} AND gene % 10 = 1) AS {c}_mt, count(*) FILTER ({t} AND gene IN (3, 7, 22)) AS {c}_module"
+    for c, t in [("total", "true"), *((k, f"class = '{k}'") for k in thinning.CLASSES)]
+)
+
+
+def class_masks(spark, sf_dir):
+    genes = fx.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).cast("long").alias("gene")).distinct()
+    return genes.select("gene", (F.col("gene") % 10 == 1).alias("mt"), F.col("gene").isin(3, 7, 22).alias("module"))
+
+
+@query("barcode_classes", f"{JUDGED} SELECT seed, frac_idx, barcode, {CLASS_SUMS} FROM judged WHERE valid GROUP BY ALL")
+def barcode_classes(spark, sf_dir):
+    return summaries.barcode_classes(judged(spark, sf_dir), class_masks(spark, sf_dir))
 
 
 @query("exclude_genes", f"{JUDGED} SELECT frac_idx, coalesce(sum(total) FILTER (gene IN (1, 2, 3)), 0)::BIGINT AS reads_excluded, coalesce(sum(total) FILTER (gene NOT IN (1, 2, 3)), 0)::BIGINT AS reads FROM judged WHERE valid GROUP BY ALL")
@@ -309,6 +328,18 @@ def visium_bins(spark, sf_dir):
     return summaries.spatial_bins(spot_molecules(spark, sf_dir), fx.spots(spark, sf_dir), 10, 10, 3, 3)
 
 
+@query("visium_bin_sums", f"""{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}), placed AS (SELECT *, (array_row // 3) * 4 + array_col // 3 AS bin_idx FROM pos), n AS (SELECT spot AS barcode, count(*) AS countable FROM raw GROUP BY 1),
+  b AS (SELECT barcode, sum(total) AS reads, count(*) AS molecules, count(*) FILTER (gene % 10 = 1) AS mt, count(*) FILTER (gene IN (3, 7, 22)) AS module FROM judged WHERE valid GROUP BY 1)
+  SELECT g.bin_idx, count(p.barcode) AS n_barcodes, coalesce(sum(p.in_tissue), 0)::BIGINT AS in_tissue, coalesce(sum(countable), 0)::BIGINT AS countable, coalesce(sum(reads), 0)::BIGINT AS reads, coalesce(sum(molecules), 0)::BIGINT AS molecules, coalesce(sum(mt), 0)::BIGINT AS mt, coalesce(sum(module), 0)::BIGINT AS module
+  FROM (SELECT range AS bin_idx FROM range(0, 16)) g LEFT JOIN placed p USING (bin_idx) LEFT JOIN b USING (barcode) LEFT JOIN n USING (barcode) GROUP BY g.bin_idx""")
+def visium_bin_sums(spark, sf_dir):
+    stats = summaries.barcode_classes(spot_molecules(spark, sf_dir), class_masks(spark, sf_dir))
+    stats = stats.select("barcode", *[F.col(f"total_{c}").alias(c) for c in ("reads", "molecules", "mt", "module")])
+    countable = fx.raw_tags(spark, sf_dir).groupBy(F.col("spot").alias("barcode")).agg(F.count(F.lit(1)).alias("countable"))
+    places = fx.spots(spark, sf_dir).join(countable, "barcode", "left")
+    return summaries.spatial_bin_sums(stats, places, 10, 10, 3, 3)
+
+
 @query("bin_gene_counts", f"{SPOT_FULL}, pos AS ({fx.SPOTS_SQL}) SELECT (array_row // 2) * 5 + array_col // 2 AS bin_idx, gene, count(*) AS value FROM judged JOIN pos USING (barcode) WHERE valid GROUP BY ALL")
 def bin_gene_counts(spark, sf_dir):
     placed = fx.spots(spark, sf_dir).select("barcode", (F.floor(F.col("array_row") / 2) * 5 + F.floor(F.col("array_col") / 2)).cast("long").alias("bin_idx"))
