@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .operators import annotate, classify, molecules, numbering, summaries, thinning
+from .operators import annotate, classify, matrices, molecules, numbering, summaries, thinning
 from .session import kept
 from .sources.libraries import FIELDS
 
@@ -126,6 +126,10 @@ class Sample:
     def class_matrices(self) -> DataFrame:
         return summaries.class_matrices(self.molecules)
 
+    def compressed(self, seed: int, frac_idx: int, kind: str | None = None, rows: DataFrame | None = None, columns: DataFrame | None = None) -> matrices.Compressed:
+        """One matrix in compressed rows, in total or of a class; `rows` (barcode) and `columns` (gene) may name a subset, or keys without entries."""
+        return matrices.from_sample(self.matrix() if kind is None else self.class_matrices(), seed, frac_idx, kind, rows, columns)
+
     def csr(self, seed: int, frac_idx: int, most: int = 50_000_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Barcodes, row starts, genes and values of one matrix, in the driver; it may have `most` entries."""
         entries = kept(self.matrix().where((F.col("seed") == seed) & (F.col("frac_idx") == frac_idx)).select("barcode", "gene", "value"))

@@ -136,6 +136,36 @@ def extrapolate(histograms: DataFrame, *keys: str, most: float = 10.0, points: i
     return histograms.where("bin >= 1").groupBy(*keys).applyInPandas(extend, ", ".join(f"{k} {fields[k]}" for k in keys) + ", times double, molecules double, degree int")
 
 
+def extrapolate_bounds(histograms: DataFrame, *keys: str, most: float = 10.0, points: int = 20, replicates: int = 100, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """keys, times, molecules, lower, upper and stable (the share of replicates with a stable function): extrapolate, with bounds by a bootstrap.
+
+    Each replicate draws every bin's number of molecules anew; replicates are
+    rows, dealt to tasks like groups. A group without a stable function has null
+    molecules, but may have bounds.
+    """
+    fields = {f.name: f.dataType.simpleString() for f in histograms.schema.fields}
+
+    def redraw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.groupby("bin", as_index=False)["n"].sum().sort_values("bin")
+        # A draw depends on the replicate and the histogram only.
+        rng = np.random.default_rng([seed, int(key[-1]), int(rows["n"].sum()), len(rows)])
+        out = pd.DataFrame({"bin": rows["bin"].to_numpy(), "n": rng.poisson(rows["n"].to_numpy())})
+        for place, (name, value) in enumerate(zip([*keys, "__replicate"], key, strict=True)):
+            out.insert(place, name, value)
+        return out
+
+    copies = histograms.where("bin >= 1").select(*keys, F.col("bin").cast("long").alias("bin"), F.col("n").cast("long").alias("n")).withColumn("__replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    kind = ", ".join(f"{k} {fields[k]}" for k in keys) + ", __replicate int, bin long, n long"
+    drawn = copies.groupBy(*keys, "__replicate").applyInPandas(redraw, kind)
+    curves = extrapolate(drawn, *keys, "__replicate", most=most, points=points).withColumn("times", F.round("times", 9))
+    tail = (1 - level) / 2
+    found = curves.groupBy(*keys, "times").agg(
+        F.percentile(F.when(F.col("degree") > 0, F.col("molecules")), F.lit(tail)).alias("lower"), F.percentile(F.when(F.col("degree") > 0, F.col("molecules")), F.lit(1 - tail)).alias("upper"), F.avg((F.col("degree") > 0).cast("double")).alias("stable")
+    )
+    whole = extrapolate(histograms, *keys, most=most, points=points).withColumn("times", F.round("times", 9))
+    return whole.select(*keys, "times", F.when(F.col("degree") > 0, F.col("molecules")).alias("molecules")).join(found, [*keys, "times"])
+
+
 def least_size(histograms: DataFrame, *keys: str) -> DataFrame:
     """A lower bound of the library: molecules seen, and n1 (n1 - 1) / (2 (n2 + 1)) unseen ones."""
     once, twice = (F.sum(F.when(F.col("bin") == b, F.col("n")).otherwise(0)) for b in (1, 2))

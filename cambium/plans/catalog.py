@@ -6,10 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, intervals, molecules, numbering, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, matrices, molecules, numbering, stability, summaries, thinning
 from ..operators import neighbours as lists
 from ..session import kept, scratch
 from ..sources import binary, libraries
+from ..streaming import alignments as streams
 from ..streaming import windows
 from . import fixtures as fx
 
@@ -808,6 +809,31 @@ def stream_windows(spark, sf_dir):
     return windows.run_once(windows.windowed_counts(stream, ["event_type"], "value")).withColumn("total", F.round("total", 6))
 
 
+@query("stream_tags", f"{RAW} {fx.tags_sql('random_hex')}")
+def stream_tags(spark, sf_dir):
+    """The molecule table of a stream of reads: partial tables of every batch, merged."""
+    schema = fx.table(spark, sf_dir, "lineitem").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/lineite[m].parquet")  # a stream's path is a folder or a pattern
+    folder = scratch(spark, "stream")
+    streams.in_batches(stream, {"tags": lambda batch: fx.collapsed(fx.raw_of(batch), "random_hex")}, folder).awaitTermination()
+    return streams.merged(spark, folder, "tags", ["barcode", "gene", "umi", "random_hex"], list(thinning.CLASSES))
+
+
+@query("compressed_matrix", f"""{FULL}, g AS (SELECT spot AS barcode, gene, count(*) AS value FROM raw GROUP BY ALL), p AS (SELECT DISTINCT l_suppkey AS barcode FROM lineitem UNION SELECT DISTINCT o_custkey FROM orders),
+  n AS (SELECT barcode, (SELECT count(*) FROM g WHERE g.barcode = p.barcode) AS n FROM p)
+  SELECT row_number() OVER (ORDER BY barcode) - 1 AS row_number, barcode, coalesce(sum(n) OVER (ORDER BY barcode ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start, n FROM n""")
+def compressed_matrix(spark, sf_dir):
+    """Where each row of a matrix starts, rows without entries too."""
+    entries = droplet_counts(spark, sf_dir)
+    rows = fx.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("barcode")).union(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("long")))
+    return matrices.compressed(entries, rows=rows).rows.select("row_number", "barcode", "start", "n")
+
+
+@query("extrapolation_bounds")
+def extrapolation_bounds(spark, sf_dir):
+    return curves.extrapolate_bounds(summaries.reads_histogram(judged(spark, sf_dir), 200), "seed", "frac_idx", most=3.0, points=3, replicates=50)
+
+
 # --- droplets, extrapolation, communities and densities ----------------------
 
 DROPLETS = f"{RAW}, d AS (SELECT spot AS barcode, gene, count(*) AS value FROM raw GROUP BY ALL)"

@@ -12,7 +12,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def raw_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each countable read."""
-    return table(spark, sf_dir, "lineitem").select(
+    return raw_of(table(spark, sf_dir, "lineitem"))
+
+
+def raw_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select(
         (F.col("l_suppkey") % 10).cast("long").alias("barcode"),
         (F.col("l_partkey") % 50).cast("long").alias("gene"),
         (F.col("l_partkey") * 37 % 1024 * 4 + F.floor("l_quantity") % 3).cast("long").alias("umi"),
@@ -29,7 +33,10 @@ RAW_SQL = """SELECT l_suppkey % 10 AS barcode, l_partkey % 50 AS gene, ((l_partk
 
 
 def tags(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
-    raw = raw_tags(spark, sf_dir)
+    return collapsed(raw_tags(spark, sf_dir), *keys)
+
+
+def collapsed(raw: DataFrame, *keys: str) -> DataFrame:
     return raw.groupBy("barcode", "gene", "umi", *keys).agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("spliced", "unspliced", "ambiguous")])
 
 

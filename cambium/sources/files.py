@@ -30,9 +30,18 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sam(spark: SparkSession, path: str, tags: dict[str, str] | None = None) -> DataFrame:
     """Alignment text: qname, flag, chrom (null if unmapped), pos (from 0), mapq, cigar and one column for each wanted tag."""
+    return sam_fields(spark.read.text(path), tags)
+
+
+def stream_sam(spark: SparkSession, path: str, tags: dict[str, str] | None = None, files_a_batch: int = 1) -> DataFrame:
+    """read_sam of the files that a folder has and will have, as a stream."""
+    return sam_fields(spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path), tags)
+
+
+def sam_fields(lines: DataFrame, tags: dict[str, str] | None = None) -> DataFrame:
     tags = tags or {"cb": "CB", "umi": "UR", "gx": "GX"}
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where("not startswith(value, '@') and value <> ''")
+    rows = lines.where("not startswith(value, '@') and value <> ''")
     return rows.select(
         parts[0].alias("qname"), parts[1].cast("int").alias("flag"), F.nullif(parts[2], F.lit("*")).alias("chrom"), (parts[3].cast("long") - 1).alias("pos"), parts[4].cast("int").alias("mapq"), parts[5].alias("cigar"),
         *[F.nullif(F.regexp_extract("value", rf"\t{tag}:Z:([^\t]*)", 1), F.lit("")).alias(name) for name, tag in tags.items()],
