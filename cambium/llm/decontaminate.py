@@ -9,6 +9,7 @@ the windows of items that end there.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,12 +53,13 @@ class SuffixAutomaton:
         self.least = min((min(window, len(words)) for _, words in items if words), default=0)
         for item, words in items:
             size = min(window, len(words))
-            for _, state, length in self.stream(words):
-                if size <= length:
-                    while self.length[self.link[state]] >= size:
-                        state = self.link[state]
+            for _, state, length in self.stream(words, size):
+                if length == size:
                     self.windows[state].setdefault(size, set()).add(item)
-        self._ending: dict[int, list[tuple[int, set[str]]]] = {}
+        #: Of each state the nearest on the way up, itself included, that has windows; 0: none.
+        self.above = [0] * len(self.next)
+        for state in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            self.above[state] = state if self.windows[state] else self.above[self.link[state]]
 
     def _extend(self, last: int, word: bytes) -> int:
         """The state of the sequence that ended at `last`, one word longer."""
@@ -90,8 +92,8 @@ class SuffixAutomaton:
             at = self.link[at]
         return twin
 
-    def stream(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
-        """For each word after which at least the shortest window's words match: its place, the state and the longest matching length."""
+    def stream(self, words: list[bytes], most: int | None = None) -> Iterator[tuple[int, int, int]]:
+        """For each word after which at least the shortest window's words match: its place, the state and the longest matching length, up to `most`."""
         moves, link, longest, least = self.next, self.link, self.length, self.least
         state = length = 0
         for i, word in enumerate(words):
@@ -103,18 +105,19 @@ class SuffixAutomaton:
             if to is not None:
                 state = to
                 length += 1
+                if most is not None and length > most:
+                    length = most
+                    while longest[link[state]] >= most:
+                        state = link[state]
                 if length >= least:
                     yield i, state, length
 
     def ending(self, state: int) -> list[tuple[int, set[str]]]:
-        """Windows among the sequences of a state and of those that end it."""
-        found = self._ending.get(state)
-        if found is None:
-            found, at = [], state
-            while at:
-                found += self.windows[at].items()
-                at = self.link[at]
-            self._ending[state] = found
+        """Windows among the sequences of a state and of those that end it: one of each size at most, however many states are above."""
+        found, at = [], self.above[state]
+        while at:
+            found += self.windows[at].items()
+            at = self.above[self.link[at]]
         return found
 
     def spans(self, words: list[bytes]) -> tuple[list[list[int]], set[str], int]:
@@ -135,23 +138,50 @@ class SuffixAutomaton:
         return spans, items, most
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items in blocks of bounded size, one without items if there are none. Only this query set passes through the driver, block by block."""
+def item_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int = WINDOW) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """The items in blocks of bounded size, one without items if there are none. Only this query set passes through the driver, block by block.
+
+    An item larger than a block is cut into pieces that share `window` - 1
+    words, which have its windows; only the longest match may then end at a cut.
+    """
     block: list[tuple[str, list[bytes]]] = []
     size = 0
     for item, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        data = (text or "").encode()
-        if block and size + len(data) > block_bytes:
-            yield block
-            block, size = [], 0
-        size += len(data)
-        block.append((str(item), words_of(data)))
+        words = words_of((text or "").encode())
+        pieces = [words]
+        if text and len(text.encode()) > block_bytes:
+            step = max(window, len(words) * block_bytes // len(text.encode()))
+            pieces = [words[at : at + step + window - 1] for at in range(0, max(len(words) - window + 1, 1), step)]
+        for piece in pieces:
+            data = sum(map(len, piece)) + len(piece)
+            if block and size + data > block_bytes:
+                yield block
+                block, size = [], 0
+            size += data
+            block.append((str(item), piece))
     yield block
 
 
-def sent_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
-    """Each block's broadcast; the driver holds one block of items at a time."""
-    return [docs.sparkSession.sparkContext.broadcast(block) for block in item_blocks(benchmark, item_col, text_col, block_bytes)]
+class Block:
+    """A block of items for tasks: its broadcast, and a name under which a worker keeps its automaton for the tasks that follow."""
+
+    def __init__(self, docs: DataFrame, items: list):
+        self.sent, self.name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+
+    def automaton(self, window: int) -> SuffixAutomaton:
+        """Built once for each Python worker, which keeps the last one only."""
+        if BUILT.get("of") != (self.name, window):
+            BUILT.clear()
+            BUILT.update(of=(self.name, window), automaton=SuffixAutomaton(self.sent.value, window))
+        return BUILT["automaton"]
+
+
+BUILT: dict = {}
+
+
+def sent_blocks(docs: DataFrame, benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, window: int = WINDOW) -> list[Block]:
+    """All blocks for tasks; the driver holds one block of items at a time."""
+    return [Block(docs, block) for block in item_blocks(benchmark, item_col, text_col, block_bytes, window)]
 
 
 FOUND = "n_words long, spans array<array<int>>, items array<string>, longest int"
@@ -164,13 +194,13 @@ MERGED = """aggregate(spans, cast(array() AS array<array<int>>), (done, s) -> CA
         ELSE concat(done, array(s)) END)"""
 
 
-def _matched(docs: DataFrame, sent, window: int) -> DataFrame:
-    """`docs`, whose last column is the text, with FOUND in its place; `sent` is a block's broadcast."""
+def _matched(docs: DataFrame, block: Block, window: int) -> DataFrame:
+    """`docs`, whose last column is the text, with FOUND in its place."""
     types = [pa.int64(), pa.list_(pa.list_(pa.int32())), pa.list_(pa.string()), pa.int32()]
     names = [*docs.columns[:-1], "n_words", "spans", "items", "longest"]
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(sent.value, window)
+        automaton = block.automaton(window)
         last = len(names) - 4
         for batch in sliced(batches, last):
             rows = []
@@ -197,7 +227,7 @@ def find_contamination(
     ids of `docs` keep one row each. Items beyond `block_bytes` go to further
     automata; then the rows found are merged by id and hash of the text.
     """
-    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes)
+    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes, window)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
     if len(blocks) == 1:
         return _matched(chosen, blocks[0], window).drop("key")
@@ -210,7 +240,7 @@ def find_contamination(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.max("longest").alias("longest"),
     )
-    words = _matched(chosen, docs.sparkSession.sparkContext.broadcast([]), window).select("doc_id", "key", "n_words")
+    words = _matched(chosen, Block(docs, []), window).select("doc_id", "key", "n_words")
     return words.join(merged, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").select(
         "doc_id",
         "n_words",
@@ -274,8 +304,8 @@ def _cleaned(texts: DataFrame, blocks: list, window: int, max_coverage: float) -
     now, rounds = texts.select(*keys, F.lit(None).cast("long").alias("total"), "text"), []
     while True:
         hits = None
-        for sent in blocks:
-            one = _matched(now.select(*keys, "text"), sent, window).where(F.size("spans") > 0).select(*keys, "spans").dropDuplicates(keys)
+        for block in blocks:
+            one = _matched(now.select(*keys, "text"), block, window).where(F.size("spans") > 0).select(*keys, "spans").dropDuplicates(keys)
             hits = one if hits is None else hits.unionByName(one)
         spans = hits.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")).select(*keys, F.expr(MERGED).alias("spans"))
         hit = now.join(spans, keys).dropDuplicates(keys).select(*keys, "total", "text", "spans")
@@ -302,7 +332,7 @@ def decontaminate(
     result doesn't depend on how items fall into blocks.
     """
     at = docs.columns.index(text_col)
-    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes)
+    blocks = sent_blocks(docs, benchmark, item_col, item_text_col, block_bytes, window)
     if len(blocks) > 1:
         text = F.col(text_col)
         keys = F.xxhash64(text).alias("key1"), F.xxhash64(F.lit(7), text).alias("key2")
@@ -315,10 +345,10 @@ def decontaminate(
         left = marked.where(F.col("__hit").isNull() | F.col("__cleaned").isNotNull())
         new = {text_col: F.when(F.col("__hit"), F.col("__cleaned")).otherwise(F.col(f"__row.`{text_col}`")).alias(text_col)}
         return left.select(*[new.get(c, F.col(f"__row.`{c}`")) for c in docs.columns])
-    sent = blocks[0]
+    block = blocks[0]
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = SuffixAutomaton(sent.value, window)
+        automaton = block.automaton(window)
         for batch in sliced(batches, at):
             texts, stays = [], []
             for text in utf8(batch.column(at)):

@@ -204,3 +204,41 @@ def test_running_sums(spark):
     for _, b, n in sorted(rows):
         assert got[b] == total
         total += n
+
+
+def test_automaton_on_repetitive_text():
+    """One word, or two, many times: windows as brute force has them, in time in proportion."""
+    import time
+
+    from cambium.llm import decontaminate
+
+    rng = random.Random(9)
+    for _ in range(60):
+        items = [(str(i), rng.choices([b"a", b"b"], [4, 1], k=rng.randrange(1, 30))) for i in range(4)]
+        text = rng.choices([b"a", b"b", b"c"], [6, 2, 1], k=60)
+        automaton = decontaminate.SuffixAutomaton(items, 5)
+        spans, found, _ = automaton.spans(text)
+        hit, names = set(), set()
+        for name, words in items:
+            k = min(5, len(words))
+            for w in {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}:
+                for i in range(len(text) - k + 1):
+                    if tuple(text[i : i + k]) == w:
+                        hit |= set(range(i, i + k))
+                        names.add(name)
+        assert {p for a, b in spans for p in range(a, b)} == hit and found == names
+    began = time.process_time()
+    automaton = decontaminate.SuffixAutomaton([("x", [b"n"] * 64_000)])
+    spans, _, longest = automaton.spans([b"n"] * 64_000)
+    assert spans == [[0, 64_000]] and longest == 64_000 and time.process_time() - began < 5
+
+
+def test_an_item_larger_than_a_block(spark):
+    from cambium.llm import decontaminate
+
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(500)}" for _ in range(400)]
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "a b c")], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["x", *words[i : i + 40], "y"])) for i in range(0, 360, 7)] + [(999, "a b c d")], "doc_id long, text string")
+    plain = lambda df: sorted((r["doc_id"], r["n_words"], str(r["spans"]), str(r["items"])) for r in df.collect())
+    assert plain(decontaminate.find_contamination(docs, bench, block_bytes=300)) == plain(decontaminate.find_contamination(docs, bench))
