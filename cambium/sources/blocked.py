@@ -175,7 +175,8 @@ def survey(framing: Framing, found: DataFrame) -> DataFrame:
             first = held[: framing.seen]
             if at is None:
                 size = len(held) + sum(map(len, data))
-                row = (path, start, size, None, first, b"", b"", names)
+                # A split inside one long record is all of it needed for that record.
+                row = (path, start, size, None, first, held if size == len(held) else b"", b"", names)
             else:
                 size = len(held)
                 while size <= at and (more := next(data, None)) is not None:
@@ -218,7 +219,8 @@ def followed(framing: Framing, splits: list[dict]) -> Iterator[tuple[int, int, b
             right = size
         else:
             right = min(framing.size(begun, 0) - len(carry), size)
-        if split["at"] is None or split["at"] != right:
+        inside = split["at"] is None and right == size == len(split["head"])
+        if not inside and split["at"] != right:
             yield split["start"], right, False, None
             return
         record = None
