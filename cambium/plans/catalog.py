@@ -600,7 +600,8 @@ def reads(spark, sf_dir, spliced: bool = False):
 
 @query("range_join", f"WITH {GENES_SQL}, {READS_SQL} SELECT gene, count(*) AS hits FROM reads JOIN genes ON reads.chrom = genes.chrom AND gene_lft < rgt AND lft < gene_rgt GROUP BY gene")
 def range_join(spark, sf_dir):
-    return annotate.range_join(reads(spark, sf_dir), genes(spark, sf_dir)).groupBy("gene").agg(F.count(F.lit(1)).alias("hits"))
+    # What goes through Arrow isn't pruned, so columns are chosen first.
+    return annotate.range_join(reads(spark, sf_dir).select("chrom", "lft", "rgt"), genes(spark, sf_dir).select("gene", "chrom", "lft", "rgt")).groupBy("gene").agg(F.count(F.lit(1)).alias("hits"))
 
 
 @query("cigar_blocks", """WITH r AS (SELECT CAST(l_linenumber % 3 AS BIGINT) AS kind, l_partkey * 40 + l_orderkey % 400 AS pos, 60 + CAST(l_quantity AS BIGINT) AS n FROM lineitem)
@@ -627,7 +628,7 @@ VOTES_SQL = f"""WITH {GENES_SQL}, {READS_SQL}, h AS (
 
 @query("read_class_vote", f"{VOTES_SQL} SELECT gene, class, count(*) AS n FROM r GROUP BY ALL")
 def read_class_vote(spark, sf_dir):
-    found = annotate.classified(reads(spark, sf_dir), genes(spark, sf_dir), "read_id").where("held_by > 0")
+    found = annotate.classified(reads(spark, sf_dir).select("read_id", "chrom", "pos", "cigar", "strand"), genes(spark, sf_dir), "read_id").where("held_by > 0")
     return found.groupBy("gene", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
