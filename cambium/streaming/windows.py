@@ -1,11 +1,9 @@
 """Counts over event-time windows of a stream; late rows are waited for, then dropped from the state."""
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import scratch
 
 
 def windowed_counts(events: DataFrame, keys: list[str], value: str, width: str = "1 hour", late: str = "2 hours", ts: str = "ts") -> DataFrame:
@@ -17,7 +15,7 @@ def windowed_counts(events: DataFrame, keys: list[str], value: str, width: str =
 
 def run_once(stream: DataFrame) -> DataFrame:
     """Work through all that the stream's source has now, into Parquet in the shared folder, and read it back."""
-    spark, folder = stream.sparkSession, f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, folder = stream.sparkSession, scratch(stream.sparkSession, "stream")
     query = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
