@@ -1,10 +1,12 @@
 """WARC archives in Zstandard frames: one frame for each record, the dictionary in a leading skippable frame.
 
-Tasks write archives to the shared folder under names that follow from the
-partition, so a task that runs again replaces what it wrote before; Spark's
-binary file source brings them back and each archive is decoded frame by frame.
-A trailing skippable frame has the number of records, so an archive that is cut
-anywhere is told from a whole one.
+Tasks write archives to the shared folder under names of their own attempt, and
+the table that write_archives() returns names those of the attempts that counted:
+what a task that ran again or was lost has left is never mistaken for a part of
+the result. Tasks open the archives that the table names, decode them frame by
+frame, and compare the records of each with the number written. A trailing
+skippable frame has the number of records too, so an archive that is cut anywhere
+is told from a whole one.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, read, scratch, sliced, utf8
+from .common import cut, maybe_in, read, scratch, sliced, utf8
 
 SKIPPABLE = 0x184D2A5D
 #: The frame that ends an archive: the number of its records in 8 bytes.
@@ -38,6 +40,8 @@ ARCHIVE_BYTES = 16 << 20
 READ_BYTES = 16 << 10
 #: Payloads of repeated content up to so many are broadcast, more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Shares into which the pages of a repeated payload are dealt.
+SALTS = 16
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -230,14 +234,24 @@ def _with_dictionary(raw: bytes) -> zstandard.ZstdDecompressor:
 
 
 def choose_responses(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", html_col: str = "html", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`pages` with __refers: for records that revisit another with an equal payload, its id; else null."""
+    """`pages` with __refers: for records that revisit another with an equal payload, its id; else null.
+
+    Beyond `broadcast_rows` repeated payloads, pages whose payload is surely not
+    among them stay where they are, by a filter of bounded size; the others meet
+    their group by digest and a salt, so pages of one payload are spread over tasks.
+    """
     hashed = pages.withColumn("__digest", F.sha1(F.coalesce(F.col(html_col), F.lit("")).cast("binary")))
     groups = cut(
         hashed.where(F.octet_length(F.coalesce(F.col(html_col), F.lit(""))) >= least_bytes)
         .groupBy("__digest").agg(F.max(id_col).alias("__last"), F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n")
     )
-    small = groups.limit(broadcast_rows + 1).count() <= broadcast_rows
-    found = hashed.join(F.broadcast(groups) if small else groups, "__digest", "left")
+    if groups.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        found = hashed.join(F.broadcast(groups), "__digest", "left")
+    else:
+        asked = maybe_in(hashed, F.xxhash64("__digest"), groups.select(F.xxhash64("__digest").alias("__group")), "__group")
+        salted = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = asked.where("__maybe").drop("__maybe").withColumn("__salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(salted, ["__digest", "__salt"], "left").drop("__salt")
+        found = met.unionByName(asked.where("NOT __maybe").drop("__maybe"), allowMissingColumns=True)
     return found.withColumn("__refers", F.when(F.col(id_col) < F.col("__last"), F.col("__last"))).drop("__digest", "__last")
 
 
@@ -257,7 +271,9 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
     Of rows with equal payloads of at least `least_bytes`, that with the largest
     id is a response and the others revisit it; rows that share that id, and
     rows without id, are responses too. Null html is an empty payload; null
-    urls and ids have no header.
+    urls and ids have no header. Each time the table is computed archives are
+    written, so cut it before it is used twice; drop_stale() removes those that
+    it doesn't name.
     """
     named = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     chosen = choose_responses(named, least_bytes).select("page_id", "url", "html", F.col("__refers").cast("long"))
@@ -272,11 +288,11 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, id_col:
 
         def close() -> None:
             nonlocal count
-            name = f"{root}/part-{task.partitionId():06d}-{len(out):05d}.warc.zst"
+            name = f"{root}/part-{task.partitionId():06d}-{task.taskAttemptId()}-{len(out):05d}.warc.zst"
             data = writer.close()
-            with store.open_output_stream(f"{name}.{task.taskAttemptId()}.tmp") as file:
+            with store.open_output_stream(f"{name}.tmp") as file:
                 file.write(data)
-            store.move(f"{name}.{task.taskAttemptId()}.tmp", name)
+            store.move(f"{name}.tmp", name)
             out.append((name, count, len(data)))
             count = 0
 
@@ -298,6 +314,24 @@ def archives(spark, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
 
 
+def records_of(data: bytes, counted: bool, expected: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The records of an archive in batches of some 4 MB; WarcError after the last if there aren't `expected` ones."""
+    names = [x.split()[0] for x in RECORD.split(", ")]
+    types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    rows: list[tuple] = []
+    size = n = 0
+    for record in read_archive(data, counted):
+        rows.append(decode_record(record))
+        size, n = size + len(record), n + 1
+        if size > 4 << 20:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    if expected is not None and n != expected:
+        raise WarcError(f"{expected} records were written, but {n} are read")
+
+
 def read_archives(spark, folder: str, counted: bool = True) -> DataFrame:
     """The records (RECORD) of all archives in a folder. An archive that breaks the format fails the job; check_archives() tells which.
 
@@ -307,24 +341,50 @@ def read_archives(spark, folder: str, counted: bool = True) -> DataFrame:
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in RECORD.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                rows: list[tuple] = []
-                size = 0
-                for record in read_archive(data, counted):
-                    rows.append(decode_record(record))
-                    size += len(record)
-                    if size > 4 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            for data in batch.column(0):
+                yield from records_of(data.as_py(), counted)
 
     return archives(spark, folder).select("content").mapInArrow(decode, RECORD)
 
 
+def read_written(written: DataFrame, folder: str) -> DataFrame:
+    """The records (RECORD) of the archives in `folder` that `written`, the cut table of write_archives(), names, and of no others.
+
+    The job fails if an archive is missing, breaks the format, or has another number of records than was written.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(arrow_uri(folder))
+        for batch in batches:
+            for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_input_file(f"{root}/{path.rpartition('/')[2]}") as file:
+                    data = file.read()
+                yield from records_of(data, True, records)
+
+    return written.select("path", "records").mapInArrow(decode, RECORD)
+
+
+def drop_stale(written: DataFrame, folder: str) -> DataFrame:
+    """Remove the archives in `folder` that `written` doesn't name, as attempts of tasks that didn't count leave them; their paths."""
+
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(arrow_uri(folder))
+        for batch in batches:
+            for name in batch.column(1).to_pylist():
+                if store.get_file_info(f"{root}/{name}").type == fs.FileType.File:  # not when the task runs again
+                    store.delete_file(f"{root}/{name}")
+            yield batch.select(["path"])
+
+    name = F.substring_index("path", "/", -1)
+    there = archives(written.sparkSession, folder).select("path", name.alias("name"))
+    return cut(there.join(written.select(name.alias("name")), "name", "left_anti").select("path", "name").mapInArrow(remove, "path string"))
+
+
 def check_archives(spark, folder: str, counted: bool = True) -> DataFrame:
     """path, records that can be read, and error (null if there is none) of each archive in a folder."""
 
@@ -347,10 +407,8 @@ def check_archives(spark, folder: str, counted: bool = True) -> DataFrame:
 
 def op7_warc(spark, sf_dir):
     folder = scratch(spark, "warc")
-    written = write_archives(read(spark, sf_dir, "pages"), folder)
-    if not written.agg(F.sum("records")).first()[0]:
-        return spark.createDataFrame([], RECORD).drop("url", "payload")
-    return read_archives(spark, folder).drop("url", "payload")
+    written = cut(write_archives(read(spark, sf_dir, "pages"), folder))
+    return read_written(written, folder).drop("url", "payload")
 
 
 def _sql() -> str:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import textwrap
@@ -450,6 +451,42 @@ def test_warc_folders(spark, tmp_path):
     assert none.count() == 0 and none.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
+def test_warc_reads_what_was_written_only(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", f"page {i % 7} " * 20) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    folder = tmp_path / "b"
+    written = warc.cut(warc.write_archives(pages, str(folder)))
+    key = lambda r: (r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"])
+    want = Counter(map(key, warc.read_archives(spark, str(folder)).collect()))
+    # What a task that ran twice leaves: the same records under another name.
+    first = written.first()["path"]
+    stale = first.replace(".warc.zst", "-again.warc.zst")
+    with open(first, "rb") as one, open(stale, "wb") as other:
+        other.write(one.read())
+    assert warc.read_archives(spark, str(folder)).count() > 60
+    assert Counter(map(key, warc.read_written(written, str(folder)).collect())) == want and sum(want.values()) == 60
+    assert [r["path"].rpartition("/")[2] for r in warc.drop_stale(written, str(folder)).collect()] == [stale.rpartition("/")[2]]
+    assert warc.read_archives(spark, str(folder)).count() == 60 and warc.drop_stale(written, str(folder)).count() == 0
+    more = written.withColumn("records", F.col("records") + 1)
+    with pytest.raises(Exception, match="records were written, but"):
+        warc.read_written(more, str(folder)).collect()
+    os.remove(first)
+    with pytest.raises(Exception, match="(?i)no such file|not found|FileNotFound"):
+        warc.read_written(written, str(folder)).collect()
+
+
+def test_warc_many_repeated_payloads(spark):
+    """Beyond the bound of the broadcast, pages meet by digest and salt: the same choice, hot empty payloads and missing ids included."""
+    rows = [(None if i % 50 == 49 else i, "" if i % 3 == 0 else None if i % 3 == 1 else f"p{i // 6}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(4)
+    key = lambda r: (r["page_id"], r["html"], r["__refers"])
+    want = Counter(map(key, warc.choose_responses(pages).collect()))
+    found = warc.choose_responses(pages, broadcast_rows=0)
+    assert Counter(map(key, found.collect())) == want and sorted(found.columns) == ["__refers", "html", "page_id"]
+    assert {k[2] for k in want} >= {None, 298}
+    least = Counter(map(key, warc.choose_responses(pages, 1, broadcast_rows=0).collect()))
+    assert all(r is None for (_, html, r), _ in least.items() if not html)
+
+
 def license_units(text):
     norm = re.sub(r"[^0-9a-z\n|\u0080-\U0010ffff]+", " ", re.sub(r"[.!?]([ \n])", r"|\1", lower(text).replace("|", " ")))
     paragraphs = re.split(r"\n *\n", norm)
