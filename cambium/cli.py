@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Depth, barcode_index, genes_of, molecule_tags, raw_reads
-from .operators import cells, curves, droplets, fit_products, replicates, stability, summaries
+from .functions import library as model
+from .operators import cells, classify, curves, droplets, fit_products, limits, replicates, stability, summaries
 from .session import kept
 from .sources import binary, files, libraries
 
@@ -62,7 +63,14 @@ def cache(spark: SparkSession, args: argparse.Namespace) -> None:
     save(judged.groupBy("status", "random_hex").agg(F.count(F.lit(1)).alias("n")), args, "summary")
     save(genes, args, "genes")
     index = kept(barcode_index(judged, tags))
-    save(index, args, "barcodes")
+    save(index.withColumn("sample", F.substring_index("cb", "_", 1)) if args.samples else index, args, "barcodes")
+    primers = bool(named["random_hex_re"])
+    totals = index.agg(F.coalesce(F.sum("raw_molecules"), F.lit(0)), F.count(F.lit(1))).first()
+    given = [("raw_molecules", "reads", totals[0]), ("alignments", "param", args.alignments), ("least_quality", "param", args.least_quality), ("known_junctions", "param", int(args.known_junctions))]
+    given += [("library", "library", args.library), *[(field, "library", named[field]) for field in libraries.FIELDS if named[field] is not None], ("barcodes_detected", "library", totals[1])]
+    save(classify.read_summary(judged, primers).unionByName(spark.createDataFrame([(k, t, str(v)) for k, t, v in given], "key string, type string, value string")), args, "summary_table")
+    if args.samples:
+        save(classify.read_summary(judged.where(F.col("sample").isin(args.samples.split(","))), primers, "sample"), args, "sample_summary")
     files.write_tags(tags.join(index.select("cb", "barcode"), "cb").drop("cb"), f"{args.prefix}_tags.parquet")
 
 
@@ -110,17 +118,54 @@ def fit(spark: SparkSession, args: argparse.Namespace) -> None:
         save(table, args, f"fit_{'rpm_histograms' if name == 'histograms' else name}")
 
 
+def passed_barcodes(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    """Those that the filter command let pass, if it has run."""
+    found = saved(spark, args, "passed")
+    return None if found is None else found.where("passed > 0").select("barcode")
+
+
+def pilot_of(spark: SparkSession, args: argparse.Namespace, countable: int) -> limits.Pilot | None:
+    n = args.cells or None
+    if n is None and args.use_scrna:
+        if (chosen := passed_barcodes(spark, args)) is None:
+            raise SystemExit("no cells: run filter first")
+        n = chosen.count()
+    if n is None and not args.tissue_frac:
+        return None
+    decades = limits.CELL_DECADES if n is not None else limits.TISSUE_DECADES
+    ends = (decades[0] if args.base_start < 0 else args.base_start, decades[1] if args.base_end < 0 else args.base_end)
+    scale = args.cell_scale if n is not None else args.tissue_scale
+    return limits.Pilot(countable, n, None if n is not None else args.tissue_frac, scale or None, args.capture_format, ends)
+
+
 def limit(spark: SparkSession, args: argparse.Namespace) -> None:
+    """Fits at each limit of saturation, against the curve of their seed; without a saved fit, at even fractions."""
     whole = depth(spark, args)
-    sample = whole.downsample(curves.curve_fractions(args.points), seeds_of(args.seed, args.repeats))
-    found = kept(sample.molecules)
-    sample.molecules = found
-    totals = sample.bulk()
-    save(curves.limit_errors(totals, sample.histogram(curves.BINS), totals), args, "limit_summary")
-    save(totals, args, "limit_curves")
-    if args.cells:
-        countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0]
-        save(curves.pilot_errors(lambda fracs: whole.downsample(fracs, [args.seed]).molecules, countable, args.cells), args, "pilot_summary")
+    seeds = seeds_of(args.seed, args.repeats)
+    countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0] or 0
+    if not countable:
+        raise SystemExit("no limits: there are no molecules")
+    asked: list[tuple[float | None, float]] = []
+    if (baseline := saved(spark, args, "fit_baseline")) is not None:
+        asked = limits.saturation_limits(baseline, countable, baseline.first()["full_saturation"], args.sat_start, args.sat_step)
+    pilot = pilot_of(spark, args, countable)
+
+    taken = []
+
+    def measure(fractions: list[float]) -> DataFrame:
+        taken.append(whole.downsample(fractions, seeds))
+        return taken[-1].molecules
+
+    def excluded(totals: DataFrame) -> DataFrame:
+        return totals if taken[-1].excluded is None else summaries.with_excluded(totals, taken[-1].excluded)
+
+    found, few = limits.products(measure, seeds, asked or [(None, f) for f in curves.curve_fractions(args.points)], countable, args.max_hist, pilot, excluded)
+    for name, table in vars(found).items():
+        save(table, args, f"limit_{name}")
+    if few is not None:
+        for name, table in vars(few).items():
+            save(table, args, f"pilot_{name}")
+        save(limits.pilot_summary(pilot, few), args, "pilot_depths")
 
 
 def preseq(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -130,12 +175,33 @@ def preseq(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def genes(spark: SparkSession, args: argparse.Namespace) -> None:
+    """How stable a barcode's genes are at each recovery of the library, those of 1, 2 and 3 or more molecules by themselves; without a saved fit, at even fractions."""
     whole = depth(spark, args)
-    baseline = kept(whole.downsample([baseline_fraction(spark, args)], [args.seed]).matrix().select("barcode", "gene", "value"))
-    repeats = whole.downsample(curves.curve_fractions(args.points), seeds_of(args.seed, args.repeats)).matrix()
-    found = kept(stability.gene_overlap(baseline, repeats))
-    save(found, args, "genes_barcodes")
-    save(found.groupBy("frac_idx").agg(F.median("stability").alias("median_stability"), F.count(F.lit(1)).alias("n")), args, "genes_summary")
+    seeds = seeds_of(args.seed, args.repeats)
+    countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0] or 0
+    targets: list[tuple[float | None, float]] = []
+    baseline = saved(spark, args, "fit_baseline")
+    if baseline is not None and countable:
+        recoveries = spark.createDataFrame([(float(r),) for r in sorted({float(r) for r in args.recoveries.split(",")})], "recovery double")
+        needed = baseline.where("size IS NOT NULL").limit(1).select("size", "r").crossJoin(recoveries).select("recovery", (model.reads_for_recovery(F.col("recovery") / 100, F.col("size"), F.col("r")) / countable).alias("fraction"))
+        targets = sorted((r["recovery"], r["fraction"]) for r in needed.where("fraction <= 1").collect())  # a given list
+    targets = targets or [(None, f) for f in curves.curve_fractions(args.points)]
+    full = whole.downsample([1.0], [args.seed])
+    full.molecules = kept(full.molecules)
+    repeats = whole.downsample([f for _, f in targets], seeds)
+    repeats.molecules = kept(repeats.molecules)
+    own, others = full.matrix().select("barcode", "gene", "value"), repeats.matrix()
+    if (chosen := passed_barcodes(spark, args)) is not None:
+        own, others = own.join(chosen, "barcode", "left_semi"), others.join(chosen, "barcode", "left_semi")
+    names = spark.createDataFrame([(i, t, float(f)) for i, (t, f) in enumerate(targets)], "frac_idx int, recovery double, fraction double")
+    all_reads = full.bulk().first()["reads"]
+    stats = kept(repeats.bulk().join(F.broadcast(names), "frac_idx").withColumn("read_ratio", F.lit(all_reads) / F.col("reads")))
+    save(stats, args, "genes_curve_stats")
+    found = kept(stability.gene_class_stability(own, others, len(seeds), len(targets)))
+    if args.write:
+        save(found, args, "genes_barcodes")
+    ratios = stats.groupBy("frac_idx").agg(F.avg("read_ratio").alias("ratio"))
+    save(names.join(ratios, "frac_idx", "left").join(stability.gene_class_summary(found, args.min_obs), "frac_idx", "left"), args, "genes_summary")
 
 
 def stable(spark: SparkSession, args: argparse.Namespace) -> None:
@@ -177,8 +243,9 @@ def parser() -> argparse.ArgumentParser:
         one.add_argument("--exclude-genes")
         one.add_argument("-S", "--seed", type=int, default=42)
         numbers = {
-            "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 8, "max-hist": 50, "baseline-sat": 50.0, "max-sat": 55.0, "sat-start": 10.0, "sat-end": 95.0, "sat-step": 1.0}, "limit": {"points": 10, "repeats": 10, "cells": 0.0},
-            "preseq": {"most": 10.0}, "genes": {"points": 10, "repeats": 10}, "cache": {"least-quality": 255},
+            "emptydrops": {"lower": 100, "retain": 0, "iterations": 10_000, "fdr": 0.01}, "filter": {"least": 500, "mads": 4.0}, "fit": {"points": 8, "max-hist": 50, "baseline-sat": 50.0, "max-sat": 55.0, "sat-start": 10.0, "sat-end": 95.0, "sat-step": 1.0}, 
+            "limit": {"points": 10, "repeats": 10, "cells": 0.0, "max-hist": 50, "sat-start": 10.0, "sat-step": 5.0, "tissue-frac": 0.0, "tissue-scale": 0.0, "cell-scale": 0.0, "base-start": -1, "base-end": -1},
+            "preseq": {"most": 10.0}, "genes": {"points": 10, "repeats": 10, "recoveries": "30,40,50,60,70", "min-obs": 10}, "cache": {"least-quality": 255},
             "stability": {"repeats": 5, "frac": 0.0, "top-genes": 2000, "components": 30, "neighbours": 30, "min-cells": 10, "resolutions": "1.0"},
         }
         for option, value in numbers.get(name, {}).items():
@@ -187,6 +254,11 @@ def parser() -> argparse.ArgumentParser:
             for option in ("mt-prefix", "mt-file", "mod-file"):
                 one.add_argument(f"--{option}")
             one.add_argument("--by-sample", action="store_true", help="each sample by itself; barcodes are named SAMPLE_SEQUENCE")
+        if name == "limit":
+            one.add_argument("--use-scrna", action="store_true", help="as many cells as the filter command let pass")
+            one.add_argument("--capture-format", choices=sorted(limits.CAPTURE_SCALE))
+        if name == "genes":
+            one.add_argument("--write", action="store_true", help="write the table of barcodes too")
         if name == "cache":
             one.add_argument("--known-junctions", action="store_true", help="pass over reads with gaps that the annotation doesn't have")
             one.add_argument("--samples", help="names of samples, with commas between")

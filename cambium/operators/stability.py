@@ -25,6 +25,41 @@ def gene_overlap(baseline: DataFrame, replicates: DataFrame) -> DataFrame:
     return shared.join(sizes, "barcode").withColumn("stability", F.round(F.when(F.col("b") > 0, F.col("shared") / F.col("b")).otherwise(0.0), 6))
 
 
+#: Classes of genes by their molecules in the baseline: any, 1, 2, and 3 or more.
+GENE_CLASSES = {"": "true", "_1": "molecules = 1", "_2": "molecules = 2", "_3p": "molecules >= 3"}
+
+
+def gene_class_stability(baseline: DataFrame, replicates: DataFrame, seeds: int, steps: int) -> DataFrame:
+    """For each of `steps` fractions and each barcode of the baseline: its genes (counts, and of each class counts_1, counts_2, counts_3p), and the share of them that a replicate finds again, as a mean over `seeds` replicates (stability, stability_1 ...).
+
+    Barcodes that a replicate doesn't have count as 0 in its mean, as do classes
+    without genes. Rows with the value 0 are no genes. `baseline` is (barcode,
+    gene, value), `replicates` has seed and frac_idx too.
+    """
+    own = baseline.where("value > 0").select("barcode", "gene", F.col("value").alias("molecules"))
+    counted = lambda what: [F.count_if(F.expr(test)).alias(f"{what}{c}") for c, test in GENE_CLASSES.items()]
+    sizes = own.groupBy("barcode").agg(*counted("counts"))
+    found = replicates.where("value > 0").select("frac_idx", "barcode", "gene").join(own, ["barcode", "gene"]).groupBy("barcode", "frac_idx").agg(*counted("shared"))
+    grid = sizes.withColumn("frac_idx", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))))
+    both = grid.join(found, ["barcode", "frac_idx"], "left").fillna(0)
+    shares = [F.when(F.col(f"counts{c}") > 0, F.col(f"shared{c}") / (F.col(f"counts{c}") * seeds)).otherwise(0.0).alias(f"stability{c}") for c in GENE_CLASSES]
+    return both.select("frac_idx", "barcode", *[f"counts{c}" for c in GENE_CLASSES], *shares)
+
+
+def gene_class_summary(barcodes: DataFrame, least: int = 10) -> DataFrame:
+    """For each fraction, over gene_class_stability: of each class the barcodes with at least `least` genes of it (counts, and fracs in percent) and the median of their stability (median_stability); over all barcodes the median number of genes (genes) and the median share of the class in percent (fgenes).
+
+    Medians are null where no barcode has so many genes.
+    """
+    found = []
+    for c in GENE_CLASSES:
+        enough = F.col(f"counts{c}") >= least
+        found += [F.count_if(enough).alias(f"counts{c}"), (100 * F.avg(enough.cast("double"))).alias(f"fracs{c}"), F.median(F.when(enough, F.col(f"stability{c}"))).alias(f"median_stability{c}"), F.median(f"counts{c}").alias(f"genes{c}")]
+        if c:
+            found.append((100 * F.median(F.col(f"counts{c}") / F.col("counts"))).alias(f"fgenes{c}"))
+    return barcodes.groupBy("frac_idx").agg(*found)
+
+
 def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     """The adjusted Rand index of two labellings, from the sums of pairs in their contingency table."""
     pairs = lambda n: F.sum(F.col(n) * (F.col(n) - 1) / 2)
