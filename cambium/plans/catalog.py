@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import library, sequences
-from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, matrices, molecules, numbering, stability, summaries, thinning
+from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, limits, matrices, molecules, numbering, stability, summaries, thinning
 from ..operators import neighbours as lists
 from ..session import kept, scratch
 from ..sources import binary, libraries
@@ -143,7 +143,7 @@ STATUS_READS = """reads AS (
 )"""
 
 
-def status_reads(spark, sf_dir):
+def status_reads(spark, sf_dir, primer=None):
     reads = fx.table(spark, sf_dir, "lineitem").selectExpr(
         "concat('s', l_suppkey % 3) AS sample",
         "CASE WHEN l_linenumber = 7 THEN NULL ELSE concat('ACGT', substr('ACGTNACGTA', cast(l_suppkey % 7 as int) + 1, 4), '-1') END AS cb",
@@ -151,6 +151,7 @@ def status_reads(spark, sf_dir):
         "CASE WHEN l_orderkey % 13 = 0 THEN NULL ELSE 'chr1' END AS chrom",
         "CASE WHEN l_partkey % 5 = 0 THEN 4 ELSE 16 END AS flag",
         "CASE WHEN l_quantity > 40 THEN 3 ELSE 255 END AS mapq",
+        *([f"{primer} AS random_hex"] if primer else []),
     )
     return classify.read_status(reads, 6, "[ACGT]+-[0-9]+")
 
@@ -165,6 +166,17 @@ def read_status_by_sample(spark, sf_dir):
     return status_reads(spark, sf_dir).rollup("sample", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
+PRIMER = "l_linenumber % 3 = 0"
+
+
+@query("sample_summary", f"""WITH {STATUS_READS.replace("AS mapq", f"AS mapq, {PRIMER} AS random_hex")}, c AS (SELECT sample, """ + ", ".join(
+    f"count(*) FILTER ({test} AND {whose}) AS {prefix}{name}" for prefix, whose in (("", "true"), ("polyA_", "NOT random_hex"), ("random_hex_", "random_hex"))
+    for name, test in (("total_reads", "true"), *((s, f"status = '{s}'") for s in (*classify.STATUSES, "no_gene")))) + """ FROM judged GROUP BY sample)
+  SELECT sample || '_' || key AS key, 'reads' AS type, CAST(value AS VARCHAR) AS value FROM (UNPIVOT c ON COLUMNS(* EXCLUDE sample) INTO NAME key VALUE value)""")
+def sample_summary(spark, sf_dir):
+    return classify.read_summary(status_reads(spark, sf_dir, PRIMER), True, "sample")
+
+
 @query("sample_whitelist", f"WITH {STATUS_READS} SELECT sample || '_' || cb AS barcode, count(*) AS n FROM judged WHERE status = 'countable' AND sample IN ('s0', 's2') GROUP BY ALL")
 def sample_whitelist(spark, sf_dir):
     allowed = spark.createDataFrame([("s0",), ("s2",)], "sample string")
@@ -509,6 +521,32 @@ def gene_stability_summary(spark, sf_dir):
     return overlap(spark, sf_dir).groupBy("frac_idx").agg(F.round(F.median("stability"), 6).alias("median_stability"), F.min("b").alias("least_genes"), F.count(F.lit(1)).alias("n"))
 
 
+GENE_CLASSES = f"""{OVERLAP}, hit AS (SELECT g.frac_idx, g.barcode, count(*) AS shared, count(*) FILTER (base.value = 1) AS shared_1, count(*) FILTER (base.value = 2) AS shared_2, count(*) FILTER (base.value >= 3) AS shared_3p
+    FROM g JOIN base USING (barcode, gene) WHERE g.value > 0 AND base.value > 0 AND g.frac_idx < 2 GROUP BY ALL),
+  own AS (SELECT barcode, count(*) AS counts, count(*) FILTER (value = 1) AS counts_1, count(*) FILTER (value = 2) AS counts_2, count(*) FILTER (value >= 3) AS counts_3p FROM base WHERE value > 0 GROUP BY barcode),
+  c AS (SELECT f.frac_idx, own.*, """ + ", ".join(f"CASE WHEN counts{x} > 0 THEN coalesce(shared{x}, 0)::DOUBLE / (counts{x} * {len(SEEDS)}) ELSE 0 END AS stability{x}" for x in stability.GENE_CLASSES) + """
+    FROM own CROSS JOIN (VALUES (0), (1)) f(frac_idx) LEFT JOIN hit ON hit.barcode = own.barcode AND hit.frac_idx = f.frac_idx)"""
+
+
+def gene_classes(spark, sf_dir):
+    matrix = kept(summaries.total_matrix(judged(spark, sf_dir, [0.25, 0.5, 1.0], SEEDS)))
+    own = matrix.where((F.col("frac_idx") == 2) & (F.col("seed") == SEEDS[0]))
+    return stability.gene_class_stability(own, matrix.where("frac_idx < 2"), len(SEEDS), 2)
+
+
+@query("gene_class_stability", f"{GENE_CLASSES} SELECT frac_idx, barcode, counts, counts_1, counts_2, counts_3p, " + ", ".join(f"round(stability{x}, 6) AS stability{x}" for x in stability.GENE_CLASSES) + " FROM c")
+def gene_class_stability(spark, sf_dir):
+    return gene_classes(spark, sf_dir).withColumns({f"stability{x}": F.round(f"stability{x}", 6) for x in stability.GENE_CLASSES})
+
+
+@query("gene_class_summary", f"{GENE_CLASSES} SELECT frac_idx, " + ", ".join(
+    f"count(*) FILTER (counts{x} >= 3) AS counts{x}, round(100.0 * count(*) FILTER (counts{x} >= 3) / count(*), 6)::DOUBLE AS fracs{x}, round(median(stability{x}) FILTER (counts{x} >= 3), 6) AS median_stability{x}, round(median(counts{x}), 6)::DOUBLE AS genes{x}"
+    + (f", round(100 * median(counts{x}::DOUBLE / counts), 6) AS fgenes{x}" if x else "") for x in stability.GENE_CLASSES) + " FROM c GROUP BY frac_idx")
+def gene_class_summary(spark, sf_dir):
+    found = stability.gene_class_summary(gene_classes(spark, sf_dir), 3)
+    return found.select(*[F.round(c, 6).alias(c) if kind == "double" else c for c, kind in found.dtypes])
+
+
 @query("ari", "WITH t AS (SELECT label, vec_id % 10 AS other, count(*) AS n FROM embeddings GROUP BY ALL), x AS (SELECT sum(n * (n - 1) / 2.0) AS both_in, sum(n) AS n FROM t), a AS (SELECT sum(n * (n - 1) / 2.0) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY label)), b AS (SELECT sum(n * (n - 1) / 2.0) AS s FROM (SELECT sum(n) AS n FROM t GROUP BY other)) SELECT round((both_in - a.s * b.s / (n * (n - 1) / 2.0)) / ((a.s + b.s) / 2 - a.s * b.s / (n * (n - 1) / 2.0)), 9) AS ari FROM x, a, b")
 def ari(spark, sf_dir):
     labels = fx.table(spark, sf_dir, "embeddings").select("label", (F.col("vec_id") % 10).alias("other"))
@@ -774,6 +812,45 @@ def limit_fits(spark, sf_dir):
     return curves.limit_errors(totals, summaries.reads_histogram(found, curves.BINS), totals)
 
 
+LIMITS = [(20.0, 0.25), (30.0, 0.5), (40.0, 1.0)]
+LIMIT_MOLECULES = f"{TAGS}, {thin_sql([f for _, f in LIMITS], SEEDS)}, {COLLAPSE}, {VALID}"
+LIMIT_KEYS = "JOIN (VALUES " + ", ".join(f"({i}, {at}::DOUBLE, {f}::DOUBLE)" for i, (at, f) in enumerate(LIMITS)) + ") l(frac_idx, \"limit\", fraction) USING (frac_idx) JOIN (VALUES " + ", ".join(f"({s}::BIGINT, {i})" for i, s in enumerate(SEEDS)) + ") w(seed, curve_index) USING (seed)"
+
+
+def limit_tables(spark, sf_dir):
+    countable = fx.raw_tags(spark, sf_dir).count()
+    return limits.products(lambda fracs: judged(spark, sf_dir, fracs, SEEDS), SEEDS, LIMITS, countable)[0]
+
+
+@query("limit_stats", f"""{LIMIT_MOLECULES}, b AS (SELECT seed, frac_idx, coalesce(sum(total) FILTER (valid), 0)::BIGINT AS reads, count(*) FILTER (valid) AS molecules, coalesce(sum(total) FILTER (NOT valid), 0)::BIGINT AS reads_discarded, count(*) FILTER (NOT valid) AS molecules_discarded,
+  {", ".join(f"coalesce(sum(total) FILTER (valid AND class = '{c}'), 0)::BIGINT AS {c}_reads, count(*) FILTER (valid AND class = '{c}') AS {c}_molecules" for c in thinning.CLASSES)} FROM judged GROUP BY ALL)
+  SELECT b.*, round(100 - 100.0 * molecules / reads, 6)::DOUBLE AS saturation, round((reads + reads_discarded)::DOUBLE / (SELECT count(*) FROM raw), 9) AS downsampled_frac, "limit", fraction, curve_index FROM b {LIMIT_KEYS}""")
+def limit_stats(spark, sf_dir):
+    return limit_tables(spark, sf_dir).stats.drop("unit").withColumn("downsampled_frac", F.round("downsampled_frac", 9))
+
+
+@query("limit_histograms", f"""{LIMIT_MOLECULES}, h AS (SELECT seed, frac_idx, total AS bin, count(*) AS n FROM judged WHERE valid AND total < 50 GROUP BY ALL)
+  SELECT k.seed, k.curve_index, k.frac_idx, k.bin, coalesce(h.n, 0) AS n FROM (SELECT seed, curve_index, frac_idx, b::INTEGER AS bin FROM range(1, 50) r(b), (SELECT DISTINCT seed, frac_idx FROM judged) {LIMIT_KEYS}) k LEFT JOIN h USING (seed, frac_idx, bin)""")
+def limit_histograms(spark, sf_dir):
+    return limit_tables(spark, sf_dir).histograms
+
+
+@query("limit_medians")
+def limit_medians(spark, sf_dir):
+    """Fits at each limit, against the curve of their seed, as medians over the seeds."""
+    return limit_tables(spark, sf_dir).medians
+
+
+@query("pilot_medians")
+def pilot_medians(spark, sf_dir):
+    """Fits of few reads a barcode, as many barcodes as the table has, as medians over the seeds."""
+    countable = fx.raw_tags(spark, sf_dir).count()
+    cells = fx.raw_tags(spark, sf_dir).agg(F.countDistinct("barcode")).first()[0]
+    pilot = limits.Pilot(countable, cells, decades=(0, 4))
+    few = limits.products(lambda fracs: judged(spark, sf_dir, fracs, SEEDS), SEEDS, LIMITS, countable, pilot=pilot)[1]
+    return few.medians
+
+
 @query("target_saturation")
 def target_saturation(spark, sf_dir):
     countable = fx.raw_tags(spark, sf_dir).count()
