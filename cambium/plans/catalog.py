@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..engine import Depth
 from ..functions import library, sequences
 from ..operators import annotate, cells, classify, communities, curves, densities, droplets, fit_products, fitting, interpolation, limits, matrices, molecules, numbering, stability, summaries, thinning
 from ..operators import neighbours as lists
@@ -835,20 +836,39 @@ def limit_histograms(spark, sf_dir):
     return limit_tables(spark, sf_dir).histograms
 
 
+def deep_library(spark, sf_dir):
+    """A library of many reads a molecule, unevenly spread: every row of lineitem is a tag, its quantity the reads."""
+    kind = F.col("l_linenumber") % 3
+    rows = fx.table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").cast("long").alias("barcode"), F.col("l_partkey").cast("long").alias("gene"), ((F.col("l_orderkey").cast("long") * 8 + F.col("l_linenumber")) % 4**fx.UMI_LENGTH).alias("umi"),
+        *[F.when(kind == i, F.col("l_quantity").cast("long")).otherwise(0).alias(c) for i, c in enumerate(thinning.CLASSES)],
+    )
+    return Depth(rows, fx.UMI_LENGTH)
+
+
+def deep_limits(spark, sf_dir, cells=None):
+    """Limits every 10 % of saturation, by a fit of a tenth of the reads, up to the saturation of a fifth."""
+    whole = deep_library(spark, sf_dir)
+    countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0] or 1
+    at = kept(whole.downsample([0.1, 0.2]).molecules.select("seed", "frac_idx", "total", "valid"))
+    totals = kept(summaries.bulk(at))
+    low = F.col("frac_idx") == 0
+    fit = kept(fit_products.sized(fitting.fit_histograms(summaries.reads_histogram(at.where(low), 50), "seed", "frac_idx").join(totals, ["seed", "frac_idx"])))
+    asked = limits.saturation_limits(fit, countable, totals.where(~low).first()["saturation"], 10, 10)
+    pilot = None if cells is None else limits.Pilot(countable, cells, decades=(1, 3))
+    return limits.products(lambda fracs: whole.downsample(fracs, SEEDS).molecules, SEEDS, asked or [(None, 0.1), (None, 0.2)], countable, pilot=pilot)
+
+
 @query("limit_medians")
 def limit_medians(spark, sf_dir):
-    """Fits at each limit, against the curve of their seed, as medians over the seeds."""
-    return limit_tables(spark, sf_dir).medians
+    """Fits at each limit of saturation, against the curve of their seed, as medians over the seeds."""
+    return deep_limits(spark, sf_dir)[0].medians
 
 
 @query("pilot_medians")
 def pilot_medians(spark, sf_dir):
-    """Fits of few reads a barcode, as many barcodes as the table has, as medians over the seeds."""
-    countable = fx.raw_tags(spark, sf_dir).count()
-    cells = fx.raw_tags(spark, sf_dir).agg(F.countDistinct("barcode")).first()[0]
-    pilot = limits.Pilot(countable, cells, decades=(0, 4))
-    few = limits.products(lambda fracs: judged(spark, sf_dir, fracs, SEEDS), SEEDS, LIMITS, countable, pilot=pilot)[1]
-    return few.medians
+    """Fits of few reads a barcode, against the curve of limits of their seed, as medians over the seeds."""
+    return deep_limits(spark, sf_dir, deep_library(spark, sf_dir).tags.agg(F.countDistinct("barcode")).first()[0])[1].medians
 
 
 @query("target_saturation")
