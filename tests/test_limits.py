@@ -122,3 +122,30 @@ def test_read_summary(spark):
     by = {r["key"]: int(r["value"]) for r in classify.read_summary(judged, False, "sample").collect()}
     assert by == {f"{s}_{k}": sum(a == s and (k == "total_reads" or b == k) for a, b, _ in rows) for s in ("s0", "s1") for k in ("total_reads", "bad_tags", "low_quality", "countable", "no_gene")}
     assert {r["value"] for r in classify.read_summary(judged.where("false")).collect()} == {"0"} and classify.read_summary(judged.where("false"), False, "sample").count() == 0
+
+
+def test_commands_spaced_by_the_fit(spark, tmp_path):
+    """With a saved fit, limits are spaced by saturation and genes by recovery; the filter's barcodes are the cells."""
+    from cambium import cli
+
+    whole, countable = library(spark, 8_000)
+    prefix = str(tmp_path / "x")
+    whole.tags.withColumn("random_hex", F.lit(False)).write.parquet(f"{prefix}_tags.parquet")
+    spark.createDataFrame([(b, int(b < 20)) for b in range(50)], "barcode long, passed int").write.parquet(f"{prefix}_passed.parquet")
+    read = lambda name: spark.read.parquet(f"{prefix}_{name}.parquet")
+    cli.main(["fit", prefix, "--points", "3", "--sat-step", "20"], spark)
+    full = read("fit_baseline").first()["full_saturation"]
+    cli.main(["limit", prefix, "--repeats", "2", "--sat-start", "20", "--sat-step", "20", "--use-scrna", "--base-start", "1", "--base-end", "2", "--cell-scale", "2"], spark)
+    stats = read("limit_stats").collect()
+    assert {r["limit"] for r in stats} == {at for at in (20.0, 40.0, 60.0, 80.0) if at <= full} and len(stats) >= 4
+    assert all(r["saturation"] == pytest.approx(r["limit"], abs=4) for r in stats) and read("limit_medians").count() == len(stats) // 2
+    assert {r["limit"] for r in read("pilot_stats").collect()} == {u * 40.0 for u in (10, 20, 50, 100, 200, 500) if u * 40 <= countable}
+    row = read("pilot_depths").first()
+    assert row["cells"] == 20.0 and row["scale"] == 2.0
+    cli.main(["genes", prefix, "--repeats", "2", "--recoveries", "30,60", "--min-obs", "5", "--write"], spark)
+    found = {r["recovery"]: r for r in read("genes_summary").collect()}
+    assert set(found) == {30.0, 60.0} and read("genes_barcodes").select("barcode").distinct().count() == 20
+    # Every gene of a barcode has one molecule here, so a gene is found again as often as a molecule.
+    for recovery, r in found.items():
+        assert r["median_stability_1"] == r["median_stability"] == pytest.approx(recovery / 100 * 8_000 / read("fit_baseline").first()["full_molecules"], abs=0.1)
+        assert r["counts_2"] == 0 and r["median_stability_2"] is None and r["ratio"] > 1
