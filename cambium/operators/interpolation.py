@@ -41,10 +41,11 @@ def as_of(points: DataFrame, places: DataFrame, rows_of_bucket: int = BUCKET) ->
     placed = bucketed(kept(both), rows_of_bucket)
     edges = placed.groupBy("bucket").agg(F.max("point").alias("last"), F.min("point").alias("first"))  # one row a bucket
     # min and max of structs go by x and leave nulls out.
-    order = Window.orderBy("bucket")
-    edges = edges.select("bucket", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("earlier"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("later"))
-    inside = Window.partitionBy("bucket").orderBy("x", F.col("point").isNull())
-    near = placed.select("bucket", "x", "point", F.last("point", True).over(inside).alias("before"), F.first("point", True).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    # What follows is what came last in the other order: a frame that ends unbounded would be read again for each row.
+    past = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select("bucket", F.last("last", True).over(past(Window.orderBy("bucket"))).alias("earlier"), F.last("first", True).over(past(Window.orderBy(F.desc("bucket")))).alias("later"))
+    by, place = Window.partitionBy("bucket"), F.col("point").isNull()
+    near = placed.select("bucket", "x", "point", F.last("point", True).over(by.orderBy("x", place)).alias("before"), F.last("point", True).over(past(by.orderBy(F.desc("x"), place.desc()))).alias("after"))
     joined = near.where("point IS NULL").join(F.broadcast(edges), "bucket")
     return joined.select("x", F.coalesce("before", "earlier").alias("before"), F.coalesce("after", "later").alias("after"))
 

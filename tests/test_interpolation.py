@@ -36,6 +36,17 @@ def test_sparse_points_are_carried_over(spark):
     assert interpolation.as_of(points, places.where("false")).count() == 0
 
 
+def test_time_grows_with_the_rows_of_a_bucket(spark):
+    """No window frame ends unbounded, for Spark reads such a frame again for each of its rows."""
+    places = spark.range(4000).select(F.col("id").cast("double").alias("x"))
+    points = spark.range(0, 4000, 9).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
+    found = interpolation.as_of(points, places)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString()
+    for r in found.collect():
+        last = r["x"] // 9 * 9
+        assert r["before"]["x"] == last and (r["after"] is None if last + 9 >= 4000 else r["after"]["x"] == last + 9)
+
+
 def test_no_task_has_all_rows(spark):
     places = spark.range(2000).select(F.col("id").cast("double").alias("x"))
     points = spark.range(0, 2000, 7).select(F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("y"))
