@@ -1,5 +1,7 @@
 """The negative binomial library model: molecules seen after R reads of a library of L molecules with dispersion r."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,26 +32,50 @@ def log1mexp(a: Column) -> Column:
     return F.when(a > -0.6931471805599453, F.log(-F.expm1(a))).otherwise(F.log1p(-F.exp(a)))
 
 
+def inverted(percent: np.ndarray, size: np.ndarray, r: np.ndarray, steps: int) -> np.ndarray:
+    """Reads at which saturation reaches `percent`: doubling from above, then bisection until nothing changes."""
+    share = (100 - percent) / 100
+    seen = lambda x: size * (1 - (r / (r + x / size)) ** r)
+    low, high = np.zeros(len(size)), np.maximum(size, 10.0)
+    for _ in range(100):
+        if not (short := seen(high) > share * high).any():
+            break
+        high = np.where(short, high * 2, high)
+    for _ in range(steps):
+        middle = (low + high) / 2
+        more = seen(middle) > share * middle
+        after = np.where(more, middle, low), np.where(more, high, middle)
+        if np.array_equal(after[0], low) and np.array_equal(after[1], high):
+            break
+        low, high = after
+    return (low + high) / 2
+
+
 def reads_for_saturation(percent: str, size: str, r: str, steps: int = 100) -> Column:
-    """Reads at which saturation reaches `percent`: doubling from above, then bisection; names of columns."""
-    seen = f"({size} * (1 - pow({r} / ({r} + %s / {size}), {r})))"
-    share = f"(100 - {percent}) / 100D"
-    # Names of lambdas come before those of columns, so they are ones that no column has.
-    top = f"aggregate(sequence(1, 100), greatest({size}, 10D), (__top, __i) -> CASE WHEN {seen % '__top'} > {share} * __top THEN __top * 2 ELSE __top END)"
-    middle = "((__s.lo + __s.hi) / 2)"
-    return F.expr(
-        f"""aggregate(sequence(1, {steps}), named_struct('lo', 0D, 'hi', {top}),
-        (__s, __i) -> CASE WHEN {seen % middle} > {share} * {middle}
-                  THEN named_struct('lo', {middle}, 'hi', __s.hi) ELSE named_struct('lo', __s.lo, 'hi', {middle}) END,
-        __s -> {middle})"""
-    )
-
-
-def reads_pmf(k: str, r: str, p: str, bins: int) -> Column:
-    """Share of molecules with k reads among those of 1 ... bins; names of columns. Terms follow one another, so no gamma function is needed."""
-    term = f"__s.t * ({r} + __i - 1) / __i * (1 - {p})"
-    step = f"named_struct('t', {term}, 'at', CASE WHEN __i = {k} THEN {term} ELSE __s.at END, 'all', __s.all + {term})"
-    return F.expr(f"aggregate(sequence(1, {bins}), named_struct('t', 1D, 'at', 0D, 'all', 0D), (__s, __i) -> {step}, __s -> __s.at / __s.all)")
+    """Reads at which saturation reaches `percent`, a batch of rows at once; names of columns. Null where one of them is."""
+
+    @F.pandas_udf("double")
+    def needed(percent: pd.Series, size: pd.Series, r: pd.Series) -> pd.Series:
+        given = [x.to_numpy(dtype=float) for x in (percent, size, r)]
+        found, sure = np.full(len(percent), np.nan), ~np.isnan(given).any(0)
+        with np.errstate(all="ignore"):
+            found[sure] = inverted(*(x[sure] for x in given), steps)
+        return pd.Series(found).astype("Float64").mask(~sure)
+
+    return needed(*[F.col(c).cast("double") for c in (percent, size, r)])
+
+
+def reads_pmf(r: str, p: str, bins: int) -> Column:
+    """Shares of molecules with 1, 2 ... reads among those of 1 ... bins, all in one array; names of columns. Terms follow one another, so no gamma function is needed."""
+    k = np.arange(1, bins + 1)
+
+    @F.pandas_udf("array<double>")
+    def shares(r: pd.Series, p: pd.Series) -> pd.Series:
+        r, p = (x.to_numpy(dtype=float)[:, None] for x in (r, p))
+        terms = np.cumprod((r + k - 1) / k * (1 - p), axis=1)
+        return pd.Series(list(terms / terms.sum(1, keepdims=True)))
+
+    return shares(*[F.col(c).cast("double") for c in (r, p)])
 
 
 def predictions(reads: str, size: str, r: str) -> dict[str, Column]:

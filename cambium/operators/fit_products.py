@@ -31,7 +31,9 @@ def steps(first: float, last: float, step: float) -> Column:
 
 def saturation_costs(fits: DataFrame, first: float = 10, last: float = 95, step: float = 1) -> DataFrame:
     """For each fit (size, r, rate: countable reads of all reads, and others) and each percent of saturation: reads, molecules, sequenced_reads and recovery."""
-    found = fits.withColumn("saturation", F.explode(steps(first, last, step))).withColumn("reads", library.reads_for_saturation("saturation", "size", "r"))
+    # A fit takes long for its size, so fits are dealt to all cores.
+    dealt = fits.repartition(2 * fits.sparkSession.sparkContext.defaultParallelism)
+    found = dealt.withColumn("saturation", F.explode(steps(first, last, step))).withColumn("reads", library.reads_for_saturation("saturation", "size", "r"))
     return priced(found).withColumn("recovery", library.recovery(F.col("reads"), F.col("size"), F.col("r")))
 
 
@@ -53,8 +55,10 @@ def sized(fits: DataFrame) -> DataFrame:
 
 def predicted_histogram(fits: DataFrame, bins: int) -> DataFrame:
     """For each fit (r, p, molecules and others) and each number of reads up to `bins`: share and expected molecules."""
-    found = fits.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(bins))))
-    return found.withColumn("share", library.reads_pmf("bin", "r", "p", bins)).withColumn("expected", F.col("share") * F.col("molecules"))
+    # A fit's shares are found once, not once a bin.
+    found = fits.withColumn("__shares", library.reads_pmf("r", "p", bins)).select("*", F.posexplode("__shares").alias("bin", "share")).drop("__shares")
+    share = F.when(F.col("r").isNotNull() & F.col("p").isNotNull(), F.col("share"))
+    return found.withColumns({"bin": F.col("bin") + 1, "share": share}).withColumn("expected", F.col("share") * F.col("molecules"))
 
 
 def side_by_side(histograms: dict[str, DataFrame], bins: int) -> DataFrame:

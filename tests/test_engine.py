@@ -1,6 +1,7 @@
 """Published values, properties, and text sources."""
 
 import json
+import math
 
 import numpy as np
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cambium.engine import Depth
 from cambium.functions import library, sequences
-from cambium.operators import fitting, molecules, stability, summaries, thinning
+from cambium.operators import fit_products, fitting, molecules, stability, summaries, thinning
 from cambium.sources import files, libraries
 
 # Molecules by their number of reads in the published example, and what was published of its fit.
@@ -37,6 +38,32 @@ def test_published_costs(spark):
     assert found == pytest.approx([1550929.2146933074, 1722303.2029790478], rel=1e-8)
 
 
+def test_costs_and_shares_take_a_pass_of_a_batch(spark):
+    """Neither is a loop of column expressions over each row, and both agree with plain ones; rows without a fit have none."""
+    fits = spark.range(500).select("id", (F.col("id") * 997 % 5000 + 3.0).alias("size"), (0.5 + F.col("id") % 9).alias("r"), (0.3 + F.col("id") % 5 / 10).alias("p"), F.lit(0.5).alias("rate"), F.lit(1000).alias("molecules"))
+    fits = fits.unionByName(fits.where("id = 1").withColumns({"id": F.lit(900).cast("long"), "size": F.lit(None).cast("double"), "r": F.lit(None).cast("double")}))
+    costs, shares = fit_products.saturation_costs(fits, 10, 95, 5), fit_products.predicted_histogram(fits, 20)
+    for found in (costs, shares):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "aggregate(sequence" not in plan and "ArrowEvalPython" in plan
+    rows = costs.collect()
+    assert len(rows) == 501 * 18
+    for row in rows:
+        if row["id"] == 900:
+            assert row["reads"] is None
+            continue
+        x, r = row["reads"] / row["size"], row["r"]
+        assert 100 - 100 * (1 - (r / (r + x)) ** r) / x == pytest.approx(row["saturation"], abs=1e-7)
+    by = {}
+    for row in shares.collect():
+        by.setdefault(row["id"], {})[row["bin"]] = row["share"]
+    assert set(by) == {*range(500), 900} and set(by.pop(900).values()) == {None}
+    for key, found in by.items():
+        r, p = 0.5 + key % 9, 0.3 + key % 5 / 10
+        plain = [math.exp(math.lgamma(k + r) - math.lgamma(k + 1) - math.lgamma(r)) * (1 - p) ** k for k in range(1, 21)]
+        assert [found[k] for k in range(1, 21)] == pytest.approx([y / sum(plain) for y in plain], rel=1e-9)
+
+
 def ancestors(umi, total, length):
     """By search from each tag, best rank first, over tags that none has reached."""
     order = sorted(range(len(umi)), key=lambda i: (-total[i], umi[i]))
