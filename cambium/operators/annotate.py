@@ -1,28 +1,39 @@
 """Reads against gene annotation: CIGAR blocks, a range join, and classes of reads."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..session import kept
 from . import intervals
 
 BIN = 1024
-#: Parts that the reads of a bin are dealt to where genes are too many for an index.
-SALTS = 16
-
-#: First base (0-based) and CIGAR string to blocks of matched bases, both ends inclusive; N ends a block, I, S, H and P count for nothing.
-BLOCKS = """filter(aggregate(
-  transform(regexp_extract_all(cigar, '([0-9]+[MIDNSHP=X])', 1), o -> named_struct('n', cast(substr(o, 1, length(o) - 1) as long), 'op', right(o, 1))),
-  named_struct('at', pos, 'done', cast(array() as array<struct<lft:bigint,rgt:bigint>>), 'lft', pos),
-  (s, o) -> CASE
-    WHEN o.op IN ('M', '=', 'X', 'D') THEN named_struct('at', s.at + o.n, 'done', s.done, 'lft', s.lft)
-    WHEN o.op = 'N' THEN named_struct('at', s.at + o.n, 'done', concat(s.done, array(named_struct('lft', s.lft, 'rgt', s.at - 1))), 'lft', s.at + o.n)
-    ELSE s END,
-  s -> concat(s.done, array(named_struct('lft', s.lft, 'rgt', s.at - 1)))), b -> b.rgt >= b.lft)"""
+#: Parts that the reads of a crowded bin are dealt to where genes are too many for an index; reads from which a bin is crowded; crowded bins that are broadcast, at most.
+SALTS, CROWDED, MAX_CROWDED = 16, 100_000, 100_000
+BLOCKS = T.ArrayType(T.StructType([T.StructField("lft", T.LongType()), T.StructField("rgt", T.LongType())]))
+
+
+@F.arrow_udf(BLOCKS)
+def blocks_of(pos: pa.Array, cigar: pa.Array) -> pa.Array:
+    """First base (0-based) and CIGAR string to blocks of matched bases, both ends inclusive; N ends a block, I, S, H and P count for nothing. Each different string is read once a batch."""
+    found = cigar.dictionary_encode()
+    shapes = [intervals.cigar_blocks(c) for c in found.dictionary.to_pylist()] + [()]
+    counts = np.asarray([len(x) for x in shapes])
+    flat = np.asarray([x for shape in shapes for x in shape], np.int64).reshape(-1, 2)
+    shape = np.where(pos.is_valid().to_numpy(zero_copy_only=False), pc.fill_null(found.indices, len(shapes) - 1).to_numpy(zero_copy_only=False), len(shapes) - 1)
+    first = (np.cumsum(counts) - counts)[shape]
+    of, at = intervals.stretches(first, first + counts[shape])
+    base = pc.fill_null(pos, 0).to_numpy(zero_copy_only=False).astype(np.int64)[of]
+    blocks = pa.StructArray.from_arrays([pa.array(flat[at, 0] + base), pa.array(flat[at, 1] + base)], ["lft", "rgt"])
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts[shape])), pa.int32()), blocks, mask=cigar.is_null())
 
 
 def with_blocks(reads: DataFrame) -> DataFrame:
     """Adds blocks, and lft and rgt of the whole read."""
-    return reads.withColumn("blocks", F.expr(BLOCKS)).withColumn("lft", F.get("blocks", F.lit(0))["lft"]).withColumn("rgt", F.try_element_at("blocks", F.lit(-1))["rgt"])
+    return reads.withColumn("blocks", blocks_of(F.col("pos").cast("long"), "cigar")).withColumn("lft", F.get("blocks", F.lit(0))["lft"]).withColumn("rgt", F.try_element_at("blocks", F.lit(-1))["rgt"])
 
 
 def range_join(reads: DataFrame, genes: DataFrame, max_genes: int = intervals.MAX_GENES) -> DataFrame:
@@ -35,21 +46,29 @@ def range_join(reads: DataFrame, genes: DataFrame, max_genes: int = intervals.MA
     return binned_join(reads, genes) if index is None else intervals.overlapping_pairs(reads, genes, index)
 
 
-def binned_join(reads: DataFrame, genes: DataFrame, width: int = BIN, salts: int = SALTS) -> DataFrame:
+def binned_join(reads: DataFrame, genes: DataFrame, width: int = BIN, salts: int = SALTS, crowded: int = CROWDED) -> DataFrame:
     """range_join of genes of any number.
 
     Both sides go to all bins that they touch and meet by an equi-join; a pair
-    counts only in the first bin that both touch, so no distinct is needed. A
-    bin's reads are dealt to `salts` parts, each of which has its genes, so a
-    gene that most reads come from is not one task's.
+    counts only in the first bin that both touch, so no distinct is needed. The
+    reads of a bin with more than `crowded` are dealt to `salts` parts, each of
+    which has its genes, so a gene that most reads come from is not one task's;
+    other bins have one part. Neither side is broadcast: what rows become in
+    bins isn't seen in the size that the planner takes a table to have.
     """
 
     def binned(df: DataFrame, name: str, lft: str, rgt: str) -> DataFrame:
         return df.withColumn(name, F.floor(F.col(lft) / width)).withColumn("bin", F.explode(F.sequence(F.floor(F.col(lft) / width), F.floor(F.col(rgt) / width))))
 
-    left = binned(reads, "__first", "lft", "rgt").withColumn("__salt", F.pmod(F.xxhash64(*reads.columns), F.lit(salts)).cast("int"))
-    right = binned(genes.withColumnsRenamed({"lft": "gene_lft", "rgt": "gene_rgt"}), "__gene_first", "gene_lft", "gene_rgt").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    met = left.join(right, ["chrom", "bin", "__salt"]).where("gene_lft < rgt AND lft < gene_rgt AND bin = greatest(__first, __gene_first)")
+    reads = kept(reads)  # looked at twice, and what their columns are made by isn't made again for each place that names them
+    left, right = binned(reads, "__first", "lft", "rgt"), binned(genes.withColumnsRenamed({"lft": "gene_lft", "rgt": "gene_rgt"}), "__gene_first", "gene_lft", "gene_rgt")
+    full = kept(left.groupBy("chrom", "bin").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > crowded).select("chrom", "bin", F.lit(salts).alias("__parts")))
+    if full.limit(MAX_CROWDED + 1).count() <= MAX_CROWDED:
+        full = F.broadcast(full)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = left.join(full, ["chrom", "bin"], "left").withColumn("__salt", F.pmod(F.xxhash64(*reads.columns), parts).cast("int")).drop("__parts")
+    right = right.join(full, ["chrom", "bin"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    met = left.hint("merge").join(right, ["chrom", "bin", "__salt"]).where("gene_lft < rgt AND lft < gene_rgt AND bin = greatest(__first, __gene_first)")
     return met.drop("bin", "__first", "__gene_first", "__salt")
 
 

@@ -63,6 +63,19 @@ def test_pairs(spark, tables):
     assert by_index.where("gene_lft >= rgt").count() == 0
 
 
+@pytest.mark.parametrize("crowded", [0, 20, 10**9])
+def test_bins_are_not_broadcast(spark, tables, crowded):
+    """However small the planner takes the genes to be: bins and parts make many rows of each."""
+    genes, reads, *_ = tables
+    placed = annotate.with_blocks(reads)
+    found = annotate.binned_join(placed, genes, crowded=crowded)
+    joins = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [chrom" in joins and "__salt" not in "".join(line for line in joins.splitlines() if "BroadcastHashJoin" in line)
+    want = {(r["id"], r["gene"]) for r in annotate.range_join(placed, genes).collect()}
+    rows = [tuple(r) for r in found.select("id", "gene").collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 @pytest.mark.parametrize("known_only", [False, True])
 def test_classes(tables, known_only):
     genes, reads, *_ = tables
