@@ -6,7 +6,8 @@ guessed: the exact neighbours of a few hundred rows are found by one scan, and
 the number of lists is the least that holds the asked share of them. A list
 that is too long is dealt to parts. Rows of a part come first and then the rows
 that look at it, which stream past in Arrow batches, so what is shuffled grows
-with rows times lists looked at, and a task holds one part.
+with rows times lists looked at, and a task holds one part. Rows that look at a
+quarter of all lists or more are compared with all, which meet them in blocks.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ from ..session import kept
 #: Rows of a list, about; lists at most; rows of the sample for each; rows whose exact neighbours are found.
 LIST_ROWS, MAX_LISTS, SAMPLE, PROBED = 2048, 4096, 32, 256
 ITERATIONS = 6
+#: Points that are compared at once; pairs that are measured at once.
+TILE, MEASURED = 2048, 1 << 16
+#: Rows of a block that all rows are compared with, about.
+BLOCK = 32_768
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -38,22 +43,82 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def exact_best(x: np.ndarray, own: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the row of x, id and squared distance of its k nearest points but itself; ties by id.
 
-    Candidates are chosen by the quick formula, with what rounding may hide, and measured exactly.
+    Candidates are chosen by the quick formula, tile by tile, with what rounding
+    may hide, and measured exactly; a tile is left out by the k-th best so far.
     """
-    quick = squared(x, points)
-    quick[own[:, None] == ids[None]] = np.inf
-    m = min(k, len(ids))
-    edge = np.partition(quick, m - 1, 1)[:, m - 1]
     slack = 1e-9 * ((x**2).sum(1) + (points**2).sum(1).max(initial=0.0)) + 1e-12
-    row, at = np.nonzero(quick <= (edge + slack)[:, None])
-    d = ((x[row] - points[at]) ** 2).sum(1)
-    real = own[row] != ids[at]
-    row, at, d = row[real], at[real], d[real]
-    order = np.lexsort((ids[at], d, row))
-    row, at, d = row[order], at[order], d[order]
-    first = np.searchsorted(row, np.arange(len(x)))
-    keep = np.arange(len(row)) - first[row] < k
-    return row[keep], ids[at[keep]], d[keep]
+    norms, own_norms = (points**2).sum(1), (x**2).sum(1)
+    best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    edge = np.full(len(x), np.inf)
+    for start in range(0, len(ids), TILE):
+        some = ids[start : start + TILE]
+        quick = x @ (-2 * points[start : start + TILE]).T
+        quick += norms[start : start + TILE]
+        quick += own_norms[:, None]
+        if not np.isfinite(edge).all() and len(some) > k:
+            # k + 1, for a row may meet itself.
+            edge = np.minimum(edge, np.partition(quick, k, 1)[:, k])
+        row, at = np.divmod(np.flatnonzero(quick <= (edge + slack)[:, None]), len(some))
+        real = own[row] != some[at]
+        row, at = row[real], at[real]
+        for i in range(0, len(row), MEASURED):
+            r, t = row[i : i + MEASURED], at[i : i + MEASURED] + start
+            found = (np.concatenate(c) for c in zip(best, (r, ids[t], ((x[r] - points[t]) ** 2).sum(1)), strict=True))
+            best = first_of(*found, k)
+        place = np.searchsorted(best[0], np.arange(len(x)), "right") - 1
+        full = np.bincount(best[0], minlength=len(x)) >= k
+        edge[full] = np.minimum(edge[full], best[2][place[full]])
+    return best
+
+
+def first_of(row: np.ndarray, other: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k least of each row, by distance and then id."""
+    order = np.lexsort((other, d, row))
+    row, other, d = row[order], other[order], d[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], other[keep], d[keep]
+
+
+def enough(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Finite points and their ids without those that can't be returned: of equal points the k + 1 of least id stay."""
+    order = np.argsort(ids, kind="stable")
+    order = order[np.isfinite(points[order]).all(1)]  # others are at no distance
+    ids, points = ids[order], np.ascontiguousarray(points[order])
+    if not points.size:
+        return ids, points
+    same = np.unique(points.view(np.dtype((np.void, points.shape[1] * points.itemsize))).ravel(), return_inverse=True)[1]
+    order = np.argsort(same, kind="stable")
+    same = same[order]
+    keep = np.sort(order[np.arange(len(same)) - np.searchsorted(same, same) <= k])
+    return ids[keep], points[keep]
+
+
+def visitor(k: int):
+    """Of rows sorted by key and kind (key, kind, id, vec): id, other and d2 of the k nearest points, kind 0, of the same key of each row of kind 1. A task holds the points of one key."""
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, points = None, [], None
+        for batch in batches:
+            keys, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
+            turns = np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1
+            for start, end in zip([0, *turns], [*turns, len(keys)], strict=True):
+                if start == end:
+                    continue
+                if keys[start] != at:
+                    at, held, points = keys[start], [], None
+                own, x = ids[start:end], matrix(batch.column(3).slice(start, end - start))
+                if not kinds[start]:
+                    held.append((own, x))
+                    continue
+                if points is None and held:
+                    points, held = enough(*(np.concatenate(c) for c in zip(*held, strict=True)), k), []
+                if points is None:
+                    continue
+                for i in range(0, len(own), 512):
+                    row, other, d = exact_best(x[i : i + 512], own[i : i + 512], points[1], points[0], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 512][row]), pa.array(other), pa.array(d)], ["id", "other", "d2"])
+
+    return visit
 
 
 def centres_of(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -124,6 +189,10 @@ class ListIndex:
     def nearest(self) -> DataFrame:
         """id, other, d2 and place (from 1) of the k nearest other rows that each row finds in its lists."""
         centres, probes, k = self.centres, self.probes, self.k
+        if 4 * probes >= len(centres):
+            # So many lists would be dealt a copy of each row: lists meet all rows in blocks instead.
+            wide = max(1, BLOCK // (2 * self.list_rows))
+            return against_blocks(self.rows.select("id", "vec", F.floor(F.col("key") / wide).cast("int").alias("block")), -(-self.keys // wide), k)
 
         def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -135,33 +204,21 @@ class ListIndex:
         dealt = asked.withColumn("list", F.explode("lists")).join(self.parts, "list")
         dealt = dealt.withColumn("key", F.explode(F.sequence(F.col("base"), F.col("base") + F.col("parts") - 1))).select("key", F.lit(1).alias("kind"), "id", "vec")
 
-        def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            at, held, points = None, [], None
-            for batch in batches:
-                keys, kinds, ids = (batch.column(i).to_numpy() for i in range(3))
-                turns = np.flatnonzero((np.diff(keys) != 0) | (np.diff(kinds) != 0)) + 1
-                for start, end in zip([0, *turns], [*turns, len(keys)], strict=True):
-                    if start == end:
-                        continue
-                    if keys[start] != at:
-                        at, held, points = keys[start], [], None
-                    own, x = ids[start:end], matrix(batch.column(3).slice(start, end - start))
-                    if not kinds[start]:
-                        held.append((own, x))
-                        continue
-                    if points is None and held:
-                        points = [np.concatenate(c) for c in zip(*held, strict=True)]
-                    if points is None:
-                        continue
-                    for i in range(0, len(own), 256):
-                        row, other, d = exact_best(x[i : i + 256], own[i : i + 256], points[1], points[0], k)
-                        yield pa.RecordBatch.from_arrays([pa.array(own[i : i + 256][row]), pa.array(other), pa.array(d)], ["id", "other", "d2"])
-
         both = self.rows.select("key", F.lit(0).alias("kind"), "id", "vec").unionByName(dealt)
-        met = both.repartitionById(self.keys, F.col("key").cast("int")).sortWithinPartitions("key", "kind").mapInArrow(visit, "id long, other long, d2 double")
+        met = both.repartitionById(self.keys, F.col("key").cast("int")).sortWithinPartitions("key", "kind").mapInArrow(visitor(k), "id long, other long, d2 double")
         return best_of(met, "id", k)
 
 
+def against_blocks(rows: DataFrame, blocks: int, k: int) -> DataFrame:
+    """id, other, d2 and place of the k nearest other rows of each row (id, vec, block), all of them compared: a row is dealt once to each block, and the rows that ask to parts, for there to be enough tasks."""
+    parts = -(-3 * rows.sparkSession.sparkContext.defaultParallelism // blocks)
+    points = rows.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: (F.col("block") * parts + i).cast("int"))))
+    part = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(parts)).cast("int")
+    asked = rows.withColumn("key", F.explode(F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda b: (b * parts + part).cast("int"))))
+    both = points.select("key", F.lit(0).alias("kind"), "id", "vec").unionByName(asked.select("key", F.lit(1).alias("kind"), "id", "vec"))
+    return best_of(both.repartitionById(blocks * parts, F.col("key")).sortWithinPartitions("key", "kind").mapInArrow(visitor(k), "id long, other long, d2 double"), "id", k)
+
+
 def best_of(found: DataFrame, key: str, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(key).orderBy("d2", "other"))
     return found.withColumn("place", place).where(F.col("place") <= k)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..session import kept
 from .interpolation import interpolated
+from .neighbours import BLOCK, against_blocks
 
 #: Points, at most, to which the trend of variances is fitted.
 BUCKETS = 20_000
@@ -98,42 +99,18 @@ def log_normalised(counts: DataFrame, target: float = 1e4) -> DataFrame:
     return counts.withColumn("x", F.log1p(F.col("value") * target / F.sum("value").over(whole)))
 
 
-def nearest(vectors: DataFrame, k: int, block: int = 2048) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """The k nearest other vectors of each (squared distance, then id), exactly.
 
-    Rows are dealt into blocks of about `block`; each pair of blocks meets in one
-    row of an equi-join, which gives the best k of one block for each row of the
-    other, and only those are merged. Nothing passes through the driver.
+    Rows are dealt into blocks of `block` at most, about; a task has the points
+    of one block, and rows that ask stream past them in Arrow batches. So each
+    row is shuffled once a block, and a task holds one block. Where blocks are
+    few, the rows that ask are dealt to parts, for there to be enough tasks.
     """
-    spark = vectors.sparkSession
-    total = max(-(-vectors.count() // block), math.isqrt(spark.sparkContext.defaultParallelism))
-    packed = vectors.select(F.pmod(F.xxhash64("id"), F.lit(total)).cast("int").alias("block"), F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    packed = kept(packed.groupBy("block").agg(F.collect_list("id").alias("ids"), F.collect_list("vec").alias("vecs")))
-    left = packed.select(F.explode(F.sequence(F.lit(0), F.lit(total - 1))).alias("block"), F.col("ids").alias("own"), F.col("vecs").alias("own_vecs"))
-    pairs = left.join(packed, "block").select("own", "own_vecs", "ids", "vecs").repartition(max(total, spark.sparkContext.defaultParallelism))
-
-    def matrix(column: pa.ListArray) -> np.ndarray:
-        inner = column.flatten()
-        return inner.flatten().to_numpy().reshape(len(inner), -1)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                own, own_vecs, ids, vecs = (batch.column(c).slice(row, 1) for c in range(4))
-                own, ids, x, points = own.flatten().to_numpy(), ids.flatten().to_numpy(), matrix(own_vecs), matrix(vecs)
-                for start in range(0, len(own), 64):
-                    part = slice(start, start + 64)
-                    d = ((x[part, None, :] - points[None]) ** 2).sum(2)
-                    d[own[part, None] == ids[None]] = np.inf
-                    order = np.lexsort((np.broadcast_to(ids, d.shape), d))[:, :k]
-                    best = np.take_along_axis(d, order, 1)
-                    real = np.isfinite(best).ravel()
-                    columns = [np.repeat(own[part], order.shape[1]), ids[order].ravel(), best.ravel()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[real]) for c in columns], ["id", "other", "d2"])
-
-    best = pairs.mapInArrow(near, "id long, other long, d2 double")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("d2", "other"))
-    return best.withColumn("place", place).where(F.col("place") <= k)
+    given = vectors.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
+    rows = kept(given.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")))
+    blocks = max(1, -(-rows.count() // block))
+    return against_blocks(rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")), blocks, k)
 
 
 def scaled(values: DataFrame, cells: int, most: float = 10.0) -> DataFrame:

@@ -37,6 +37,24 @@ def test_all_lists_are_exact(clustered):
     assert plain(found) == plain(true)
 
 
+def test_rows_are_dealt_once_a_block(spark, clustered):
+    """Not once a list, nor all copies of a row compared; rows at no distance have no neighbours and are none."""
+    rows, _ = clustered
+    for found in (neighbours.near_neighbours(rows, 8, probes=1000, list_rows=100), stability.nearest(rows, 8)):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(lists" not in plan and "collect_list" not in plan
+    x = np.random.default_rng(1).normal(0, 1, (500, 6)).round(1)
+    x[100:400] = x[100]
+    x[450] = np.nan
+    ids, points = neighbours.enough(np.arange(500), x, 8)
+    assert len(ids) == 500 - 1 - 300 + 9 and set(range(100, 109)) <= set(ids.tolist())
+    found = {(r["id"], r["place"]): r["other"] for r in stability.nearest(table(spark, x), 8, block=90).collect()}
+    for i in range(500):
+        d = ((x[i] - x) ** 2).sum(1)
+        want = [j for j in np.lexsort((np.arange(500), d)).tolist() if j != i and np.isfinite(d[j])][:8]
+        assert [found.get((i, p)) for p in range(1, 9)] == (want or [None] * 8)
+
+
 def test_rows_grow_with_the_input(clustered):
     """What is dealt out is rows times lists looked at, and the parts of long lists."""
     rows, _ = clustered
