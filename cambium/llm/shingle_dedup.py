@@ -203,25 +203,36 @@ def similar_roots(nodes: DataFrame, docs: DataFrame, least: float, shingle: int,
     return roots if more.isEmpty() else cut(components(links.unionByName(more)))
 
 
-def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def joined_roots(roots: DataFrame, prints: DataFrame, near: DataFrame) -> DataFrame:
+    """`roots` (fp, root) of nodes, with those connected too that texts of one root of `near` (raw_hash, root) have."""
+    named = cut(prints.select("raw_hash", "node").distinct().join(near, "raw_hash").select("node", "root").distinct())
+    least = named.groupBy("root").agg(F.min("node").alias("low"))
+    extra = named.join(least, "root").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    return cut(components(roots.select(F.col("fp").alias("a"), F.col("root").alias("b")).unionByName(extra)))
+
+
+def similar_groups(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None) -> DataFrame:
     """One row per input row: doc_id, component_id, kept, raw_hash.
 
     Texts are linked if their sets of shingles (words parted by white space,
     A-Z lower-cased) have a Jaccard similarity of `least` or more; components
     and the row kept of each are those of simhash.near_groups. Texts with equal
     sets are linked, null and wordless ones too. Equal 64-bit hashes count as
-    equal shingles and sets.
+    equal shingles and sets. Texts that have a root of `near` (raw_hash, root:
+    simhash.near_roots) in common are linked as well.
     """
     prints = cut(signatures(docs, shingle, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("first")
     nodes = cut(prints.select("node", "n", "raw_hash", "bands", "sketch").dropDuplicates(["node"]))
     roots = similar_roots(nodes, docs, least, shingle, text_col)
+    if near is not None:
+        roots = joined_roots(roots, prints, near)
     classes = cut(prints.groupBy("node").agg(first).join(roots.withColumnRenamed("fp", "node"), "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     firsts = classes.groupBy("root").agg(F.min("first").alias("first"))
     found = classes.select("node", "root").join(firsts, "root").select("node", "first")
     return prints.join(found, "node").select("doc_id", F.col("first.doc_id").alias("component_id"), (F.col("row_id") == F.col("first.row_id")).alias("kept"), "raw_hash")
 
 
-def drop_similar(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_similar(docs: DataFrame, least: float = LEAST, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", near: DataFrame | None = None) -> DataFrame:
     """`docs` with one row of each component."""
-    return keep_rows(docs, similar_groups(docs, least, shingle, id_col, text_col), id_col, text_col)
+    return keep_rows(docs, similar_groups(docs, least, shingle, id_col, text_col, near), id_col, text_col)

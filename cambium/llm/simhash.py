@@ -261,6 +261,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(narrow(edges.distinct(), rows))
 
 
+def near_roots(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
+    """raw_hash and root of each different text: texts that links of near_groups reach have the same root."""
+    prints = cut(fingerprints(docs, id_col, text_col, shingle).select("raw_hash", "fp").distinct())
+    roots = components(links(prints.select("fp").distinct(), bits, blocks))
+    return prints.join(roots, "fp", "left").select("raw_hash", F.coalesce("root", "fp").alias("root"))
+
+
 def near_groups(docs: DataFrame, bits: int = MAX_BITS, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None) -> DataFrame:
     """One row per input row: doc_id, fingerprint, component_id, kept, raw_hash.
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cambium.llm import decontaminate, exact_dedup, packing, shingle_dedup, toxicity
+from cambium.llm import decontaminate, exact_dedup, packing, shingle_dedup, simhash, toxicity
 from cambium.llm.common import read, scratch
 
 
@@ -24,7 +24,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return shingle_dedup.drop_similar(docs)
+    """Near by SimHash, as op5 has it, or by the shingles that its fingerprints can't tell: one row of what either links stays."""
+    return shingle_dedup.drop_similar(docs, near=simhash.near_roots(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

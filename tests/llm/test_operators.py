@@ -364,6 +364,19 @@ def test_pipeline_near_dedup_by_jaccard(spark, none):
     assert shingle_dedup.drop_similar(none).count() == 0
 
 
+def test_pipeline_near_dedup_by_simhash(spark):
+    """The stage links what SimHash links, though few different shingles are shared, and through such a link what shingles link."""
+    import corpus_pipeline
+
+    line = "the same line of words " * 400
+    tail = lambda n: " ".join(f"w{n}x{i}" for i in range(20))
+    texts = [line + tail(0), line + tail(1), line + tail(1) + " more", tail(7), None]
+    assert (brute_print(texts[0]) ^ brute_print(texts[1])).bit_count() <= 3 and len(set(jaccard_roots(texts))) == 4
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    kept = dict(corpus_pipeline.STAGES)["near dedup"](spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4]
+
+
 def test_keep_rows_by_filter(docs):
     """Many decisions go through a filter and a join instead of a broadcast, with the same rows left."""
     from cambium.llm.common import keep_rows
