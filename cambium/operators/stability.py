@@ -1,6 +1,5 @@
 """How well replicates agree: gene overlap, Jaccard, adjusted Rand index and neighbours."""
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
