@@ -95,6 +95,8 @@ class Sample:
     molecules: DataFrame
     #: Thinned tags of excluded genes, if any are excluded.
     excluded: DataFrame | None = None
+    #: How many molecules of each seed, fraction, class and validity have how many reads (total): n, in some rows each. Far fewer rows than molecules.
+    tallies: DataFrame | None = None
 
     def bulk(self) -> DataFrame:
         """Totals of each seed and fraction; with excluded genes, their reads too."""
@@ -160,12 +162,9 @@ class Depth:
         if "random_hex" in tags.columns and primers != "merge":
             tags = tags.where(F.col("random_hex") == F.lit(primers == "random_hex"))
         tags = tags.groupBy("barcode", "gene", "umi").agg(*[F.sum(c).alias(c) for c in thinning.CLASSES])
-        thinned = thinning.thin(tags, fracs, list(seeds), exact=False)
         out = None
         if self.excluded is not None:
             genes = self.excluded.select("gene").distinct()
-            out, thinned = thinned.join(genes, "gene", "left_semi"), thinned.join(genes, "gene", "left_anti")
-        whole = molecules.directional(thinned, self.umi_length) if umi_mode == "directed" else molecules.uncollapsed(thinned)
-        if multi_gene:
-            return Sample(molecules.mark_multi_gene(whole), out)
-        return Sample(whole.withColumns({"total": F.expr("spliced + unspliced + ambiguous"), "valid": F.lit(True)}), out)
+            out, tags = thinning.thin(tags.join(genes, "gene", "left_semi"), fracs, list(seeds), exact=False), tags.join(genes, "gene", "left_anti")
+        packed = molecules.thinned_and_collapsed(tags, fracs, list(seeds), self.umi_length if umi_mode == "directed" else None)
+        return Sample(molecules.with_validity(packed, fracs, multi_gene), out, molecules.with_validity(packed, fracs, multi_gene, tallied=True))

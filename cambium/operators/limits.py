@@ -19,7 +19,7 @@ from ..session import kept
 from .curves import prediction_errors
 from .fit_products import CLASSES, sized, steps
 from .fitting import fit_histograms
-from .summaries import bulk, by_class, reads_histogram
+from .summaries import bulk, by_class, reads_histogram, tally
 
 # How many times the area of the small capture format each format has.
 CAPTURE_SCALE = {"6.5mm": 1.0, "11mm": 2.87}
@@ -112,8 +112,8 @@ def _tables(totals: DataFrame, histograms: DataFrame, truth: DataFrame, named: D
 def products(measure: Callable[[list[float]], DataFrame], seeds: Sequence[int], limits: Sequence[tuple[float | None, float]], countable: int, max_hist: int = 50, pilot: Pilot | None = None, excluded: Callable[[DataFrame], DataFrame] | None = None) -> tuple[Tables, Tables | None]:
     """The tables of limits (saturation, fraction), and of a pilot's depths if one is given and has any.
 
-    `measure` gives the molecules of a list of fractions for all seeds, in one
-    plan. Fits that fail keep their row, without size, predictions and error; a
+    `measure` gives the molecules, or their tallies, of a list of fractions for
+    all seeds, in one plan; only a tally of them is written. Fits that fail keep their row, without size, predictions and error; a
     seed without a molecule at a step has no row there. `excluded` may add to the
     totals of each seed and fraction.
     """
@@ -123,7 +123,7 @@ def products(measure: Callable[[list[float]], DataFrame], seeds: Sequence[int],
     fractions = [f for _, f in limits] + [f for _, _, f in depths]
     if not all(0 < f <= 1 for f in fractions):
         raise ValueError("fractions are above 0 and at most 1")
-    found = kept(measure(fractions).select("seed", "frac_idx", "total", "valid", *CLASSES))
+    found = kept(tally(measure(fractions)))
     spark, n = found.sparkSession, len(limits)
     rows = [(i, None if at is None else float(at), None, float(f)) for i, (at, f) in enumerate(limits)] + [(n + i, float(reads), unit, float(f)) for i, (unit, reads, f) in enumerate(depths)]
     named = spark.createDataFrame(rows, "frac_idx int, limit double, unit long, fraction double")

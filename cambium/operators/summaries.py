@@ -8,17 +8,29 @@ def molecule_class() -> Column:
     return F.expr("CASE WHEN spliced > 0 THEN 'spliced' WHEN unspliced > 0 THEN 'unspliced' ELSE 'ambiguous' END")
 
 
+def tally(molecules: DataFrame) -> DataFrame:
+    """n molecules of each seed, fraction, class, validity and total, one row each; of molecules, or of a tally in several rows. `bulk`, `by_class` and `reads_histogram` take it in place of molecules."""
+    kind = F.col("class") if "class" in molecules.columns else molecule_class().alias("class")
+    return molecules.groupBy("seed", "frac_idx", kind, "valid", "total").agg(F.sum(_times(molecules)).alias("n"))
+
+
+def _times(molecules: DataFrame) -> Column:
+    """How many molecules a row stands for."""
+    return F.col("n") if "n" in molecules.columns else F.lit(1).cast("long")
+
+
 def bulk(molecules: DataFrame) -> DataFrame:
     """Reads and molecules of each seed and fraction, kept and discarded, and the saturation."""
     return bulk_by(molecules)
 
 
 def bulk_by(molecules: DataFrame, *keys: str) -> DataFrame:
+    n = _times(molecules)
     found = molecules.groupBy("seed", "frac_idx", *keys).agg(
-        F.sum(F.when(F.col("valid"), F.col("total")).otherwise(0)).alias("reads"),
-        F.count_if("valid").alias("molecules"),
-        F.sum(F.when(~F.col("valid"), F.col("total")).otherwise(0)).alias("reads_discarded"),
-        F.count_if(~F.col("valid")).alias("molecules_discarded"),
+        F.sum(F.when(F.col("valid"), F.col("total") * n).otherwise(0)).alias("reads"),
+        F.sum(F.when(F.col("valid"), n).otherwise(0)).alias("molecules"),
+        F.sum(F.when(~F.col("valid"), F.col("total") * n).otherwise(0)).alias("reads_discarded"),
+        F.sum(F.when(~F.col("valid"), n).otherwise(0)).alias("molecules_discarded"),
     )
     return found.withColumn("saturation", F.round(100 - 100 * F.col("molecules") / F.col("reads"), 6))
 
@@ -81,12 +93,13 @@ def spatial_bin_sums(barcodes: DataFrame, positions: DataFrame, rows: int, cols:
 
 def by_class(molecules: DataFrame) -> DataFrame:
     """Of valid molecules; all reads of a molecule count for its class."""
-    return molecules.where("valid").groupBy("seed", "frac_idx", molecule_class().alias("class")).agg(F.sum("total").alias("reads"), F.count(F.lit(1)).alias("molecules"))
+    n, kind = _times(molecules), F.col("class") if "class" in molecules.columns else molecule_class().alias("class")
+    return molecules.where("valid").groupBy("seed", "frac_idx", kind).agg(F.sum(F.col("total") * n).alias("reads"), F.sum(n).alias("molecules"))
 
 
 def reads_histogram(molecules: DataFrame, bins: int, *keys: str) -> DataFrame:
     """Molecules by their number of reads; the last bin has those with more too."""
-    return molecules.where("valid").groupBy("seed", "frac_idx", *keys, F.least("total", F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return molecules.where("valid").groupBy("seed", "frac_idx", *keys, F.least("total", F.lit(bins)).alias("bin")).agg(F.sum(_times(molecules)).alias("n"))
 
 
 def barcode_stats(molecules: DataFrame) -> DataFrame:

@@ -850,13 +850,13 @@ def deep_limits(spark, sf_dir, cells=None):
     """Limits every 10 % of saturation, by a fit of a tenth of the reads, up to the saturation of a fifth."""
     whole = deep_library(spark, sf_dir)
     countable = whole.tags.agg(F.sum(F.expr("spliced + unspliced + ambiguous"))).first()[0] or 1
-    at = kept(whole.downsample([0.1, 0.2]).molecules.select("seed", "frac_idx", "total", "valid"))
+    at = kept(summaries.tally(whole.downsample([0.1, 0.2]).tallies))
     totals = kept(summaries.bulk(at))
     low = F.col("frac_idx") == 0
     fit = kept(fit_products.sized(fitting.fit_histograms(summaries.reads_histogram(at.where(low), 50), "seed", "frac_idx").join(totals, ["seed", "frac_idx"])))
     asked = limits.saturation_limits(fit, countable, totals.where(~low).first()["saturation"], 10, 10)
     pilot = None if cells is None else limits.Pilot(countable, cells, decades=(1, 3))
-    return limits.products(lambda fracs: whole.downsample(fracs, SEEDS).molecules, SEEDS, asked or [(None, 0.1), (None, 0.2)], countable, pilot=pilot)
+    return limits.products(lambda fracs: whole.downsample(fracs, SEEDS).tallies, SEEDS, asked or [(None, 0.1), (None, 0.2)], countable, pilot=pilot)
 
 
 @query("limit_medians")
