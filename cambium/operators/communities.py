@@ -1,6 +1,8 @@
 """Communities of weighted graphs by modularity: local moves, refinement, and the same over the refined parts until nothing changes.
 
-Each level has two phases. Nodes first move to the neighbouring community of
+Each level has two phases. Nodes are dealt to blocks of bounded size, in each of
+which they move one after another while others stay; blocks are drawn anew until
+the modularity rises no more. What is left is looked at over all nodes: nodes move to the neighbouring community of
 largest gain; only nodes with a neighbour that moved are looked at again, and a
 round counts only if it raises the modularity, else fewer nodes move at once,
 and at last only those that share no community. Communities are then refined: starting from single
@@ -16,9 +18,13 @@ of nodes, so results depend neither on partitions nor on their order.
 
 from __future__ import annotations
 
+import math
+import random
+from collections import defaultdict, deque
 from collections.abc import Sequence
 from itertools import count
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from ..session import kept
 
 #: Gains below this are none.
 LEAST = 1e-9
+#: Links, about, that a task works on at once.
+BLOCK = 50_000
 
 
 def both_ways(edges: DataFrame, *keys: str) -> DataFrame:
@@ -44,17 +52,92 @@ def chosen_by(values: dict[int, float], column: str = "graph"):
     return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col(column)) if values else F.lit(None).cast("double")
 
 
+def moves_of_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """graph, id and community of a block's nodes that move one after another, each to the community of largest gain, until none gains; nodes of other blocks stay where they are.
+
+    Rows are links of the block's nodes: graph, a, b, weight, k, own, whole (of a) and other, other_whole (of b), and pull.
+    """
+    rows = rows.sort_values(["a", "b"])
+    community, degree, whole, near = {}, {}, {}, defaultdict(list)
+    for a, b, weight, k, own, own_whole, other, other_whole in rows[["a", "b", "weight", "k", "own", "whole", "other", "other_whole"]].itertuples(index=False, name=None):
+        community[a], degree[a], whole[own], whole[other] = own, k, own_whole, other_whole
+        near[a].append((b, other, weight))
+    start, pull = dict(community), rows["pull"].iat[0]
+    queue: deque = deque()
+    waiting, moved = set(), True
+    while queue or moved:
+        if not queue:
+            # All nodes are looked at once more, for the communities' weights have changed.
+            queue, waiting, moved = deque(near), set(near), False
+        node = queue.popleft()
+        waiting.discard(node)
+        own, k = community[node], degree[node]
+        inside = defaultdict(float)
+        for b, other, weight in near[node]:
+            inside[community.get(b, other)] += weight
+        stay = inside.pop(own, 0.0) - pull * k * (whole[own] - k)
+        best = max(((round(weight - pull * k * whole[c], 9), -c) for c, weight in inside.items()), default=None)
+        if best is None or best[0] - stay <= LEAST:
+            continue
+        to = -best[1]
+        whole[own] -= k
+        whole[to] += k
+        community[node], moved = to, True
+        for b, _, _ in near[node]:
+            if b in near and community[b] != to and b not in waiting:
+                waiting.add(b)
+                queue.append(b)
+    gone = [n for n in near if community[n] != start[n]]
+    return pd.DataFrame({"graph": rows["graph"].iat[0], "id": gone, "community": [community[n] for n in gone]})
+
+
+def parts_of_communities(rows: pd.DataFrame) -> pd.DataFrame:
+    """graph, id and part of the nodes of whole communities: single nodes that are well connected join well connected parts, one after another, until none can.
+
+    Rows are the links inside communities: graph, a, b, weight, k and whole (of a), pull and salt.
+    """
+    rows = rows.sort_values(["a", "b"])
+    pull, salt = rows["pull"].iat[0], int(rows["salt"].iat[0])
+    degree, whole, near = {}, {}, defaultdict(list)
+    for a, b, weight, k, of_all in rows[["a", "b", "weight", "k", "whole"]].itertuples(index=False, name=None):
+        degree[a], whole[a] = k, of_all
+        near[a].append((b, weight))
+    part, total, size = {n: n for n in near}, dict(degree), dict.fromkeys(near, 1)
+    cut = {n: sum(w for _, w in near[n]) for n in near}
+    well = lambda p: cut[p] >= pull * total[p] * (whole[p] - total[p])
+    joined = True
+    while joined:
+        joined = False
+        for node, links in near.items():
+            if part[node] != node or size[node] > 1 or not well(node):
+                continue
+            inside = defaultdict(float)
+            for b, weight in links:
+                inside[part[b]] += weight
+            draw = random.Random(node * 1_000_003 + salt)
+            found = [(math.log(gain) - math.log(-math.log(draw.uniform(1e-300, 1))), p) for p, weight in sorted(inside.items()) if (gain := weight - pull * degree[node] * total[p]) > LEAST and well(p)]
+            if found:
+                to = max(found)[1]
+                part[node], joined = to, True
+                cut[to] += cut[node] - 2 * inside[to]
+                total[to] += degree[node]
+                size[to] += 1
+                size[node] = 0
+    return pd.DataFrame({"graph": rows["graph"].iat[0], "id": list(part), "part": list(part.values())})
+
+
 class Graphs:
     """links (graph, a, b, weight; both ways), nodes (graph, id, k) and what each graph's moves are weighed by."""
 
     def __init__(self, links: DataFrame, resolutions: dict[int, float]):
         self.links = links
         weight = F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(F.col("weight"))  # a loop counts twice in its node's degree
-        self.nodes = kept(links.groupBy("graph", F.col("a").alias("id")).agg(F.sum(weight).alias("k"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(0.0)).alias("looped")))
-        sums = self.nodes.groupBy("graph").agg(F.sum("k").alias("twice"), F.sum("looped").alias("looped"), F.count(F.lit(1)).alias("n")).collect()  # one row a graph
+        self.nodes = kept(links.groupBy("graph", F.col("a").alias("id")).agg(F.sum(weight).alias("k"), F.sum(F.when(F.col("a") == F.col("b"), 2 * F.col("weight")).otherwise(0.0)).alias("looped"), F.count(F.lit(1)).alias("links")))
+        sums = self.nodes.groupBy("graph").agg(F.sum("k").alias("twice"), F.sum("looped").alias("looped"), F.count(F.lit(1)).alias("n"), F.sum("links").alias("links")).collect()  # one row a graph
         self.twice = {r["graph"]: r["twice"] for r in sums if r["twice"] > 0}
         self.looped, self.size = ({r["graph"]: r[c] for r in sums} for c in ("looped", "n"))
         self.resolutions = resolutions
+        self.blocks = {r["graph"]: -(-r["links"] // BLOCK) for r in sums}
 
     def pull(self):
         """What a unit of degree times a unit of degree costs."""
@@ -89,12 +172,42 @@ class Graphs:
         first = best.groupBy("graph", (-F.col("best.id")).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n = 2")
         return wanting.join(first, ["graph", "id"], "left_semi")
 
+    def in_blocks(self, state: DataFrame, graphs: set[int], salt: int, number: int) -> DataFrame:
+        """The state after the moves of every block of these graphs, with `went` where a node has moved."""
+        whole = state.groupBy("graph", "community").agg(F.sum("k").alias("whole"))
+        placed = state.where(F.col("graph").isin(sorted(graphs))).join(whole, ["graph", "community"])
+        of = placed.select("graph", F.col("id").alias("a"), "k", F.col("community").alias("own"), "whole"), placed.select("graph", F.col("id").alias("b"), F.col("community").alias("other"), F.col("whole").alias("other_whole"))
+        block = F.pmod(F.xxhash64("a", F.lit(salt), F.lit(number)), chosen_by(self.blocks))
+        near = self.links.where("a <> b").join(of[0], ["graph", "a"]).join(of[1], ["graph", "b"]).withColumns({"pull": self.pull(), "block": block})
+        went = near.groupBy("graph", "block").applyInPandas(moves_of_block, "graph int, id long, community long").withColumnRenamed("community", "to")
+        return kept(state.select("graph", "id", "k", "community").join(went, ["graph", "id"], "left").select("graph", "id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("went")))
+
     def moved(self, state: DataFrame, salt: int) -> tuple[DataFrame, set[int]]:
         """The state (graph, id, k, community) after local moves, and the graphs in which any node has moved."""
-        table = kept(self.judged(state))
-        quality = self.modularity(state, table)
+        changed: set[int] = set()
+        # Moves of one block gain what they seem to; those of several blocks at once are held against the modularity before.
+        left = set(self.twice)
+        many = {g for g in left if self.blocks[g] > 1}
+        table = kept(self.judged(state)) if many else None
+        quality = self.modularity(state, table) if many else {}
+        for number in count():
+            if not left:
+                break
+            tried = self.in_blocks(state, left, salt, number)
+            gone = {r["graph"] for r in tried.where("went").select("graph").distinct().collect()}
+            if not many:
+                return tried.drop("went"), gone  # each node was looked at after the last move
+            after = kept(self.judged(tried))
+            found = self.modularity(tried, after)
+            better = {g for g in gone if g not in many or found[g] > quality[g] + LEAST}
+            if better:
+                state, table = self.mixed(tried.drop("went"), state, better), self.mixed(after, table, better)
+            quality |= {g: found[g] for g in better}
+            changed |= better
+            left = better & many
+        table = kept(self.judged(state)) if table is None else table
         # The share of nodes that may move at once; 0: moves that have no community in common.
-        share, changed, fresh = dict.fromkeys(self.twice, 0.5), set(), set(self.twice)
+        share, fresh = dict.fromkeys(self.twice, 0.5), set(self.twice)
         left = set(self.twice)
         for number in count():
             wanting = table.where((F.col("gain") > LEAST) & F.col("graph").isin(sorted(left)))
@@ -142,11 +255,23 @@ class Graphs:
     def refined(self, state: DataFrame, salt: int) -> DataFrame:
         """(graph, id, part): parts of the communities, each connected, named by a node of theirs."""
         named = self.links.where("a <> b").join(state.select("graph", F.col("id").alias("a"), "community"), ["graph", "a"]).join(state.select("graph", F.col("id").alias("b"), F.col("community").alias("other")), ["graph", "b"])
-        inner = kept(named.where("community = other").select("graph", "a", "b", "weight"))
-        whole = kept(state.groupBy("graph", "community").agg(F.sum("k").alias("whole")))
-        parts = kept(state.join(whole, ["graph", "community"]).select("graph", "id", "k", "whole", F.col("id").alias("part")))
+        inner = named.where("community = other").select("graph", "a", "b", "weight")
+        whole = state.groupBy("graph", "community").agg(F.sum("k").alias("whole"))
+        many = max(self.blocks.values(), default=1) > 1
+        if many:
+            inner, whole = kept(inner), kept(whole)
         pull = self.pull()
+        # Communities with few links inside are refined in blocks; what is left to join, in larger ones, joins in rounds.
+        counted = inner.join(state.select("graph", F.col("id").alias("a"), "community", "k"), ["graph", "a"]).join(whole, ["graph", "community"])
+        if many:
+            small = counted.groupBy("graph", "community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= BLOCK)
+            counted = counted.join(small.select("graph", "community"), ["graph", "community"])
+        dealt = counted.withColumns({"pull": pull, "salt": F.lit(salt), "block": F.pmod(F.xxhash64("community"), chosen_by(self.blocks))})
+        begun = dealt.groupBy("graph", "block").applyInPandas(parts_of_communities, "graph int, id long, part long")
+        parts = kept(state.join(whole, ["graph", "community"]).join(begun, ["graph", "id"], "left").select("graph", "id", "k", "whole", F.coalesce("part", "id").alias("part")))
         for number in count():
+            if not many:
+                return parts.select("graph", "id", "part")
             of = parts.select("graph", F.col("id").alias("a"), F.col("part").alias("own")), parts.select("graph", F.col("id").alias("b"), "part")
             near = inner.join(of[0], ["graph", "a"]).join(of[1], ["graph", "b"]).where("own <> part").groupBy("graph", "own", "part").agg(F.sum("weight").alias("weight"))
             cut = near.groupBy("graph", F.col("own").alias("part")).agg(F.sum("weight").alias("cut"))
