@@ -72,7 +72,7 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices whose texts take at most about `limit` bytes."""
+    """The same rows in slices whose texts take at most about `limit` bytes. After the last, what Arrow keeps for later is given back: the worker goes on to other tasks."""
     for batch in batches:
         column = batch.column(text)
         if batch.num_rows < 2 or column.nbytes <= limit:
@@ -81,6 +81,18 @@ def sliced(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -
         rows = max(1, int(batch.num_rows * limit / column.nbytes))
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    pa.default_memory_pool().release_unused()
+
+
+#: Bytes of a batch of rows on its way to Python, at most about; Spark's own limit is 10,000 rows of any length. Both the JVM and the worker hold them.
+BATCH_BYTES = 2 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of BATCH_BYTES, if the session has no limit of its own."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 #: Longs of a filter of keys: at most so many rows are broadcast, however many keys there are.

@@ -3,7 +3,9 @@
 Each stage takes (spark, docs, sf_dir); what it returns is written as Parquet
 and read again as the next stage's docs. Null and empty texts pass all filters
 but those of copies, of which one stays; other columns pass as they are,
-whatever their names; an empty table gives an empty result.
+whatever their names; an empty table gives an empty result. What a stage
+returns is computed when it is written, so stages leave the session's limit of
+batches set; run() puts it back.
 """
 
 from __future__ import annotations
@@ -12,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cambium.llm import decontaminate, exact_dedup, packing, shingle_dedup, simhash, toxicity
-from cambium.llm.common import read, scratch
+from cambium.llm.common import BATCH_SETTING, read, scratch, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
@@ -25,11 +28,13 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near by SimHash, as op5 has it, or by the shingles that its fingerprints can't tell: one row of what either links stays."""
+    small_batches(spark)
     return shingle_dedup.drop_similar(docs, near=simhash.near_roots(docs))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words that windows of the benchmark cover go, and documents that consist of them for the most part; n_chars, if there is one, follows."""
+    small_batches(spark)
     cleaned = decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
     if "n_chars" not in docs.columns:
         return cleaned
@@ -37,6 +42,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return packing.pack(docs)
 
 
@@ -55,8 +61,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     folder = scratch(spark, "pipeline")
-    for number, (_, stage) in enumerate(STAGES):
-        path = f"{folder}/{number}.parquet"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+    limit = spark.conf.get(BATCH_SETTING, None)
+    try:
+        for number, (_, stage) in enumerate(STAGES):
+            path = f"{folder}/{number}.parquet"
+            stage(spark, docs, sf_dir).write.parquet(path)
+            docs = spark.read.parquet(path)
+    finally:
+        if limit is None:
+            spark.conf.unset(BATCH_SETTING)
     return docs

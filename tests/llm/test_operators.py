@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -723,3 +724,36 @@ def test_pipeline_odd_tables(spark, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(str(tmp_path / f"{table}.parquet")).where("false").write.parquet(str(empty / f"{table}.parquet"))
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_pipeline_batches(spark, tmp_path):
+    """Long texts go to Python in small batches while stages run; run() leaves the session as it was, and a limit of the session's own holds."""
+    import corpus_pipeline
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting, None)
+    spark.conf.unset(setting)
+    folder = str(tmp_path)
+    docs = spark.range(3000, numPartitions=1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.col("id").cast("string"), F.lit(" abc ")), 700).alias("text"))
+    docs.where("doc_id < 3").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(4, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "some words")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name == "exact dedup":  # has no Python
+                continue
+            stage(spark, docs.limit(3), folder)
+            found = docs.mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r["n"] for r in found) == 3000 and max(r["size"] for r in found) < 4 << 20, name
+            spark.conf.unset(setting)
+        assert corpus_pipeline.run(spark, folder).count() and spark.conf.get(setting, None) is None
+        spark.conf.set(setting, "12345678")
+        corpus_pipeline.run(spark, folder)
+        assert spark.conf.get(setting) == "12345678"
+    finally:
+        spark.conf.unset(setting) if before is None else spark.conf.set(setting, before)
